@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, by_group, checkpointed, grams, mix, signed, to_bytes
+from .common import ASCII_LOWER, WordHashes, by_group, checkpointed, grams, mix, signed, to_bytes, written
 from .graph import components
 
 
@@ -208,3 +208,12 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     same_id = sig.select("doc_id", "n_shingles", "h1", "h2")
     out = same_id.join(final, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
+
+
+def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
+    """One row, all columns, of each near-duplicate component; rows with a null doc_id stay."""
+    kept = written(near_components(docs, **kw).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    out = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))

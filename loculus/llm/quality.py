@@ -47,12 +47,11 @@ def _joined(a: Column, k: int) -> Column:
 
 
 def gram_hashes(words: Column, n: int) -> Column:
-    """Hashes of the runs of n words (n of 1, 2, 4, 5, 8): runs are doubled, so few passes do."""
+    """Hashes of the runs of n words: runs are doubled, then two of them overlap, so few passes do."""
     if n == 1:
         return words
-    if n == 5:
-        return let(gram_hashes(words, 4), lambda g: F.zip_with(F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0))), _shift(g, 1), lambda x, y: F.xxhash64(x, y)))
-    return let(gram_hashes(words, n // 2), lambda g: _joined(g, n // 2))
+    half = 1 << ((n - 1).bit_length() - 1)
+    return let(gram_hashes(words, half), lambda g: _joined(g, n - half))
 
 
 def covered(grams: Column, width: int) -> Column:

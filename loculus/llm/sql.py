@@ -1,2 +1,131 @@
-def oracles():
-    return {}
+"""DuckDB SQL for those queries of the corpus operators that SQL can express, over the same tables."""
+
+from __future__ import annotations
+
+import re
+
+from . import quality, queries, warc
+
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _uuid(expr: str) -> str:
+    h = f"md5({expr})"
+    return f"concat('<urn:uuid:', concat_ws('-', {', '.join(f'substr({h}, {a}, {n})' for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))}), '>')"
+
+
+def op1() -> str:
+    t = r"regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
+    for tag in warc.DROPPED:
+        t = rf"regexp_replace({t}, '(?is)<{tag}[\s>].*?</{tag}\s*>', ' ', 'g')"
+    t = rf"regexp_replace({t}, '(?i)</?(?:{warc.BREAKS})(?:[\s/][^>]*)?>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    for name, c in warc.ENTITIES:
+        t = f"replace({t}, {_q(name)}, {_q(c)})"
+    t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    return rf"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, {_uuid("concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''), 'response')")} AS rid FROM pages),
+s AS (SELECT *, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(payload)) AS head, concat('sha256:', sha256(payload)) AS pd FROM p),
+m AS (
+  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    concat('http-status: 200', chr(13), chr(10), 'http-content-type: text/html', chr(13), chr(10), 'source-block-digest: sha256:', sha256(concat(head, chr(13), chr(10), chr(13), chr(10), payload)),
+      chr(13), chr(10), 'source-payload-digest: ', pd, chr(13), chr(10), 'source-payload-length: ', strlen(payload), chr(13), chr(10)) AS body FROM s
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain', {t} FROM s)
+SELECT rid AS refers_to, warc_type, {_uuid("concat_ws('|', rid, coalesce(url, ''), warc_type)")} AS record_id, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
+  strlen(body)::BIGINT AS content_length, concat('sha256:', sha256(body)) AS block_digest, pd AS payload_digest, rid AS source_id, strlen(head)::BIGINT AS http_header_bytes
+FROM m"""
+
+
+def op2() -> str:
+    words = WORDS.replace("coalesce(text, '')", LOWER.format("coalesce(text, '')"))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * x >= 85 * (p.n + q.n - x)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, seen FROM reach JOIN both_ways ON a = id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(seen) AS component_id, w.doc_id = min(seen) AS kept
+FROM w JOIN reach ON reach.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.n"""
+
+
+def _glob(g: str) -> str:
+    out, i = "", 0
+    while i < len(g):
+        if g[i : i + 2] == "**":
+            out, i = out + ".*", i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(g[i], re.escape(g[i])), i + 1
+    return f"(?s){out}"
+
+
+def op3() -> str:
+    fits = lambda r: f"(host = {_q(r.host)} OR ends_with(host, {_q('.' + r.host)})) AND starts_with(path, {_q(r.path)})"
+    rules = sorted(queries.RULES, key=lambda r: -len(r.name))
+    rule = " ".join(f"WHEN {fits(r)} THEN {_q(r.name)}" for r in rules)
+    verdict = " ".join(f"WHEN rule = {_q(r.name)} THEN {_q(r.verdict)}" for r in rules)
+    pattern = " ".join(f"WHEN regexp_full_match(s, {_q(_glob(g))}) THEN {_q(g)}" for g in queries.BLOCKED)
+    host = LOWER.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
+    return rf"""
+WITH u AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || host || path END AS s, CASE {rule} END AS rule FROM u),
+p AS (SELECT *, CASE {pattern} END AS pattern FROM r)
+SELECT page_id, host, path, rule, CASE {verdict} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM p"""
+
+
+def op4() -> str:
+    said = " OR ".join(f"contains(lower(l), {_q(b)})" for b in quality.BOILERPLATE)
+    fails = rf"""(NOT regexp_matches(l, '[\p{{L}}\p{{N}}]') OR ((length(l) - length(translate(l, '|›»•', ''))) >= 3 AND (length(l) - length(translate(l, '|›»•', ''))) * 40 >= length(l))
+      OR (length(l) - length(translate(l, '{quality.SYMBOLS}', ''))) * 10 > length(l) OR {said} OR (length(l) > 400 AND NOT regexp_matches(l, '[.!?;:…。！？]')))"""
+    words = lambda c: rf"len(list_filter(string_split_regex({c}, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+    chars = lambda c: rf"length(regexp_replace({c}, '[\x20\x09-\x0D]+', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN twice USING (doc_id, s), range(8) AS o(k) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, {chars("t")} AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, list_filter(ls, lambda l: NOT {fails}) AS good FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(array_to_string(good, chr(10)), '') AS clean FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND {chars("clean")} >= 0.5 * word_chars AND {words("clean")} >= 5 AS kept, n_lines::BIGINT AS n_lines, len(good)::BIGINT AS n_lines_kept FROM f"""
+
+
+def op5() -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM win JOIN twice USING (s), range(35) AS o(k) GROUP BY doc_id),
+k AS (SELECT doc_id, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(g, []), i)), lambda i: w[i]) AS kept FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
+
+
+def op6() -> str:
+    return """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(role || chr(0) || text ORDER BY place) AS s FROM t GROUP BY conv_id),
+one AS (SELECT min(conv_id) AS conv_id, s FROM c GROUP BY s),
+best AS (SELECT conv_id, len(s) AS n FROM one WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE len(o.s) > len(one.s) AND o.s[1 : len(one.s)] = one.s))
+SELECT conv_id, ((place - 1) // 256)::BIGINT AS chunk, n::BIGINT AS n_turns, min(place)::BIGINT AS first_turn, count(*)::BIGINT AS chunk_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM t JOIN best USING (conv_id) GROUP BY conv_id, chunk, n"""
+
+
+def oracles() -> dict[str, str]:
+    return {
+        "op1_warc_derivatives": op1(),
+        "op2_minmax_near_dedup": op2(),
+        "op3_url_globs": op3(),
+        "op4_line_first_cleaning": op4(),
+        "op5_superkmer_substrings": op5(),
+        "op6_snapshot_collapse": op6(),
+    }

@@ -1,0 +1,266 @@
+"""Exact substring dedup over word windows by super-k-mer partitioning.
+
+A window is ``k`` consecutive words of one text. Its minimiser is the least hash of its ``m``-word runs; consecutive windows
+of one minimiser are a super-k-mer. Equal windows have equal minimisers, so each window meets its equals in the bucket of
+its minimiser.
+
+1. One pass over the texts gives a small row for each super-k-mer: minimiser, content hash, text, start, number of windows.
+2. Counts by minimiser (combined before the shuffle) leave those that occur twice or more. Super-k-mers of equal content
+   are repeated as a whole, at any number of copies, and one of them stands for all.
+3. Where contents differ under one minimiser, one packed string for each distinct content travels to the bucket; there its
+   windows are sorted and counted exactly, weighted by the number of copies.
+4. A bucket of more than ``hot`` contents is split: its windows are counted under 128-bit window hashes, with combining
+   before the shuffle.
+5. What is repeated goes back to the texts as bit masks.
+
+The table of step 1 is written once to the shared checkpoint folder; the texts are shuffled once and used twice.
+
+Defined results: a null text has no words; texts shorter than a window lose nothing; repeated rows are copies of one
+another; rows with a null doc_id are texts like all others; windows are judged on the input; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordHashes, by_group, grams, mix, signed, to_bytes, written
+
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+PIECE = 500_000  # words hashed together
+LONGEST = 512  # windows in a super-k-mer
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+class SuperKmers:
+    def __init__(self, k: int, m: int):
+        self.k, self.m = k, min(m, k)
+        self.size = 0
+
+    def _sums(self, h: np.ndarray) -> np.ndarray:
+        if len(h) >= self.size:
+            self.size = 2 * len(h) + 2
+            self.up, self.down = _powers(BASE, self.size), _powers(BASE_INVERSE, self.size)
+        return np.r_[np.zeros(1, np.uint64), np.add.accumulate(h * self.up[: len(h)])]
+
+    def windows(self, h: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A hash of each window of one run of word hashes."""
+        if len(h) < self.k:
+            return np.empty(0, np.uint64)
+        h = mix(h + np.uint64(seed)) if seed else h
+        c = self._sums(h)
+        n = len(h) - self.k + 1
+        return mix((c[self.k :] - c[:-self.k]) * self.down[:n])
+
+    def minimisers(self, h: np.ndarray) -> np.ndarray:
+        a = mix(grams(h, self.m))
+        need, have = self.k - self.m + 1, 1
+        while have < need:
+            step = min(have, need - have)
+            a = np.minimum(a[:-step], a[step:])
+            have += step
+        return a
+
+    def of(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first window, windows, minimiser, content, whether a window repeats inside) of each super-k-mer.
+
+        h: word hashes of many texts after each other; doc: the text of each word, ascending.
+        """
+        k = self.k
+        at = np.flatnonzero(doc[: len(h) - k + 1] == doc[k - 1 :]) if len(h) >= k else np.empty(0, np.int64)
+        if not len(at):
+            e = np.empty(0, np.int64)
+            return e, e, e.astype(np.uint64), e.astype(np.uint64), e.astype(bool)
+        mz, d = self.minimisers(h)[at], doc[at]
+        new = np.r_[True, (mz[1:] != mz[:-1]) | (d[1:] != d[:-1])]
+        first = np.flatnonzero(new)
+        new[((np.arange(len(at)) - first[np.cumsum(new) - 1]) % LONGEST) == 0] = True
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        size = np.diff(np.r_[first, len(at)])
+        c = self._sums(h)
+        s = at[first]
+        content = mix(mix((c[s + size + k - 1] - c[s]) * self.down[s]) + size.astype(np.uint64))
+        w = mix(mix((c[at + k] - c[at]) * self.down[at]) + run.astype(np.uint64))
+        order = np.argsort(w, kind="stable")
+        inside = np.zeros(len(first), bool)
+        inside[run[order[1:][w[order[1:]] == w[order[:-1]]]]] = True
+        return s, size, mz[first], content, inside
+
+
+def _occurrences(docs: DataFrame, k: int, m: int) -> DataFrame:
+    """(mz, sk, id, mark, start, size, inside) of each super-k-mer."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, kmers = WordHashes(), SuperKmers(k, m)
+        held: list[tuple] = []
+        count = 0
+
+        def flush() -> pd.DataFrame:
+            h = np.concatenate([x[3] for x in held])
+            sizes = [len(x[3]) for x in held]
+            doc = np.repeat(np.arange(len(held)), sizes)
+            begin = np.r_[0, np.cumsum(sizes)[:-1]]
+            s, size, mz, content, inside = kmers.of(h, doc)
+            d = doc[s]
+            ids, marks, off = (np.array([x[c] for x in held]) for c in (0, 1, 2))
+            return pd.DataFrame({"mz": signed(mz), "sk": signed(content), "id": ids[d], "mark": marks[d], "start": (s - begin[d] + off[d]).astype(np.int32), "size": size.astype(np.int32), "inside": inside})
+
+        for b in batches:
+            for i, mark, text in zip(b["id"], b["mark"], b["text"], strict=True):
+                words = to_bytes(text).split()
+                for a in range(0, len(words) - k + 1, PIECE):
+                    part = hashes.of(words[a : a + PIECE + k - 1])
+                    held.append((i, mark, a, part))
+                    count += len(part)
+                    if count >= PIECE:
+                        yield flush()
+                        held, count = [], 0
+        if held:
+            yield flush()
+
+    return docs.mapInPandas(run, "mz long, sk long, id long, mark int, start int, size int, inside boolean")
+
+
+def _bits(size: int, hit: list[int]) -> bytes:
+    mask = np.zeros(size, np.uint8)
+    mask[hit] = 1
+    return np.packbits(mask).tobytes()
+
+
+def repeated_words(docs: DataFrame, k: int = 50, m: int = 6, hot: int = 4096) -> DataFrame:
+    """(id, mark, text, doc_id, masks): each text with the masks of its repeated windows (null where there are none)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.hash("text").alias("mark"))
+    occ = written(_occurrences(texts.select("id", "mark", "text"), k, m))
+    shared = (
+        occ.groupBy("mz").agg(F.count("*").alias("n"), F.min("sk").alias("lo"), F.max("sk").alias("hi"), F.max("inside").alias("self"))
+        .where("n > 1 or self").select("mz", ((F.col("lo") != F.col("hi")) | F.col("self")).alias("differ"))
+    )
+    left = written(occ.join(shared, "mz").select("mz", "sk", "id", "mark", "start", "size", "differ"))
+    contents = left.groupBy("mz", "sk").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "start", "size")).alias("rep"), F.max("differ").alias("differ"))
+    whole = contents.where("n > 1").select("mz", "sk", F.lit(None).cast("binary").alias("mask"))
+    differ = contents.where("differ")
+    kinds = differ.groupBy("mz").agg(F.count("*").alias("kinds"))
+    travel = differ.join(kinds, "mz").select(F.col("rep.id").alias("id"), F.col("rep.mark").alias("mark"), F.struct("mz", "sk", "n", F.col("rep.start").alias("start"), F.col("rep.size").alias("size"), (F.col("kinds") > hot).alias("hot")).alias("kmer"))
+    travel = written(travel.groupBy("id", "mark").agg(F.collect_list("kmer").alias("kmers")))
+    carriers = texts.join(travel, ["id", "mark"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, kmers = WordHashes(), SuperKmers(k, m)
+        names = ["mz", "sk", "n", "size", "packed", "at", "w1", "w2"]
+        for b in batches:
+            out, held = [], 0
+            for text, wanted in zip(b["text"], b["kmers"], strict=True):
+                words = to_bytes(text).split()
+                for x in wanted:
+                    s, size = x["start"], x["size"]
+                    part = words[s : s + size + k - 1]
+                    if x["hot"]:
+                        h = hashes.of(part)
+                        w1, w2 = signed(kmers.windows(h)).tolist(), signed(kmers.windows(h, 1)).tolist()
+                        out += [(x["mz"], x["sk"], x["n"], size, None, at, a, c) for at, (a, c) in enumerate(zip(w1, w2, strict=True))]
+                    else:
+                        out.append((x["mz"], x["sk"], x["n"], size, b" ".join(part), None, None, None))
+                    held += 8 * len(part)
+                if held > 16_000_000:
+                    yield pd.DataFrame(out, columns=names).astype({"at": "Int32", "w1": "Int64", "w2": "Int64"})
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"at": "Int32", "w1": "Int64", "w2": "Int64"})
+
+    packed = written(carriers.select("doc_id", "id", "mark", "text", "kmers").mapInPandas(pack, "mz long, sk long, n long, size int, packed binary, at int, w1 long, w2 long"))
+
+    def count_windows(g: pd.DataFrame) -> dict | None:
+        g = g.drop_duplicates("sk")
+        windows = []
+        for r, p in enumerate(g["packed"]):
+            words = bytes(p).split(b" ")
+            windows += [(b" ".join(words[a : a + k]), r, a) for a in range(len(words) - k + 1)]
+        windows.sort()
+        n = g["n"].tolist()
+        hit: dict[int, list[int]] = {}
+        a = 0
+        while a < len(windows):
+            e, total = a, 0
+            while e < len(windows) and windows[e][0] == windows[a][0]:
+                total += n[windows[e][1]]
+                e += 1
+            if total > 1:
+                for _, r, at in windows[a:e]:
+                    hit.setdefault(r, []).append(at)
+            a = e
+        rows = sorted(r for r in hit if n[r] == 1)
+        if not rows:
+            return None
+        sk, size = g["sk"].to_numpy(), g["size"].tolist()
+        return {"mz": g["mz"].to_numpy()[rows], "sk": sk[rows], "mask": [_bits(size[r], hit[r]) for r in rows]}
+
+    cold = by_group(packed.where("packed is not null").select("mz", "sk", "n", "size", "packed"), ["mz"], count_windows, "mz long, sk long, mask binary")
+    single = packed.where("packed is null").select("mz", "sk", "n", "size", "at", "w1", "w2").dropDuplicates(["mz", "sk", "at"])
+    often = single.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    hits = single.where("n = 1").join(often, ["w1", "w2"]).groupBy("mz", "sk").agg(F.first("size").alias("size"), F.collect_list("at").alias("at"))
+
+    def masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"mz": b["mz"], "sk": b["sk"], "mask": [_bits(s, list(a)) for s, a in zip(b["size"], b["at"], strict=True)]})
+
+    marked = whole.union(cold).union(hits.mapInPandas(masks, "mz long, sk long, mask binary"))
+    back = left.select("mz", "sk", "id", "mark", "start", "size").join(marked, ["mz", "sk"])
+    ranges = back.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "size", "mask")).alias("masks"))
+    return texts.join(ranges, ["id", "mark"], "left")
+
+
+def kept_words(words: list[bytes], masks, k: int) -> list[bytes]:
+    """The words that no repeated window covers."""
+    if masks is None or not len(masks):
+        return words
+    cover = np.zeros(len(words) + 1, np.int64)
+    for x in masks:
+        s, size = x["start"], x["size"]
+        if x["mask"] is None:
+            cover[s] += 1
+            cover[s + size + k - 1] -= 1
+        else:
+            at = s + np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8))[:size])
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + k, -1)
+    gone = np.cumsum(cover)[: len(words)] > 0
+    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, out: str = "clean_text", **kw) -> DataFrame:
+    """(doc_id, text, clean_text): kept words joined by one space."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], out: [b" ".join(kept_words(to_bytes(t).split(), m, window)).decode("utf-8", "replace") for t, m in zip(b["text"], b["masks"], strict=True)]})
+
+    return repeated_words(docs, window, **kw).select("doc_id", "id", "mark", "text", "masks").mapInPandas(run, f"doc_id long, text string, `{out}` string")
+
+
+def digests(docs: DataFrame, window: int = 35, **kw) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t, m in zip(b["text"], b["masks"], strict=True):
+                words = to_bytes(t).split()
+                kept = kept_words(words, m, window)
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
+            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
+            yield out
+
+    return repeated_words(docs, window, **kw).select("doc_id", "id", "mark", "text", "masks").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
