@@ -595,7 +595,7 @@ def predicted_patterns(spark, sf):
     return rounded(classify.predict_with_fallback(rows, model, lambda: model))
 
 
-@query(with_(f"SELECT {r('coalesce(avg((gene LIKE '%1')::INT), 0.0)', 'ratio')} FROM tx"))
+@query(with_(f"SELECT {r('coalesce(avg(ends_with(gene, chr(49))::INT), 0.0)', 'ratio')} FROM tx"))
 def pattern_ratio(spark, sf):
     t = fixture(spark, sf).transcripts.withColumn("pattern", F.when(F.col("gene").endswith("1"), "Foci").otherwise("other"))
     return rounded(t.agg(F.lit(classify.foci_ratio(t)).alias("ratio")))
