@@ -140,7 +140,7 @@ def conditional_p_values(e: DataFrame, counts: DataFrame, min_transcript: int =
             out = []
             for k, heads_ in zip(b["obs"], b["heads"], strict=True):
                 pmf = np.ones(1)
-                for x in heads_:
+                for x in heads_ if k > 0 else ():
                     pmf = np.convolve(pmf, x)[: int(k)]
                 out.append(1.0 if k <= 0 else min(1.0, max(0.0, 1 - float(pmf.sum()))))
             b["pvalue"] = out
