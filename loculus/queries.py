@@ -750,3 +750,19 @@ def cells_by_expression(spark, sf):
 @query(with_(f"SELECT cell, obs, {r('pvalue', 'pvalue', 8)} FROM pp WHERE g1 = '{G1}' AND g2 = '{G2}' ORDER BY pp.pvalue, cell LIMIT 6", CLOSE, PP))
 def cells_by_pp(spark, sf):
     return _pp(views.cells_by_pp(coloc.proximal_pairs(fixture(spark, sf).transcripts), G1, G2)).select("cell", "obs", "pvalue")
+
+
+@query(with_("SELECT cell, gene, count(*) AS n FROM tx GROUP BY ALL"))
+def streamed_counts(spark, sf):
+    """The stream's running counts over a folder of one file, read to its end."""
+    import tempfile
+    import uuid
+
+    from .streaming import counts
+
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder, name = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}", f"s{uuid.uuid4().hex}"
+    fixture(spark, sf).transcripts.select("cell", "gene", "x", "y", F.lit(None).cast("timestamp").alias("seen")).coalesce(4).write.parquet(folder)
+    q = counts.running_counts(counts.transcript_stream(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
