@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes that separate words: \x20 and \x09-\x0D. ``bytes.split()`` separates at exactly these.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -125,12 +128,55 @@ def _stack(parts: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(cols)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir; own folder only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loculus-checkpoints"))
-    return df.checkpoint()
+def ddl(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def map_rows(docs: DataFrame, keys: list[str], inputs: list[str], make: Callable[[], Callable], fields: str) -> DataFrame:
+    """The key columns, as they are (in Arrow, so nulls and large ids survive), and fields computed from the inputs.
+
+    make() is called once a task; what it gives takes a list for each input and returns a tuple of fields for each row.
+    """
+    schema = f"{ddl(docs, keys)}, {fields}"
+    kinds = to_arrow_schema(T.StructType.fromDDL(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            rows = list(fn(*[b.column(c).to_pylist() for c in inputs]))
+            made = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *made], names=[*keys, *kinds.names])
+
+    return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keys, *inputs])]).mapInArrow(run, schema)
+
+
+def map_column(docs: DataFrame, column: str, make: Callable[[], Callable], to: str | None = None, kind: str = "string") -> DataFrame:
+    """All columns, with one computed from ``column`` put in its place, or in that of ``to`` (appended if there is none)."""
+    to = to or column
+    at = docs.columns.index(to) if to in docs.columns else len(docs.columns)
+    field = to_arrow_schema(T.StructType.fromDDL(f"`{to}` {kind}")).field(0)
+    names = [*docs.columns[:at], to, *docs.columns[at + 1 :]]
+    schema = ", ".join(f"`{c}` {kind if c == to else docs.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            cols = list(b.columns)
+            cols[at : at + 1] = [pa.array([fn(x) for x in b.column(column).to_pylist()], field.type)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """The rows, unchanged, whose value passes the test that make() gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            yield b.filter(pa.array([bool(fn(x)) for x in b.column(column).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
+
+ROWS = 1_000_000  # links that one task of a round is to hold
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -18,25 +20,26 @@ def _large(e: DataFrame) -> DataFrame:
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours point to the least of them. Rows have u > v."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+    moved = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+    return moved.select("p.u", "p.v").where("u > v").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, component): the least id that each linked id reaches, for the ids of edges (u, v).
 
-    Alternating large-star and small-star steps; each round is written to the checkpoint folder, so a lost executor costs
-    a round at most. Minima are combined before the shuffle; the joins are plain equi-joins that AQE may split on a hot id.
+    Alternating large-star and small-star steps; each is written to the checkpoint folder, so a lost executor costs a step at
+    most and no step is computed twice. Minima are combined before the shuffle; the joins are plain equi-joins that AQE may
+    split on a hot id. The number of tasks that write follows the number of links.
     Ids without an edge to another id don't appear. Raises if it doesn't settle in max_rounds rounds.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = checkpointed(_small(e))
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = None
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    before = e.agg(mark.alias("m")).first()["m"]
     for _ in range(max_rounds):
-        e = checkpointed(_small(_large(e)))
+        parts = before["n"] // ROWS + 2
+        e = written(_small(written(_large(e).coalesce(parts))).coalesce(parts))
         now = e.agg(mark.alias("m")).first()["m"]
-        if now == before or not now[0]:
+        if now == before or not now["n"]:
             break
         before = now
     else:

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, by_group, checkpointed, grams, mix, signed, to_bytes, written
+from .common import ASCII_LOWER, WordHashes, by_group, grams, mix, signed, to_bytes, written
 from .graph import components
 
 
@@ -68,10 +69,10 @@ class MinMax:
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, keys): identity and band keys of each text's shingle set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minmax = WordHashes(), MinMax(bands, rows)
         for b in batches:
-            ids, texts, at = b["doc_id"].tolist(), b["text"].tolist(), 0
+            ids, texts, at = b.column("doc_id"), b.column("text").to_pylist(), 0
             while at < len(texts):
                 sets: list[np.ndarray] = []
                 size = 0
@@ -83,12 +84,12 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 if full:
                     for i, k in zip(full, signed(minmax.keys([sets[i] for i in full])), strict=True):
                         keys[i] = k
-                name = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                both = np.frombuffer(b"".join(name), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"doc_id": pd.array(ids[at : at + len(sets)], dtype="Int64"), "n_shingles": [len(s) for s in sets], "h1": both[:, 0], "h2": both[:, 1], "keys": keys})
+                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                cols = [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", "keys"])
                 at += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def linked(inter: np.ndarray, n: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -150,32 +151,32 @@ def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None
     return out
 
 
-def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, block_bytes: int = 24_000_000) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id it reaches through links), kept.
 
     A link is 100 * intersection >= percent * union of the sets of ``shingle``-word shingles. The chance that a pair at
     the threshold s shares no band is (1 - s**rows)**bands: 7e-10 for 0.85 and 8e-7 for 0.8 by 36 bands of 5 rows.
     """
-    sig = checkpointed(signatures(docs, shingle, bands, rows))
+    sig = written(signatures(docs, shingle, bands, rows))
     nodes = sig.where("n_shingles > 0 and doc_id is not null")
-    named = nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    reps = nodes.withColumnRenamed("doc_id", "node").join(named, ["h1", "h2", "node"], "left_semi").dropDuplicates(["node", "h1", "h2"])
+    named = written(nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    reps = nodes.withColumnRenamed("doc_id", "node").join(named, ["h1", "h2", "node"], "left_semi")
     # 2. families
     keyed = reps.select("node", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = keyed.join(shared, ["band", "key"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    stars = keyed.join(shared, ["band", "key"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     family = components(stars).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
     # 3. exact links: every pair of blocks of a family meets in one task
     sizes = reps.select("node", "n_shingles").join(family, "node")
     blocks = sizes.groupBy("family").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 64) / block_bytes).cast("int").alias("blocks"))
     placed = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.select("node", "family", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))).alias("at"))
-    placed = placed.select("node", "family", F.col("at.a").alias("a"), F.col("at.b").alias("b"))
-    slots = placed.groupBy("node").agg(F.collect_list(F.struct("family", "a", "b")).alias("slots"))
+    pair = lambda k: F.struct("family", "blocks", F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b"))
+    slots = written(placed.select("node", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair).alias("slots")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull()).join(slots, "node")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
+        names = ["family", "blocks", "a", "b", "node", "shingles"]
         for b in batches:
             out, held = [], 0
             for node, text, where in zip(b["node"], b["text"], b["slots"], strict=True):
@@ -184,27 +185,36 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
                     continue
                 raw = s.tobytes()
                 for at in where:
-                    out.append((at["family"], at["a"], at["b"], node, raw))
+                    out.append((at["family"], at["blocks"], at["a"], at["b"], node, raw))
                 held += len(raw) * len(where)
                 if held > block_bytes:
-                    yield pd.DataFrame(out, columns=["family", "a", "b", "node", "shingles"])
+                    yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
             if out:
-                yield pd.DataFrame(out, columns=["family", "a", "b", "node", "shingles"])
+                yield pd.DataFrame(out, columns=names)
 
     def links_of(g: pd.DataFrame) -> dict | None:
+        """Nodes with the least node of their component in this task."""
         node = g["node"].to_numpy()
-        found = spanning_links([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent)
-        same = [(i, j) for i, j in zip(np.argsort(node, kind="stable")[:-1], np.argsort(node, kind="stable")[1:], strict=True) if node[i] == node[j]]
-        pairs = [(i, j) for i, j in found + same if node[i] != node[j]]
-        return {"u": node[[i for i, _ in pairs]], "v": node[[j for _, j in pairs]]} if pairs else None
-
-    sets = texts.mapInPandas(sets_of, "family long, a int, b int, node long, shingles binary")
-    links = checkpointed(by_group(sets, ["family", "a", "b"], links_of, "u long, v long"))
-    # 4. components of the true links, for all texts
-    true = components(links).withColumnRenamed("id", "node")
+        ids, at = np.unique(node, return_inverse=True)
+        find = Find(len(ids))
+        for i, j in spanning_links([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent):
+            find.join(int(at[i]), int(at[j]))
+        root = np.array([find.root(i) for i in range(len(ids))])
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return {"u": ids[moved], "v": ids[root[moved]], "blocks": np.full(len(moved), g["blocks"].iloc[0])} if len(moved) else None
+
+    sets = texts.mapInPandas(sets_of, "family long, blocks int, a int, b int, node long, shingles binary")
+    links = written(by_group(sets, ["family", "a", "b"], links_of, "u long, v long, blocks int"))
+    # 4. a family of one block is settled in its task; the others' links are joined up
+    true = links.where("blocks = 1").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if links.where("blocks > 1").take(1):
+        true = true.union(components(links.where("blocks > 1").select("u", "v")))
+    ids = nodes.join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.min("node").alias("v"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
+    same_ids = written(ids.select(F.explode("all").alias("u"), "v").where("u <> v"))
+    if same_ids.take(1):  # different texts under one id join their nodes
+        true = components(true.select(F.col("node").alias("u"), F.col("component").alias("v")).union(same_ids)).withColumnRenamed("id", "node")
     final = named.join(true, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    final = final.groupBy("h1", "h2").agg(F.min("component_id").alias("component_id"))
     same_id = sig.select("doc_id", "n_shingles", "h1", "h2")
     out = same_id.join(final, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
@@ -213,7 +223,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     """One row, all columns, of each near-duplicate component; rows with a null doc_id stay."""
     kept = written(near_components(docs, **kw).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    out = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    out = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
     if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document
         out = out.dropDuplicates(["doc_id"])
     return out.union(docs.where("doc_id is null"))
