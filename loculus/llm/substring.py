@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_group, grams, mix, signed, to_bytes, written
+from .common import WordHashes, by_group, grams, map_rows, mix, signed, to_bytes, written
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -158,7 +158,11 @@ def repeated_words(docs: DataFrame, k: int = 50, m: int = 6, hot: int = 4096) ->
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, kmers = WordHashes(), SuperKmers(k, m)
-        names = ["mz", "sk", "n", "size", "packed", "at", "w1", "w2"]
+        kinds = {"mz": "int64", "sk": "int64", "n": "int64", "size": "int32", "packed": object, "at": "Int32", "w1": "Int64", "w2": "Int64"}
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(kinds.items())})  # no detour over floats
+
         for b in batches:
             out, held = [], 0
             for text, wanted in zip(b["text"], b["kmers"], strict=True):
@@ -174,10 +178,10 @@ def repeated_words(docs: DataFrame, k: int = 50, m: int = 6, hot: int = 4096) ->
                         out.append((x["mz"], x["sk"], x["n"], size, b" ".join(part), None, None, None))
                     held += 8 * len(part)
                 if held > 16_000_000:
-                    yield pd.DataFrame(out, columns=names).astype({"at": "Int32", "w1": "Int64", "w2": "Int64"})
+                    yield frame(out)
                     out, held = [], 0
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"at": "Int32", "w1": "Int64", "w2": "Int64"})
+                yield frame(out)
 
     packed = written(carriers.select("doc_id", "id", "mark", "text", "kmers").mapInPandas(pack, "mz long, sk long, n long, size int, packed binary, at int, w1 long, w2 long"))
 
@@ -242,25 +246,20 @@ def kept_words(words: list[bytes], masks, k: int) -> list[bytes]:
 def remove_repeats(docs: DataFrame, window: int = 50, out: str = "clean_text", **kw) -> DataFrame:
     """(doc_id, text, clean_text): kept words joined by one space."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], out: [b" ".join(kept_words(to_bytes(t).split(), m, window)).decode("utf-8", "replace") for t, m in zip(b["text"], b["masks"], strict=True)]})
+    def rows(texts, masks):
+        for t, m in zip(texts, masks, strict=True):
+            yield (b" ".join(kept_words(to_bytes(t).split(), m, window)).decode("utf-8", "replace"),)
 
-    return repeated_words(docs, window, **kw).select("doc_id", "id", "mark", "text", "masks").mapInPandas(run, f"doc_id long, text string, `{out}` string")
+    return map_rows(repeated_words(docs, window, **kw), ["doc_id", "text"], ["text", "masks"], lambda: rows, f"`{out}` string")
 
 
 def digests(docs: DataFrame, window: int = 35, **kw) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t, m in zip(b["text"], b["masks"], strict=True):
-                words = to_bytes(t).split()
-                kept = kept_words(words, m, window)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return repeated_words(docs, window, **kw).select("doc_id", "id", "mark", "text", "masks").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def rows(texts, masks):
+        for t, m in zip(texts, masks, strict=True):
+            words = to_bytes(t).split()
+            kept = kept_words(words, m, window)
+            yield len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    return map_rows(repeated_words(docs, window, **kw), ["doc_id"], ["text", "masks"], lambda: rows, "n_words long, n_removed long, kept_sha256 string")
