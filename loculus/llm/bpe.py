@@ -17,11 +17,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import to_bytes
+from .common import map_column, map_rows, to_bytes
 
 NONE = np.int64(1 << 40)
 
@@ -207,38 +206,15 @@ def loaded(path: str, pattern: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with a column of ids (array of int) appended, or replaced where it exists already."""
-    cols = [c for c in docs.columns if c != ids]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in cols]).schema) + f", `{ids}` array<int>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path, pattern)
-        for b in batches:
-            yield b.assign(**{ids: [bpe.encode(t) for t in b[text]]})
-
-    return docs.select(*[f"`{c}`" for c in cols]).mapInPandas(run, schema)
+    """The rows with a column of ids (array of int) appended, or in place of one of that name."""
+    return map_column(docs, text, lambda: loaded(path, pattern).encode, ids, "array<int>")
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows with the decoded bytes (binary) appended; null ids decode to nothing."""
-    cols = [c for c in docs.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in cols]).schema) + f", `{out}` binary"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path, pattern)
-        for b in batches:
-            yield b.assign(**{out: [bpe.decode([] if x is None else list(x)) for x in b[ids]]})
-
-    return docs.select(*[f"`{c}`" for c in cols]).mapInPandas(run, schema)
+    return map_column(docs, ids, lambda: lambda x: loaded(path, pattern).decode(x or []), out, "binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path, pattern)
-        for b in batches:
-            got = list(bpe.digests(b["text"].tolist()))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs, ["doc_id"], ["text"], lambda: loaded(path, pattern).digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")

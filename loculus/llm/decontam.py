@@ -6,7 +6,8 @@ if the sum of the lesser counts is at least ``percent`` per cent of the sum of t
 1. Positions of texts whose shingle is one of a benchmark item's (equi-join; the benchmark side is broadcast only if it has at
    most ``broadcast_rows`` shingles, else Spark shuffles).
 2. A window that matches an item of n shingles holds at least percent * n of its positions, so pairs (text, item) with fewer
-   are dropped without loss. Each remaining position gives the start of an item-sized window.
+   are dropped without loss. Each remaining position gives the start of an item-sized window; starts between two of them are
+   tried too, as far apart as words can be put in or left out without losing the match.
 3. Windows and items get 64-bit SimHashes. The bits are cut into radius + 1 blocks; fingerprints within the radius agree in
    at least one block (pigeonhole), so an equi-join on (item, block, value) finds them all; then the distance is tested.
 4. The exact similarity of shingle multisets decides.
@@ -14,7 +15,8 @@ if the sum of the lesser counts is at least ``percent`` per cent of the sum of t
 The radius of 24 of 64 bits is about five standard deviations beyond the mean distance of pairs at 80 per cent.
 
 Defined results: null and empty texts and items match nothing; items with fewer than ``min_words`` words can't identify a leak
-and are left out; items shorter than a shingle are one shingle of all their words; windows are clipped at a text's ends;
+and are left out; items shorter than a shingle are one shingle of all their words; windows lie within the text, and a text
+shorter than an item is one window;
 repeated rows (equal doc_id and text) give one row; a null doc_id or item_id is reported as null; extra columns are ignored.
 """
 
@@ -70,15 +72,20 @@ def _matches(texts: DataFrame, items: DataFrame, n: int, percent: int, radius: i
     found = texts.select("doc_id", "mark", F.posexplode(gram_hashes(words_of(F.col("text")), n)).alias("pos", "gram")).join(wanted, "gram")
     pairs = (
         found.select("doc_id", "mark", "item_id", "n", "pos", (F.col("pos") - F.col("q")).alias("start"))
-        .groupBy("doc_id", "mark", "item_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.collect_set("start").alias("starts"))
+        .groupBy("doc_id", "mark", "item_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.sort_array(F.collect_set("start")).alias("starts"))
         .where(F.col("hits") * 100 >= F.col("n") * percent)
     )
+    far = F.floor(F.col("n") * (100 - percent) / (100 + percent)).cast("int") + 1
+    ahead = lambda x, i: F.get("starts", i + 1)
+    fill = lambda x, i: F.when(ahead(x, i) - x <= far, F.sequence(x, F.coalesce(ahead(x, i), x + 1) - 1)).otherwise(F.array(x))
+    pairs = pairs.select("doc_id", "mark", "item_id", "n", F.flatten(F.transform("starts", fill)).alias("starts"))
     wanted_windows = written(pairs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "n", "starts")).alias("pairs")))
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark"))
     carried = texts.alias("t").join(wanted_windows.alias("w"), same).select("t.doc_id", "t.mark", gram_hashes(words_of(F.col("t.text")), n).alias("grams"), "w.pairs")
 
     def cut(g: Column) -> Column:
-        window = lambda p: F.transform(p["starts"], lambda s: F.struct(p["item_id"].alias("item_id"), F.greatest(s, F.lit(0)).alias("start"), F.slice(g, F.greatest(s, F.lit(0)) + 1, p["n"] + F.least(s, F.lit(0))).alias("grams")))
+        within = lambda p, s: F.greatest(F.lit(0), F.least(s, F.size(g) - p["n"]))
+        window = lambda p: F.transform(F.array_distinct(F.transform(p["starts"], lambda s: within(p, s))), lambda s: F.struct(p["item_id"].alias("item_id"), s.alias("start"), F.slice(g, s + 1, p["n"]).alias("grams")))
         return F.flatten(F.transform("pairs", window))
 
     windows = carried.select("doc_id", "mark", F.explode(let(F.col("grams"), cut)).alias("w")).select("doc_id", "mark", "w.item_id", "w.start", F.col("w.grams").alias("grams"), simhash(F.col("w.grams")).alias("finger"))

@@ -16,9 +16,10 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import map_column, map_rows
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
 DIGITS = frozenset("0123456789")
@@ -237,40 +238,23 @@ def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: key, spans as an array of (kind, start, end)."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in b[text]]})
-
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    make = lambda: lambda texts: (([{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)],) for t in texts)
+    return map_rows(docs, [key], [text], make, "spans array<struct<kind:string,start:int,end:int>>")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns, the text with its spans masked; a null text stays null."""
-    schema = docs.schema
+    return map_column(docs, text, lambda: lambda t: mask(t, find_spans(t)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{text: [mask(t, find_spans(t)) for t in b[text]]})
 
-    return docs.mapInPandas(run, schema)
+def _digest(text: str | None) -> tuple:
+    spans = find_spans(text)
+    said = [f"{k}:{s}:{e}" for k, s, e in spans]
+    base = [x for x, y in zip(said, spans, strict=True) if y[0] in BASE]
+    return (*[sum(y[0] == k for y in spans) for k in BASE], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(said))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts of the base kinds, base_sha256, spans."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                spans = find_spans(t)
-                said = [f"{k}:{s}:{e}" for k, s, e in spans]
-                base = [x for x, y in zip(said, spans, strict=True) if y[0] in BASE]
-                n = [sum(y[0] == k for y in spans) for k in BASE]
-                rows.append((*n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(said)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return map_rows(docs, ["doc_id"], ["text"], lambda: lambda texts: map(_digest, texts), fields)

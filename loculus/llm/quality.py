@@ -106,9 +106,9 @@ def clean(docs: DataFrame, text: str = "text", max_loss: float = 0.5, min_words:
     m = measures(F.col(text))
     split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD))
     judged = let(split, lambda a: F.struct(F.size(a).alias("n"), F.filter(a, lambda x: line_verdict(x).isNull()).alias("good")))
-    out = docs.withColumns(m | {"_lines": judged})
-    good = F.array_join(F.col("_lines")["good"], "\n")
-    out = out.withColumns({"n_lines": F.col("_lines")["n"].cast("long"), "n_lines_kept": F.size(F.col("_lines")["good"]).cast("long"), "clean_text": good}).drop("_lines")
+    out = docs.withColumns(m | {"__judged_lines__": judged})
+    good = F.array_join(F.col("__judged_lines__")["good"], "\n")
+    out = out.withColumns({"n_lines": F.col("__judged_lines__")["n"].cast("long"), "n_lines_kept": F.size(F.col("__judged_lines__")["good"]).cast("long"), "clean_text": good}).drop("__judged_lines__")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.length(F.regexp_replace("clean_text", SPACE + "+", ""))
     words = F.size(F.filter(F.split("clean_text", SPACE + "+"), lambda w: w != ""))

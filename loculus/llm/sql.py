@@ -30,7 +30,7 @@ def op1() -> str:
     t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
     t = rf"regexp_replace(regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
     return rf"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, {_uuid("concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''), 'response')")} AS rid FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, {_uuid("concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''), 'response', concat('sha256:', sha256(coalesce(html, ''))))")} AS rid FROM pages),
 s AS (SELECT *, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(payload)) AS head, concat('sha256:', sha256(payload)) AS pd FROM p),
 m AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,

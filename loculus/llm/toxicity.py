@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_rows, map_rows
+
 #: Seed terms of abuse; learning adds to them.
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "bastard", "dumbass", "retard", "imbecile", "arschloch", "dummkopf", "schlampe", "connard", "salope", "abruti", "imbécile", "gilipollas", "cabrón", "estúpido", "idiota")
 REPORTING = frozenset("said says say quote quoted quotes quoting called calls word words term slur insult meaning cited reported sagte zitat wort nannte dit mot cité appelé dijo palabra cita llamó".split())
@@ -275,30 +277,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **kw) -> T
 
 def score(docs: DataFrame, model: ToxicityModel, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """Per row: the key columns and score."""
-    keys = keys or ["doc_id"]
     said = model.to_json()
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = Matcher(ToxicityModel.from_json(said))
-        for b in batches:
-            out = b[keys].copy()
-            out["score"] = [m.score(t) for t in b[text]]
-            yield out
+        return lambda texts: ((m.score(t),) for t in texts)
 
-    return docs.select(*keys, text).mapInPandas(run, schema)
+    return map_rows(docs, keys or ["doc_id"], [text], make, "score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows, all columns, whose score is below the threshold."""
     said = model.to_json()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = Matcher(ToxicityModel.from_json(said))
-        for b in batches:
-            yield b[[m.score(t) < threshold for t in b[text]]]
+        return lambda t: m.score(t) < threshold
 
-    return docs.mapInPandas(run, docs.schema)
+    return keep_rows(docs, text, make)
 
 
 def held_out():

@@ -16,14 +16,12 @@ verdict; bytes above 127 are ordinary; urls are never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, map_rows
 
 
 @dataclass(frozen=True)
@@ -138,23 +136,20 @@ def judge(pages: DataFrame, rules: list[Rule], blocked: list[str], default: str
     The longest fitting rule decides; without one, a matching glob of ``blocked`` blocks (``pattern`` names the first);
     else the default verdict holds.
     """
-    kind = pages.schema[key].dataType.simpleString()
     ranked = sorted(rules, key=lambda r: -len(r.name))
     globs = [r.glob for r in ranked] + list(blocked)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         automaton = GlobAutomaton(globs)
-        for b in batches:
-            parts = [split_url(u) for u in b[url]]
+
+        def rows(urls):
+            parts = [split_url(u) for u in urls]
             hit = automaton.match([f".{h}{p}".encode("utf-8", "surrogatepass") if h or p else b"" for h, p in parts])
-            rule_hit, glob_hit = hit[:, : len(ranked)], hit[:, len(ranked) :]
-            rows = []
-            for (h, p), rh, gh in zip(parts, rule_hit, glob_hit, strict=True):
+            for (h, p), rh, gh in zip(parts, hit[:, : len(ranked)], hit[:, len(ranked) :], strict=True):
                 r = ranked[int(rh.argmax())] if rh.any() else None
                 g = blocked[int(gh.argmax())] if gh.any() else None
-                rows.append((h, p, r and r.name, r.verdict if r else "block" if g else default, g))
-            out = pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "pattern"])
-            out.insert(0, key, b[key].to_numpy())
-            yield out
+                yield h, p, r and r.name, r.verdict if r else "block" if g else default, g
+
+        return rows
 
-    return pages.select(key, url).mapInPandas(run, f"`{key}` {kind}, host string, path string, rule string, verdict string, pattern string")
+    return map_rows(pages, [key], [url], make, "host string, path string, rule string, verdict string, pattern string")

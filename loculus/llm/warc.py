@@ -96,7 +96,7 @@ def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -
     """Pages (page_id, url, html) as response records; the page id stays beside them."""
     html = F.coalesce("html", F.lit(""))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html)
-    rid = uuid_of(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.lit("response"))
+    rid = uuid_of(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.lit("response"), digest_of(html))
     heads = F.create_map(F.lit("WARC-Type"), F.lit("response"), F.lit("WARC-Record-ID"), rid, F.lit("WARC-Payload-Digest"), digest_of(html))
     return pages.select("page_id", rid.alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"), heads.alias("warc_headers"), block.cast("binary").alias("block"))
 
