@@ -349,11 +349,11 @@ TAIL = "list_sum(list_transform(range(obs, trials + 1), lambda k: exp(lgamma(tri
 PP = f"""obs AS (SELECT cell, g1, g2, count(*) AS obs FROM pairs GROUP BY ALL), cnt AS (SELECT cell, gene, count(*) AS n FROM tx GROUP BY ALL), tot AS (SELECT cell, sum(n) AS t FROM cnt GROUP BY cell HAVING sum(n) > 20),
 pp0 AS (SELECT obs.cell, obs.g1, obs.g2, obs, (a.n * b.n)::BIGINT AS trials, 2 * (sum(obs) OVER (PARTITION BY obs.cell)) / (t * (t - 1)) AS p0 FROM obs JOIN tot ON tot.cell = obs.cell JOIN cnt a ON a.cell = obs.cell AND a.gene = g1 JOIN cnt b ON b.cell = obs.cell AND b.gene = g2),
 pp AS (SELECT *, least(1.0, CASE WHEN p0 >= 1 THEN 1.0 ELSE {TAIL} END) AS pvalue FROM pp0)"""
-PP_OUT = f"SELECT cell, g1, g2, obs, trials, {r('p0', 'p0', 9)}, {r('pvalue', 'pvalue', 8)} FROM pp"
+PP_OUT = f"SELECT cell, g1, g2, obs, trials, {r('p0', 'p0', 9)}, {r('pvalue', 'pvalue')} FROM pp"
 
 
 def _pp(df: DataFrame) -> DataFrame:
-    return df.withColumns({"p0": F.round("p0", 9) + 0.0, "pvalue": F.round("pvalue", 8) + 0.0})
+    return df.withColumns({"p0": F.round("p0", 9) + 0.0, "pvalue": F.round("pvalue", DIGITS) + 0.0})
 
 
 @query(with_("SELECT cell, count(*) AS n FROM pairs GROUP BY cell", CLOSE))
@@ -429,7 +429,7 @@ def present_fraction(spark, sf):
     return rounded(coloc.unstacked(e.groupBy("g1", "g2").agg(F.count("*").alias("obs")), c))
 
 
-@query(with_(f"SELECT celltype, cell, g1, g2, obs, trials, {r('p0', 'p0', 9)}, {r('pvalue', 'pvalue', 8)} FROM pp JOIN cells USING (cell)", CLOSE, PP))
+@query(with_(f"SELECT celltype, cell, g1, g2, obs, trials, {r('p0', 'p0', 9)}, {r('pvalue', 'pvalue')} FROM pp JOIN cells USING (cell)", CLOSE, PP))
 def proximal_pairs_grouped(spark, sf):
     b = fixture(spark, sf)
     return _pp(coloc.proximal_pairs(bundles.attach(b.transcripts, b.cells, "celltype"), group="celltype"))
@@ -747,7 +747,7 @@ def cells_by_expression(spark, sf):
     return views.cells_by_expression(fixture(spark, sf).transcripts, G1, G2)
 
 
-@query(with_(f"SELECT cell, obs, {r('pvalue', 'pvalue', 8)} FROM pp WHERE g1 = '{G1}' AND g2 = '{G2}' ORDER BY pp.pvalue, cell LIMIT 6", CLOSE, PP))
+@query(with_(f"SELECT cell, obs, {r('pvalue', 'pvalue')} FROM pp WHERE g1 = '{G1}' AND g2 = '{G2}' ORDER BY pp.pvalue, cell LIMIT 6", CLOSE, PP))
 def cells_by_pp(spark, sf):
     return _pp(views.cells_by_pp(coloc.proximal_pairs(fixture(spark, sf).transcripts), G1, G2)).select("cell", "obs", "pvalue")
 
