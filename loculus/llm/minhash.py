@@ -223,7 +223,8 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     """One row, all columns, of each near-duplicate component; rows with a null doc_id stay."""
     kept = written(near_components(docs, **kw).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    out = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
+    # the kept ids are nearly as many as the documents, so they are never to be broadcast
+    out = docs.alias("d").join(kept.alias("k").hint("merge"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
     if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document
         out = out.dropDuplicates(["doc_id"])
     return out.union(docs.where("doc_id is null"))
