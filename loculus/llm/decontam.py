@@ -6,8 +6,8 @@ if the sum of the lesser counts is at least ``percent`` per cent of the sum of t
 1. Positions of texts whose shingle is one of a benchmark item's (equi-join; the benchmark side is broadcast only if it has at
    most ``broadcast_rows`` shingles, else Spark shuffles).
 2. A window that matches an item of n shingles holds at least percent * n of its positions, so pairs (text, item) with fewer
-   are dropped without loss. Each remaining position gives the start of an item-sized window; starts between two of them are
-   tried too, as far apart as words can be put in or left out without losing the match.
+   are dropped without loss. Of the others, every start is tried whose window holds as many positions as a match must share
+   (see ``dense_starts``), whatever their order: parts of an item may be exchanged.
 3. Windows and items get 64-bit SimHashes. The bits are cut into radius + 1 blocks; fingerprints within the radius agree in
    at least one block (pigeonhole), so an equi-join on (item, block, value) finds them all; then the distance is tested.
 4. The exact similarity of shingle multisets decides.
@@ -62,30 +62,40 @@ def shared_weight(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, g: n + F.least(count(a, g), count(b, g))))
 
 
+def dense_starts(hits: Column, n: Column, size: Column, percent: int) -> Column:
+    """Starts of the windows of n of a text's ``size`` shingles that hold enough of the sorted positions ``hits`` to match.
+
+    shared * 100 >= (window + n - shared) * percent bounds the shared ones from below, and the hits are no fewer. A start
+    belongs to the first hit at or behind it, so each occurs once.
+    """
+    least = F.greatest(F.lit(1), F.ceil((F.least(n, size) + n) * percent / (100 + percent)).cast("int"))
+
+    def of(hit: Column, i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(hits, i + least - 1) - n + 1, F.coalesce(F.get(hits, F.when(i > 0, i - 1)) + 1, F.lit(0)))
+        high = F.least(hit, F.greatest(F.lit(0), size - n))
+        return F.when((i + least <= F.size(hits)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(hits, of))
+
+
 def _matches(texts: DataFrame, items: DataFrame, n: int, percent: int, radius: int, broadcast_rows: int) -> DataFrame:
     """(doc_id, mark, item_id, start, shared, total) of matching windows; items: (item_id, item grams)."""
-    grams = F.posexplode("item").alias("q", "gram")
-    wanted = items.select("item_id", F.size("item").alias("n"), grams).groupBy("gram", "item_id", "n").agg(F.min("q").alias("q"))
+    wanted = items.select("item_id", F.size("item").alias("n"), F.explode("item").alias("gram")).distinct()
     rows = wanted.limit(broadcast_rows + 1).count()
     if rows <= broadcast_rows:
         wanted = F.broadcast(wanted)
     found = texts.select("doc_id", "mark", F.posexplode(gram_hashes(words_of(F.col("text")), n)).alias("pos", "gram")).join(wanted, "gram")
     pairs = (
-        found.select("doc_id", "mark", "item_id", "n", "pos", (F.col("pos") - F.col("q")).alias("start"))
-        .groupBy("doc_id", "mark", "item_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.sort_array(F.collect_set("start")).alias("starts"))
-        .where(F.col("hits") * 100 >= F.col("n") * percent)
+        found.groupBy("doc_id", "mark", "item_id").agg(F.count("*").alias("count"), F.max("n").alias("n"), F.sort_array(F.collect_set("pos")).alias("hits"))
+        .where(F.col("count") * 100 >= F.col("n") * percent)
     )
-    far = F.floor(F.col("n") * (100 - percent) / (100 + percent)).cast("int") + 1
-    ahead = lambda x, i: F.get("starts", i + 1)
-    fill = lambda x, i: F.when(ahead(x, i) - x <= far, F.sequence(x, F.coalesce(ahead(x, i), x + 1) - 1)).otherwise(F.array(x))
-    pairs = pairs.select("doc_id", "mark", "item_id", "n", F.flatten(F.transform("starts", fill)).alias("starts"))
-    wanted_windows = written(pairs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "n", "starts")).alias("pairs")))
+    wanted_windows = written(pairs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "n", "hits")).alias("pairs")))
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark"))
     carried = texts.alias("t").join(wanted_windows.alias("w"), same).select("t.doc_id", "t.mark", gram_hashes(words_of(F.col("t.text")), n).alias("grams"), "w.pairs")
 
     def cut(g: Column) -> Column:
-        within = lambda p, s: F.greatest(F.lit(0), F.least(s, F.size(g) - p["n"]))
-        window = lambda p: F.transform(F.array_distinct(F.transform(p["starts"], lambda s: within(p, s))), lambda s: F.struct(p["item_id"].alias("item_id"), s.alias("start"), F.slice(g, s + 1, p["n"]).alias("grams")))
+        starts = lambda p: dense_starts(p["hits"], p["n"], F.size(g), percent)
+        window = lambda p: F.transform(starts(p), lambda s: F.struct(p["item_id"].alias("item_id"), s.alias("start"), F.slice(g, s + 1, p["n"]).alias("grams")))
         return F.flatten(F.transform("pairs", window))
 
     windows = carried.select("doc_id", "mark", F.explode(let(F.col("grams"), cut)).alias("w")).select("doc_id", "mark", "w.item_id", "w.start", F.col("w.grams").alias("grams"), simhash(F.col("w.grams")).alias("finger"))

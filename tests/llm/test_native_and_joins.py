@@ -189,6 +189,34 @@ def test_leaks(spark):
     assert decontam.contaminated(d, b.limit(0)).count() == 0 and decontam.contaminated(d.limit(0), b).count() == 0
 
 
+def test_leaks_with_exchanged_parts(spark):
+    rnd = random.Random(7)
+    words = lambda k: [f"w{rnd.randint(0, 999_999)}" for _ in range(k)]
+    items = {j: words(k) for j, k in enumerate((45, 59, 120, 200))} | {10: ["p", "q", "r", "s", "t"] * 10}
+    items[11] = items[10][:25] + words(25)
+    docs = {}
+    for j, w in items.items():
+        h, t = len(w) // 2, len(w) // 3
+        docs |= {10 * j + i: " ".join([*words(90), *x, *words(90)]) for i, x in enumerate((w[h:] + w[:h], w[t:] + w[:t], w[2 * t :] + w[: 2 * t], w))}
+        docs[10 * j + 4] = " ".join(w[h:] + w[:h])
+        docs[10 * j + 5] = " ".join(w[h:] + words(3) + w[:h])
+    grams = lambda w: [tuple(w[a : a + 5]) for a in range(len(w) - 4)]
+    want = {}
+    for d, t in docs.items():
+        dg = grams(t.split())
+        for j, x in items.items():
+            ig = grams(x)
+            for s in range(max(1, len(dg) - len(ig) + 1)):
+                win = dg[s : s + len(ig)]
+                n = sum(min(win.count(g), ig.count(g)) for g in set(win) & set(ig))
+                key = (n / (len(win) + len(ig) - n), -s)
+                if 100 * n >= 80 * (len(win) + len(ig) - n) and key > want.get((d, j), (0, 0)):
+                    want[d, j] = key
+    assert len(want) >= 20
+    got = decontam.contaminated(spark.createDataFrame(list(docs.items()), DOCS), spark.createDataFrame([(j, " ".join(w)) for j, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in got.collect()} == want
+
+
 def test_snapshots(spark):
     a = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     convs = {1: a[:2], 2: a, 3: a, 4: a[:1], 5: [("user", "hi"), ("assistant", "other")], 6: [("user", None)]}
