@@ -563,6 +563,23 @@ def composition_flux(spark, sf):
     return rounded(compartment.flux(compartment.local_composition(_samples(t), t, 10.0, ["cell"]), t), 5)
 
 
+EVERY = "smp AS (SELECT * FROM tx)"
+
+
+@query(with_("SELECT cell, tx_id, gene, n, total FROM lt", EVERY, LOCAL))
+def local_composition_all(spark, sf):
+    """Around every point."""
+    t = fixture(spark, sf).transcripts
+    return compartment.local_composition(t, t, 10.0, ["cell"])
+
+
+@query(with_(f"SELECT cell, tx_id, gene, {r('value', 'value', 5)} FROM fx", EVERY, LOCAL, COMP, FLUX))
+def composition_flux_all(spark, sf):
+    """At every point."""
+    t = fixture(spark, sf).transcripts
+    return rounded(compartment.flux(compartment.local_composition(t, t, 10.0, ["cell"]), t), 5)
+
+
 @query(with_(f"SELECT cell, tx_id, {r('CASE WHEN hi > lo THEN 0.9 - 0.8 * greatest(0.0, least(1.0, (y - lo) / (hi - lo))) ELSE 0.5 END', 'y')} FROM tx, (SELECT quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM tx)"))
 def quantile_normalized(spark, sf):
     return rounded(compartment.quantile_normalize(fixture(spark, sf).transcripts.select("cell", "tx_id", "y"), ["y"]))
