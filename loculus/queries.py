@@ -526,6 +526,28 @@ def region_fractions(spark, sf):
     return rounded(region.fractions(_by_cell(spark, sf)[0]))
 
 
+BYC_ALL = BYC[: BYC.index(" WHERE (least(")] + " GROUP BY ALL)"
+
+
+def _by_cell_all(spark, sf):
+    p, s, t = _regions(spark, sf)
+    genes = p.select("gene").distinct()
+    return region.pair_regions(p, 4.0, genes.select(F.col("gene").alias("g1")).join(genes.select(F.col("gene").alias("g2")), F.col("g1") <= F.col("g2"))), s, t
+
+
+@query(ORACLES["region_enrichment"].replace(BYC, BYC_ALL))
+def region_enrichment_all(spark, sf):
+    """Of every gene pair that occurs."""
+    c, s, t = _by_cell_all(spark, sf)
+    return rounded(region.enrichment(c, region.background(s, t)))
+
+
+@query(ORACLES["region_fractions"].replace(BYC, BYC_ALL))
+def region_fractions_all(spark, sf):
+    """Of every gene pair that occurs."""
+    return rounded(region.fractions(_by_cell_all(spark, sf)[0]))
+
+
 # --- compartments ---------------------------------------------------------------------------------------------------------
 
 SAMPLE = "smp AS (SELECT * FROM tx WHERE tx_id % 50 = 0)"

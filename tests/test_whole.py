@@ -26,3 +26,10 @@ def test_every_point_is_judged(spark, name):
     got = equal_to_sql(spark, name)
     points = fixture(spark, SF).transcripts.select("cell", "tx_id").toPandas()
     assert set(zip(got.cell, got.tx_id, strict=True)) == set(zip(points.cell, points.tx_id, strict=True))
+
+
+@pytest.mark.parametrize("name", ["region_enrichment_all", "region_fractions_all"])
+def test_every_gene_pair_has_regions(spark, name):
+    got = equal_to_sql(spark, name)
+    genes = sorted(r[0] for r in fixture(spark, SF).transcripts.select("gene").distinct().collect())
+    assert set(zip(got.g1, got.g2, strict=True)) == {(a, b) for a in genes for b in genes if a <= b}
