@@ -22,13 +22,16 @@ from pyspark.sql import DataFrame
 
 from .common import map_column, map_rows, to_bytes
 
-NONE = np.int64(1 << 40)
+#: Above every rank, as ids take 20 bits in a pair's key; NONE times the width of a tree must fit in 63 bits.
+NONE = np.int64(1 << 20)
 
 
 class Bpe:
     """Encoder and decoder for a table of ranks in the .tiktoken format."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
+        if max(ranks.values()) >= NONE:
+            raise ValueError(f"ranks must be below {NONE}")
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
         self.vocab = {r: b for b, r in ranks.items()}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)

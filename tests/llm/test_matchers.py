@@ -33,6 +33,24 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.round_trip(df.limit(0), PATH, public.PATTERN).count() == 0
 
 
+def test_bpe_of_a_piece_beyond_4_mib():
+    merged = [b"ab", b"bc", b"abc", b"abcab", b"cc"]
+    ranks = {bytes([b]): b for b in range(256)} | {m: 256 + i for i, m in enumerate(merged)}
+
+    def plain(s):
+        p = [s[i : i + 1] for i in range(len(s))]
+        while best := min(((ranks[p[i] + p[i + 1]], i) for i in range(len(p) - 1) if p[i] + p[i + 1] in ranks), default=None):
+            p[best[1] : best[1] + 2] = [p[best[1]] + p[best[1] + 1]]
+        return [ranks[x] for x in p]
+
+    parts = [b"abcab", b"ccc", b"babc", b"abab", b"bcc"]
+    gap = (1 << 22) // (len(parts) - 1)
+    piece = (b"x" * gap).join(parts)
+    assert len(piece) > 1 << 22
+    want = [i for k, s in enumerate(parts) for i in [ord("x")] * (gap if k else 0) + plain(s)]
+    assert bpe.Bpe(ranks, r"\p{L}+").merge([piece]) == [want]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
