@@ -12,13 +12,15 @@ REGIONS = ("nuclear", "perinuclear", "cytosolic", "peripheral")
 BANDS = (2.5, 2.5, 4.0)
 
 
-def thresholds(shapes: DataFrame, scaled: bool = True) -> DataFrame:
-    """(cell, t1, t2, t3) of cells with both outlines; scaled by equivalent radius over the median one."""
-    r = shapes.groupBy("cell").agg(F.max(F.when(F.col("kind") == "cell", F.col("eq_radius"))).alias("rc"), F.max(F.when(F.col("kind") == "nucleus", F.col("eq_radius"))).alias("rn")).dropna()
+def thresholds(shapes: DataFrame, scaled: bool = True, group: str | None = None) -> DataFrame:
+    """(group, cell, t1, t2, t3) of cells with both outlines; scaled by equivalent radius over the median one of the group."""
+    keys = [*([group] if group else []), "cell"]
+    r = shapes.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "cell", F.col("eq_radius"))).alias("rc"), F.max(F.when(F.col("kind") == "nucleus", F.col("eq_radius"))).alias("rn")).dropna()
     if not scaled:
-        return r.select("cell", *[F.lit(t).alias(f"t{i}") for i, t in enumerate(BANDS, 1)])
-    m = F.broadcast(r.agg(F.percentile("rc", F.lit(0.5)).alias("mc"), F.percentile("rn", F.lit(0.5)).alias("mn")))
-    return r.join(m).select("cell", (F.col("rn") / F.col("mn") * BANDS[0]).alias("t1"), (F.col("rn") / F.col("mn") * BANDS[1]).alias("t2"), (F.col("rc") / F.col("mc") * BANDS[2]).alias("t3"))
+        return r.select(*keys, *[F.lit(t).alias(f"t{i}") for i, t in enumerate(BANDS, 1)])
+    medians = [F.percentile("rc", F.lit(0.5)).alias("mc"), F.percentile("rn", F.lit(0.5)).alias("mn")]
+    j = r.join(r.groupBy(group).agg(*medians), group) if group else r.join(F.broadcast(r.agg(*medians)))
+    return j.select(*keys, (F.col("rn") / F.col("mn") * BANDS[0]).alias("t1"), (F.col("rn") / F.col("mn") * BANDS[1]).alias("t2"), (F.col("rc") / F.col("mc") * BANDS[2]).alias("t3"))
 
 
 def labels(p: DataFrame, inside: str = "on_nucleus") -> DataFrame:
@@ -32,8 +34,8 @@ def labels(p: DataFrame, inside: str = "on_nucleus") -> DataFrame:
     })
 
 
-def background(shapes: DataFrame, limits: DataFrame, step: int = 1) -> DataFrame:
-    """(cell, bg_<region>): share of each region's area, by labelling the cell's raster with the same rules.
+def background(shapes: DataFrame, limits: DataFrame, step: int = 1, group: str | None = None) -> DataFrame:
+    """(group, cell, bg_<region>): share of each region's area, by labelling the cell's raster with the same rules.
 
     Bands overlap as the labels do. The error falls with the step; at step 1 it is about the perimeter over the area.
     """
@@ -41,25 +43,28 @@ def background(shapes: DataFrame, limits: DataFrame, step: int = 1) -> DataFrame
     c = shapes.where("kind = 'cell'").select("cell", F.col("segs").alias("cs"))
     n = shapes.where("kind = 'nucleus'").select("cell", F.col("segs").alias("ns"))
     x, y = F.col("x"), F.col("y")
-    p = r.join(c, "cell").join(n, "cell").join(limits, "cell").select("cell", "t1", "t2", "t3", geometry.distance(F.col("cs"), x, y).alias("dc"), geometry.distance(F.col("ns"), x, y).alias("dn"), geometry.covers(F.col("ns"), x, y).alias("on_nucleus"))
-    return labels(p).groupBy("cell").agg(*[F.avg(k).alias(f"bg_{k}") for k in REGIONS])
+    keys = [*([group] if group else []), "cell"]
+    p = r.join(c, "cell").join(n, "cell").join(limits, "cell").select(*keys, "t1", "t2", "t3", geometry.distance(F.col("cs"), x, y).alias("dc"), geometry.distance(F.col("ns"), x, y).alias("dn"), geometry.covers(F.col("ns"), x, y).alias("on_nucleus"))
+    return labels(p).groupBy(*keys).agg(*[F.avg(k).alias(f"bg_{k}") for k in REGIONS])
 
 
 def pair_regions(points: DataFrame, radius: float, pairs: DataFrame, dims: tuple[str, ...] = ("x", "y"), group: list[str] | None = None) -> DataFrame:
-    """(cell, g1, g2, n, <region>): close pairs of the wanted gene pairs and the sum of their mean labels."""
-    keys = [*(group or []), "cell"]
-    genes = pairs.select(F.col("g1").alias("gene")).union(pairs.select("g2")).distinct()
-    p = joins.distance_pairs(points.join(genes, "gene", "left_semi"), radius, keys, dims, carry=["gene", *REGIONS])
-    p = p.withColumns({"g1": F.least("a.gene", "b.gene"), "g2": F.greatest("a.gene", "b.gene")}).join(pairs.select("g1", "g2"), ["g1", "g2"], "left_semi")
+    """(group, cell, g1, g2, n, <region>): close pairs of the (group's) wanted gene pairs and the sum of their mean labels."""
+    group = group or []
+    keys = [*group, "cell"]
+    genes = pairs.select(*group, F.col("g1").alias("gene")).union(pairs.select(*group, "g2")).distinct()
+    p = joins.distance_pairs(points.join(genes, [*group, "gene"], "left_semi"), radius, keys, dims, carry=["gene", *REGIONS])
+    p = p.withColumns({"g1": F.least("a.gene", "b.gene"), "g2": F.greatest("a.gene", "b.gene")}).join(pairs.select(*group, "g1", "g2"), [*group, "g1", "g2"], "left_semi")
     return p.groupBy(*keys, "g1", "g2").agg(F.count("*").alias("n"), *[F.sum((F.col(f"a.{r}") + F.col(f"b.{r}")) / 2).alias(r) for r in REGIONS])
 
 
-def enrichment(by_cell: DataFrame, bg: DataFrame) -> DataFrame:
-    """Per pair: close pairs, observed over expected label sums by region, the two greatest; ties in the regions' order."""
+def enrichment(by_cell: DataFrame, bg: DataFrame, group: str | None = None) -> DataFrame:
+    """Per (group and) pair: close pairs, observed over expected label sums by region, the two greatest; ties in the regions' order."""
     total = sum((F.col(r) for r in REGIONS[1:]), F.col(REGIONS[0]))
-    j = by_cell.join(bg, "cell").withColumn("_t", total).where("_t > 0")
-    g = j.groupBy("g1", "g2").agg(F.sum("n").alias("n_proximal_pairs"), *[F.sum(r).alias(f"o_{r}") for r in REGIONS], *[F.sum(F.col("_t") * F.col(f"bg_{r}")).alias(f"e_{r}") for r in REGIONS])
-    g = g.select("g1", "g2", "n_proximal_pairs", *[(F.col(f"o_{r}") / (F.col(f"e_{r}") + 1e-12)).alias(f"{r}_enrichment") for r in REGIONS])
+    keys = [group] if group else []
+    j = by_cell.join(bg, [*keys, "cell"]).withColumn("_t", total).where("_t > 0")
+    g = j.groupBy(*keys, "g1", "g2").agg(F.sum("n").alias("n_proximal_pairs"), *[F.sum(r).alias(f"o_{r}") for r in REGIONS], *[F.sum(F.col("_t") * F.col(f"bg_{r}")).alias(f"e_{r}") for r in REGIONS])
+    g = g.select(*keys, "g1", "g2", "n_proximal_pairs", *[(F.col(f"o_{r}") / (F.col(f"e_{r}") + 1e-12)).alias(f"{r}_enrichment") for r in REGIONS])
     ranked = F.reverse(F.array_sort(F.array(*[F.struct(F.col(f"{r}_enrichment").alias("v"), F.lit(-i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(REGIONS)])))
     first, second = ranked[0], ranked[1]
     return g.select("*", first["r"].alias("dominant_region"), first["v"].alias("dominant_enrichment_score"), second["r"].alias("second_region"), second["v"].alias("second_enrichment_score"))

@@ -49,7 +49,7 @@ class Colocalization:
 
 def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb_alpha: float = 1e-4, min_genecount: int = 20, use_2d: bool = False, group: str | None = None, pre: Prefilter | None = Prefilter(), max_cells: int | None = None,
                    sample_cells: int | None = None, sample_fraction: float | None = None, stratum: str | None = None, seed: int = 42, precision: str = "high", scaled: bool = True, with_regions: bool = True) -> Colocalization:
-    """Significant gene pairs with their counts, and their regions where there are nuclei (in runs without groups)."""
+    """Significant gene pairs with their counts, and their regions where there are nuclei; each by group if there is one."""
     b, report = prepared(b, pre, max_cells)
     sample = None
     if sample_cells is not None or sample_fraction is not None:
@@ -64,16 +64,29 @@ def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb
     sig = coloc.significant(prefilter.clean_p(cpb), cpb_alpha)
     out = sig.select(*([group] if group else []), F.col("g1").alias("gene_1"), F.col("g2").alias("gene_2"), F.col("pvalue").alias("cpb_pvalue"), F.col("pvalue_raw").alias("cpb_pvalue_raw"), F.col("expected").alias("expected_coloc"), F.lit(distance).alias("distance_threshold"), F.lit(pp_alpha).alias("pp_alpha"), F.lit(cpb_alpha).alias("cpb_alpha"), F.col("obs").alias("n_cells_pp_significant"))
     regions = None
-    if with_regions and group is None:
-        regions = pair_regions(b, sig.select("g1", "g2"), distance, dims, scaled)
+    if with_regions:
+        regions = pair_regions(b, sig.select(*([group] if group else []), "g1", "g2"), distance, dims, scaled, group)
     return Colocalization(out, pp, report, sample, regions)
 
 
-def pair_regions(b: Bundle, pairs: DataFrame, distance: float = 4.0, dims: tuple[str, ...] = ("x", "y"), scaled: bool = True) -> DataFrame:
+def pair_regions(b: Bundle, pairs: DataFrame, distance: float = 4.0, dims: tuple[str, ...] = ("x", "y"), scaled: bool = True, group: str | None = None) -> DataFrame:
+    """Regions of the pairs; with a group, of each group's own pairs, points and median sizes."""
     s = geometry.shape_table(geometry.closed_rings(b.vertices))
-    t = region.thresholds(s, scaled)
-    labelled = region.labels(features.placed(b.transcripts, s).join(t, "cell"))
-    return region.enrichment(region.pair_regions(labelled, distance, pairs, dims), region.background(s, t))
+    tx, keys, sized = b.transcripts, [], s
+    if group:
+        tx, keys = bundles.attach(tx, b.cells, group).where(F.col(group).isNotNull()), [group]
+        sized = s.join(tx.select(group, "cell").distinct(), "cell")
+    t = region.thresholds(sized, scaled, group)
+    labelled = region.labels(features.placed(tx, s).join(t, [*keys, "cell"]))
+    return region.enrichment(region.pair_regions(labelled, distance, pairs, dims, keys), region.background(s, t, group=group), group)
+
+
+def annotated_pairs(r: Colocalization, group: str) -> DataFrame:
+    """The pairs of a grouped run with their regions ('none' without close pairs), as context_tables takes them."""
+    named = r.regions.withColumnsRenamed({"g1": "gene_1", "g2": "gene_2"})
+    out = r.pairs.join(named, [group, "gene_1", "gene_2"], "left").withColumn("n_cells", F.col("n_cells_pp_significant"))
+    numbers = ["n_proximal_pairs", *[f"{k}_enrichment" for k in region.REGIONS], "dominant_enrichment_score", "second_enrichment_score"]
+    return out.fillna(0, numbers).fillna("none", ["dominant_region", "second_region"])
 
 
 def compartments(b: Bundle, fraction: float = 0.01, radius: float = 40.0, group: str = "batch", only: list[str] | None = None, same_cell: bool = False, clusters: int | None = None) -> DataFrame:

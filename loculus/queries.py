@@ -663,6 +663,24 @@ def _region_sql(keys: str, extra: str = "") -> str:
 rg AS (SELECT {keys}, first(dr ORDER BY n DESC, dr) AS consensus_region, count(*) AS n_dominant_regions, string_agg(dr || ':' || n, ';' ORDER BY n DESC, dr) AS region_counts, max(n) / sum(n) AS region_consistency FROM rc GROUP BY ALL)"""
 
 
+def _grouped_run(spark, sf) -> DataFrame:
+    """Pairs and regions of a run by cell type."""
+    from .plans import pipelines
+
+    r = pipelines.colocalization(fixture(spark, sf), pp_alpha=0.05, cpb_alpha=0.05, group="celltype", pre=None)
+    return summary.with_pair(pipelines.annotated_pairs(r, "celltype"))
+
+
+@query()
+def grouped_run_regions(spark, sf):
+    return rounded(summary.region_distribution(_grouped_run(spark, sf), "celltype"))
+
+
+@query()
+def grouped_run_summary(spark, sf):
+    return rounded(summary.pair_context_summary(_grouped_run(spark, sf), "celltype"))
+
+
 @query(with_("SELECT pair, " + ", ".join(f"max((grp = '{c}')::INT) AS \"{c}\"" for c in CONTEXTS) + " FROM co GROUP BY pair", *CO))
 def presence_matrix(spark, sf):
     return summary.presence_matrix(_coloc(spark, sf), "grp", CONTEXTS)
