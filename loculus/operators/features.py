@@ -191,7 +191,7 @@ def gene_group_scores(scores: DataFrame, score: str, group: str, min_cells: int
     return stats.benjamini_hochberg(g.withColumn("p", stats.two_sided_normal(F.col("z"))), "p", ["gene", group])
 
 
-def strand_position_score(reads: DataFrame, stratum: str, position: str) -> DataFrame:
+def read_position_score(reads: DataFrame, stratum: str, position: str) -> DataFrame:
     """(median position - middle) / half span of each stratum's reads; null where they span nothing."""
     mid, half = (F.col("hi") + F.col("lo")) / 2, (F.col("hi") - F.col("lo")) / 2
     g = reads.groupBy(stratum).agg(F.percentile(position, F.lit(0.5)).alias("med"), F.min(position).alias("lo"), F.max(position).alias("hi"), F.count("*").alias("n"))

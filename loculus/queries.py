@@ -337,8 +337,8 @@ def gene_celltype_scores(spark, sf):
 
 
 @query(with_("SELECT gene, n, (round(s, 6) + 0.0) AS score FROM (SELECT gene, count(*) AS n, (median(x) - (max(x) + min(x)) / 2) / nullif((max(x) - min(x)) / 2, 0) AS s FROM tx GROUP BY gene)"))
-def strand_position_score(spark, sf):
-    return rounded(features.strand_position_score(fixture(spark, sf).transcripts, "gene", "x"))
+def read_position_score(spark, sf):
+    return rounded(features.read_position_score(fixture(spark, sf).transcripts, "gene", "x"))
 
 
 # --- distance joins and colocalization -----------------------------------------------------------------------------------
