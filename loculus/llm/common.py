@@ -179,26 +179,71 @@ def keep_rows(docs: DataFrame, column: str, make: Callable[[], Callable]) -> Dat
     return docs.mapInArrow(run, docs.schema)
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Only a local master, where all share one disk, may do without the setting."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (top or os.path.join(tempfile.gettempdir(), "loculus-checkpoints")).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a columnar table in the shared checkpoint folder: less disk than checkpoint(); gone at the driver's end."""
+    """The rows as a columnar table in the shared checkpoint folder: less disk than checkpoint(); gone at the driver's end,
+    or when ``release`` is called."""
     spark = df.sparkSession
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loculus-checkpoints")
-    path = f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove)
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables whose last reader has been written itself."""
+    for t in tables:
+        path = getattr(t, "_written_path", None)
+        if path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         with contextlib.suppress(Exception):  # the JVM may be gone at exit
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
+
+
+#: A key with more than this share of the rows is hot; there are fewer of them than one over it.
+HOT_SHARE = 0.001
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key, ``weight`` the number of big's rows of that key, ``total`` that of all rows.
+
+    Fewer than 1 / HOT_SHARE keys can be hot, so these rows are broadcast, and big's rows of them stay where they are. What is
+    shuffled has no key of more than that share. Both parts are always in the plan. ``small`` is to be a written table.
+    """
+    test = F.col(weight) > HOT_SHARE * total
+    hot, cold = small.where(test), small.where(~test)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
+def text_key(c) -> list:
+    """Two longs of a 128-bit digest of a text: rows of equal texts share them, ids don't matter. A null text is empty."""
+    h = F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    half = lambda at: F.conv(F.substring(h, at, 16), 16, -10).cast("long")
+    return [half(1).alias("k1"), half(17).alias("k2")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -112,7 +112,7 @@ def brute_repeats(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [4096, 3, 1])
 @pytest.mark.parametrize("k", [9, 3])
 def test_substrings(spark, k, hot):
     rows = corpus(2)
@@ -121,6 +121,18 @@ def test_substrings(spark, k, hot):
     assert got == brute_repeats(rows, k)
 
 
+def test_substrings_in_pieces(spark):
+    """Seams of pieces and of long super-k-mers lose and add nothing; ids are null, repeated or text."""
+    rnd = random.Random(5)
+    long = [f"w{rnd.randint(0, 40)}" for _ in range(400)] + ["z"] * 90 + [f"w{rnd.randint(0, 3)}" for _ in range(300)]
+    rows = [(None, " ".join(long)), (None, " ".join(rnd.choice("abcdefgh") + str(j) for j in range(40))), ("x", " ".join(long[95:140])), ("x", " ".join(long[380:420])), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((tuple(r) for r in substring.digests(df, 7, m=3, piece=100, longest=8).collect()), key=str)
+    assert got == brute_repeats(rows, 7)
+    clean = substring.remove_repeats(df, 7, piece=64).collect()
+    assert len(clean) == len(rows) and rows[1][1] in [r.clean_text for r in clean]
+
+
 def test_substrings_of_nothing(spark):
     assert substring.digests(spark.createDataFrame([], DOCS), 35).count() == 0
     assert minhash.near_components(spark.createDataFrame([], DOCS)).count() == 0
