@@ -1,27 +1,35 @@
 """Benchmark decontamination by SimHash of item-sized windows, all of it column expressions and joins.
 
 Words are runs of letters and digits, lower case. An item and a window of a text are multisets of 5-word shingles; they match
-if the sum of the lesser counts is at least ``percent`` per cent of the sum of the greater ones.
-
-1. Positions of texts whose shingle is one of a benchmark item's (equi-join; the benchmark side is broadcast only if it has at
-   most ``broadcast_rows`` shingles, else Spark shuffles).
-2. A window that matches an item of n shingles holds at least percent * n of its positions, so pairs (text, item) with fewer
-   are dropped without loss. Of the others, every start is tried whose window holds as many positions as a match must share
-   (see ``dense_starts``), whatever their order: parts of an item may be exchanged.
-3. Windows and items get 64-bit SimHashes. The bits are cut into radius + 1 blocks; fingerprints within the radius agree in
-   at least one block (pigeonhole), so an equi-join on (item, block, value) finds them all; then the distance is tested.
-4. The exact similarity of shingle multisets decides.
-
-The radius of 24 of 64 bits is about five standard deviations beyond the mean distance of pairs at 80 per cent.
-
-Defined results: null and empty texts and items match nothing; items with fewer than ``min_words`` words can't identify a leak
-and are left out; items shorter than a shingle are one shingle of all their words; windows lie within the text, and a text
-shorter than an item is one window;
-repeated rows (equal doc_id and text) give one row; a null doc_id or item_id is reported as null; extra columns are ignored.
+if the sum of the lesser counts is at least ``percent`` per cent of the sum of the greater ones. Items of n shingles form the
+length class n; windows of n shingles are compared with all of that class.
+
+1. Gate: positions of texts whose shingle is one of some item of a class. A match shares at least percent * n / 100 positions
+   with its item, so only windows that hold so many of the class's positions are fingerprinted, and none that could match is
+   left out, whatever the order of its parts (see ``dense_windows``). The gate does not say which item a window may match.
+2. Windows get a 64-bit SimHash of their shingles that are known to the class (others only add noise), items of all theirs.
+3. Search: a multi-index over the items. The bits are cut into ``blocks`` blocks; two fingerprints within the radius agree in
+   some block but for radius // blocks bits (pigeonhole). Each item is entered under every block value within that distance,
+   so one equi-join on (class, block, value) finds all items within the radius of a window, and no pair is found twice.
+4. The exact similarity of the shingle multisets decides.
+
+At a radius of 14 bits a pair just at 80 per cent is found with a chance of about 0.997 (the distance is about 6.9 bits with a
+deviation of 2.5), and pairs above it more surely; see ``tests/llm`` and the README for recall against exact search.
+
+Joins with benchmark tables are left to Spark, which broadcasts them by their size in bytes as written.
+
+Defined results: null and empty texts and items match nothing; items shorter than a shingle but of ``min_words`` words are one
+shingle of all their words; items of fewer words say too little inside a text and match only texts of just these words; windows
+lie within the text, and a text shorter than an item is one window; items are told apart by id and words, so items that share
+an id, or have none, each count by themselves; results depend on a text, not on its id, so ids may be null, repeated and of
+any type; repeated rows give one row; texts of any length are read whole; empty tables give an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +44,58 @@ def words_of(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def mark_of(text: Column) -> Column:
+    """What tells texts apart: a 128-bit digest."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def simhash(grams: Column) -> Column:
-    """The 64-bit SimHash of an array of 64-bit hashes; bit b is set if it is set in more than half of them."""
-    bit = lambda b: F.aggregate(grams, F.lit(0), lambda n, h: n + F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)).cast("int")) * 2 > F.size(grams)
-    set_bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), bit)
-    return F.aggregate(set_bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    """The 64-bit SimHash of an array of 64-bit hashes; bit b is set if it is set in more than half of them.
+
+    Two counters of 32 bits share a long, so 32 sums do for 64 bits.
+    """
+    lanes = F.lit((1 << 32) + 1)
+    shifted = lambda v, k: F.call_function("shiftleft", v.cast("long"), k)
+
+    def both(acc: Column, k: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0).cast("long"), lambda n, h: n + F.call_function("shiftrightunsigned", h, k).bitwiseAND(lanes))
+        low = lambda s: shifted(s.bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.size(grams), k)
+        high = lambda s: shifted(F.shiftrightunsigned(s, 32) * 2 > F.size(grams), k + 32)
+        return let(total, lambda s: acc.bitwiseOR(low(s)).bitwiseOR(high(s)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), both)
+
+
+def block_widths(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each block."""
+    widths = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
+def block_value(mark: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(mark, at).bitwiseAND(F.lit((1 << width) - 1))
+
 
+def near_values(width: int, errors: int) -> list[int]:
+    """All masks of a block with at most so many bits set."""
+    return [sum(1 << b for b in c) for e in range(errors + 1) for c in combinations(range(width), e)]
 
-def blocks_of(mark: Column, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint as (block, value)."""
-    n = radius + 1
-    out, at = [], 0
-    for k in range(n):
-        width = BITS // n + (k < BITS % n)
-        out.append(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(mark, at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")))
-        at += width
-    return F.array(*out)
+
+def multi_index(items: DataFrame, finger: str, blocks: int, errors: int) -> DataFrame:
+    """Each row under (block, value) for every value that differs from its own by at most ``errors`` bits."""
+
+    def entries(k: int, at: int, width: int) -> Column:
+        masks = F.array(*[F.lit(m).cast("long") for m in near_values(width, errors)])
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("block"), block_value(F.col(finger), at, width).bitwiseXOR(m).alias("value")))
+
+    entered = F.concat(*[entries(k, at, w) for k, (at, w) in enumerate(block_widths(blocks))])
+    return items.select("*", F.explode(entered).alias("e")).select("*", "e.block", "e.value").drop("e")
+
+
+def first_near_block(a: Column, b: Column, blocks: int, errors: int) -> Column:
+    """The first block in which two fingerprints differ by at most ``errors`` bits."""
+    x = a.bitwiseXOR(b)
+    return F.coalesce(*[F.when(F.bit_count(block_value(x, at, w)) <= errors, F.lit(k)) for k, (at, w) in enumerate(block_widths(blocks))])
 
 
 def shared_weight(a: Column, b: Column) -> Column:
@@ -62,75 +106,74 @@ def shared_weight(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, g: n + F.least(count(a, g), count(b, g))))
 
 
-def dense_starts(hits: Column, n: Column, size: Column, percent: int) -> Column:
-    """Starts of the windows of n of a text's ``size`` shingles that hold enough of the sorted positions ``hits`` to match.
+def dense_windows(hits: Column, n: Column, size: Column, percent: int) -> Column:
+    """(start, known) of the windows of n of a text's ``size`` shingles that hold enough of the sorted ``hits`` (pos, gram).
 
     shared * 100 >= (window + n - shared) * percent bounds the shared ones from below, and the hits are no fewer. A start
-    belongs to the first hit at or behind it, so each occurs once.
+    belongs to the first hit at or behind it, so each occurs once, and its known shingles begin with that hit.
     """
     least = F.greatest(F.lit(1), F.ceil((F.least(n, size) + n) * percent / (100 + percent)).cast("int"))
+    pos = lambda i: F.get(hits, i)["pos"]
 
     def of(hit: Column, i: Column) -> Column:
-        low = F.greatest(F.lit(0), F.get(hits, i + least - 1) - n + 1, F.coalesce(F.get(hits, F.when(i > 0, i - 1)) + 1, F.lit(0)))
-        high = F.least(hit, F.greatest(F.lit(0), size - n))
-        return F.when((i + least <= F.size(hits)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        low = F.greatest(F.lit(0), pos(i + least - 1) - n + 1, F.coalesce(pos(F.when(i > 0, i - 1)) + 1, F.lit(0)))
+        high = F.least(hit["pos"], F.greatest(F.lit(0), size - n))
+        known = lambda s: F.transform(F.filter(F.slice(hits, i + 1, n), lambda x: x["pos"] < s + n), lambda x: x["gram"])
+        starts = F.when((i + least <= F.size(hits)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), known(s).alias("known")))
 
     return F.flatten(F.transform(hits, of))
 
 
-def _matches(texts: DataFrame, items: DataFrame, n: int, percent: int, radius: int, broadcast_rows: int) -> DataFrame:
-    """(doc_id, mark, item_id, start, shared, total) of matching windows; items: (item_id, item grams)."""
-    wanted = items.select("item_id", F.size("item").alias("n"), F.explode("item").alias("gram")).distinct()
-    rows = wanted.limit(broadcast_rows + 1).count()
-    if rows <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    found = texts.select("doc_id", "mark", F.posexplode(gram_hashes(words_of(F.col("text")), n)).alias("pos", "gram")).join(wanted, "gram")
-    pairs = (
-        found.groupBy("doc_id", "mark", "item_id").agg(F.count("*").alias("count"), F.max("n").alias("n"), F.sort_array(F.collect_set("pos")).alias("hits"))
-        .where(F.col("count") * 100 >= F.col("n") * percent)
-    )
-    wanted_windows = written(pairs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "n", "hits")).alias("pairs")))
-    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark"))
-    carried = texts.alias("t").join(wanted_windows.alias("w"), same).select("t.doc_id", "t.mark", gram_hashes(words_of(F.col("t.text")), n).alias("grams"), "w.pairs")
-
-    def cut(g: Column) -> Column:
-        starts = lambda p: dense_starts(p["hits"], p["n"], F.size(g), percent)
-        window = lambda p: F.transform(starts(p), lambda s: F.struct(p["item_id"].alias("item_id"), s.alias("start"), F.slice(g, s + 1, p["n"]).alias("grams")))
-        return F.flatten(F.transform("pairs", window))
-
-    windows = carried.select("doc_id", "mark", F.explode(let(F.col("grams"), cut)).alias("w")).select("doc_id", "mark", "w.item_id", "w.start", F.col("w.grams").alias("grams"), simhash(F.col("w.grams")).alias("finger"))
-    marked = items.select("item_id", "item", simhash(F.col("item")).alias("item_finger"))
-    near = (
-        windows.select("*", F.explode(blocks_of(F.col("finger"), radius)).alias("b"))
-        .join(marked.select(F.col("item_id").alias("i"), "item", "item_finger", F.explode(blocks_of(F.col("item_finger"), radius)).alias("c")), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("b.block") == F.col("c.block")) & (F.col("b.value") == F.col("c.value")))
-        .where(F.bit_count(F.col("finger").bitwiseXOR(F.col("item_finger"))) <= radius)
-        .dropDuplicates(["doc_id", "mark", "item_id", "start"])
+def _matches(texts: DataFrame, items: DataFrame, shingle: int, percent: int, radius: int, blocks: int) -> DataFrame:
+    """(mark, item_id, start, shared, total) of matching windows; items: (item, item_id, n, grams)."""
+    errors = radius // blocks
+    wanted = written(items.select("n", F.explode("grams").alias("gram")).distinct())
+    marked = items.withColumn("item_finger", simhash(F.col("grams")))
+    index = written(multi_index(marked.select("item", F.col("n").alias("class"), "item_finger"), "item_finger", blocks, errors))
+    grams = texts.select("mark", gram_hashes(words_of(F.col("text")), shingle).alias("g"))
+    found = grams.select("mark", F.size("g").alias("size"), F.posexplode("g").alias("pos", "gram")).join(wanted, "gram")
+    gated = (
+        found.groupBy("mark", "n").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
+        .where(F.size("hits") * 100 >= F.col("n") * percent)
     )
-    scored = near.select("doc_id", "mark", "item_id", "start", F.size("item").alias("n"), shared_weight(F.col("grams"), F.col("item")).alias("shared"), (F.size("grams") + F.size("item")).alias("both"))
-    return scored.select("*", (F.col("both") - F.col("shared")).alias("total")).where(F.col("shared") * 100 >= F.col("total") * percent)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 24, min_words: int = 4, broadcast_rows: int = 300_000) -> DataFrame:
-    """Per leak: doc_id, item_id, start_word, shared, total, similarity; the best window of each pair, the first of equals.
-
-    ``mark`` tells texts of one doc_id apart.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    items = written(benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= min_words))
-    out = None
+    windows = gated.select("mark", "n", "size", F.explode(dense_windows(F.col("hits"), F.col("n"), F.col("size"), percent)).alias("w"))
+    windows = windows.select("mark", "n", F.least("n", "size").alias("held"), "w.start", "w.known").withColumn("finger", simhash(F.col("known")))
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), block_value(F.col("finger"), at, w).alias("value")) for k, (at, w) in enumerate(block_widths(blocks))])
+    probes = windows.select("*", F.explode(keys).alias("p")).select("*", "p.block", "p.value").drop("p")
+    near = probes.join(index.withColumnRenamed("class", "n"), ["n", "block", "value"]).where(
+        (F.bit_count(F.col("finger").bitwiseXOR(F.col("item_finger"))) <= radius) & (F.col("block") == first_near_block(F.col("finger"), F.col("item_finger"), blocks, errors))
+    )
+    known = items.select("item", "item_id", "grams")
+    scored = near.join(known, "item").select("mark", "item_id", "start", "n", "held", shared_weight(F.col("known"), F.col("grams")).alias("shared"))
+    return scored.select("mark", "item_id", "start", "shared", (F.col("held") + F.col("n") - F.col("shared")).alias("total")).where(F.col("shared") * 100 >= F.col("total") * percent)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, radius: int = 14, blocks: int = 5, min_words: int = 4) -> DataFrame:
+    """Per leaking text and item: mark, item_id, start_word, shared, total, similarity; the best window, the first of equals."""
+    texts = docs.select(mark_of(F.col("text")).alias("mark"), "text")
+    items = written(benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "words"))
+    short = items.where(F.size("words") < min_words).select("item_id", F.col("words").alias("w"))
+    size = F.size("w")
+    out = texts.select("mark", words_of(F.col("text")).alias("w")).where((size > 0) & (size < min_words)).join(short, "w").select("mark", "item_id", F.lit(0).alias("start"), F.lit(1).alias("shared"), F.lit(1).alias("total"))
     for n in range(min(min_words, shingle), shingle + 1):
-        of_size = F.size("words") >= n if n == shingle else F.size("words") == n
-        these = items.where(of_size).select("item_id", gram_hashes(F.col("words"), n).alias("item"))
+        these = items.where(F.size("words") >= n if n == shingle else F.size("words") == n)
         if n < shingle and not these.take(1):
             continue
-        got = _matches(texts, these, n, percent, radius, broadcast_rows)
-        out = got if out is None else out.union(got)
+        grams = gram_hashes(F.col("words"), n)
+        out = out.union(_matches(texts, these.select("item", "item_id", grams.alias("grams")).withColumn("n", F.size("grams")), n, percent, radius, blocks))
     best = F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("start")).alias("at"), "shared", "total")).alias("best")
-    return out.groupBy("doc_id", "mark", "item_id").agg(best).select("doc_id", "mark", "item_id", (-F.col("best.at")).cast("long").alias("start_word"), F.col("best.shared").cast("long").alias("shared"), F.col("best.total").cast("long").alias("total"), F.col("best.similarity").alias("similarity"))
+    return out.groupBy("mark", "item_id").agg(best).select("mark", "item_id", (-F.col("best.at")).cast("long").alias("start_word"), F.col("best.shared").cast("long").alias("shared"), F.col("best.total").cast("long").alias("total"), F.col("best.similarity").alias("similarity"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The leaks (see ``leaks``) of each different (doc_id, text), with its doc_id."""
+    found = written(leaks(docs, benchmark, **kw))
+    rows = docs.select("doc_id", mark_of(F.col("text")).alias("mark")).join(found, "mark").distinct()
+    return rows.select("doc_id", "mark", "item_id", "start_word", "shared", "total", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows, all columns, whose text leaks no item."""
-    bad = contaminated(docs, benchmark, **kw).select("doc_id", "mark").distinct()
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("x.mark"))
-    return docs.alias("d").join(written(bad).alias("x"), same, "left_anti")
+    bad = written(leaks(docs, benchmark, **kw).select("mark").distinct())
+    return docs.alias("d").join(bad.alias("x"), mark_of(F.col("d.text")) == F.col("x.mark"), "left_anti")

@@ -120,6 +120,26 @@ SELECT conv_id, ((place - 1) // 256)::BIGINT AS chunk, n::BIGINT AS n_turns, min
 FROM t JOIN best USING (conv_id) GROUP BY conv_id, chunk, n"""
 
 
+def op7() -> str:
+    """The exact rule: every window of an item's size that holds a shingle of it, weighted shingle sets, the best of each pair."""
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    return rf"""
+WITH iw AS (SELECT row_number() OVER () AS item, item_id, w, least(5, len(w)) AS k FROM (SELECT DISTINCT item_id, {words} AS w FROM benchmark) WHERE len(w) >= 4),
+il AS (SELECT item, item_id, k, len(w) - k + 1 AS n FROM iw),
+ig AS (SELECT item, k, n, g, count(*) AS c FROM (SELECT item, k, len(w) - k + 1 AS n, array_to_string(w[i : i + k - 1], ' ') AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)) GROUP BY ALL),
+dw AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS mark, {words} AS w FROM documents),
+dl AS (SELECT row_number() OVER () AS row, doc_id, mark, w FROM dw),
+dg AS (SELECT row, k, i - 1 AS pos, len(w) - k + 1 AS size, array_to_string(w[i : i + k - 1], ' ') AS g FROM dl, (SELECT DISTINCT k FROM iw), LATERAL (SELECT unnest(range(1, greatest(len(w) - k + 2, 1))) AS i)),
+hit AS (SELECT row, item, n, size, pos, g, c FROM dg JOIN ig USING (k, g)),
+cand AS (SELECT row, item FROM hit GROUP BY row, item HAVING count(*) * 100 >= any_value(n) * 80),
+near AS (SELECT hit.* FROM hit SEMI JOIN cand USING (row, item)),
+st AS (SELECT DISTINCT row, item, n, size, s FROM near, LATERAL (SELECT unnest(range(greatest(0, pos - n + 1), pos + 1)) AS s) WHERE s <= greatest(0, size - n)),
+win AS (SELECT st.row, st.item, st.s, st.n, least(st.n, st.size) AS held, near.g, least(count(*), any_value(c)) AS m FROM st JOIN near ON near.row = st.row AND near.item = st.item AND near.pos >= st.s AND near.pos < st.s + st.n GROUP BY ALL),
+sc AS (SELECT row, item, s, sum(m) AS shared, any_value(held) + any_value(n) - sum(m) AS total FROM win GROUP BY row, item, s HAVING sum(m) * 100 >= (any_value(held) + any_value(n) - sum(m)) * 80)
+SELECT doc_id, mark, item_id, first(s ORDER BY shared / total DESC, s)::BIGINT AS start_word, first(shared ORDER BY shared / total DESC, s)::BIGINT AS shared, first(total ORDER BY shared / total DESC, s)::BIGINT AS total,
+  max(shared / total) AS similarity FROM sc JOIN dl USING (row) JOIN il USING (item) GROUP BY doc_id, mark, item_id"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_warc_derivatives": op1(),
@@ -128,4 +148,5 @@ def oracles() -> dict[str, str]:
         "op4_line_first_cleaning": op4(),
         "op5_superkmer_substrings": op5(),
         "op6_snapshot_collapse": op6(),
+        "op7_simhash_decontamination": op7(),
     }

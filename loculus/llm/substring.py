@@ -219,7 +219,7 @@ def _count_windows(k: int):
 MASK = "mz long, c binary, at int, size int, mask binary"
 
 
-def repeated_words(docs: DataFrame, k: int = 50, m: int = 6, hot: int = 4096, piece: int = PIECE, longest: int = LONGEST) -> DataFrame:
+def repeated_words(docs: DataFrame, k: int = 50, m: int = 6, hot: int = 1024, piece: int = PIECE, longest: int = LONGEST) -> DataFrame:
     """(k1, k2, text, masks): each different text, under its digest, with the masks of its repeated windows (null if none)."""
     texts = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     # 1. places; minimisers that occur more than once

@@ -6,12 +6,14 @@ a word costs a few dictionary look-ups until its state is dead. Each hit gets a
 quotation marks and words of reporting or mention lower it, words of address raise it. A logistic model over the sums of
 these scores gives the probability; lexicon, known-clean forms and model are learned from labelled rows.
 
-Bounds of learning: at most ``max_rows`` labelled rows (chosen by a hash of the id, so alike in every run), at most
-``max_terms`` lexicon terms, at most ``max_forms`` known-clean forms. Scoring covers every row and whole texts.
+The one bound of learning: about ``max_rows`` labelled ids (chosen by a hash of the id, so alike in every run). All that is
+learned comes from these rows, so it is bounded by them: a term has to be in two per cent of the toxic ones, and a known-clean
+form is a misspelling that occurs in them. No list is cut. Scoring covers every row, whole texts and words of any length.
 
 Defined results: null and empty texts have no hits and get the model's score of no hits; rows of labels with a null id or
-null label are left out; an id labelled twice is toxic if any of its rows says so; with no labelled rows the model falls
-back to the seed lexicon and fixed weights.
+null label are left out; an id labelled twice is toxic if any of its rows says so; of documents that repeat an id the least
+text is learned from and every one is scored; with no labelled rows the model falls back to the seed lexicon and fixed
+weights; an empty table gives an empty one; columns of other names, clashing ones too, don't matter.
 """
 
 from __future__ import annotations
@@ -156,7 +158,7 @@ class Matcher(dict):
             parts.append("".join(parts))
         best = None
         for w in parts:
-            m = self.dfa.match(w) if 3 <= len(w) <= 40 else None
+            m = self.dfa.match(w) if len(w) >= 3 else None
             if m and (m[0] == 0 or w not in self.clean) and (best is None or m[0] < best[0]):
                 best = (*m, w)
         if len(self) < self.limit:
@@ -203,12 +205,13 @@ class Matcher(dict):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, key: str = "doc_id") -> DataFrame:
-    """(key, text, toxic) of at most about max_rows labelled documents, chosen by a hash of the id."""
+    """(key, text, toxic) of at most about max_rows labelled documents, chosen by a hash of the id; one row an id."""
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    return docs.select(key, "text").join(known, key)
+    texts = docs.select(key, "text").join(known, key)
+    return texts.groupBy(key).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -225,17 +228,17 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) ->
     return w[:-1], float(w[-1])
 
 
-def fit(rows: DataFrame, max_terms: int = 200, max_forms: int = 5_000, min_toxic: int = 3, ratio: float = 12.0) -> ToxicityModel:
+def fit(rows: DataFrame, min_toxic: int = 3, ratio: float = 12.0) -> ToxicityModel:
     """Learn lexicon, known-clean forms and weights from (text, toxic) rows; the caller bounds the rows."""
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.lit(0)).alias("t")).first()
     n, t = total["n"], total["t"]
     if not n or not t or t == n:
         return ToxicityModel(list(SEED), [2.0] * len(SEED))
-    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where((F.length("w") >= 3) & (F.length("w") <= 40))
+    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where(F.length("w") >= 3)
     counts = words.groupBy("w").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("b"))
     lift = (F.col("a") / F.lit(float(t))) / ((F.col("b") + 0.5) / F.lit(float(n - t)))
     least = max(min_toxic, int(0.02 * t))
-    top = counts.where((F.col("a") >= least) & (lift >= ratio)).select("w", lift.alias("lift"), "a").orderBy(F.desc("a"), "w").limit(max_terms).collect()
+    top = counts.where((F.col("a") >= least) & (lift >= ratio)).select("w", lift.alias("lift"), "a").orderBy(F.desc("a"), "w").collect()
     weight = {r["w"]: min(6.0, math.log(r["lift"])) for r in top}
     terms = sorted(weight | {s: 2.0 for s in SEED if s not in weight})
     model = ToxicityModel(terms, [weight.get(w, 2.0) for w in terms])
@@ -248,7 +251,7 @@ def fit(rows: DataFrame, max_terms: int = 200, max_forms: int = 5_000, min_toxic
             yield pd.DataFrame(out, columns=["form", "y"])
 
     forms = rows.mapInPandas(hits, "form string, y int").groupBy("form").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where((F.col("n") - F.col("a")) > F.col("a"))
-    model.clean_forms = [r["form"] for r in forms.orderBy(F.desc("n"), "form").limit(max_forms).collect()]
+    model.clean_forms = [r["form"] for r in forms.orderBy(F.desc("n"), "form").collect()]
     second = model.to_json()
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

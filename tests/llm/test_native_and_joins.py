@@ -194,7 +194,6 @@ def test_leaks(spark):
     b = spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
     assert got == want
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b, broadcast_rows=0).collect()} == want
     left = decontam.drop_contaminated(d, b)
     assert left.columns == d.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(i for i, _ in docs if i is not None and i not in {x for x, _ in want})
@@ -229,6 +228,33 @@ def test_leaks_with_exchanged_parts(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in got.collect()} == want
 
 
+def test_leaks_of_items_that_share_an_id(spark):
+    items = [(7, " ".join(f"a{j}" for j in range(20))), (7, " ".join(f"b{j}" for j in range(40))), (None, " ".join(f"c{j}" for j in range(15))), (8, "yes of course")]
+    docs = [(str(i), f"x y z {t} u v w") for i, (_, t) in enumerate(items)] + [("4", "Yes, of course!"), ("4", items[1][1]), (None, items[2][1])]
+    d, b = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items + items[:1], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.shared) for r in decontam.contaminated(d, b).collect()), key=str)
+    assert got == sorted([("0", 7, 16), ("1", 7, 36), ("2", None, 11), ("4", 8, 1), ("4", 7, 36), (None, None, 11)], key=str)
+    assert [r.doc_id for r in decontam.drop_contaminated(d, b).collect()] == ["3"]
+
+
+def test_multi_index_finds_all_within_the_radius(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(300):
+        a = rnd.getrandbits(64)
+        b = a
+        for bit in rnd.sample(range(64), rnd.randint(0, 18)):
+            b ^= 1 << bit
+        rows.append((i, *(x - (1 << 64) if x >> 63 else x for x in (a, b))))
+    df = spark.createDataFrame(rows, "i int, a long, b long")
+    index = decontam.multi_index(df.select("i", "a", "b"), "a", 5, 2)
+    probe = [F.struct(F.lit(k).alias("block"), decontam.block_value(F.col("b"), at, w).alias("value")) for k, (at, w) in enumerate(decontam.block_widths(5))]
+    probes = df.select(F.col("i").alias("j"), F.col("b").alias("c"), F.explode(F.array(*probe)).alias("p")).select("j", "c", "p.block", "p.value")
+    met = index.join(probes, ["block", "value"]).where("i = j").where(F.col("block") == decontam.first_near_block(F.col("a"), F.col("c"), 5, 2))
+    found = [r.i for r in met.collect()]
+    assert len(found) == len(set(found)) and set(found) >= {i for i, a, b in rows if ((a ^ b) & (1 << 64) - 1).bit_count() <= 14}
+
+
 def test_snapshots(spark):
     a = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     convs = {1: a[:2], 2: a, 3: a, 4: a[:1], 5: [("user", "hi"), ("assistant", "other")], 6: [("user", None)]}
