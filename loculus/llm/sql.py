@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
 from . import quality, queries, warc
 
@@ -19,14 +20,24 @@ def _uuid(expr: str) -> str:
     return f"concat('<urn:uuid:', concat_ws('-', {', '.join(f'substr({h}, {a}, {n})' for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))}), '>')"
 
 
+def _entities(t: str) -> str:
+    """References that end with a semicolon, each replaced in turn, the ampersand last; a reference made by another one is not
+    told apart, so the SQL is exact only for texts without those."""
+    numeric = r"list_transform(list_distinct(regexp_extract_all(t, '&#([0-9]{1,6});', 1)), lambda n: concat('&#', n, ';', chr(1), chr(n::INT)))"
+    names = sorted((k, v) for k, v in html5.items() if k.endswith(";") and k.lower() != "amp;" and "'" not in v)
+    pairs = ", ".join(_q(f"&{k}\x01{v}") for k, v in names)
+    step = "lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2))"
+    decoded = f"(SELECT replace(replace(list_reduce(list_concat([t], list_filter([{pairs}], lambda x: contains(t, split_part(x, chr(1), 1))), {numeric}, ['&apos;' || chr(1) || chr(39)]), {step}), '&AMP;', '&'), '&amp;', '&') FROM (SELECT {t} AS t))"
+    return decoded
+
+
 def op1() -> str:
     t = r"regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
     for tag in warc.DROPPED:
         t = rf"regexp_replace({t}, '(?is)<{tag}[\s>].*?</{tag}\s*>', ' ', 'g')"
     t = rf"regexp_replace({t}, '(?i)</?(?:{warc.BREAKS})(?:[\s/][^>]*)?>', chr(10), 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
-    for name, c in warc.ENTITIES:
-        t = f"replace({t}, {_q(name)}, {_q(c)})"
+    t = f"replace({_entities(t)}, chr(160), ' ')"
     t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
     t = rf"regexp_replace(regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
     return rf"""
@@ -110,14 +121,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_remo
 
 
 def op6() -> str:
-    return """
+    sql = r"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, list(role || chr(0) || text ORDER BY place) AS s FROM t GROUP BY conv_id),
 one AS (SELECT min(conv_id) AS conv_id, s FROM c GROUP BY s),
 best AS (SELECT conv_id, len(s) AS n FROM one WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE len(o.s) > len(one.s) AND o.s[1 : len(one.s)] = one.s))
 SELECT conv_id, ((place - 1) // 256)::BIGINT AS chunk, n::BIGINT AS n_turns, min(place)::BIGINT AS first_turn, count(*)::BIGINT AS chunk_turns,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+  string_agg('<|im_start|>' || harmless(role) || chr(10) || harmless(text) || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
 FROM t JOIN best USING (conv_id) GROUP BY conv_id, chunk, n"""
+    return re.sub(r"harmless\((\w+)\)", r"regexp_replace(\1, '<\\|(im_start|im_end)\\|>', '<| \\\\1 |>', 'g')", sql)
 
 
 def op7() -> str:
