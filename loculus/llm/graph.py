@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 ROWS = 1_000_000  # links that one task of a round is to hold
 
@@ -37,7 +37,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     before = e.agg(mark.alias("m")).first()["m"]
     for _ in range(max_rounds):
         parts = before["n"] // ROWS + 2
-        e = written(_small(written(_large(e).coalesce(parts))).coalesce(parts))
+        large = written(_large(e).coalesce(parts))
+        last, e = e, written(_small(large).coalesce(parts))
+        release(large, last)
         now = e.agg(mark.alias("m")).first()["m"]
         if now == before or not now["n"]:
             break

@@ -9,18 +9,26 @@ Plan, in steps of bounded memory:
    (combined before the shuffle), so groups of exact copies of any size cost one row a task.
 2. Band keys that several nodes share link each of these nodes with the least of them; components of these links are
    *families*. All candidate pairs lie within a family.
-3. Families are cut into blocks of bounded bytes; each pair of blocks is a task of its own, so a family of any size
-   spreads out. A task counts exact intersections from postings of the shingles that occur there twice, for the pairs that
-   are not yet connected, and returns a spanning set of true links only: fewer rows than texts, never all pairs.
+3. Families are cut into blocks of bounded bytes. A task counts exact intersections from postings of the shingles that texts
+   not yet connected share, and returns a spanning set of true links only: fewer rows than texts, never all pairs.
+   First each block by itself; then, of families with several blocks, one text of each component found so far, pairs of blocks
+   spread over tasks; last, only families that still fall apart compare whole blocks pair by pair. So a family of near copies
+   of any size, which one text of it connects, costs no quadratic step.
 4. Components of the true links, joined back to all texts.
 
+Bands have ``rows`` values, and there are as many bands as make a link at the threshold missed with a chance of at most
+``miss``. At 8 values texts of similarity 0.05 meet with a chance of 2e-9, so families stay small up to very many texts.
+
 Defined results: rows with equal doc_id are one node; a null text, or one without words, has an empty set and is linked with
 nothing; fewer words than a shingle make one shingle of all of them; rows with a null doc_id have a null component and are
-kept; extra columns are ignored.
+kept; ids are whole numbers (an error says so if the column has another type); texts are read whole; an empty table gives an
+empty one; extra columns are ignored, whatever their names. ``keep_representatives`` keeps, of rows with one doc_id and
+different texts, the one of the least text, and every row with a null doc_id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,95 +105,65 @@ def linked(inter: np.ndarray, n: int, others: np.ndarray, percent: int) -> np.nd
     return 100 * inter >= percent * (n + others - inter)
 
 
-class Find:
-    """Disjoint sets over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def bands_for(percent: int, rows: int, miss: float = 1e-6) -> int:
+    """The number of bands that a pair at the threshold shares none of with a chance of at most ``miss``."""
+    return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
 
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
 
-
-def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets; with sides, links within a side don't matter unless they save work."""
+def spanning_links(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join whatever is linked but not yet of one label. Postings within one component are left out."""
     n = len(sets)
+    lab = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1].reshape(-1)
     sizes = np.array([len(s) for s in sets])
-    if n == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if linked(np.array([inter]), sizes[0], sizes[1:], percent)[0] else []
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
     f, o = flat[order], owner[order]
-    new = np.r_[True, f[1:] != f[:-1]]
-    start = np.flatnonzero(new)
-    end = np.r_[start[1:], len(f)]
-    group = np.cumsum(new) - 1
+    start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+    width = np.diff(np.r_[start, len(f)])
     of = np.empty(len(f), np.int64)
-    of[order] = group
+    of[order] = np.repeat(np.arange(len(start)), width)
     ends = np.cumsum(sizes)
-    find, out = Find(n), []
-    for i in np.argsort(sizes, kind="stable"):
+    out: list[tuple[int, int]] = []
+
+    def mixed() -> np.ndarray:
+        """Shingles whose owners are of several components: only these can tell of a link that is still wanted."""
+        return np.minimum.reduceat(lab[o], start) != np.maximum.reduceat(lab[o], start)
+
+    live, joined = mixed(), 0
+    for i in np.argsort(sizes, kind="stable").tolist():
         g = of[ends[i] - sizes[i] : ends[i]]
-        g = g[end[g] - start[g] > 1]
+        g = g[live[g]]
         if not len(g):
             continue
-        width = end[g] - start[g]
-        where = np.repeat(start[g] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-        inter = np.bincount(o[where], minlength=n)
-        hit = np.flatnonzero(linked(inter, int(sizes[i]), sizes, percent) & (inter > 0))
-        for j in hit:
-            if j != i and find.join(int(i), int(j)):
-                out.append((int(i), int(j)))
+        w = width[g]
+        other = o[np.repeat(start[g] - np.r_[0, np.cumsum(w)[:-1]], w) + np.arange(w.sum())]
+        j, inter = np.unique(other[lab[other] != lab[i]], return_counts=True)
+        j = j[linked(inter, int(sizes[i]), sizes[j], percent)]
+        if len(j):
+            found, first = np.unique(lab[j], return_index=True)
+            out += [(i, int(x)) for x in j[first]]
+            lab[np.isin(lab, found)] = lab[i]
+            joined += len(found)
+            if 10 * joined >= n:
+                live, joined = mixed(), 0
     return out
 
 
-def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id it reaches through links), kept.
-
-    A link is 100 * intersection >= percent * union of the sets of ``shingle``-word shingles. The chance that a pair at
-    the threshold s shares no band is (1 - s**rows)**bands: 7e-10 for 0.85 and 8e-7 for 0.8 by 36 bands of 5 rows.
-    """
-    sig = written(signatures(docs, shingle, bands, rows))
-    nodes = sig.where("n_shingles > 0 and doc_id is not null")
-    named = written(nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
-    reps = nodes.withColumnRenamed("doc_id", "node").join(named, ["h1", "h2", "node"], "left_semi")
-    # 2. families
-    keyed = reps.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = keyed.join(shared, ["band", "key"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    family = components(stars).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
-    # 3. exact links: every pair of blocks of a family meets in one task
-    sizes = reps.select("node", "n_shingles").join(family, "node")
-    blocks = sizes.groupBy("family").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 64) / block_bytes).cast("int").alias("blocks"))
-    placed = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = lambda k: F.struct("family", "blocks", F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b"))
-    slots = written(placed.select("node", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair).alias("slots")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull()).join(slots, "node")
+def _links(texts: DataFrame, shingle: int, percent: int, block_bytes: int) -> DataFrame:
+    """True links (u, v) between the nodes that meet in a task. texts: node, text, component, slots of (family, a, b)."""
+    names = ["family", "a", "b", "node", "component", "shingles"]
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        names = ["family", "blocks", "a", "b", "node", "shingles"]
         for b in batches:
             out, held = [], 0
-            for node, text, where in zip(b["node"], b["text"], b["slots"], strict=True):
+            for node, text, component, where in zip(b["node"], b["text"], b["component"], b["slots"], strict=True):
                 s = shingle_set(hashes.of(to_bytes(text).translate(ASCII_LOWER).split()), shingle)
                 if not len(s):
                     continue
                 raw = s.tobytes()
-                for at in where:
-                    out.append((at["family"], at["blocks"], at["a"], at["b"], node, raw))
+                out += [(at["family"], at["a"], at["b"], node, component, raw) for at in where]
                 held += len(raw) * len(where)
                 if held > block_bytes:
                     yield pd.DataFrame(out, columns=names)
@@ -194,22 +172,58 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
                 yield pd.DataFrame(out, columns=names)
 
     def links_of(g: pd.DataFrame) -> dict | None:
-        """Nodes with the least node of their component in this task."""
+        if len(g) < 2:
+            return None
         node = g["node"].to_numpy()
-        ids, at = np.unique(node, return_inverse=True)
-        find = Find(len(ids))
-        for i, j in spanning_links([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent):
-            find.join(int(at[i]), int(at[j]))
-        root = np.array([find.root(i) for i in range(len(ids))])
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return {"u": ids[moved], "v": ids[root[moved]], "blocks": np.full(len(moved), g["blocks"].iloc[0])} if len(moved) else None
-
-    sets = texts.mapInPandas(sets_of, "family long, blocks int, a int, b int, node long, shingles binary")
-    links = written(by_group(sets, ["family", "a", "b"], links_of, "u long, v long, blocks int"))
-    # 4. a family of one block is settled in its task; the others' links are joined up
-    true = links.where("blocks = 1").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    if links.where("blocks > 1").take(1):
-        true = true.union(components(links.where("blocks > 1").select("u", "v")))
+        found = spanning_links([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent, g["component"].to_numpy())
+        return {"u": node[[i for i, _ in found]], "v": node[[j for _, j in found]]} if found else None
+
+    sets = texts.mapInPandas(sets_of, "family long, a int, b int, node long, component long, shingles binary")
+    return by_group(sets, ["family", "a", "b"], links_of, "u long, v long")
+
+
+def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 8, bands: int | None = None, block_bytes: int = 8_000_000) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id it reaches through links), kept.
+
+    A link is 100 * intersection >= percent * union of the sets of ``shingle``-word shingles.
+    """
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("near_components: doc_id has to be a whole number; number the rows first")
+    bands = bands or bands_for(percent, rows)
+    sig = written(signatures(docs, shingle, bands, rows))
+    nodes = sig.where("n_shingles > 0 and doc_id is not null")
+    named = written(nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    reps = nodes.withColumnRenamed("doc_id", "node").join(named, ["h1", "h2", "node"], "left_semi")
+    # 2. families
+    keyed = reps.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = keyed.join(shared, ["band", "key"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    family = components(stars).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
+    # 3. exact links: each block by itself
+    sizes = reps.select("node", "n_shingles").join(family, "node")
+    blocks = sizes.groupBy("family").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 64) / block_bytes).cast("int").alias("blocks"))
+    placed = written(family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull())
+    alone = placed.select("node", F.col("node").alias("component"), F.array(F.struct("family", F.col("block").alias("a"), F.col("block").alias("b"))).alias("slots"))
+    links = written(_links(texts.join(alone, "node"), shingle, percent, block_bytes))
+    true = components(links)
+    # then pairs of blocks: one text of each component; then all of the families that still have several
+    several = placed.where("blocks > 1")
+    pair = lambda k: F.struct("family", F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b"))
+    for whole in (False, True) if several.take(1) else ():
+        at = several.join(true.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if whole:
+            apart = at.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
+            at = at.join(apart, "family", "left_semi")
+        else:
+            first = at.groupBy("family", "block", "component").agg(F.min("node").alias("node"))
+            at = at.join(first.select("node"), "node", "left_semi")
+        slots = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")), pair)
+        more = written(_links(texts.join(written(at.select("node", "component", slots.alias("slots"))), "node"), shingle, percent, block_bytes))
+        links = links.union(more)
+        true = components(links)
+    true = true.withColumnRenamed("id", "node")
+    # 4. back to the texts
     ids = nodes.join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.min("node").alias("v"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
     same_ids = written(ids.select(F.explode("all").alias("u"), "v").where("u <> v"))
     if same_ids.take(1):  # different texts under one id join their nodes
@@ -225,6 +239,8 @@ def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     kept = written(near_components(docs, **kw).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
     # the kept ids are nearly as many as the documents, so they are never to be broadcast
     out = docs.alias("d").join(kept.alias("k").hint("merge"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
-    if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document
-        out = out.dropDuplicates(["doc_id"])
+    if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document: that of the least text
+        rest = [c for c in docs.columns if c != "doc_id"]
+        least = F.min(F.struct(F.col("text").alias("_least"), *[F.col(c) for c in rest]))
+        out = out.groupBy("doc_id").agg(least.alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
     return out.union(docs.where("doc_id is null"))

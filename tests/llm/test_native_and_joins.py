@@ -81,11 +81,31 @@ def test_keep_representatives(spark):
     assert all(r._rows == str(r.doc_id) for r in got)
 
 
+def test_spanning_links_of_one_family_are_few_and_whole():
+    """20,000 near copies of one text: one of them connects all; two families that meet nowhere stay apart."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    one, two = (rng.integers(1, 1 << 62, 60, dtype=np.uint64) for _ in range(2))
+    sets = [np.unique(np.r_[base[1:], rng.integers(1, 1 << 62, 2, dtype=np.uint64)]) for base in [one] * 10_000 + [two] * 10_000]
+    began = time.time()
+    links = minhash.spanning_links(sets, 85)
+    assert len(links) == len(sets) - 2 and all((i < 10_000) == (j < 10_000) for i, j in links) and time.time() - began < 60
+    assert minhash.spanning_links(sets, 85, np.r_[np.zeros(10_000, int), np.ones(10_000, int)]) == []
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError):
+        minhash.near_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_minmax_bands_find_pairs_at_the_threshold():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    mm = minhash.MinMax(36, 5)
+    mm = minhash.MinMax(minhash.bands_for(85, 8), 8)
     missed = 0
     for n in (1, 6, 20, 200):
         for _ in range(40):
