@@ -12,23 +12,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import planar, stats
 from . import geometry, joins
-from ..functions import stats
 
 KEYS = ["cell", "gene"]
 PERMUTATION_CAP = 1_000_000  # points of one cell that a permutation task may hold
 
 
 def placed(tx: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Transcripts with their cell's and nucleus' measures, distances and tests (null where the outline is missing)."""
-    c = shapes.where("kind = 'cell'").select("cell", *[F.col(x).alias(f"c_{x}") for x in ("segs", "gx", "gy", "mx", "my", "radius", "span", "area", "eq_radius")])
-    n = shapes.where("kind = 'nucleus'").select("cell", *[F.col(x).alias(f"n_{x}") for x in ("segs", "gx", "gy", "eq_radius")])
+    """Transcripts with their cell's and nucleus' measures, distances and tests (null where the outline is missing).
+
+    Each outline is tested once for a point, whole Arrow batches at a time.
+    """
+    c = shapes.where("kind = 'cell'").select("cell", *[F.col(x).alias(f"c_{x}") for x in ("flat", "gx", "gy", "mx", "my", "radius", "span", "area", "eq_radius")])
+    n = shapes.where("kind = 'nucleus'").select("cell", *[F.col(x).alias(f"n_{x}") for x in ("flat", "gx", "gy", "eq_radius")])
     p = tx.join(c, "cell").join(n, "cell", "left")
-    x, y = F.col("x"), F.col("y")
+    p = p.withColumns({"_c": planar.against("c_flat", "x", "y"), "_n": planar.against("n_flat", "x", "y")}).drop("c_flat", "n_flat")
+    inside, edge = (lambda k: F.col(k)["inside"]), (lambda k: F.col(k)["edge"])
     return p.withColumns({
-        "dc": geometry.distance(F.col("c_segs"), x, y), "dn": geometry.distance(F.col("n_segs"), x, y),
-        "in_cell": geometry.covers(F.col("c_segs"), x, y), "in_nucleus": geometry.contains(F.col("n_segs"), x, y), "on_nucleus": geometry.covers(F.col("n_segs"), x, y),
-    }).drop("c_segs", "n_segs")
+        "dc": F.col("_c")["dist"], "dn": F.col("_n")["dist"], "in_cell": inside("_c") | edge("_c"),
+        "in_nucleus": inside("_n") & ~edge("_n"), "on_nucleus": inside("_n") | edge("_n"),
+    }).drop("_c", "_n")
 
 
 def _split(value: Column, inner: bool) -> Column:
@@ -64,11 +68,6 @@ def distance_features(p: DataFrame) -> DataFrame:
     )
 
 
-def raster_sums(shapes: DataFrame, step: int = 1) -> DataFrame:
-    """Per cell: number of raster points and means of x, y and x^2 + y^2."""
-    return geometry.raster(shapes.where("kind = 'cell'"), step).groupBy("cell").agg(F.count("*").alias("r_n"), F.avg("x").alias("r_x"), F.avg("y").alias("r_y"), F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("r_2"))
-
-
 def dispersion(tx: DataFrame, shapes: DataFrame, step: int = 1) -> DataFrame:
     """Second moments of the points over those of the cell's raster about the same centre.
 
@@ -76,7 +75,7 @@ def dispersion(tx: DataFrame, shapes: DataFrame, step: int = 1) -> DataFrame:
     """
     n = shapes.where("kind = 'nucleus'").select("cell", F.col("gx").alias("nx"), F.col("gy").alias("ny"))
     g = tx.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("x").alias("ax"), F.avg("y").alias("ay"), F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("a2"))
-    g = g.join(raster_sums(shapes, step), "cell").join(n, "cell", "left")
+    g = g.join(geometry.raster_sums(shapes.where("kind = 'cell'"), step), "cell").join(n, "cell", "left")
     about = lambda m, x, y, cx, cy: F.col(m) - 2 * (F.col(cx) * F.col(x) + F.col(cy) * F.col(y)) + F.col(cx) * F.col(cx) + F.col(cy) * F.col(cy)
     return g.select(
         *KEYS, about("a2", "ax", "ay", "ax", "ay").alias("point_moment"),
@@ -88,14 +87,13 @@ def dispersion(tx: DataFrame, shapes: DataFrame, step: int = 1) -> DataFrame:
 def ripley_counts(tx: DataFrame, shapes: DataFrame) -> DataFrame:
     """(cell, gene, n, area, span, hist): numbers of ordered pairs closer than each radius 1..span/2, and than span/4.
 
-    Pairs of one (cell, gene) within span/2 come from the grid join per span, and only counts by radius are kept.
+    Pairs of one (cell, gene) within half the cell's own span come from the grid join, and only counts by radius are kept.
     """
     s = shapes.where("kind = 'cell'").select("cell", "area", "span")
     n = tx.groupBy(*KEYS).agg(F.count("*").alias("n")).join(s, "cell")
     spans = tx.join(s, "cell")
-    longest = shapes.where("kind = 'cell'").agg(F.max("span").alias("s")).first()["s"] or 0
-    reach = max(1.0, longest / 2)
-    pairs = joins.distance_pairs(spans, reach, KEYS, carry=["span"])
+    spans = spans.withColumn("reach", F.greatest(F.lit(1.0), F.col("span") / 2))
+    pairs = joins.distance_pairs(spans, "reach", KEYS, carry=["span"])
     d = F.sqrt("d2")
     k = F.floor(F.col("a.span") / 2).cast("int")  # radii are linspace(1, span / 2, k)
     step = F.when(k > 1, (F.col("a.span") / 2 - 1) / (k - 1)).otherwise(F.lit(1.0))

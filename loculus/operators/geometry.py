@@ -1,10 +1,22 @@
-"""Plane geometry as column expressions over rings (array of (x, y), closed) and their segments."""
+"""Plane geometry over rings (array of (x, y), closed) and their segments.
+
+Measures of a ring are column expressions. Tests of points against rings run over Arrow batches (``functions.planar``): built-in
+higher-order functions would interpret a lambda for every point and segment.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import planar
+
+#: Grid points that one piece of a raster holds, and pieces that one task takes.
+PIECE, PIECES = 100_000, 8
 
 
 def closed_rings(vertices: DataFrame) -> DataFrame:
@@ -53,44 +65,30 @@ def centroid(segs: Column) -> tuple[Column, Column]:
     return _sum(segs, lambda s: (s["x1"] + s["x2"]) * cross(s)) / six, _sum(segs, lambda s: (s["y1"] + s["y2"]) * cross(s)) / six
 
 
-def inside(segs: Column, x: Column, y: Column) -> Column:
-    """Odd number of crossings of the ray to the right; says nothing reliable of points on the edge."""
-    crosses = lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
-    return F.aggregate(segs, F.lit(False), lambda odd, s: odd != F.coalesce(F.when((s["y1"] > y) != (s["y2"] > y), crosses(s)), F.lit(False)))
-
-
-def on_edge(segs: Column, x: Column, y: Column) -> Column:
-    return F.exists(segs, lambda s: (cross_at(s, x, y) == 0) & (x >= F.least(s["x1"], s["x2"])) & (x <= F.greatest(s["x1"], s["x2"])) & (y >= F.least(s["y1"], s["y2"])) & (y <= F.greatest(s["y1"], s["y2"])))
-
-
-def cross_at(s: Column, x: Column, y: Column) -> Column:
-    return (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
+def flat(segs: Column) -> Column:
+    """Segments as an array of numbers, four each."""
+    return F.flatten(F.transform(segs, lambda s: F.array(s["x1"], s["y1"], s["x2"], s["y2"])))
 
 
 def contains(segs: Column, x: Column, y: Column) -> Column:
     """Strictly inside: points on the edge are outside."""
-    return inside(segs, x, y) & ~on_edge(segs, x, y)
+    t = planar.against(flat(segs), x, y)
+    return t["inside"] & ~t["edge"]
 
 
 def covers(segs: Column, x: Column, y: Column) -> Column:
     """Inside or on the edge."""
-    return inside(segs, x, y) | on_edge(segs, x, y)
+    t = planar.against(flat(segs), x, y)
+    return t["inside"] | t["edge"]
 
 
 def distance(segs: Column, x: Column, y: Column) -> Column:
     """Distance of a point to the ring."""
-
-    def of(s: Column) -> Column:
-        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
-        n = dx * dx + dy * dy
-        t = F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["x1"]) * dx + (y - s["y1"]) * dy) / n)))
-        return length(x - (s["x1"] + t * dx), y - (s["y1"] + t * dy))
-
-    return F.array_min(F.transform(segs, of))
+    return planar.against(flat(segs), x, y)["dist"]
 
 
 def shape_table(rings: DataFrame) -> DataFrame:
-    """Per ring: area, perimeter, bounds, centroid, mean of corners, radius, span, equivalent radius."""
+    """Per ring: area, perimeter, bounds, centroid, mean of corners, radius, span, equivalent radius, flat segments."""
     r = rings.withColumns({"area": area(F.col("segs")), "perimeter": perimeter(F.col("segs"))})
     gx, gy = centroid(F.col("segs"))
     r = r.withColumns({"gx": gx, "gy": gy})
@@ -103,21 +101,78 @@ def shape_table(rings: DataFrame) -> DataFrame:
         "maxx": F.array_max(F.transform("ring", lambda p: p["x"])), "maxy": F.array_max(F.transform("ring", lambda p: p["y"])),
         "radius": total(F.col("ring"), lambda p: length(p["x"] - F.col("gx"), p["y"] - F.col("gy"))) / n,
         "mx": total(corners, lambda p: p["x"]) / (n - 1), "my": total(corners, lambda p: p["y"]) / (n - 1),
-        "span": F.floor(far).cast("long"), "eq_radius": F.sqrt(F.col("area") / F.lit(3.141592653589793)),
+        "flat": flat(F.col("segs")), "span": F.floor(far).cast("long"), "eq_radius": F.sqrt(F.col("area") / F.lit(3.141592653589793)),
     })
 
 
+def raster_pieces(shapes: DataFrame, step: int = 1) -> DataFrame:
+    """Rows of shapes with ranges of grid columns (x0, x1) and rows (y0, y1) of at most about PIECE points, dealt over tasks.
+
+    The number of tasks follows the number of grid points. Bounds are cut to integers toward zero.
+    """
+    b = {c: F.col(f"{m}{a}").cast("long") for a in "xy" for c, m in ((f"{a}0", "min"), (f"{a}1", "max"))}
+    s = shapes.withColumns(b)
+    columns = F.floor((F.col("x1") - F.col("x0")) / step) + 1
+    s = s.withColumns({"_rows": F.floor((F.col("y1") - F.col("y0")) / step) + 1, "_cols": columns})
+    s = s.withColumn("_wide", F.greatest(F.lit(1), F.floor(F.lit(PIECE) / F.col("_rows"))).cast("long"))
+    points = s.agg(F.coalesce(F.sum(F.col("_rows") * F.col("_cols")), F.lit(0)).alias("n")).first()["n"]
+    starts = F.sequence(F.col("x0"), F.col("x1"), F.col("_wide") * step)
+    s = s.select("*", F.explode(starts).alias("_at")).withColumns({"x0": F.col("_at"), "x1": F.least(F.col("x1"), F.col("_at") + (F.col("_wide") - 1) * step)})
+    tasks = int(points // (PIECE * PIECES)) + 1
+    return s.drop("_rows", "_cols", "_wide").repartition(tasks, "cell", "kind", "_at").drop("_at")
+
+
+def grid_of(x0: int, x1: int, y0: int, y1: int, outline: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grid points of a piece strictly inside an outline."""
+    xs, ys = np.arange(x0, x1 + 1, step, dtype=float), np.arange(y0, y1 + 1, step, dtype=float)
+    x, y = (v.ravel() for v in np.meshgrid(xs, ys))
+    n = len(outline) // 4
+    first, size = np.zeros(len(x), np.int64), np.full(len(x), n)
+    _, inside, edge = planar.tests(x, y, outline, first, size)
+    ok = inside & ~edge
+    return x[ok], y[ok]
+
+
 def raster(shapes: DataFrame, step: int = 1) -> DataFrame:
-    """(cell, kind, x, y): integer points inside each ring; the centroid where there is none.
+    """(cell, kind, x, y): integer points inside each ring; the centroid where there is none. Points on the edge are outside."""
+    pieces = raster_pieces(shapes, step).select("cell", "kind", "flat", "x0", "x1", "y0", "y1", "gx", "gy")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                x, y = grid_of(r.x0, r.x1, r.y0, r.y1, np.asarray(r.flat, float), step)
+                if len(x):
+                    yield pd.DataFrame({"cell": r.cell, "kind": r.kind, "x": x, "y": y})
+
+    points = pieces.mapInPandas(run, "cell string, kind string, x double, y double")
+    sums = raster_sums(shapes, step)
+    none = shapes.join(sums.where("alone").select("cell", "kind"), ["cell", "kind"], "left_semi")
+    return points.unionByName(none.select("cell", "kind", F.col("gx").alias("x"), F.col("gy").alias("y")))
+
+
+def raster_sums(shapes: DataFrame, step: int = 1) -> DataFrame:
+    """(cell, kind, r_n, r_x, r_y, r_2, alone): number and means of x, y, x^2 + y^2 of each ring's raster.
 
-    Bounds are cut to integers toward zero. Points on the edge are outside.
+    Pieces are summed where they are made, so no raster point leaves its task; ``alone`` says that the centroid stands in.
     """
-    axis = lambda a, b: F.sequence(F.col(a).cast("long"), F.col(b).cast("long"), F.lit(step).cast("long"))
-    g = shapes.select("cell", "kind", "segs", F.explode(axis("minx", "maxx")).alias("ix"), axis("miny", "maxy").alias("ys"))
-    g = g.select("cell", "kind", "segs", F.col("ix").cast("double").alias("x"), F.explode("ys").alias("iy")).withColumn("y", F.col("iy").cast("double"))
-    g = g.where(contains(F.col("segs"), F.col("x"), F.col("y"))).select("cell", "kind", "x", "y")
-    none = shapes.join(g, ["cell", "kind"], "left_anti").select("cell", "kind", F.col("gx").alias("x"), F.col("gy").alias("y"))
-    return g.unionByName(none)
+    pieces = raster_pieces(shapes, step).select("cell", "kind", "flat", "x0", "x1", "y0", "y1", "gx", "gy")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                x, y = grid_of(r.x0, r.x1, r.y0, r.y1, np.asarray(r.flat, float), step)
+                out.append((r.cell, r.kind, r.gx, r.gy, len(x), x.sum(), y.sum(), (x * x + y * y).sum()))
+            yield pd.DataFrame(out, columns=["cell", "kind", "gx", "gy", "n", "sx", "sy", "s2"])
+
+    s = pieces.mapInPandas(run, "cell string, kind string, gx double, gy double, n long, sx double, sy double, s2 double")
+    s = s.groupBy("cell", "kind").agg(F.max("gx").alias("gx"), F.max("gy").alias("gy"), *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "s2")])
+    mean = lambda c, alone: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(alone)
+    gx, gy = F.col("gx"), F.col("gy")
+    return s.select(
+        "cell", "kind", F.greatest(F.col("n"), F.lit(1)).alias("r_n"), mean("sx", gx).alias("r_x"), mean("sy", gy).alias("r_y"),
+        mean("s2", gx * gx + gy * gy).alias("r_2"), (F.col("n") == 0).alias("alone"),
+    )
 
 
 def second_moment(points: DataFrame, keys: list[str], x0: str, y0: str) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _bin(c: str, r: float) -> Column:
-    return F.floor(F.col(c) / F.lit(float(r)))
+def _bin(c: str, r: float | str) -> Column:
+    return F.floor(F.col(c) / (F.col(r) if isinstance(r, str) else F.lit(float(r))))
 
 
 def _sum_of_squares(dims: tuple[str, ...], a: str, b: str) -> Column:
@@ -25,9 +25,13 @@ def _sum_of_squares(dims: tuple[str, ...], a: str, b: str) -> Column:
     return out
 
 
-def distance_pairs(points: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...] = ("x", "y"), ident: str = "tx_id", carry: list[str] | None = None) -> DataFrame:
-    """Unordered pairs of points of equal keys with distance <= radius: keys, a (struct), b (struct), d2."""
-    cols = [ident, *dims, *(carry or [])]
+def distance_pairs(points: DataFrame, radius: float | str, keys: list[str], dims: tuple[str, ...] = ("x", "y"), ident: str = "tx_id", carry: list[str] | None = None) -> DataFrame:
+    """Unordered pairs of points of equal keys with distance <= radius: keys, a (struct), b (struct), d2.
+
+    The radius is a number or the name of a column that is constant within a key.
+    """
+    own = isinstance(radius, str)
+    cols = list(dict.fromkeys([ident, *dims, *(carry or []), *([radius] if own else [])]))
     p = points.select(*keys, F.struct(*cols).alias("p"), *[_bin(d, radius).alias(f"_b{i}") for i, d in enumerate(dims)])
     bins = [f"_b{i}" for i in range(len(dims))]
     half = [o for o in product((0, 1, -1), repeat=len(dims)) if not any(o) or next(x for x in reversed(o) if x) > 0]
@@ -37,7 +41,8 @@ def distance_pairs(points: DataFrame, radius: float, keys: list[str], dims: tupl
     out = left.join(p.withColumnRenamed("p", "b"), keys + bins)
     d2 = _sum_of_squares(dims, "a", "b")
     once = F.col("_other") | (F.col(f"a.{ident}") < F.col(f"b.{ident}"))
-    return out.where(once & (d2 <= radius * radius)).select(*keys, "a", "b", d2.alias("d2"))
+    reach = F.col(f"a.{radius}") if own else F.lit(float(radius))
+    return out.where(once & (d2 <= reach * reach)).select(*keys, "a", "b", d2.alias("d2"))
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
