@@ -46,7 +46,7 @@ def allowed(term: str) -> int:
 class LexiconAutomaton:
     """The lexicon's trie under Levenshtein automata, as a lazily built DFA."""
 
-    def __init__(self, terms: list[str], limit: int = 200_000):
+    def __init__(self, terms: list[str], limit: int = 20_000):
         self.terms, self.limit = list(terms), limit
         self.next: list[dict[str, int]] = [{}]
         self.end: list[int] = [-1]
@@ -140,7 +140,7 @@ class ToxicityModel:
 class Matcher(dict):
     """token -> (errors, term, form) or None, remembered up to a bound."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 400_000):
+    def __init__(self, model: ToxicityModel, limit: int = 100_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.dfa = LexiconAutomaton(model.terms)
