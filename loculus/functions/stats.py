@@ -82,17 +82,26 @@ def hypergeometric_tail_udf(k: pd.Series, total: pd.Series, good: pd.Series, dra
     return pd.Series(hypergeometric_tail(k.to_numpy(), total.to_numpy(), good.to_numpy(), drawn.to_numpy()))
 
 
+def log_choose(n, r) -> np.ndarray:
+    """Logarithm of the binomial coefficient; minus infinity where it is 0."""
+    n, r = np.broadcast_arrays(np.asarray(n, float), np.asarray(r, float))
+    ok = (r >= 0) & (r <= n)
+    safe = lambda v: np.where(ok, v, 0.0) + 1
+    return np.where(ok, lgamma(safe(n)) - lgamma(safe(r)) - lgamma(safe(n - r)), -np.inf)
+
+
 def conditional_tail(gamma: int, lam: int, alpha: int, m: int, n1: int, n2: int, total: int) -> float:
-    """P(at least lam of the n2 coloc cells are of the type, given alpha of them express highly)."""
-    lg = lambda n: math.lgamma(n + 1)
-    ch = lambda n, r: -math.inf if r < 0 or r > n else lg(n) - lg(r) - lg(n - r)
-    base = ch(n1, alpha) + ch(total - n1, n2 - alpha)
-    out = 0.0
-    for k in range(lam, min(m, n2) + 1):
-        for b in range(max(0, k - (m - gamma)), min(k, gamma, alpha) + 1):
-            v = ch(gamma, b) + ch(m - gamma, k - b) + ch(n1 - gamma, alpha - b) + ch(total - m - n1 + gamma, n2 - alpha - k + b)
-            out += math.exp(v - base) if v > -math.inf else 0.0
-    return min(1.0, out)
+    """P(at least lam of the n2 colocalized cells are of the type, given that alpha of them express the gene most).
+
+    Cells fall into four classes by type (m of them) and by expression (n1, of which gamma are of the type). Given alpha, the
+    colocalized cells of the type are a sum of two independent hypergeometric numbers: those among the alpha that express the
+    gene, and those among the other n2 - alpha. So the chance is a tail of a convolution of two distributions.
+    """
+    high = np.arange(0, alpha + 1)
+    low = np.arange(0, n2 - alpha + 1)
+    of_high = np.exp(log_choose(gamma, high) + log_choose(n1 - gamma, alpha - high) - log_choose(n1, alpha))
+    of_low = np.exp(log_choose(m - gamma, low) + log_choose(total - m - n1 + gamma, n2 - alpha - low) - log_choose(total - n1, n2 - alpha))
+    return float(min(1.0, np.convolve(of_high, of_low)[max(lam, 0) :].sum()))
 
 
 def poisson_binomial_head(p: np.ndarray, states: int) -> np.ndarray:
@@ -106,16 +115,32 @@ def poisson_binomial_head(p: np.ndarray, states: int) -> np.ndarray:
     return pmf
 
 
-def poisson_binomial_tail(p: np.ndarray, k: int) -> float:
-    """P(X >= k), summed from the upper side where that is shorter or the lower side is nearly all."""
+def poisson_binomial_states(k: int, n: int, variance: float) -> int:
+    """States 0, 1, ... that a tail from k is summed over: twelve deviations and some more."""
+    return int(min(n + 1, k + 64 + math.ceil(12 * math.sqrt(max(variance, 0.0)))))
+
+
+def upper_tail(pmf: np.ndarray, k: int, mean: float) -> float:
+    """P(X >= k) from the first states of a Poisson-binomial distribution.
+
+    Above the mean the chances from k on are summed, so nothing cancels however small they are; what lies beyond the last state
+    is bounded by a geometric series, for their ratios fall. Below the mean the tail is no small number and 1 less the head.
+    """
     if k <= 0:
         return 1.0
-    if k > len(p):
+    if k >= len(pmf):
         return 0.0
-    low = float(poisson_binomial_head(p, k).sum())
-    if low < 0.5:
-        return min(1.0, max(0.0, 1 - low))
-    return min(1.0, float(poisson_binomial_head(1 - np.asarray(p), len(p) - k + 1).sum()))
+    if k <= mean:
+        return min(1.0, max(0.0, 1 - float(pmf[:k].sum())))
+    last, before = pmf[-1], pmf[-2] if len(pmf) > 1 else 0.0
+    ratio = last / before if before > 0 else 0.0
+    return min(1.0, float(pmf[k:][::-1].sum()) + (last * ratio / (1 - ratio) if ratio < 1 else 0.0))
+
+
+def poisson_binomial_tail(p: np.ndarray, k: int) -> float:
+    """P(X >= k) for the sum of independent trials."""
+    p = np.asarray(p, float)
+    return upper_tail(poisson_binomial_head(p, poisson_binomial_states(k, len(p), float((p * (1 - p)).sum()))), k, float(p.sum())) if k <= len(p) else 0.0
 
 
 @pandas_udf(DoubleType())

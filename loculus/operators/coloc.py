@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources import store
 from . import joins
 
 PAIR = ["g1", "g2"]
@@ -105,46 +106,42 @@ def conditional_chances(e: DataFrame, counts: DataFrame, min_transcript: int = 0
 def conditional_p_values(e: DataFrame, counts: DataFrame, min_transcript: int = 0, eps: float = 1e-64, group: str | None = None, chunk: int = 20_000, observed_only: bool = True) -> DataFrame:
     """Per pair: obs, expected, pvalue = P(X >= obs) for the sum of the cells' chances.
 
-    Chances are cut into chunks by cell; each gives the head of its distribution, up to obs states, and heads of one pair are
-    convolved. So no task holds all cells of a pair.
+    Chances are cut into chunks by cell; each gives the first states of its distribution, as many as the tail is summed over,
+    and those of one pair are convolved. So no task holds all cells of a pair, and the p-value is as accurate with one chunk
+    as with many.
     """
     gk = [group] if group else []
     keys = gk + PAIR
     obs = e.groupBy(*keys).agg(F.count("*").alias("obs"))
-    c = conditional_chances(e, counts, min_transcript, eps, group, observed_only).join(obs, keys, "left").fillna(0, ["obs"])
+    c = conditional_chances(e, counts, min_transcript, eps, group, observed_only)
     cells = counts.select("cell").distinct().count()
     salts = max(1, -(-cells // chunk))
-    parts = c.withColumn("_s", F.pmod(F.xxhash64("cell"), F.lit(salts))).groupBy(*keys, "_s").agg(F.max("obs").alias("obs"), F.sum("p").alias("expected"), F.sort_array(F.collect_list("p")).alias("p"))
-    names = [*keys, "obs", "expected", "pvalue"]
-    kinds = ", ".join(f"{k} string" for k in keys)
-
-    if salts == 1:
-
-        def tails(batches):
-            for b in batches:
-                b["pvalue"] = [stats.poisson_binomial_tail(np.asarray(p), int(k)) for p, k in zip(b["p"], b["obs"], strict=True)]
-                yield b[names]
-
-        return parts.mapInPandas(tails, f"{kinds}, obs long, expected double, pvalue double")
+    p = F.col("p")
+    parts = c.withColumn("_s", F.pmod(F.xxhash64("cell"), F.lit(salts))).groupBy(*keys, "_s").agg(F.sum("p").alias("e"), F.sum(p * (1 - p)).alias("v"), F.sort_array(F.collect_list("p")).alias("p"))
+    parts = store.stored(parts)
+    total = parts.groupBy(*keys).agg(F.sum("e").alias("expected"), F.sum("v").alias("v"), F.sum(F.size("p")).alias("cells")).join(obs, keys, "left").fillna(0, ["obs"])
+    kinds = ", ".join(f"`{k}` string" for k in keys)
 
     def heads(batches):
         for b in batches:
-            b["head"] = [stats.poisson_binomial_head(np.asarray(p), int(k)) for p, k in zip(b["p"], b["obs"], strict=True)]
-            yield b[[*keys, "obs", "expected", "head"]]
+            states = [stats.poisson_binomial_states(int(k), int(n), float(v)) for k, n, v in zip(b["obs"], b["cells"], b["v"], strict=True)]
+            b["head"] = [stats.poisson_binomial_head(np.asarray(x), min(s, len(x) + 1)) if k > 0 else np.ones(1) for x, s, k in zip(b["p"], states, b["obs"], strict=True)]
+            b["states"] = states
+            yield b[[*keys, "obs", "expected", "states", "head"]]
 
-    h = parts.mapInPandas(heads, f"{kinds}, obs long, expected double, head array<double>")
-    h = h.groupBy(*keys).agg(F.max("obs").alias("obs"), F.sum("expected").alias("expected"), F.collect_list("head").alias("heads"))
+    h = parts.drop("v", "e").join(total, keys).mapInPandas(heads, f"{kinds}, obs long, expected double, states int, head array<double>")
+    h = h.groupBy(*keys).agg(F.max("obs").alias("obs"), F.max("expected").alias("expected"), F.max("states").alias("states"), F.collect_list("head").alias("heads"))
 
     def joined(batches):
         for b in batches:
             out = []
-            for k, heads_ in zip(b["obs"], b["heads"], strict=True):
+            for k, mean, states, parts_ in zip(b["obs"], b["expected"], b["states"], b["heads"], strict=True):
                 pmf = np.ones(1)
-                for x in heads_ if k > 0 else ():
-                    pmf = np.convolve(pmf, x)[: int(k)]
-                out.append(1.0 if k <= 0 else min(1.0, max(0.0, 1 - float(pmf.sum()))))
+                for x in parts_:
+                    pmf = np.convolve(pmf, x)[: int(states)]
+                out.append(stats.upper_tail(pmf, int(k), float(mean)))
             b["pvalue"] = out
-            yield b[names]
+            yield b[[*keys, "obs", "expected", "pvalue"]]
 
     return h.mapInPandas(joined, f"{kinds}, obs long, expected double, pvalue double")
 
@@ -176,8 +173,10 @@ def differential(e: DataFrame, counts: DataFrame, cells: DataFrame, wanted: str,
 
     uncond: hypergeometric tail of type cells among cells with the edge. marker: the same for cells that express the gene most
     (as many as there are type cells; ties by name). cond: given the overlap of both, where uncond <= gate, else uncond.
-    ``rest`` names the types to compare with (all others by default).
+    ``rest`` names the types to compare with (all others by default). Each pair of two genes has two rows, (g1, g2) and
+    (g2, g1): marker and cond are about cells that express the first gene of the row.
     """
+    e = e.select("cell", *PAIR).union(e.where("g1 <> g2").select("cell", F.col("g2").alias("g1"), F.col("g1").alias("g2")))
     t = cells.select("cell", (F.col(column) == wanted).alias("mine"), F.col(column).alias("_t"))
     t = t.where(F.col("_t").isin([wanted, *rest])) if rest else t
     t = t.drop("_t").join(counts.select("cell").distinct(), "cell", "left_semi")
@@ -201,6 +200,16 @@ def differential(e: DataFrame, counts: DataFrame, cells: DataFrame, wanted: str,
     return g.select(*cols).mapInPandas(cond, "g1 string, g2 string, n2 long, lam long, alpha long, gamma long, n1 long, m long, total long, uncond double, marker double, cond double")
 
 
+def differential_all(e: DataFrame, counts: DataFrame, cells: DataFrame, column: str = "celltype", gate: float = 1e-3) -> DataFrame:
+    """``differential`` of every type against all others, with the type as a column. Types are few; edges are read once each."""
+    e, counts = store.stored(e), store.stored(counts)
+    out = None
+    for kind in sorted(x[0] for x in cells.select(column).distinct().collect() if x[0] is not None):
+        one = differential(e, counts, cells, kind, None, column, gate).withColumn(column, F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def neighbour_frequency(e: DataFrame, cells: DataFrame, dist: float, min_neighbours: int = 1) -> DataFrame:
     """(g1, g2, cell, edge, freq): share of a cell's neighbours that have the edge, the global share where they are too few."""
     nb = joins.neighbour_cells(cells, dist)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from . import joins
 
 MILLION = 1_000_000
@@ -31,79 +32,129 @@ def local_composition(samples: DataFrame, tx: DataFrame, radius: float, keys: li
     return out.select(*extra, F.col("_cell").alias("cell"), "tx_id", "gene", "n", "total")
 
 
-def cell_composition(tx: DataFrame) -> DataFrame:
-    """(cell, gene, f): share of each gene among a cell's points."""
-    g = tx.groupBy("cell", "gene").agg(F.count("*").alias("n"))
-    t = tx.groupBy("cell").agg(F.count("*").alias("t"))
-    return g.join(t, "cell").select("cell", "gene", (F.col("n") / F.col("t")).alias("f"))
+def cell_composition(tx: DataFrame, group: str | None = None) -> DataFrame:
+    """(group, cell, gene, f): share of each gene among a cell's points."""
+    keys = [*([group] if group else []), "cell"]
+    g = tx.groupBy(*keys, "gene").agg(F.count("*").alias("n"))
+    t = g.groupBy(*keys).agg(F.sum("n").alias("t"))
+    return g.join(t, keys).select(*keys, "gene", (F.col("n") / F.col("t")).alias("f"))
 
 
-def gene_spread(f: DataFrame) -> DataFrame:
-    """(gene, sd): population standard deviation of the share over all cells, absent ones as 0; genes without spread are left out."""
-    cells = f.agg(F.count_distinct("cell").alias("c"))
-    g = f.groupBy("gene").agg(F.sum("f").alias("s"), F.sum(F.col("f") * F.col("f")).alias("q")).join(F.broadcast(cells))
+def gene_spread(f: DataFrame, group: str | None = None) -> DataFrame:
+    """(group, gene, sd): population standard deviation of the share over all cells (of the group), absent ones as 0; genes
+    without spread are left out."""
+    keys = [group] if group else []
+    cells = f.groupBy(*keys).agg(F.count_distinct("cell").alias("c"))
+    g = f.groupBy(*keys, "gene").agg(F.sum("f").alias("s"), F.sum(F.col("f") * F.col("f")).alias("q"))
+    g = g.join(cells, keys) if keys else g.join(F.broadcast(cells))
     var = F.col("q") / F.col("c") - (F.col("s") / F.col("c")) * (F.col("s") / F.col("c"))
-    return g.select("gene", F.sqrt(F.greatest(F.lit(0.0), var)).alias("sd")).where("sd > 1e-12")
+    return g.select(*keys, "gene", F.sqrt(F.greatest(F.lit(0.0), var)).alias("sd")).where("sd > 1e-12")
 
 
-def flux(local: DataFrame, tx: DataFrame) -> DataFrame:
-    """(cell, tx_id, gene, value): (local share - own cell's share) / spread, for genes in either."""
-    f = cell_composition(tx)
-    pts = local.select("cell", "tx_id").distinct()
-    own = pts.join(f, "cell")
-    near = local.select("cell", "tx_id", "gene", (F.col("n") / F.col("total")).alias("l"))
-    both = own.join(near, ["cell", "tx_id", "gene"], "full")
-    return both.join(gene_spread(f), "gene").select("cell", "tx_id", "gene", ((F.coalesce("l", F.lit(0.0)) - F.coalesce("f", F.lit(0.0))) / F.col("sd")).alias("value"))
+def flux(local: DataFrame, tx: DataFrame, group: str | None = None) -> DataFrame:
+    """(group, cell, tx_id, gene, value): (local share - own cell's share) / spread (in the group), for genes in either."""
+    keys = [*([group] if group else []), "cell"]
+    f = cell_composition(tx, group)
+    pts = local.select(*keys, "tx_id").distinct()
+    own = pts.join(f, keys)
+    near = local.select(*keys, "tx_id", "gene", (F.col("n") / F.col("total")).alias("l"))
+    both = own.join(near, [*keys, "tx_id", "gene"], "full")
+    spread = gene_spread(f, group)
+    value = (F.coalesce("l", F.lit(0.0)) - F.coalesce("f", F.lit(0.0))) / F.col("sd")
+    return both.join(spread, [*([group] if group else []), "gene"]).select(*keys, "tx_id", "gene", value.alias("value"))
 
 
-def embed(values: DataFrame, k: int = 3) -> DataFrame:
-    """(cell, tx_id, e1..ek): projection on the k leading right singular vectors, no centring.
-
-    The genes x genes matrix of products is aggregated in Spark; only it (genes squared) reaches the driver. Each vector's
-    largest loading is positive.
-    """
-    gram = values.alias("a").join(values.alias("b"), ["cell", "tx_id"]).where("a.gene <= b.gene").groupBy(F.col("a.gene").alias("g1"), F.col("b.gene").alias("g2")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("v"))
-    rows = gram.collect()
-    genes = sorted({r["g1"] for r in rows} | {r["g2"] for r in rows})
+def loadings(rows: list[tuple[str, str, float]], k: int) -> list[tuple]:
+    """(gene, v1, ..., vk): leading eigenvectors of a symmetric table (gene, gene, value); each one's largest loading is positive."""
+    genes = sorted({r[0] for r in rows} | {r[1] for r in rows})
     at = {g: i for i, g in enumerate(genes)}
     m = np.zeros((len(genes), len(genes)))
-    for r in rows:
-        m[at[r["g1"]], at[r["g2"]]] = m[at[r["g2"]], at[r["g1"]]] = r["v"]
-    vec = np.linalg.eigh(m)[1][:, ::-1][:, :k] if len(genes) else np.zeros((0, k))
-    vec = vec * np.where(vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])] < 0, -1, 1) if len(genes) else vec
-    table = pd.DataFrame(vec, columns=[f"v{i}" for i in range(1, vec.shape[1] + 1)]).assign(gene=genes)
-    load = F.broadcast(values.sparkSession.createDataFrame(table)) if len(genes) else None
-    if load is None:
-        return values.select("cell", "tx_id").distinct().select("*", *[F.lit(0.0).alias(f"e{i}") for i in range(1, k + 1)])
-    return values.join(load, "gene").groupBy("cell", "tx_id").agg(*[F.sum(F.col("value") * F.col(f"v{i}")).alias(f"e{i}") for i in range(1, vec.shape[1] + 1)])
-
-
-def quantile_normalize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Each column between its two quantiles to [0.1, 0.9], the order reversed; 0.5 where the quantiles are equal."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"q_{c}") for c in columns])
-    out = df.join(F.broadcast(q))
+    for a, b, v in rows:
+        m[at[a], at[b]] = m[at[b], at[a]] = v
+    vec = np.linalg.eigh(m)[1][:, ::-1][:, :k]
+    vec = vec * np.where(vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])] < 0, -1, 1)
+    vec = np.c_[vec, np.zeros((len(genes), k - vec.shape[1]))]
+    return [(g, *row) for g, row in zip(genes, vec.tolist(), strict=True)]
+
+
+def embed(values: DataFrame, k: int = 3, group: str | None = None) -> DataFrame:
+    """(group, cell, tx_id, e1..ek): projection on the k leading right singular vectors (of the group), no centring.
+
+    The genes x genes matrix of products is aggregated in Spark; one task per group holds it (genes squared, whatever the number
+    of points) and gives the vectors, one row a gene. Nothing reaches the driver.
+    """
+    keys = [group] if group else []
+    pts = [*keys, "cell", "tx_id"]
+    v = values.withColumn("_g", F.lit(0)) if not keys else values.withColumn("_g", F.col(group))
+    a, b = v.select("_g", *pts, F.col("gene").alias("g1"), F.col("value").alias("_a")), v.select(*pts, F.col("gene").alias("g2"), F.col("value").alias("_b"))
+    gram = a.join(b, pts).where("g1 <= g2").groupBy("_g", "g1", "g2").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    kind = v.schema["_g"].dataType.simpleString()
+    names = [f"v{i}" for i in range(1, k + 1)]
+
+    def fit(d: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(loadings(list(zip(d["g1"], d["g2"], d["v"], strict=True)), k), columns=["gene", *names])
+        out.insert(0, "_g", d["_g"].iloc[0])
+        return out
+
+    load = gram.groupBy("_g").applyInPandas(fit, f"_g {kind}, gene string, " + ", ".join(f"{n} double" for n in names))
+    return v.join(load, ["_g", "gene"]).groupBy(*pts).agg(*[F.sum(F.col("value") * F.col(n)).alias(f"e{n[1:]}") for n in names])
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], group: str | None = None, buckets: int = 1024) -> DataFrame:
+    """(group, q): interpolated exact quantiles of a column, as an array in the order of the shares.
+
+    Two passes: values are counted in buckets between the extremes, so the bucket of each wanted rank is known; only values of
+    those buckets are then ranked. No task sorts the whole column. Null values are left out.
+    """
+    keys = [group] if group else []
+    d = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
+    ends = d.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    with_ends = (lambda x: x.join(F.broadcast(ends), keys)) if keys else (lambda x: x.join(F.broadcast(ends)))
+    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))).otherwise(0).cast("int")
+    placed = with_ends(d).withColumn("b", bucket)
+    sizes = placed.groupBy(*keys, "b").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    before = sizes.withColumn("end", F.sum("c").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("b")))  # one row a bucket
+    ranks = F.array(*[F.struct(F.floor(s * (F.col("n") - 1)).alias("r"), F.ceil(s * (F.col("n") - 1)).alias("t")) for s in map(F.lit, shares)])
+    hit = F.exists(ranks, lambda x: ((x["r"] < F.col("end")) & (x["r"] >= F.col("end") - F.col("c"))) | ((x["t"] < F.col("end")) & (x["t"] >= F.col("end") - F.col("c"))))
+    wanted = before.where(hit).select(*keys, "b", (F.col("end") - F.col("c")).alias("skip"))
+    near = placed.join(F.broadcast(wanted), [*keys, "b"]).withColumn("rank", F.col("skip") + F.row_number().over(Window.partitionBy(*keys, "b").orderBy("v")) - 1)
+    ends_of = [F.max(F.when(F.col("rank") == f(F.lit(s) * (F.col("n") - 1)), F.col("v"))) for s in shares for f in (F.floor, F.ceil)]
+    g = near.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*ends_of).alias("e"))
+    part = lambda i, s: F.lit(s) * (F.col("n") - 1) - F.floor(F.lit(s) * (F.col("n") - 1))
+    return g.select(*keys, F.array(*[F.col("e")[2 * i] + part(i, s) * (F.col("e")[2 * i + 1] - F.col("e")[2 * i]) for i, s in enumerate(shares)]).alias("q"))
+
+
+def quantile_normalize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, group: str | None = None) -> DataFrame:
+    """Each column between its two quantiles (of the group) to [0.1, 0.9], the order reversed; 0.5 where they are equal."""
+    out = df
     for c in columns:
-        lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
+        q = exact_quantiles(df, c, [low, high], group).withColumnRenamed("q", "_q")
+        out = out.join(F.broadcast(q), group, "left") if group else out.join(F.broadcast(q), how="left")
+        lo, hi = F.col("_q")[0], F.col("_q")[1]
         unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - lo) / (hi - lo)))
-        out = out.withColumn(c, F.when(hi > lo, 0.9 - 0.8 * unit).otherwise(0.5))
-    return out.drop(*[f"q_{c}" for c in columns])
+        out = out.withColumn(c, F.when(hi > lo, 0.9 - 0.8 * unit).otherwise(0.5)).drop("_q")
+    return out
 
 
-def interpolate(samples: DataFrame, tx: DataFrame, columns: list[str], neighbours: int = 3) -> DataFrame:
+def interpolate(samples: DataFrame, tx: DataFrame, columns: list[str], neighbours: int = 3, group: str | None = None) -> DataFrame:
     """Values of the sampled points for all points of their cell: inverse-distance mean of the nearest sampled points.
 
-    A cell without samples gets the mean of all samples. Points of a cell are processed in chunks against its samples.
+    A cell without samples gets the mean of all samples (of its group). Points of a cell are processed in chunks against its
+    samples.
     """
-    means = F.broadcast(samples.agg(*[F.avg(c).alias(f"m_{c}") for c in columns]))
-    s = samples.groupBy("cell").agg(F.collect_list(F.struct("x", "y", *columns)).alias("s"))
-    p = tx.join(s, "cell", "left").join(means)
-    kinds = ", ".join(f"{c} double" for c in columns)
+    keys = [group] if group else []
+    pts = [*keys, "cell", "tx_id"]
+    means = samples.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
+    s = samples.groupBy(*keys, "cell").agg(F.collect_list(F.struct("x", "y", *columns)).alias("s"))
+    p = tx.join(s, [*keys, "cell"], "left")
+    p = p.join(F.broadcast(means), keys, "left") if keys else p.join(F.broadcast(means), how="left")
+    kinds = ", ".join([*(f"`{k}` {tx.schema[k].dataType.simpleString()}" for k in pts), *(f"{c} double" for c in columns)])
 
     def run(batches):
         for b in batches:
-            out = b[["cell", "tx_id"]].copy()
+            out = b[pts].copy()
             vals = b[[f"m_{c}" for c in columns]].to_numpy(float).copy()
-            for _, at in b.groupby("cell").indices.items():
+            for _, at in b.groupby([*keys, "cell"]).indices.items():
                 near = b["s"].iloc[at[0]]
                 if near is None or not len(near):
                     continue
@@ -118,7 +169,7 @@ def interpolate(samples: DataFrame, tx: DataFrame, columns: list[str], neighbour
                 out[c] = vals[:, i]
             yield out
 
-    return p.select("cell", "tx_id", "x", "y", "s", *[f"m_{c}" for c in columns]).mapInPandas(run, f"cell string, tx_id long, {kinds}")
+    return p.select(*pts, "x", "y", "s", *[f"m_{c}" for c in columns]).mapInPandas(run, kinds)
 
 
 def fit_map(x: np.ndarray, k: int, iterations: int = 1000, sigma: float = 1.0, rate: float = 0.5, seed: int = 42) -> np.ndarray:
@@ -148,31 +199,59 @@ def elbow(errors: dict[int, float]) -> int:
     return best
 
 
-def subdomains(values: DataFrame, columns: list[str], k: int | None = None, sizes: range = range(2, 13), max_rows: int = 20_000, iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """Adds subdomain: the nearest node of a map that was fitted on at most max_rows rows, chosen by hash.
+def fitted(x: np.ndarray, k: int | None, sizes: range, iterations: int, seed: int) -> np.ndarray:
+    """Nodes of a map of k of them, or of as many as the elbow of the errors says."""
+    if k is not None:
+        return fit_map(x, k, iterations, seed=seed)
+    fits = {s: fit_map(x, s, iterations, seed=seed) for s in sizes}
+    return fits[elbow({s: float(np.sqrt(((x[:, None] - w[None]) ** 2).sum(axis=2)).min(axis=1).mean()) for s, w in fits.items()})]
+
+
+def subdomains(values: DataFrame, columns: list[str], k: int | None = None, sizes: range = range(2, 13), max_rows: int = 20_000, iterations: int = 1000, seed: int = 42, group: str | None = None) -> DataFrame:
+    """Adds subdomain: the nearest node of a map (of the group) that was fitted on about max_rows rows at most, chosen by hash.
 
-    Assignment covers every row with column expressions; only the bounded fitting sample reaches the driver.
+    A map of 1000 steps sees at most 1000 rows, so the bound loses nothing that the fit would use. Each group's map is fitted
+    in one task on its bounded sample; assignment covers every row with column expressions. A group whose map can't be fitted
+    (no rows, no elbow) has null subdomains, and ``status`` tables say why.
     """
+    keys = [group] if group else []
     h = F.xxhash64(F.lit(seed), "cell", "tx_id")
-    n = values.count()
-    part = values if n <= max_rows else values.where(F.pmod(h, F.lit(MILLION)) < int(max_rows / n * MILLION))
-    x = part.orderBy(h).select(*columns).limit(max_rows).toPandas().to_numpy(float)
-    if not len(x):
-        raise ValueError("subdomains: no rows")
-    if k is None:
-        fits = {s: fit_map(x, s, iterations, seed=seed) for s in sizes}
-        k = elbow({s: float(np.sqrt(((x[:, None] - w[None]) ** 2).sum(axis=2)).min(axis=1).mean()) for s, w in fits.items()})
-        w = fits[k]
-    else:
-        w = fit_map(x, k, iterations, seed=seed)
-    dist = [F.struct(sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, row, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, row in enumerate(w)]
-    return values.withColumn("subdomain", F.array_min(F.array(*dist))["i"])
+    sizes_of = values.groupBy(*keys).agg(F.count("*").alias("_n"))
+    part = values.join(F.broadcast(sizes_of), keys) if keys else values.join(F.broadcast(sizes_of))
+    part = part.where(F.pmod(h, F.lit(MILLION)) < F.ceil(F.lit(max_rows * MILLION) / F.col("_n"))).withColumn("_h", h)
+    part = part.withColumn("_g", F.col(group) if group else F.lit(0))
+    kind = part.schema["_g"].dataType.simpleString()
+
+    def fit(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["_h", *columns])
+        try:
+            w, said = fitted(d[columns].to_numpy(float)[:max_rows], k, sizes, iterations, seed).tolist(), "done"
+        except ValueError as problem:
+            w, said = [], f"failed: {problem}"
+        return pd.DataFrame({"_g": [d["_g"].iloc[0]], "nodes": [w], "status": [said]})
+
+    maps = part.select("_g", "_h", *columns).groupBy("_g").applyInPandas(fit, f"_g {kind}, nodes array<array<double>>, status string")
+    v = values.withColumn("_g", F.col(group) if group else F.lit(0)).join(F.broadcast(maps), "_g", "left")
+    far = lambda w: sum(((F.col(c) - w[i]) * (F.col(c) - w[i]) for i, c in enumerate(columns)), F.lit(0.0))
+    nearest = F.array_min(F.transform("nodes", lambda w, i: F.struct(far(w).alias("d"), i.alias("i"))))["i"]
+    return v.withColumn("subdomain", nearest).drop("_g", "nodes")
 
 
 def compartments(tx: DataFrame, fraction: float = 0.01, radius: float = 40.0, group: str = "batch", same_cell: bool = False, k: int | None = None) -> DataFrame:
-    """Point table: cell, tx_id, e1..e3 (normalized) and subdomain for all points."""
+    """Point table: group, cell, tx_id, all other columns of tx, e1..e3 (normalized), subdomain and status for all points.
+
+    Every step is by group: neighbourhoods, spread, vectors, quantiles and map. A group that fails leaves the others as they are.
+    """
     keys = [group] + (["cell"] if same_cell else [])
     s = sample_points(tx, fraction)
-    e = quantile_normalize(embed(flux(local_composition(s, tx, radius, keys), tx)), ["e1", "e2", "e3"])
-    at = e.join(s.select("cell", "tx_id", "x", "y"), ["cell", "tx_id"])
-    return subdomains(interpolate(at, tx, ["e1", "e2", "e3"]), ["e1", "e2", "e3"], k)
+    around = local_composition(s, tx, radius, keys)
+    e = store.stored(embed(flux(around, tx, group), 3, group))
+    e = quantile_normalize(e, ["e1", "e2", "e3"], group=group)
+    at = e.join(s.select(group, "cell", "tx_id", "x", "y"), [group, "cell", "tx_id"])
+    out = subdomains(store.stored(interpolate(at, tx, ["e1", "e2", "e3"], group=group)), ["e1", "e2", "e3"], k, group=group)
+    return tx.join(out, [group, "cell", "tx_id"])
+
+
+def group_status(points: DataFrame, group: str = "batch") -> DataFrame:
+    """(group, status, n_points, n_cells, n_subdomains) of a point table."""
+    return points.groupBy(group).agg(F.first("status").alias("status"), F.count("*").alias("n_points"), F.count_distinct("cell").alias("n_cells"), F.count_distinct("subdomain").alias("n_subdomains"))

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from ..sources.bundle import Bundle
 from . import geometry
 
@@ -52,9 +53,10 @@ def synchronize(b: Bundle) -> Bundle:
     return replace(b, transcripts=tx, vertices=v.join(seen, "cell", "left_semi"), cells=None if b.cells is None else b.cells.join(seen, "cell", "left_semi"))
 
 
-def first_cells(tx: DataFrame, n: int) -> DataFrame:
-    """Rows of the n first cells by name."""
-    return tx.join(tx.select("cell").distinct().orderBy("cell").limit(n), "cell", "left_semi")
+def first_cells(tx: DataFrame, n: int, by: str = "tx_id") -> DataFrame:
+    """Rows of the n cells that appear first: by the least value of a column that tells the rows' order, then by name."""
+    first = tx.groupBy("cell").agg(F.min(by).alias("_first")).orderBy("_first", "cell").limit(n).select("cell")
+    return tx.join(first, "cell", "left_semi")
 
 
 def subset_cells(b: Bundle, cells: DataFrame) -> Bundle:
@@ -64,27 +66,43 @@ def subset_cells(b: Bundle, cells: DataFrame) -> Bundle:
 
 def stats(tx: DataFrame, stage: str = "") -> DataFrame:
     """One row: stage and the four funnel counts. Counts of pairs come first, so one shuffle of pairs does for all."""
-    pairs = tx.groupBy("cell", "gene").agg(F.count("*").alias("n"))
-    return pairs.agg(F.count_distinct("cell").alias("n_cells"), F.count_distinct("gene").alias("n_genes"), F.sum("n").alias("n_transcripts"), F.count("*").alias("n_cell_gene_pairs")).select(F.lit(stage).alias("stage"), *FUNNEL)
+    return _funnel(tx.groupBy("cell", "gene").agg(F.count("*").alias("n")), stage)
+
+
+def _funnel(pairs: DataFrame, stage: str) -> DataFrame:
+    """The counts of a stage from its table (cell, gene, n)."""
+    counts = (F.count_distinct("cell").alias("n_cells"), F.count_distinct("gene").alias("n_genes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_transcripts"), F.count("*").alias("n_cell_gene_pairs"))
+    return pairs.agg(*counts).select(F.lit(stage).alias("stage"), *FUNNEL)
 
 
 def prefilter(b: Bundle, k_transcripts: int = 6, k_cells: int = 10, q_low: float = 0.025, q_high: float = 0.975, min_cells: int = 10) -> tuple[Bundle, DataFrame]:
-    """The filters in their fixed order and the table of counts after each."""
-    report = [stats(b.transcripts, "0_input")]
+    """The filters in their fixed order and the table of counts after each.
+
+    All of them judge whole (cell, gene) pairs, so they run on the table of pair counts, written once; the points are read
+    twice: to be counted, and to be joined with the pairs that are left.
+    """
+    pairs = store.stored(b.transcripts.groupBy("cell", "gene").agg(F.count("*").alias("n")))
+    stages = [("0_input", pairs)]
     cells = nc_ratio_cells(b.vertices, q_low, q_high, min_cells)
-    if cells is not None:
-        b = subset_cells(b, cells)
-    report.append(stats(b.transcripts, "1_nc_ratio"))
-    b = b.with_transcripts(min_transcripts(b.transcripts, k_transcripts))
-    report.append(stats(b.transcripts, "2_cell_gene"))
-    b = b.with_transcripts(min_cells_of_gene(b.transcripts, k_cells))
-    report.append(stats(b.transcripts, "3_gene"))
-    b = synchronize(b)
-    report.append(stats(b.transcripts, "4_synchronized"))
-    out = report[0]
-    for r in report[1:]:
-        out = out.unionByName(r)
-    return b, out
+    left = pairs if cells is None else pairs.join(cells.select("cell"), "cell", "left_semi")
+    stages.append(("1_nc_ratio", left))
+    left = left.where(F.col("n") >= k_transcripts)
+    stages.append(("2_cell_gene", left))
+    often = left.groupBy("gene").agg(F.count("*").alias("_c")).where(F.col("_c") >= k_cells).select("gene")
+    left = left.join(often, "gene", "left_semi")
+    stages.append(("3_gene", left))
+    known = b.vertices.where("kind = 'cell'").select("cell").distinct()
+    nuclei = b.vertices.where("kind = 'nucleus'").select("cell").distinct()
+    known = known.join(nuclei, "cell", "left_semi") if nuclei.take(1) else known
+    left = store.stored(left.join(known, "cell", "left_semi"))
+    stages.append(("4_synchronized", left))
+    report = None
+    for name, table in stages:
+        one = _funnel(table, name)
+        report = one if report is None else report.unionByName(one)
+    seen = left.select("cell").distinct()
+    keep = lambda df: None if df is None else df.join(seen, "cell", "left_semi")
+    return Bundle(b.transcripts.join(left.select("cell", "gene"), ["cell", "gene"], "left_semi"), keep(b.vertices), keep(b.cells)), report
 
 
 def top_genes(tx: DataFrame, n_genes: int, n_spots: int | None = None) -> DataFrame:
@@ -120,33 +138,29 @@ def random_cells(tx: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return tx.join(ids, "cell", "left_semi")
 
 
-def allocate(sizes: dict[str, int], target: int) -> dict[str, int]:
-    """Shares of target by stratum size: proportional and rounded down, one at least if target allows, never above the size.
+def allocated(sizes: DataFrame, target: int) -> DataFrame:
+    """(stratum, share) from (stratum, size): proportional shares of target, never above the size.
 
-    What is left goes round by descending remainder; what is too much comes off the largest share.
+    By largest remainders: a stratum's places are one at least (if target allows one each), then its whole share, then one more
+    in the order of the remainders; the first ``target`` places in this order are filled. One window over places says it all,
+    and there are at most ``target`` + twice the number of strata of them.
     """
-    sizes = {k: n for k, n in sizes.items() if n > 0}
-    total = sum(sizes.values())
-    target = min(target, total)
-    if not sizes or target <= 0:
-        return dict.fromkeys(sizes, 0)
-    exact = {k: target * n / total for k, n in sizes.items()}
-    got = {k: min(sizes[k], max(int(exact[k]), 1 if target >= len(sizes) else 0)) for k in sizes}
-    by_rest = sorted(sizes, key=lambda k: (-(exact[k] - int(exact[k])), k))
-    while sum(got.values()) < target:
-        for k in by_rest:
-            if sum(got.values()) < target and got[k] < sizes[k]:
-                got[k] += 1
-    while sum(got.values()) > target:
-        k = max(sorted(got), key=lambda g: got[g])
-        got[k] -= 1
-    return got
+    whole = Window.partitionBy(F.lit(0))
+    s = sizes.where("size > 0").withColumns({"_all": F.sum("size").over(whole), "_k": F.count("*").over(whole)})
+    s = s.withColumn("_want", F.least(F.lit(target).cast("long"), F.col("_all"))).withColumn("_exact", F.col("size") * F.col("_want") / F.col("_all"))
+    place = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("size"), F.floor("_exact").cast("long") + 1)))
+    p = s.select("*", place.alias("_place"))
+    rest = F.col("_exact") - F.floor("_exact")
+    turn = F.when((F.col("_place") == 1) & (F.col("_want") >= F.col("_k")), 0).when(F.col("_place") <= F.col("_exact"), 1).otherwise(2)
+    order = Window.partitionBy(F.lit(0)).orderBy(turn, F.when(turn == 2, -rest).otherwise(-(F.col("_exact") - F.col("_place"))), "stratum")
+    got = p.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_want")).groupBy("stratum").agg(F.count("*").alias("share"))
+    return s.select("stratum").join(got, "stratum", "left").fillna(0, ["share"])
 
 
 def sample_cells(tx: DataFrame, cells: DataFrame | None = None, n: int | None = None, fraction: float | None = None, seed: int = 42, stratum: str | None = None) -> DataFrame:
     """(cell, stratum) of sampled cells: n of them or a fraction, by strata if asked for. The choice is by hash, so repeatable.
 
-    Only the sizes of the strata reach the driver.
+    Only the number of cells reaches the driver.
     """
     if (n is None) == (fraction is None):
         raise ValueError("give either n or fraction")
@@ -158,13 +172,11 @@ def sample_cells(tx: DataFrame, cells: DataFrame | None = None, n: int | None =
         if stratum not in source.columns:
             raise ValueError(f"no column {stratum}")
         ids = ids.join(source.groupBy("cell").agg(F.min(F.col(stratum).cast("string")).alias("stratum")), "cell", "left").withColumn("stratum", F.coalesce("stratum", F.lit("__missing__")))
-    sizes = {r["stratum"]: r["count"] for r in ids.groupBy("stratum").count().collect()}
-    total = sum(sizes.values())
-    want = max(1, min(total, n if n is not None else round(total * fraction)))
-    share = allocate(sizes, want)
-    quota = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
+    sizes = ids.groupBy("stratum").agg(F.count("*").alias("size"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    share = allocated(sizes, max(1, min(total, n if n is not None else round(total * fraction))))
     w = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), "cell"), "cell")
-    return ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota[F.col("stratum")]).drop("_r")
+    return ids.withColumn("_r", F.row_number().over(w)).join(F.broadcast(share), "stratum").where(F.col("_r") <= F.col("share")).select("cell", "stratum")
 
 
 def clean_p(df: DataFrame, column: str = "pvalue") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, coloc, compartment, features, geometry, prefilter, region, summary
 from ..sources import bundle as bundles
+from ..sources import store
 from ..sources.bundle import Bundle
 
 
@@ -35,7 +36,7 @@ def feature_table(b: Bundle, iterations: int = 200, pairs: int = 4, pre: Prefilt
 
 def patterns(table: DataFrame, model_path: str, fallback_path: str | None = None, threshold: float = 0.5) -> DataFrame:
     load = classify.PatternModel.load
-    return classify.predict_with_fallback(table.persist(), load(model_path), (lambda: load(fallback_path)) if fallback_path else None, threshold)
+    return classify.predict_with_fallback(store.stored(table), load(model_path), (lambda: load(fallback_path)) if fallback_path else None, threshold)
 
 
 @dataclass(frozen=True)
@@ -57,11 +58,12 @@ def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb
         b = prefilter.subset_cells(b, sample)
     tx = bundles.attach(b.transcripts, b.cells, group).where(F.col(group).isNotNull()) if group else b.transcripts
     dims = ("x", "y", "z") if "z" in tx.columns and not use_2d else ("x", "y")
-    pp = coloc.proximal_pairs(tx, distance, min_genecount, group, dims)
+    tx = store.stored(tx)
+    pp = store.stored(coloc.proximal_pairs(tx, distance, min_genecount, group, dims))
     e = coloc.edges(pp, pp_alpha)
-    counts = coloc.gene_counts(tx, ([group] if group else []) + ["cell"])
+    counts = store.stored(coloc.gene_counts(tx, ([group] if group else []) + ["cell"]))
     cpb = coloc.conditional_p_values(e, counts, 0, 1e-64 if precision == "high" else 1e-16, group)
-    sig = coloc.significant(prefilter.clean_p(cpb), cpb_alpha)
+    sig = store.stored(coloc.significant(prefilter.clean_p(cpb), cpb_alpha))
     out = sig.select(*([group] if group else []), F.col("g1").alias("gene_1"), F.col("g2").alias("gene_2"), F.col("pvalue").alias("cpb_pvalue"), F.col("pvalue_raw").alias("cpb_pvalue_raw"), F.col("expected").alias("expected_coloc"), F.lit(distance).alias("distance_threshold"), F.lit(pp_alpha).alias("pp_alpha"), F.lit(cpb_alpha).alias("cpb_alpha"), F.col("obs").alias("n_cells_pp_significant"))
     regions = None
     if with_regions:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .operators import classify, coloc, compartment, features, geometry, joins, prefilter, region, summary, views
 from .sources import bundle as bundles
+from .sources import store
 from .sources.fixture import CTES, fixture
 
 DIGITS = 6
@@ -158,9 +159,11 @@ def synchronize_cells(spark, sf):
     return prefilter.synchronize(b).transcripts.groupBy("cell").agg(F.count("*").alias("n"))
 
 
-@query(with_("SELECT cell, count(*) AS n FROM tx WHERE cell IN (SELECT DISTINCT cell FROM tx ORDER BY cell LIMIT 7) GROUP BY cell"))
+@query(with_("SELECT cell, count(*) AS n FROM tx WHERE cell IN (SELECT cell FROM (SELECT cell, min(tx_id * 1000 + cell::INT * 37 % 101) AS seen FROM tx GROUP BY cell) ORDER BY seen, cell LIMIT 7) GROUP BY cell"))
 def first_cells(spark, sf):
-    return prefilter.first_cells(fixture(spark, sf).transcripts, 7).groupBy("cell").agg(F.count("*").alias("n"))
+    """In the order of a column that says when a row was seen."""
+    t = fixture(spark, sf).transcripts.withColumn("seen", F.col("tx_id") * 1000 + F.col("cell").cast("int") * 37 % 101)
+    return prefilter.first_cells(t, 7, "seen").groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def _funnel(name: str, table: str) -> str:
@@ -211,10 +214,12 @@ def random_cells(spark, sf):
     return prefilter.random_cells(fixture(spark, sf).transcripts, 5).select("cell").distinct()
 
 
-@query(with_("SELECT gene, count(*) AS n, count(DISTINCT cell) AS cells FROM tx GROUP BY gene"))
+@query(with_("SELECT * FROM (SELECT 'gene' AS what, gene AS name, count(*) AS n FROM tx GROUP BY gene) UNION ALL (SELECT 'cell', cell, count(*) FROM tx GROUP BY cell)"))
 def randomized_labels(spark, sf):
-    """Permuted labels keep each gene's counts by cell, which is what the SQL checks."""
-    return bundles.shuffled_genes(fixture(spark, sf).transcripts).groupBy("gene").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("cells"))
+    """Permuted labels keep the numbers of points of each gene and of each cell, which is what the SQL checks."""
+    t = bundles.shuffled_genes(fixture(spark, sf).transcripts)
+    count = lambda c: t.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(c).alias("what"), "name", "n")
+    return count("gene").unionByName(count("cell"))
 
 
 @query(with_(f"SELECT cell, {r('pv', 'p')} , {r('least(1.0, greatest(0.0, coalesce(pv, 1.0)))', 'p_clean')} FROM (SELECT cell, CASE WHEN cell::INT % 5 = 0 THEN NULL ELSE cell::INT / 50.0 - 0.1 END AS pv FROM cells)"))
@@ -399,7 +404,7 @@ cpb AS (SELECT ch.g1, ch.g2, coalesce(max(obs), 0) AS obs, sum(p) AS expected, c
 def _edges(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = fixture(spark, sf)
     pp = coloc.proximal_pairs(b.transcripts)
-    return pp, coloc.edges(pp, 0.05), coloc.gene_counts(b.transcripts, ["cell"])
+    return pp, store.stored(coloc.edges(pp, 0.05)), store.stored(coloc.gene_counts(b.transcripts, ["cell"]))
 
 
 @query(with_(f"SELECT g1, g2, obs, {r('expected', 'expected')}, n_cells FROM cpb", CLOSE, PP, EDGE, CPB))
@@ -436,7 +441,7 @@ def proximal_pairs_grouped(spark, sf):
 
 
 @query(with_("""SELECT e2.g1, e2.g2, count(*) AS n2, sum(e2.mine)::BIGINT AS lam, count(hi.cell) AS alpha, any_value(gamma) AS gamma, any_value(n1) AS n1, (SELECT sum(mine)::BIGINT FROM ty) AS m, (SELECT count(*) FROM ty) AS total
-  FROM (SELECT e.*, mine FROM e JOIN ty USING (cell)) e2 LEFT JOIN hi ON hi.gene = e2.g1 AND hi.cell = e2.cell JOIN gm ON gm.gene = e2.g1 GROUP BY e2.g1, e2.g2""", CLOSE, PP, EDGE, "ty AS (SELECT cell, (celltype = '1')::INT AS mine FROM cells WHERE cell IN (SELECT cell FROM cnt))",
+  FROM (SELECT o.*, mine FROM (SELECT cell, g1, g2 FROM e UNION ALL SELECT cell, g2, g1 FROM e WHERE g1 <> g2) o JOIN ty USING (cell)) e2 LEFT JOIN hi ON hi.gene = e2.g1 AND hi.cell = e2.cell JOIN gm ON gm.gene = e2.g1 GROUP BY e2.g1, e2.g2""", CLOSE, PP, EDGE, "ty AS (SELECT cell, (celltype = '1')::INT AS mine FROM cells WHERE cell IN (SELECT cell FROM cnt))",
     "hi AS (SELECT gene, cell, mine FROM (SELECT cnt.gene, cnt.cell, mine, row_number() OVER (PARTITION BY gene ORDER BY n DESC, cell) AS q FROM cnt JOIN ty USING (cell)) WHERE q <= (SELECT sum(mine) FROM ty))", "gm AS (SELECT gene, sum(mine)::BIGINT AS gamma, count(*) AS n1 FROM hi GROUP BY gene)"))
 def differential_counts(spark, sf):
     _, e, c = _edges(spark, sf)
@@ -576,6 +581,28 @@ def gene_spread(spark, sf):
     return rounded(compartment.gene_spread(compartment.cell_composition(fixture(spark, sf).transcripts)))
 
 
+@query(with_(f"SELECT batch, gene, {r('sd', 'sd')} FROM (SELECT batch, gene, sqrt(greatest(0.0, sum(f * f) / c - (sum(f) / c) * (sum(f) / c))) AS sd FROM (SELECT batch, cell, gene, n / sum(n) OVER (PARTITION BY cell) AS f FROM (SELECT batch, cell, gene, count(*) AS n FROM tx JOIN cells USING (cell) GROUP BY ALL)) JOIN (SELECT batch, count(*) AS c FROM cells SEMI JOIN tx USING (cell) GROUP BY batch) USING (batch) GROUP BY batch, gene, c) WHERE sd > 1e-12"))
+def gene_spread_by_batch(spark, sf):
+    b = fixture(spark, sf)
+    t = bundles.attach(b.transcripts, b.cells, "batch", "batch0")
+    return rounded(compartment.gene_spread(compartment.cell_composition(t, "batch"), "batch"))
+
+
+@query(with_(f"SELECT batch, tx_id, cell, {r('CASE WHEN hi > lo THEN 0.9 - 0.8 * greatest(0.0, least(1.0, (y - lo) / (hi - lo))) ELSE 0.5 END', 'y')} FROM tx JOIN cells USING (cell) JOIN (SELECT batch, quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM tx JOIN cells USING (cell) GROUP BY batch) USING (batch)"))
+def quantile_normalized_by_batch(spark, sf):
+    b = fixture(spark, sf)
+    t = bundles.attach(b.transcripts, b.cells, "batch", "batch0").select("batch", "cell", "tx_id", "y")
+    return rounded(compartment.quantile_normalize(t, ["y"], group="batch"))
+
+
+@query(with_("SELECT batch, 'done' AS status, count(*) AS n_points, count(DISTINCT cell) AS n_cells FROM tx JOIN cells USING (cell) GROUP BY batch"))
+def compartment_status(spark, sf):
+    """Every batch is fitted by itself, with the search for the number of nodes."""
+    b = fixture(spark, sf)
+    t = bundles.attach(b.transcripts, b.cells, "batch", "batch0")
+    return compartment.group_status(compartment.compartments(t, 0.05, 10.0, "batch", True, 4), "batch").drop("n_subdomains")
+
+
 FLUX = "fx AS (SELECT cell, tx_id, gene, (coalesce(l, 0) - coalesce(f, 0)) / sd AS value FROM (SELECT cell, tx_id, gene, n / total AS l FROM lt) FULL JOIN (SELECT s.cell, s.tx_id, fr.gene, f FROM smp s JOIN fr USING (cell)) USING (cell, tx_id, gene) JOIN sd USING (gene) WHERE sd > 1e-12)"
 
 
@@ -812,14 +839,12 @@ def cells_by_pp(spark, sf):
 @query(with_("SELECT cell, gene, count(*) AS n FROM tx GROUP BY ALL"))
 def streamed_counts(spark, sf):
     """The stream's running counts over a folder of one file, read to its end."""
-    import tempfile
-    import uuid
-
     from .streaming import counts
 
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder, name = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}", f"s{uuid.uuid4().hex}"
+    folder, out, state = (store.new_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
     fixture(spark, sf).transcripts.select("cell", "gene", "x", "y", F.lit(None).cast("timestamp").alias("seen")).coalesce(4).write.parquet(folder)
-    q = counts.running_counts(counts.transcript_stream(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    running = counts.running_counts(counts.transcript_stream(spark, folder))
+    write = lambda batch, i: batch.write.mode("append").parquet(f"{out}/batch={i}")
+    running.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema("cell string, gene string, n long, batch long").parquet(out)
+    return last.groupBy("cell", "gene").agg(F.max_by("n", "batch").alias("n"))

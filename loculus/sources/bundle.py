@@ -111,9 +111,24 @@ def decode_barcodes(df: DataFrame, codebook: DataFrame) -> DataFrame:
     return df.join(book, "barcode")
 
 
-def shuffled_genes(df: DataFrame, seed: int = 1) -> DataFrame:
-    """A null data set: within each cell gene labels are permuted, places stay."""
-    w = Window.partitionBy("cell")
-    a = df.drop("gene").withColumn("_k", F.row_number().over(w.orderBy("tx_id")))
-    b = df.select("cell", "gene", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "cell", "tx_id"), "tx_id")).alias("_k"))
-    return a.join(b, ["cell", "_k"]).drop("_k")
+def shuffled_genes(df: DataFrame, seed: int = 1, within: str | None = None, parts: int = 64) -> DataFrame:
+    """A null data set: gene labels are permuted over the whole table, or within each value of a column; places stay.
+
+    The k-th row by hash lends its label to the k-th row by another hash. Hashes are cut into ``parts`` ranges; a row's rank is
+    the rows of lower ranges and its rank in its own, so no task sorts the whole table, and the plan is the same at every size.
+    """
+    key = [within] if within else []
+    ident = [c for c in ("cell", "tx_id") if c in df.columns]
+
+    def ranked(rows: DataFrame, salt: int) -> DataFrame:
+        r = rows.withColumn("_h", F.xxhash64(F.lit(salt), *ident))
+        r = r.withColumn("_part", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(parts)))
+        n = r.groupBy(*key, "_part").agg(F.count("*").alias("_c"))
+        skip = Window.partitionBy(*(key or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        n = n.withColumn("_skip", F.coalesce(F.sum("_c").over(skip), F.lit(0))).drop("_c")  # one row a range
+        place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_h", *ident))
+        return r.join(F.broadcast(n), [*key, "_part"]).withColumn("_k", F.col("_skip") + place).drop("_h", "_part", "_skip")
+
+    places = ranked(df.drop("gene"), 2 * seed)
+    lent = ranked(df.select(*dict.fromkeys([*key, *ident, "gene"])), 2 * seed + 1).select(*key, "_k", "gene")
+    return places.join(lent, [*key, "_k"]).drop("_k")

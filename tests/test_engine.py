@@ -138,8 +138,10 @@ def test_ripley_of_two_points(spark):
 
 def test_prefilter_and_sampling(spark):
     tx = spark.createDataFrame(points(50, 4, 3), TX)
-    assert prefilter.allocate({"a": 10, "b": 1, "c": 0}, 5) == {"a": 4, "b": 1}
-    assert sum(prefilter.allocate({"a": 3, "b": 3, "c": 3}, 4).values()) == 4
+    share = lambda sizes, n: {r.stratum: r.share for r in prefilter.allocated(spark.createDataFrame(list(sizes.items()), "stratum string, size long"), n).collect()}
+    assert share({"a": 10, "b": 1, "c": 0}, 5) == {"a": 4, "b": 1}
+    assert sum(share({"a": 3, "b": 3, "c": 3}, 4).values()) == 4
+    assert share({"a": 90, "b": 5, "c": 5}, 10) == {"a": 8, "b": 1, "c": 1} and share({"a": 1, "b": 2}, 9) == {"a": 1, "b": 2}
     assert prefilter.sample_cells(tx, n=2).count() == 2
     with pytest.raises(ValueError):
         prefilter.sample_cells(tx)
@@ -166,7 +168,10 @@ def test_permutation_scores_are_repeatable_and_bounded(spark):
 def test_shuffled_labels_keep_counts(spark):
     tx = spark.createDataFrame(points(30, 2, 3), TX)
     a = sorted(tx.groupBy("cell", "gene").count().collect())
-    assert a == sorted(bundle.shuffled_genes(tx).groupBy("cell", "gene").count().collect())
+    assert a == sorted(bundle.shuffled_genes(tx, within="cell").groupBy("cell", "gene").count().collect())
+    whole = bundle.shuffled_genes(tx)
+    assert sorted(whole.groupBy("gene").count().collect()) == sorted(tx.groupBy("gene").count().collect())
+    assert sorted(whole.groupBy("cell").count().collect()) == sorted(tx.groupBy("cell").count().collect())
 
 
 def test_region_labels_overlap(spark):
