@@ -120,11 +120,11 @@ def poisson_binomial_states(k: int, n: int, variance: float) -> int:
     return int(min(n + 1, k + 64 + math.ceil(12 * math.sqrt(max(variance, 0.0)))))
 
 
-def upper_tail(pmf: np.ndarray, k: int, mean: float) -> float:
-    """P(X >= k) from the first states of a Poisson-binomial distribution.
+def upper_tail(pmf: np.ndarray, k: int, mean: float, n: int) -> float:
+    """P(X >= k) from the first states of a Poisson-binomial distribution of n trials.
 
-    Above the mean the chances from k on are summed, so nothing cancels however small they are; what lies beyond the last state
-    is bounded by a geometric series, for their ratios fall. Below the mean the tail is no small number and 1 less the head.
+    Above the mean the chances from k on are summed, so nothing cancels however small they are; what lies beyond the last state,
+    if that is not n, is bounded by a geometric series, for their ratios fall. Below the mean the tail is no small number and 1 less the head.
     """
     if k <= 0:
         return 1.0
@@ -133,14 +133,14 @@ def upper_tail(pmf: np.ndarray, k: int, mean: float) -> float:
     if k <= mean:
         return min(1.0, max(0.0, 1 - float(pmf[:k].sum())))
     last, before = pmf[-1], pmf[-2] if len(pmf) > 1 else 0.0
-    ratio = last / before if before > 0 else 0.0
+    ratio = last / before if before > 0 and len(pmf) <= n else 0.0
     return min(1.0, float(pmf[k:][::-1].sum()) + (last * ratio / (1 - ratio) if ratio < 1 else 0.0))
 
 
 def poisson_binomial_tail(p: np.ndarray, k: int) -> float:
     """P(X >= k) for the sum of independent trials."""
     p = np.asarray(p, float)
-    return upper_tail(poisson_binomial_head(p, poisson_binomial_states(k, len(p), float((p * (1 - p)).sum()))), k, float(p.sum())) if k <= len(p) else 0.0
+    return upper_tail(poisson_binomial_head(p, poisson_binomial_states(k, len(p), float((p * (1 - p)).sum()))), k, float(p.sum()), len(p)) if k <= len(p) else 0.0
 
 
 @pandas_udf(DoubleType())

@@ -127,19 +127,19 @@ def conditional_p_values(e: DataFrame, counts: DataFrame, min_transcript: int =
             states = [stats.poisson_binomial_states(int(k), int(n), float(v)) for k, n, v in zip(b["obs"], b["cells"], b["v"], strict=True)]
             b["head"] = [stats.poisson_binomial_head(np.asarray(x), min(s, len(x) + 1)) if k > 0 else np.ones(1) for x, s, k in zip(b["p"], states, b["obs"], strict=True)]
             b["states"] = states
-            yield b[[*keys, "obs", "expected", "states", "head"]]
+            yield b[[*keys, "obs", "expected", "cells", "states", "head"]]
 
-    h = parts.drop("v", "e").join(total, keys).mapInPandas(heads, f"{kinds}, obs long, expected double, states int, head array<double>")
-    h = h.groupBy(*keys).agg(F.max("obs").alias("obs"), F.max("expected").alias("expected"), F.max("states").alias("states"), F.collect_list("head").alias("heads"))
+    h = parts.drop("v", "e").join(total, keys).mapInPandas(heads, f"{kinds}, obs long, expected double, cells long, states int, head array<double>")
+    h = h.groupBy(*keys).agg(F.max("obs").alias("obs"), F.max("expected").alias("expected"), F.max("cells").alias("cells"), F.max("states").alias("states"), F.collect_list("head").alias("heads"))
 
     def joined(batches):
         for b in batches:
             out = []
-            for k, mean, states, parts_ in zip(b["obs"], b["expected"], b["states"], b["heads"], strict=True):
+            for k, mean, n, states, parts_ in zip(b["obs"], b["expected"], b["cells"], b["states"], b["heads"], strict=True):
                 pmf = np.ones(1)
                 for x in parts_:
                     pmf = np.convolve(pmf, x)[: int(states)]
-                out.append(stats.upper_tail(pmf, int(k), float(mean)))
+                out.append(stats.upper_tail(pmf, int(k), float(mean), int(n)))
             b["pvalue"] = out
             yield b[[*keys, "obs", "expected", "pvalue"]]
 

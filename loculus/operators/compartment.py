@@ -104,7 +104,8 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], group: str
     """(group, q): interpolated exact quantiles of a column, as an array in the order of the shares.
 
     Two passes: values are counted in buckets between the extremes, so the bucket of each wanted rank is known; only values of
-    those buckets are then ranked. No task sorts the whole column. Null values are left out.
+    those buckets are then ranked. No task sorts the whole column. Null values are left out;
+    without any other the quantiles are null (one row without a group, none with one).
     """
     keys = [group] if group else []
     d = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))

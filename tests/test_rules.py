@@ -87,7 +87,8 @@ def test_exact_quantiles(spark):
     got = {r.g: r.q for r in compartment.exact_quantiles(df, "v", [0.01, 0.5, 0.99], "g", buckets=16).collect()}
     for g, vs in data.items():
         assert got[g] == pytest.approx(list(np.quantile(vs, [0.01, 0.5, 0.99])))
-    assert compartment.exact_quantiles(df.where("v is null"), "v", [0.5]).count() == 0
+    assert compartment.exact_quantiles(df.where("v is null"), "v", [0.5]).first().q == [None]
+    assert compartment.exact_quantiles(df.where("v is null"), "v", [0.5], "g").count() == 0
 
 
 def test_points_against_outlines(spark):
