@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -132,6 +134,14 @@ def ddl(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+def trimmed() -> None:
+    """Give the memory of a finished task back to the system, for Python workers live on with what they once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_rows(docs: DataFrame, keys: list[str], inputs: list[str], make: Callable[[], Callable], fields: str) -> DataFrame:
     """The key columns, as they are (in Arrow, so nulls and large ids survive), and fields computed from the inputs.
 
@@ -146,6 +156,8 @@ def map_rows(docs: DataFrame, keys: list[str], inputs: list[str], make: Callable
             rows = list(fn(*[b.column(c).to_pylist() for c in inputs]))
             made = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *made], names=[*keys, *kinds.names])
+        del fn
+        trimmed()
 
     return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keys, *inputs])]).mapInArrow(run, schema)
 
@@ -164,6 +176,8 @@ def map_column(docs: DataFrame, column: str, make: Callable[[], Callable], to: s
             cols = list(b.columns)
             cols[at : at + 1] = [pa.array([fn(x) for x in b.column(column).to_pylist()], field.type)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        del fn
+        trimmed()
 
     return docs.mapInArrow(run, schema)
 
@@ -175,6 +189,8 @@ def keep_rows(docs: DataFrame, column: str, make: Callable[[], Callable]) -> Dat
         fn = make()
         for b in batches:
             yield b.filter(pa.array([bool(fn(x)) for x in b.column(column).to_pylist()], pa.bool_()))
+        del fn
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

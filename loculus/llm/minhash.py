@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, by_group, grams, mix, signed, to_bytes, written
+from .common import ASCII_LOWER, WordHashes, by_group, grams, mix, signed, to_bytes, trimmed, written
 from .graph import components
 
 
@@ -96,6 +96,8 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 cols = [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", "keys"])
                 at += len(sets)
+        del hashes, minmax
+        trimmed()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
