@@ -13,6 +13,7 @@ text are ordinary text; texts are never cut, and a single piece of any length is
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 from collections.abc import Iterator
 
@@ -38,6 +39,12 @@ class Bpe:
         self._pairs()
         self.seen: dict[str, tuple[int, bytes, bytes]] = {}
 
+    def fresh(self) -> Bpe:
+        """The same tables with a memory of pieces of its own, which a task's end sets free."""
+        other = copy.copy(self)
+        other.seen = {}
+        return other
+
     @classmethod
     def load(cls, path: str, pattern: str, **kw) -> Bpe:
         with open(path, "rb") as f:
@@ -210,7 +217,7 @@ def loaded(path: str, pattern: str) -> Bpe:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with a column of ids (array of int) appended, or in place of one of that name."""
-    return map_column(docs, text, lambda: loaded(path, pattern).encode, ids, "array<int>")
+    return map_column(docs, text, lambda: loaded(path, pattern).fresh().encode, ids, "array<int>")
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -220,4 +227,4 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return map_rows(docs, ["doc_id"], ["text"], lambda: loaded(path, pattern).digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs, ["doc_id"], ["text"], lambda: loaded(path, pattern).fresh().digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -118,6 +118,8 @@ def by_group(df: DataFrame, key: list[str], fn: Callable[[pd.DataFrame], dict |
                 out, n = [], 0
         if out:
             yield _stack(out)
+        del out
+        trimmed()
 
     return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
@@ -142,6 +144,13 @@ def trimmed() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of a batch's texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_rows(docs: DataFrame, keys: list[str], inputs: list[str], make: Callable[[], Callable], fields: str) -> DataFrame:
     """The key columns, as they are (in Arrow, so nulls and large ids survive), and fields computed from the inputs.
 
@@ -152,7 +161,7 @@ def map_rows(docs: DataFrame, keys: list[str], inputs: list[str], make: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in portions(batches):
             rows = list(fn(*[b.column(c).to_pylist() for c in inputs]))
             made = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *made], names=[*keys, *kinds.names])
@@ -172,7 +181,7 @@ def map_column(docs: DataFrame, column: str, make: Callable[[], Callable], to: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in portions(batches):
             cols = list(b.columns)
             cols[at : at + 1] = [pa.array([fn(x) for x in b.column(column).to_pylist()], field.type)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -187,7 +196,7 @@ def keep_rows(docs: DataFrame, column: str, make: Callable[[], Callable]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in portions(batches):
             yield b.filter(pa.array([bool(fn(x)) for x in b.column(column).to_pylist()], pa.bool_()))
         del fn
         trimmed()
