@@ -203,6 +203,26 @@ def median_score_variance(m: int, n: int) -> float | None:
     return out
 
 
+def median_p_value(m: int, n: int, median: float) -> float | None:
+    """Two-sided exact chance that the median of m ranks drawn from 1..n lies at least as far from its mean; 1 at most.
+
+    The distribution is symmetric, so this is twice P(median <= s) for the lower s of the two. For odd m that says that more than
+    half of the draws are among the first s ranks. For even m it is a sum over the lower middle rank a: the upper one may be
+    any of a + 1..2 s - a, and the chances of these telescope to a difference of two binomial coefficients.
+    """
+    if n < 1 or m < 1 or m > n:
+        return None
+    s, h = min(float(median), n + 1 - float(median)), m // 2
+    if m % 2:
+        low = float(hypergeometric_tail(np.array([h + 1]), np.array([n]), np.array([math.floor(s)]), np.array([m]))[0]) if s >= h + 1 else 0.0
+    else:
+        both = math.floor(2 * s)
+        a = np.arange(h, (both - 1) // 2 + 1)
+        first = log_choose(a - 1, h - 1) - log_choose(n, m)
+        low = float((np.exp(first + log_choose(n - a, h)) - np.exp(first + log_choose(n - (both - a), h))).sum()) if len(a) else 0.0
+    return min(1.0, 2 * low)
+
+
 def ranks(v: np.ndarray) -> np.ndarray:
     """Mean ranks."""
     return pd.Series(v).rank().to_numpy()

@@ -183,6 +183,42 @@ def median_variance(counts: DataFrame) -> DataFrame:
     return counts.join(v, (counts["num_gene_spots"] == v["m"]) & (counts["num_spots"] == v["n"]), "left").drop("m", "n")
 
 
+def median_p_values(scores: DataFrame) -> DataFrame:
+    """Adds p_median, the exact two-sided p-value of a rank score's median; worked out once for each distinct case."""
+    keys = ["num_gene_spots", "num_spots", "median_rank"]
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(p_median=[stats.median_p_value(int(m), int(n), q) for m, n, q in b[keys].itertuples(index=False)])
+
+    known = scores.select(*keys).distinct().mapInPandas(run, "num_gene_spots long, num_spots long, median_rank double, p_median double")
+    return scores.join(known, keys, "left")
+
+
+def baseline(tx: DataFrame) -> DataFrame:
+    """A score that says nothing, to test what comes after: 0 with variance 1 for each (cell, gene)."""
+    g = tx.groupBy(*KEYS).agg(F.count("*").alias("num_gene_spots"))
+    total = F.sum("num_gene_spots").over(Window.partitionBy("cell"))
+    return g.withColumns({"num_spots": total, "baseline": F.lit(0.0), "variance": F.lit(1.0)})
+
+
+#: Scores by name: functions of transcripts, shapes and options.
+SCORES: dict[str, Callable[..., DataFrame]] = {
+    "peripheral": lambda tx, shapes: peripheral(placed(tx, shapes)),
+    "central": lambda tx, shapes: central(placed(tx, shapes)),
+    "punctate": punctate,
+    "radial": radial,
+    "baseline": lambda tx, shapes: baseline(tx),
+}
+
+
+def score(name: str, tx: DataFrame, shapes: DataFrame, **options) -> DataFrame:
+    """The score of that name as columns metric, cell, gene, ..., score."""
+    if name not in SCORES:
+        raise ValueError(f"no score {name}; there are {', '.join(sorted(SCORES))}")
+    return SCORES[name](tx, shapes, **options).withColumnRenamed(name, "score").withColumn("metric", F.lit(name))
+
+
 def gene_group_scores(scores: DataFrame, score: str, group: str, min_cells: int = 5) -> DataFrame:
     """Per (gene, group): z = sum of scores / sqrt(sum of variances), two-sided p, Benjamini-Hochberg within the table."""
     g = scores.where(F.col(score).isNotNull() & F.col("variance").isNotNull()).groupBy("gene", group).agg(F.count_distinct("cell").alias("num_cells"), F.avg("num_gene_spots").alias("mean_gene_spots"), F.percentile(score, F.lit(0.5)).alias("median_score"), (F.sum(score) / F.sqrt(F.sum("variance"))).alias("z")).where(F.col("num_cells") >= min_cells)
@@ -196,6 +232,22 @@ def read_position_score(reads: DataFrame, stratum: str, position: str) -> DataFr
     return g.select(stratum, "n", F.when(half > 0, (F.col("med") - mid) / half).alias("score"))
 
 
+#: Features that the pattern classes rest on.
+PATTERN_FEATURES = (
+    "cell_inner_proximity", "nucleus_inner_proximity", "nucleus_outer_proximity", "cell_inner_asymmetry", "nucleus_inner_asymmetry",
+    "nucleus_outer_asymmetry", "l_max", "l_max_gradient", "l_min_gradient", "l_monotony", "l_half_radius", "point_dispersion_norm",
+    "nucleus_dispersion_norm",
+)
+
+
+def pattern_features(tx: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The 13 features of the pattern classes, one row a (cell, gene)."""
+    out = point_features(placed(tx, shapes)).drop("n_spots")
+    for part in (dispersion(tx, shapes).drop("point_moment"), ripley(tx, shapes)):
+        out = out.join(part, KEYS, "full")
+    return out.select(*KEYS, *PATTERN_FEATURES)
+
+
 def feature_table(tx: DataFrame, shapes: DataFrame, iterations: int = 200, pairs: int = 4) -> DataFrame:
     """All features, one row a (cell, gene), outer-joined."""
     p = placed(tx, shapes)

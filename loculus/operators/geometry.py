@@ -19,8 +19,8 @@ from ..functions import planar
 PIECE, PIECES = 100_000, 8
 
 
-def closed_rings(vertices: DataFrame) -> DataFrame:
-    """(cell, kind, ring, segs): finite corners in order, closed; rings of fewer than three corners or no area are left out.
+def closed_outlines(vertices: DataFrame) -> DataFrame:
+    """(cell, kind, ring): finite corners in order, closed; those of fewer than three corners are left out.
 
     A ring is bounded by the outline it describes, so it is the unit that one row holds.
     """
@@ -29,8 +29,12 @@ def closed_rings(vertices: DataFrame) -> DataFrame:
     g = g.select("cell", "kind", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("o")).where(F.size("o") >= 3)
     last = F.element_at("o", -1)
     same = (last["x"] == F.col("o")[0]["x"]) & (last["y"] == F.col("o")[0]["y"])
-    g = g.select("cell", "kind", F.when(same, F.col("o")).otherwise(F.concat("o", F.slice("o", 1, 1))).alias("ring"))
-    g = g.withColumn("segs", segments(F.col("ring")))
+    return g.select("cell", "kind", F.when(same, F.col("o")).otherwise(F.concat("o", F.slice("o", 1, 1))).alias("ring"))
+
+
+def closed_rings(vertices: DataFrame) -> DataFrame:
+    """(cell, kind, ring, segs) of outlines with an area. Rings are taken as simple; ``shapes.closed_simple_rings`` repairs them."""
+    g = closed_outlines(vertices).withColumn("segs", segments(F.col("ring")))
     return g.where(area(F.col("segs")) > 0)
 
 

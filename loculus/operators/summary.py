@@ -25,6 +25,12 @@ def presence_matrix(df: DataFrame, context: str, contexts: list[str]) -> DataFra
     return df.groupBy("pair").pivot(context, contexts).agg(F.max(F.lit(1))).fillna(0)
 
 
+def presence_with_genes(df: DataFrame, context: str, contexts: list[str]) -> DataFrame:
+    """The presence matrix with the two genes of each pair."""
+    genes = df.groupBy("pair").agg(F.min(F.least("gene_1", "gene_2")).alias("gene_1"), F.max(F.greatest("gene_1", "gene_2")).alias("gene_2"))
+    return genes.join(presence_matrix(df, context, contexts), "pair", "right")
+
+
 def overlaps(df: DataFrame, context: str) -> DataFrame:
     """(context_1, context_2, n_shared, n_union, jaccard) for context_1 <= context_2."""
     d = df.select("pair", F.col(context).alias("c")).distinct()

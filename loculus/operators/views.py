@@ -51,6 +51,19 @@ def cells_by_expression(tx: DataFrame, g1: str, g2: str, n: int = 6) -> DataFram
     return tx.where(F.col("gene").isin(g1, g2)).groupBy("cell").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "cell").limit(n)
 
 
+def example_cells(pp: DataFrame, tx: DataFrame, g1: str, g2: str, radius: float, n: int = 6) -> DataFrame:
+    """(cell, chosen_by, place) of up to n cells to look at: by p-value of the pair if there is any, else by balance, else by expression."""
+    ways = [("pp", cells_by_pp(pp, g1, g2, n), "pvalue"), ("balance", cells_by_balance(tx, g1, g2, radius, n), "-balance"), ("expression", cells_by_expression(tx, g1, g2, n), "-total")]
+    ranked = None
+    for i, (name, cells, by) in enumerate(ways):
+        ties = ["-density"] if name == "balance" else []
+        order = Window.orderBy(*[F.expr(x) for x in (by, *ties)], "cell")  # at most n rows
+        part = cells.select("cell", F.lit(name).alias("chosen_by"), F.row_number().over(order).alias("place"), F.lit(i).alias("_way"))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    first = Window.partitionBy(F.lit(0))  # at most 3 n rows
+    return ranked.withColumn("_first", F.min("_way").over(first)).where("_way = _first").drop("_way", "_first")
+
+
 def links(tx: DataFrame, g1: str, g2: str, radius: float) -> DataFrame:
     """(cell, x1, y1, x2, y2): close pairs of one gene each."""
     p = joins.distance_pairs(tx.where(F.col("gene").isin(g1, g2)), radius, ["cell"], carry=["gene"]).where("a.gene <> b.gene")
@@ -59,6 +72,14 @@ def links(tx: DataFrame, g1: str, g2: str, radius: float) -> DataFrame:
     return p.select("cell", pick("x", True).alias("x1"), pick("y", True).alias("y1"), pick("x", False).alias("x2"), pick("y", False).alias("y2"))
 
 
+def largest_component(net: DataFrame) -> DataFrame:
+    """The edges of the component with the most genes; of equal ones that of the least name."""
+    member = components(net)
+    best = member.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    kept = member.join(best, "component", "left_semi").select(F.col("gene").alias("g1"))
+    return net.join(kept, "g1", "left_semi")
+
+
 def components(net: DataFrame) -> DataFrame:
     """(gene, component) of a network's genes: least gene name reached. The network has at most a few hundred edges."""
     both = net.select(F.col("g1").alias("a"), F.col("g2").alias("b")).union(net.select("g2", "g1"))

@@ -1,12 +1,13 @@
-"""Commands: features, patterns, compartments, coloc, regions, summary. ``python -m loculus.plans.cli <command> --help``."""
+"""Commands: features, patterns, run, compartments, coloc, regions, summary, views. ``python -m loculus.plans.cli <command> --help``."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import results
 from ..sources.bundle import read_bundle, read_table, save_table
 from . import pipelines
 
@@ -30,6 +31,14 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--pairs", type=int, default=4)
     f.add_argument("--fast", action="store_true", help="50 cells, 20 iterations, 2 pairs")
     _prefilter_flags(f)
+    w = sub.add_parser("run", help="features of each cell and gene, then patterns")
+    for x in ("bundle", "out", "model"):
+        w.add_argument(x)
+    w.add_argument("--fallback-model")
+    w.add_argument("--foci-fallback-threshold", type=float, default=0.5)
+    w.add_argument("--iterations", type=int, default=200)
+    w.add_argument("--pairs", type=int, default=4)
+    _prefilter_flags(w)
     p = sub.add_parser("patterns", help="patterns from a feature table")
     for a in ("features", "out", "model"):
         p.add_argument(a)
@@ -64,15 +73,32 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--distance", type=float, default=4.0)
     g.add_argument("--region-threshold-mode", choices=("cell_scaled", "fixed"), default="cell_scaled")
     s = sub.add_parser("summary", help="compare pairs across a context column")
-    s.add_argument("table")
+    s.add_argument("table", help="a table of pairs, a folder of runs, or with --metadata a table of dataset and result_dir")
+    s.add_argument("--metadata", action="store_true")
+    s.add_argument("--pairs-name", default="pairs.parquet")
+    s.add_argument("--regions-name", default="regions.parquet")
     s.add_argument("out")
     s.add_argument("--context", default="group")
     s.add_argument("--top-n", type=int, default=50)
     s.add_argument("--min-shared-groups", type=int, default=2)
     s.add_argument("--region-consistency-threshold", type=float, default=0.8)
+    v = sub.add_parser("views", help="tables behind the pictures of a table of pairs")
+    v.add_argument("table")
+    v.add_argument("out")
+    v.add_argument("--viz-top-genes", type=int, default=80)
+    v.add_argument("--viz-top-edges", type=int, default=80)
     return top
 
 
+def _contexts(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    names = {"pairs": a.pairs_name, "regions": a.regions_name}
+    if a.metadata:
+        return results.read_metadata(spark, a.table, **names)
+    if results.run_folders(spark, a.table, a.pairs_name):
+        return results.read_runs(spark, a.table, **names)
+    return read_table(spark, a.table)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"loculus {a.command}").getOrCreate()
@@ -82,6 +108,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "features":
         it, pairs, cells = (20, 2, 50) if a.fast else (a.iterations, a.pairs, a.max_cells)
         save_table(pipelines.feature_table(read_bundle(spark, a.bundle), it, pairs, pre, cells), a.out)
+    elif a.command == "run":
+        table, found = pipelines.features_and_patterns(read_bundle(spark, a.bundle), a.model, a.fallback_model, a.foci_fallback_threshold, a.iterations, a.pairs, pre, a.max_cells)
+        paths = {"features": save_table(table, f"{a.out}/features"), "patterns": save_table(found, f"{a.out}/patterns")}
+        results.save_catalog(spark, paths, f"{a.out}/catalog.json")
+    elif a.command == "views":
+        paths = {name: save_table(df, f"{a.out}/{name}") for name, df in pipelines.view_tables(read_table(spark, a.table), a.viz_top_genes, a.viz_top_edges).items()}
+        results.save_catalog(spark, paths, f"{a.out}/catalog.json")
     elif a.command == "patterns":
         save_table(pipelines.patterns(read_table(spark, a.features), a.model, a.fallback_model, a.foci_fallback_threshold), a.out)
     elif a.command == "compartments":
@@ -97,7 +130,7 @@ def main(argv: list[str] | None = None) -> None:
         pairs = read_table(spark, a.pairs).select(F.least("gene_1", "gene_2").alias("g1"), F.greatest("gene_1", "gene_2").alias("g2")).distinct()
         save_table(pipelines.pair_regions(read_bundle(spark, a.bundle), pairs, a.distance, scaled=a.region_threshold_mode == "cell_scaled"), a.out)
     else:
-        for name, df in pipelines.context_tables(read_table(spark, a.table), a.context, a.top_n, a.min_shared_groups, a.region_consistency_threshold).items():
+        for name, df in pipelines.context_tables(_contexts(spark, a), a.context, a.top_n, a.min_shared_groups, a.region_consistency_threshold).items():
             save_table(df, f"{a.out}/{name}")
 
 

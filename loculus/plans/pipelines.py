@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classify, coloc, compartment, features, geometry, prefilter, region, summary
+from ..operators import classify, coloc, compartment, features, geometry, prefilter, region, summary, views
 from ..sources import bundle as bundles
 from ..sources import store
 from ..sources.bundle import Bundle
@@ -39,6 +39,12 @@ def patterns(table: DataFrame, model_path: str, fallback_path: str | None = None
     return classify.predict_with_fallback(store.stored(table), load(model_path), (lambda: load(fallback_path)) if fallback_path else None, threshold)
 
 
+def features_and_patterns(b: Bundle, model_path: str, fallback_path: str | None = None, threshold: float = 0.5, iterations: int = 200, pairs: int = 4, pre: Prefilter | None = Prefilter(), max_cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The feature table, written once, and the patterns predicted from it."""
+    table = store.stored(feature_table(b, iterations, pairs, pre, max_cells))
+    return table, patterns(table, model_path, fallback_path, threshold)
+
+
 @dataclass(frozen=True)
 class Colocalization:
     pairs: DataFrame
@@ -91,6 +97,13 @@ def annotated_pairs(r: Colocalization, group: str) -> DataFrame:
     return out.fillna(0, numbers).fillna("none", ["dominant_region", "second_region"])
 
 
+def view_tables(pairs: DataFrame, genes: int = 80, edges: int = 80) -> dict[str, DataFrame]:
+    """Tables behind the pictures of a run's pairs: heatmap, network (its largest component), degrees and components."""
+    cpb = store.stored(pairs.select(F.least("gene_1", "gene_2").alias("g1"), F.greatest("gene_1", "gene_2").alias("g2"), F.col("cpb_pvalue").alias("pvalue")))
+    net = store.stored(views.network(cpb, edges))
+    return {"heatmap": views.heatmap(cpb, genes), "network": views.largest_component(net), "degrees": views.degrees(net), "components": views.components(net)}
+
+
 def compartments(b: Bundle, fraction: float = 0.01, radius: float = 40.0, group: str = "batch", only: list[str] | None = None, same_cell: bool = False, clusters: int | None = None) -> DataFrame:
     tx = bundles.attach(bundles.preprocess(b.transcripts), b.cells, group, "batch0")
     if only is not None:

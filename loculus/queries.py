@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import classify, coloc, compartment, features, geometry, joins, prefilter, region, summary, views
+from .operators import classify, coloc, compartment, features, geometry, joins, prefilter, region, shapes, summary, views
 from .sources import bundle as bundles
-from .sources import store
+from .sources import results, store
 from .sources.fixture import CTES, fixture
 
 DIGITS = 6
@@ -70,6 +70,11 @@ def _shapes(spark: SparkSession, sf: str) -> tuple[bundles.Bundle, DataFrame]:
     return b, geometry.shape_table(geometry.closed_rings(b.vertices))
 
 
+def _placed_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    b, s = _shapes(spark, sf)
+    return b.transcripts, s
+
+
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
     b, s = _shapes(spark, sf)
     return features.placed(b.transcripts, s)
@@ -252,6 +257,49 @@ def point_in_polygon(spark, sf):
     return rounded(_placed(spark, sf).select("cell", "tx_id", F.col("dc").alias("dist_cell"), F.col("dn").alias("dist_nucleus"), "in_nucleus", "on_nucleus"))
 
 
+SIDES = """vx AS (SELECT cell, kind, i, x1 AS x, y1 AS y FROM seg),
+dr AS (SELECT a.cell, a.kind, a.i, b.i AS j, (b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS ux, (b.y - a.y) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS uy FROM vx a JOIN vx b ON a.cell = b.cell AND a.kind = b.kind AND a.i < b.i),
+bx AS (SELECT cell, kind, dr.i, dr.j, max(x * ux + y * uy) - min(x * ux + y * uy) AS w, max(y * ux - x * uy) - min(y * ux - x * uy) AS h FROM dr JOIN vx USING (cell, kind) GROUP BY ALL)"""
+
+
+@query(with_(f"SELECT cell, kind, {r('first(greatest(w, h) / least(w, h) ORDER BY round(w * h, 6), greatest(w, h) / least(w, h))', 'aspect_ratio')} FROM bx GROUP BY cell, kind", SEG, SIDES))
+def shape_aspect_ratio(spark, sf):
+    return rounded(shapes.aspect_ratio(_shapes(spark, sf)[1]))
+
+
+@query(with_(f"SELECT cell, kind, coalesce(n, 0) AS n_points, {r('nullif(n, 0) / area', 'density')} FROM shp LEFT JOIN (SELECT cell, kind, count(*) FILTER (WHERE odd OR edge) AS n FROM pd GROUP BY ALL) USING (cell, kind)", *GEO, PD))
+def shape_density(spark, sf):
+    b, s = _shapes(spark, sf)
+    return rounded(shapes.density(features.placed(b.transcripts, s), s))
+
+
+@query(with_(f"SELECT cell, kind, {r('avg((x - gx) * (x - gx) + (y - gy) * (y - gy))', 'moment', 4)} FROM ras JOIN shp USING (cell) WHERE kind = 'cell' GROUP BY cell, kind", *GEO, RASTER))
+def shape_moment(spark, sf):
+    return rounded(shapes.moment(_shapes(spark, sf)[1].where("kind = 'cell'")), 4)
+
+
+CORE = "de AS (SELECT *, (SELECT radius FROM shp WHERE shp.cell = ras.cell AND kind = 'cell') * 0.25 AS depth FROM ras)"
+
+
+@query(with_("SELECT a.cell, count(*) AS n, sum(a.x) AS sx, sum(a.y) AS sy FROM (SELECT DISTINCT a.cell, a.x, a.y FROM de a JOIN de b ON a.cell = b.cell AND b.dc >= b.depth AND abs(a.x - b.x) <= a.depth AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= a.depth * a.depth) a GROUP BY a.cell", *GEO, RASTER, CORE))
+def shape_opening(spark, sf):
+    o = shapes.opening(_shapes(spark, sf)[1].where("kind = 'cell'"), 0.25)
+    return o.groupBy("cell").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
+@query(with_(f"SELECT cell, kind, {r('area', 'area')}, {r('perimeter', 'perimeter')} FROM shp", *GEO))
+def repaired_shapes(spark, sf):
+    """Outlines that cross nothing come through the repair as they are."""
+    s = geometry.shape_table(shapes.closed_simple_rings(fixture(spark, sf).vertices))
+    return rounded(s.select("cell", "kind", "area", "perimeter"))
+
+
+@query(with_("SELECT cell, gene, count(*) AS n FROM p WHERE inn GROUP BY cell, gene", *PTS))
+def nuclear_gene_counts(spark, sf):
+    marked = _placed(spark, sf).withColumn("inNucleus", F.col("in_nucleus").cast("int"))
+    return coloc.gene_counts(bundles.in_nucleus(marked), ["cell"])
+
+
 # --- features of (cell, gene) ---------------------------------------------------------------------------------------------
 
 CD, ND = "sqrt((x - cgx) * (x - cgx) + (y - cgy) * (y - cgy))", "sqrt((x - ngx) * (x - ngx) + (y - ngy) * (y - ngy))"
@@ -329,6 +377,34 @@ def radial_score(spark, sf):
     return features.radial(b.transcripts, s, 20, 2)
 
 
+def _lchoose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+#: P(median <= s) case by case: by the middle rank of odd numbers, by the lower middle rank and the limit of the upper one of even ones.
+MEDIAN_P = f"""rk AS (SELECT cell, gene, count(*) AS m, max(n) AS n, median(q)::DOUBLE AS med FROM (SELECT cell, gene, row_number() OVER (PARTITION BY cell ORDER BY dc, tx_id) AS q, count(*) OVER (PARTITION BY cell) AS n FROM p) GROUP BY cell, gene),
+kn AS (SELECT DISTINCT m, n, med, least(med, n + 1 - med) AS s, m // 2 AS h FROM rk),
+st AS (SELECT *, unnest(range(CASE WHEN m % 2 = 1 THEN h + 1 ELSE h END, (CASE WHEN m % 2 = 1 THEN floor(s) ELSE floor((2 * s - 1) / 2) END)::BIGINT + 1)) AS a FROM kn),
+pm AS (SELECT m, n, med, 2 * sum(CASE WHEN m % 2 = 1 THEN exp({_lchoose('(a - 1)', 'h')} + {_lchoose('(n - a)', 'h')} - {_lchoose('n', 'm')})
+  ELSE exp({_lchoose('(a - 1)', '(h - 1)')} + {_lchoose('(n - a)', 'h')} - {_lchoose('n', 'm')}) - CASE WHEN n - (2 * s - a) >= h THEN exp({_lchoose('(a - 1)', '(h - 1)')} + {_lchoose('(n - (2 * s - a))', 'h')} - {_lchoose('n', 'm')}) ELSE 0 END END) AS v FROM st GROUP BY m, n, med)"""
+
+
+@query(with_(f"SELECT cell, gene, rk.m AS num_gene_spots, rk.n AS num_spots, rk.med AS median_rank, {r('least(1.0, v)', 'p_median')} FROM rk JOIN pm ON rk.m = pm.m AND rk.n = pm.n AND rk.med = pm.med", *PTS, MEDIAN_P))
+def median_rank_p_values(spark, sf):
+    scores = features.score("peripheral", *_placed_inputs(spark, sf)).drop("score", "metric")
+    return rounded(features.median_p_values(scores).select("cell", "gene", "num_gene_spots", "num_spots", "median_rank", "p_median"))
+
+
+@query(with_("SELECT cell, gene, count(*) AS num_gene_spots, sum(count(*)) OVER (PARTITION BY cell)::BIGINT AS num_spots, 0.0::DOUBLE AS score, 1.0::DOUBLE AS variance, 'baseline' AS metric FROM tx GROUP BY cell, gene"))
+def baseline_score(spark, sf):
+    return features.score("baseline", *_placed_inputs(spark, sf))
+
+
+@query()
+def pattern_features(spark, sf):
+    return features.pattern_features(*_placed_inputs(spark, sf))
+
+
 @query()
 def score_variance(spark, sf):
     return features.median_variance(features.peripheral(_placed(spark, sf)).select("cell", "gene", "num_gene_spots", "num_spots", "peripheral"))
@@ -673,7 +749,7 @@ def pattern_ratio(spark, sf):
 COLOC = """SELECT celltype AS grp, concat('d', CAST(q % 3 AS STRING)) AS dataset, gene_1, gene_2, concat(gene_1, '--', gene_2) AS pair, n_cells, q AS n_proximal_pairs, 1.0E0 / (1 + q % 100000) AS cpb_pvalue,
   CASE q % 7 WHEN 0 THEN 'nuclear' WHEN 1 THEN 'perinuclear' WHEN 2 THEN 'none' WHEN 3 THEN NULL WHEN 4 THEN 'peripheral' ELSE 'cytosolic' END AS dominant_region, (q % 50) / 1.0E1 AS dominant_enrichment_score,
   (q % 11) / 1.0E1 AS nuclear_enrichment, (q % 13) / 1.0E1 AS perinuclear_enrichment, (q % 17) / 1.0E1 AS cytosolic_enrichment, (q % 19) / 1.0E1 AS peripheral_enrichment
-FROM (SELECT c.celltype, a.gene AS gene_1, b.gene AS gene_2, count(*) AS n_cells, CAST(sum(a.n * b.n) AS BIGINT) AS q FROM gc a JOIN gc b ON a.cell = b.cell AND a.gene < b.gene JOIN cells c ON c.cell = a.cell GROUP BY c.celltype, a.gene, b.gene) AS s WHERE q % 3 <> 1"""
+FROM (SELECT c.celltype, a.gene AS gene_1, b.gene AS gene_2, count(*) AS n_cells, CAST(sum(a.n * b.n) AS BIGINT) AS q FROM gc a JOIN gc b ON a.cell = b.cell AND a.gene < b.gene JOIN cells c ON c.cell = a.cell GROUP BY c.celltype, a.gene, b.gene) AS s"""
 CO = (f"gc AS (SELECT cell, gene, count(*) AS n FROM tx GROUP BY cell, gene), co AS ({COLOC})",)
 CONTEXTS = ["0", "1", "2", "3", "4"]
 
@@ -713,6 +789,19 @@ def presence_matrix(spark, sf):
     return summary.presence_matrix(_coloc(spark, sf), "grp", CONTEXTS)
 
 
+@query(with_("SELECT pair, min(gene_1) AS gene_1, max(gene_2) AS gene_2, " + ", ".join(f"max((grp = '{c}')::INT) AS \"{c}\"" for c in CONTEXTS) + " FROM co GROUP BY pair", *CO))
+def presence_genes(spark, sf):
+    return summary.presence_with_genes(_coloc(spark, sf), "grp", CONTEXTS)
+
+
+@query(with_("SELECT pair, trim(regexp_replace(gene_1, '[^a-zA-Z0-9_-]+', '_', 'g'), '_.') AS name_1, grp, n_proximal_pairs::DOUBLE AS n_proximal_pairs, NULL::DOUBLE AS dominant_region FROM co", *CO))
+def coerced_pairs(spark, sf):
+    """Numbers cast from text, a column without any, and names fit for paths."""
+    text = _coloc(spark, sf).withColumn("n_proximal_pairs", F.col("n_proximal_pairs").cast("string"))
+    n = results.numeric(text, ("n_proximal_pairs", "dominant_region", "absent"))
+    return n.select("pair", results.safe_name("gene_1").alias("name_1"), "grp", "n_proximal_pairs", "dominant_region")
+
+
 @query(with_(f"""SELECT a.grp AS context_1, b.grp AS context_2, count(*) FILTER (WHERE a.pair = b.pair) AS n_shared, any_value(na.n) + any_value(nb.n) - count(*) FILTER (WHERE a.pair = b.pair) AS n_union,
   {r('count(*) FILTER (WHERE a.pair = b.pair) / (any_value(na.n) + any_value(nb.n) - count(*) FILTER (WHERE a.pair = b.pair))', 'jaccard')} FROM co a JOIN co b ON a.grp <= b.grp JOIN nx na ON na.grp = a.grp JOIN nx nb ON nb.grp = b.grp GROUP BY a.grp, b.grp""", *CO, "nx AS (SELECT grp, count(*) AS n FROM co GROUP BY grp)"))
 def context_overlaps(spark, sf):
@@ -802,6 +891,13 @@ def network(spark, sf):
     return rounded(views.network(_cpb(spark, sf), 20))
 
 
+@query("WITH RECURSIVE " + ", ".join([CTES, *CO, V, NET]) + f""", ed AS (SELECT g1 AS a, g2 AS b FROM net UNION SELECT g2, g1 FROM net), rch(gene, seen) AS (SELECT a, a FROM ed UNION SELECT b, seen FROM rch JOIN ed ON a = gene),
+mb AS (SELECT gene, min(seen) AS component FROM rch GROUP BY gene), bg AS (SELECT component FROM mb GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+SELECT g1, g2, {r('p', 'pvalue')}, {r('s', 'edge_strength')}, {r('0.8 + 3.2 * s', 'layout_weight')} FROM net WHERE g1 IN (SELECT gene FROM mb SEMI JOIN bg USING (component))""")
+def network_largest(spark, sf):
+    return rounded(views.largest_component(store.stored(views.network(_cpb(spark, sf), 20))))
+
+
 @query(with_("SELECT gene, count(*) AS degree FROM (SELECT unnest([g1, g2]) AS gene FROM net) GROUP BY gene", *CO, V, NET))
 def network_degrees(spark, sf):
     return views.degrees(views.network(_cpb(spark, sf), 20))
@@ -836,6 +932,12 @@ def cells_by_pp(spark, sf):
     return _pp(views.cells_by_pp(coloc.proximal_pairs(fixture(spark, sf).transcripts), G1, G2)).select("cell", "obs", "pvalue")
 
 
+@query()
+def example_cells(spark, sf):
+    tx = fixture(spark, sf).transcripts
+    return views.example_cells(coloc.proximal_pairs(tx), tx, G1, G2, 4.0)
+
+
 @query(with_("SELECT cell, gene, count(*) AS n FROM tx GROUP BY ALL"))
 def streamed_counts(spark, sf):
     """The stream's running counts over a folder of one file, read to its end."""

@@ -89,6 +89,11 @@ def attach(df: DataFrame, cells: DataFrame | None, column: str, default: str | N
     return out if default is None else out.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(default)))
 
 
+def in_nucleus(df: DataFrame, column: str = "inNucleus") -> DataFrame:
+    """Transcripts marked 1 in the column; an error if there is none."""
+    return require(df, (column,)).where(F.col(column).cast("int") == 1)
+
+
 def wkt(rings: DataFrame) -> DataFrame:
     """(cell, kind, wkt) of closed rings."""
     pairs = F.transform("ring", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
