@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, pii, quality, substring, toxicity, urlfilter, warc
+from . import bpe, chat, decontam, minhash, negatives, packing, pii, quality, repair, substring, toxicity, urlfilter, warc
 from .common import table
 
 RULES = [
@@ -73,8 +73,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op11_distance_key_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, end=1, capacity=2048)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (op1_warc_derivatives, op2_minmax_near_dedup, op3_url_globs, op4_line_first_cleaning, op5_superkmer_substrings, op6_snapshot_collapse, op7_simhash_decontamination, op8_pii_anchors, op9_toxicity_levenshtein, op10_byte_bpe)
+    names = (op1_warc_derivatives, op2_minmax_near_dedup, op3_url_globs, op4_line_first_cleaning, op5_superkmer_substrings, op6_snapshot_collapse, op7_simhash_decontamination, op8_pii_anchors, op9_toxicity_levenshtein, op10_byte_bpe, op11_distance_key_negatives, op12_cutting_stock_packing, op13_conversation_repair)
     return {f.__name__: f for f in names}
 
 
