@@ -242,7 +242,8 @@ def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     # the kept ids are nearly as many as the documents, so they are never to be broadcast
     out = docs.alias("d").join(kept.alias("k").hint("merge"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
     if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document: that of the least text
-        rest = [c for c in docs.columns if c != "doc_id"]
-        least = F.min(F.struct(F.col("text").alias("_least"), *[F.col(c) for c in rest]))
-        out = out.groupBy("doc_id").agg(least.alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+        # fields by number, whatever the columns' names; of equal texts the least JSON of the row, since maps have no order
+        row = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(docs.columns)])
+        least = F.min_by(row, F.struct(F.col("text").alias("a"), F.to_json(row).alias("b"))).alias("row")
+        out = out.groupBy("doc_id").agg(least).select(*[F.col("row")[f"f{i}"].alias(c) for i, c in enumerate(docs.columns)])
     return out.union(docs.where("doc_id is null"))

@@ -8,13 +8,14 @@ Digests are ``sha256:`` and lower-case hex. Ids are ``urn:uuid`` made from the m
 repeated run gives the same ids.
 
 The text of a response is its payload without chunks (``Transfer-Encoding: chunked``) and compression (``Content-Encoding:
-gzip`` or ``deflate``), decoded by the charset that its header, or else its first bytes, state; UTF-8 otherwise. HTML loses its
+gzip``, ``deflate`` or ``zstd``, also several, all members of a stream), decoded by the charset that its header, or else its first bytes, state; UTF-8 otherwise. HTML loses its
 tags; all named and numeric character references are resolved; plain text stays; kinds that are no text give an empty body.
 
 Defined results: only responses are derived from; a null block is empty; a block without a blank line has no HTTP headers
 and is all payload; a null target stays null; header names are matched whatever their case; a payload digest that the source
-states is kept, else it is computed over the payload as stored; a broken chunk, stream or charset leaves the bytes as they
-are, and bytes that are no text become U+FFFD; repeated records give repeated derivatives; a null record id gives derivatives
+states is kept, else it is computed over the payload as stored; a broken or cut-off chunk, stream or charset leaves the bytes
+as they are, and bytes that are no text, lone surrogates too, become U+FFFD; a coding that can't be undone here (br) gives an
+empty text beside the full metadata; repeated records give repeated derivatives; a null record id gives derivatives
 that refer to nothing; texts of any length are read whole in linear time; an empty table gives an empty one; columns of other
 names are ignored, clashing ones too.
 """
@@ -140,17 +141,60 @@ def dechunked(data: bytes) -> bytes:
     return data
 
 
-def decompressed(data: bytes, coding: str) -> bytes:
-    """Without gzip or deflate; as it is if the stream is broken."""
-    tries = (31,) if "gzip" in coding else (15, -15) if coding == "deflate" else ()
-    for bits in tries:
-        try:
-            return zlib.decompressobj(bits).decompress(data)
-        except zlib.error:
+def _inflated(data: bytes, bits: int) -> bytes:
+    """All members of a stream one after the other; an error if one of them is broken or does not end."""
+    out = []
+    while data:
+        d = zlib.decompressobj(bits)
+        out.append(d.decompress(data))
+        if not d.eof:
+            raise zlib.error("the stream does not end")
+        data = d.unused_data if bits == 31 else b""
+        if data and not data.strip(b"\0"):  # padding behind the last member
+            break
+    return b"".join(out)
+
+
+def _unzstd(data: bytes) -> bytes:
+    import zstandard
+
+    out, d = [], None
+    while data:
+        d = zstandard.ZstdDecompressor().decompressobj()
+        out.append(d.decompress(data))
+        if not d.eof:
+            raise zlib.error("the frame does not end")
+        data = d.unused_data
+    return b"".join(out)
+
+
+def decompressed(data: bytes, coding: str) -> bytes | None:
+    """Without the codings of a Content-Encoding header, the last first; as it is if a stream is broken, cut off or was unpacked
+    before. None if a coding is not known here (br), so that its bytes are not taken for text."""
+    whole = data
+    for name in reversed([c.strip() for c in coding.split(",")]):
+        if name in ("", "identity", "utf-8"):
             continue
+        ways = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(name, ())
+        if not ways and name != "zstd":
+            return None
+        for bits in ways or (0,):
+            try:
+                data = _inflated(data, bits) if ways else _unzstd(data)
+                break
+            except Exception as e:
+                if not isinstance(e, zlib.error) and "zstd" not in type(e).__module__.lower() and type(e).__name__ != "ZstdError":
+                    raise
+        else:
+            return whole
     return data
 
 
+def whole_characters(t: str) -> str:
+    """Surrogate pairs as the character that they stand for, lone surrogates as U+FFFD, so that the text can be written."""
+    return t if t.isascii() else t.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def text_of(payload: bytes, head: str) -> str:
     """The plain text of a response's payload."""
     f = fields_of(head)
@@ -161,6 +205,8 @@ def text_of(payload: bytes, head: str) -> str:
     if "chunked" in f.get("transfer-encoding", "").lower():
         payload = dechunked(payload)
     payload = decompressed(payload, f.get("content-encoding", "").strip().lower())
+    if payload is None:
+        return ""
     stated = re.search(r"charset=[\"']?([\w.:-]+)", rest)
     meta = None if stated else _META.search(payload[:2048])
     name = stated.group(1) if stated else meta.group(1).decode("ascii", "replace") if meta else "utf-8"
@@ -168,7 +214,8 @@ def text_of(payload: bytes, head: str) -> str:
         t = payload.decode(name, "replace")
     except (LookupError, UnicodeError):
         t = payload.decode("utf-8", "replace")
-    return plain_text(t) if kind == "text/plain" else html_text(t)
+    t = whole_characters(t)
+    return whole_characters(plain_text(t) if kind == "text/plain" else html_text(t))
 
 
 def derive(records: DataFrame) -> DataFrame:
