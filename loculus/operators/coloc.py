@@ -275,3 +275,35 @@ def modules(e: DataFrame, size: int = 3, support: int = 5) -> DataFrame:
         ok = sets.groupBy("genes").agg(F.count("*").alias("s")).where(F.col("s") >= support).drop("s")
         sets = sets.join(ok, "genes", "left_semi")
     return sets.groupBy("genes").agg(F.count_distinct("cell").alias("support")).where(F.col("support") >= support)
+
+
+def subgraphs(e: DataFrame, n_vertices: int, n_edges: int, support: int = 5) -> DataFrame:
+    """(genes, edges, support): connected graphs of genes with so many vertices and edges that ``support`` cells have in full.
+
+    A gene is one vertex of a cell's graph, so a graph is its set of edges and its sorted edge list its code. Grown an edge at a
+    time from the edges at its genes: every connected graph has an edge without which it is connected, and a graph is no more
+    frequent than its parts, so none is missed. A code that is reached in several ways is kept once a cell. Graphs that can't
+    get all their vertices any more, or have too many, are not grown.
+    """
+    if not 1 <= n_vertices - 1 <= n_edges <= n_vertices * (n_vertices - 1) // 2:
+        raise ValueError(f"no connected graph has {n_vertices} vertices and {n_edges} edges")
+    pairs = e.where("g1 < g2").select("cell", F.struct("g1", "g2").alias("edge")).distinct()
+
+    def frequent(df: DataFrame, code: str) -> DataFrame:
+        ok = df.groupBy(code).agg(F.count("*").alias("s")).where(F.col("s") >= support).drop("s")
+        return df.join(ok, code, "left_semi")
+
+    pairs = store.stored(frequent(pairs, "edge"))
+    at_gene = pairs.select("cell", F.explode(F.array("edge.g1", "edge.g2")).alias("gene"), "edge")
+    found = pairs.select("cell", F.array("edge").alias("code"), F.array("edge.g1", "edge.g2").alias("genes"))
+    for k in range(2, n_edges + 1):
+        grown = found.select("cell", "code", "genes", F.explode("genes").alias("gene")).join(at_gene, ["cell", "gene"]).where(~F.array_contains("code", F.col("edge")))
+        genes = F.array_sort(F.array_union("genes", F.array("edge.g1", "edge.g2")))
+        grown = grown.select("cell", F.array_sort(F.array_append("code", F.col("edge"))).alias("code"), genes.alias("genes"))
+        grown = grown.where((F.size("genes") <= n_vertices) & (F.size("genes") + n_edges - k >= n_vertices)).distinct()
+        last, found = found, store.stored(frequent(grown, "code"))
+        if k > 2:
+            store.released(last)
+    named = F.transform("code", lambda x: F.concat(x["g1"], F.lit("--"), x["g2"]))
+    out = found.groupBy("code", "genes").agg(F.count("*").alias("support")).where((F.col("support") >= support) & (F.size("genes") == n_vertices))
+    return out.select("genes", named.alias("edges"), "support")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import store
-from . import joins
+from . import interpolation, joins
 
 MILLION = 1_000_000
 
@@ -137,42 +137,6 @@ def quantile_normalize(df: DataFrame, columns: list[str], low: float = 0.01, hig
     return out
 
 
-def interpolate(samples: DataFrame, tx: DataFrame, columns: list[str], neighbours: int = 3, group: str | None = None) -> DataFrame:
-    """Values of the sampled points for all points of their cell: inverse-distance mean of the nearest sampled points.
-
-    A cell without samples gets the mean of all samples (of its group). Points of a cell are processed in chunks against its
-    samples.
-    """
-    keys = [group] if group else []
-    pts = [*keys, "cell", "tx_id"]
-    means = samples.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
-    s = samples.groupBy(*keys, "cell").agg(F.collect_list(F.struct("x", "y", *columns)).alias("s"))
-    p = tx.join(s, [*keys, "cell"], "left")
-    p = p.join(F.broadcast(means), keys, "left") if keys else p.join(F.broadcast(means), how="left")
-    kinds = ", ".join([*(f"`{k}` {tx.schema[k].dataType.simpleString()}" for k in pts), *(f"{c} double" for c in columns)])
-
-    def run(batches):
-        for b in batches:
-            out = b[pts].copy()
-            vals = b[[f"m_{c}" for c in columns]].to_numpy(float).copy()
-            for _, at in b.groupby([*keys, "cell"]).indices.items():
-                near = b["s"].iloc[at[0]]
-                if near is None or not len(near):
-                    continue
-                ref = np.array([[r["x"], r["y"], *[r[c] for c in columns]] for r in near], float)
-                xy = b[["x", "y"]].to_numpy(float)[at]
-                for a in range(0, len(at), 2000):
-                    d = ((xy[a : a + 2000, None, :] - ref[None, :, :2]) ** 2).sum(axis=2)
-                    k = np.argsort(d, axis=1, kind="stable")[:, :neighbours]
-                    w = 1 / (np.take_along_axis(d, k, 1) + 1e-12)
-                    vals[at[a : a + 2000]] = (ref[k][:, :, 2:] * w[:, :, None]).sum(axis=1) / w.sum(axis=1, keepdims=True)
-            for i, c in enumerate(columns):
-                out[c] = vals[:, i]
-            yield out
-
-    return p.select(*pts, "x", "y", "s", *[f"m_{c}" for c in columns]).mapInPandas(run, kinds)
-
-
 def fit_map(x: np.ndarray, k: int, iterations: int = 1000, sigma: float = 1.0, rate: float = 0.5, seed: int = 42) -> np.ndarray:
     """Weights of a self-organizing map of 1 x k nodes; both widths decay over the iterations."""
     rng = np.random.default_rng(seed)
@@ -242,6 +206,7 @@ def compartments(tx: DataFrame, fraction: float = 0.01, radius: float = 40.0, gr
     """Point table: group, cell, tx_id, all other columns of tx, e1..e3 (normalized), subdomain and status for all points.
 
     Every step is by group: neighbourhoods, spread, vectors, quantiles and map. A group that fails leaves the others as they are.
+    Values between samples are linear over their triangulation, in each cell by itself with ``same_cell``.
     """
     keys = [group] + (["cell"] if same_cell else [])
     s = sample_points(tx, fraction)
@@ -249,7 +214,8 @@ def compartments(tx: DataFrame, fraction: float = 0.01, radius: float = 40.0, gr
     e = store.stored(embed(flux(around, tx, group), 3, group))
     e = quantile_normalize(e, ["e1", "e2", "e3"], group=group)
     at = e.join(s.select(group, "cell", "tx_id", "x", "y"), [group, "cell", "tx_id"])
-    out = subdomains(store.stored(interpolate(at, tx, ["e1", "e2", "e3"], group=group)), ["e1", "e2", "e3"], k, group=group)
+    values = interpolation.linear(at, tx, ["e1", "e2", "e3"], keys, ["cell", "tx_id"] if not same_cell else ["tx_id"], nearest=same_cell)
+    out = subdomains(store.stored(values), ["e1", "e2", "e3"], k, group=group)
     return tx.join(out, [group, "cell", "tx_id"])
 
 

@@ -78,3 +78,26 @@ def opening(shapes: DataFrame, proportion: float, step: int = 1) -> DataFrame:
                     yield pd.DataFrame({"cell": r.cell, "kind": r.kind, "x": x, "y": y})
 
     return pieces.mapInPandas(run, "cell string, kind string, x double, y double")
+
+
+RING = "array<struct<x:double,y:double>>"
+
+
+def valid_outlines(outlines: DataFrame, rule: str = "evenodd", largest: bool = False) -> DataFrame:
+    """(cell, kind, part, ring, holes, area) of what each ring encloses, by descending area from part 0; or the largest part only.
+
+    A ring that crosses itself falls into parts, each with its holes; filled is where the winding number is odd ('evenodd') or
+    not 0 ('nonzero'). Rings that enclose nothing have no row.
+    """
+    said = lambda loop: [{"x": float(x), "y": float(y)} for x, y in loop]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for cell, kind, ring in zip(b["cell"], b["kind"], b["ring"], strict=True):
+                parts = rings.valid_parts(np.array([(p["x"], p["y"]) for p in ring], float), rule)
+                for i, (shell, holes) in enumerate(parts[:1] if largest else parts):
+                    out.append((cell, kind, i, said(shell), [said(h) for h in holes], rings.part_area(shell, holes)))
+            yield pd.DataFrame(out, columns=["cell", "kind", "part", "ring", "holes", "area"])
+
+    return outlines.select("cell", "kind", "ring").mapInPandas(run, f"cell string, kind string, part int, ring {RING}, holes array<{RING}>, area double")

@@ -71,6 +71,9 @@ def parser() -> argparse.ArgumentParser:
     for a in ("bundle", "pairs", "out"):
         g.add_argument(a)
     g.add_argument("--distance", type=float, default=4.0)
+    g.add_argument("--sampled-cells", help="a text file of cells, one a line; the others are left out")
+    g.add_argument("--groupby", help="a column of cells; each group has its own pairs (the table's rows of that group), points and sizes")
+    _prefilter_flags(g)
     g.add_argument("--region-threshold-mode", choices=("cell_scaled", "fixed"), default="cell_scaled")
     s = sub.add_parser("summary", help="compare pairs across a context column")
     s.add_argument("table", help="a table of pairs, a folder of runs, or with --metadata a table of dataset and result_dir")
@@ -127,8 +130,12 @@ def main(argv: list[str] | None = None) -> None:
             if df is not None:
                 save_table(df, f"{a.out}/{name}")
     elif a.command == "regions":
-        pairs = read_table(spark, a.pairs).select(F.least("gene_1", "gene_2").alias("g1"), F.greatest("gene_1", "gene_2").alias("g2")).distinct()
-        save_table(pipelines.pair_regions(read_bundle(spark, a.bundle), pairs, a.distance, scaled=a.region_threshold_mode == "cell_scaled"), a.out)
+        keys = [a.groupby] if a.groupby else []
+        pairs = read_table(spark, a.pairs).select(*keys, F.least("gene_1", "gene_2").alias("g1"), F.greatest("gene_1", "gene_2").alias("g2")).distinct()
+        b, _ = pipelines.prepared(read_bundle(spark, a.bundle), pre, None)
+        if a.sampled_cells:
+            b = pipelines.prefilter.subset_cells(b, results.read_cells(spark, a.sampled_cells))
+        save_table(pipelines.pair_regions(b, pairs, a.distance, scaled=a.region_threshold_mode == "cell_scaled", group=a.groupby), a.out)
     else:
         for name, df in pipelines.context_tables(_contexts(spark, a), a.context, a.top_n, a.min_shared_groups, a.region_consistency_threshold).items():
             save_table(df, f"{a.out}/{name}")

@@ -70,7 +70,7 @@ def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb
     counts = store.stored(coloc.gene_counts(tx, ([group] if group else []) + ["cell"]))
     cpb = coloc.conditional_p_values(e, counts, 0, 1e-64 if precision == "high" else 1e-16, group)
     sig = store.stored(coloc.significant(prefilter.clean_p(cpb), cpb_alpha))
-    out = sig.select(*([group] if group else []), F.col("g1").alias("gene_1"), F.col("g2").alias("gene_2"), F.col("pvalue").alias("cpb_pvalue"), F.col("pvalue_raw").alias("cpb_pvalue_raw"), F.col("expected").alias("expected_coloc"), F.lit(distance).alias("distance_threshold"), F.lit(pp_alpha).alias("pp_alpha"), F.lit(cpb_alpha).alias("cpb_alpha"), F.col("obs").alias("n_cells_pp_significant"))
+    out = sig.select(*([group] if group else []), F.col("g1").alias("gene_1"), F.col("g2").alias("gene_2"), F.col("pvalue").alias("cpb_pvalue"), F.col("pvalue_raw").alias("cpb_pvalue_raw"), F.col("expected").alias("expected_coloc"), F.lit(distance).alias("distance_threshold"), F.lit(pp_alpha).alias("pp_alpha"), F.lit(cpb_alpha).alias("cpb_alpha"), F.col("obs").alias("n_cells_pp_significant"), F.col("obs").alias("n_cells"))
     regions = None
     if with_regions:
         regions = pair_regions(b, sig.select(*([group] if group else []), "g1", "g2"), distance, dims, scaled, group)
@@ -92,9 +92,15 @@ def pair_regions(b: Bundle, pairs: DataFrame, distance: float = 4.0, dims: tuple
 def annotated_pairs(r: Colocalization, group: str) -> DataFrame:
     """The pairs of a grouped run with their regions ('none' without close pairs), as context_tables takes them."""
     named = r.regions.withColumnsRenamed({"g1": "gene_1", "g2": "gene_2"})
-    out = r.pairs.join(named, [group, "gene_1", "gene_2"], "left").withColumn("n_cells", F.col("n_cells_pp_significant"))
+    return with_regions(r.pairs.join(named, [group, "gene_1", "gene_2"], "left"))
+
+
+def with_regions(df: DataFrame) -> DataFrame:
+    """Pairs with all columns of regions: 0 and 'none' where a pair has none, or the run was made without them."""
     numbers = ["n_proximal_pairs", *[f"{k}_enrichment" for k in region.REGIONS], "dominant_enrichment_score", "second_enrichment_score"]
-    return out.fillna(0, numbers).fillna("none", ["dominant_region", "second_region"])
+    names = ["dominant_region", "second_region"]
+    df = df.withColumns({c: F.lit(None).cast("double") for c in numbers if c not in df.columns} | {c: F.lit(None).cast("string") for c in names if c not in df.columns})
+    return df.fillna(0, numbers).fillna("none", names)
 
 
 def view_tables(pairs: DataFrame, genes: int = 80, edges: int = 80) -> dict[str, DataFrame]:
@@ -116,7 +122,7 @@ def compartments(b: Bundle, fraction: float = 0.01, radius: float = 40.0, group:
 
 def context_tables(df: DataFrame, context: str = "group", top: int = 50, min_shared: int = 2, consistency: float = 0.8) -> dict[str, DataFrame]:
     """All comparison tables of pairs across contexts, by name."""
-    df = summary.with_pair(df)
+    df = summary.with_pair(with_regions(df))
     contexts = sorted(str(r[0]) for r in df.select(context).distinct().collect() if r[0] is not None)
     s = summary.pair_context_summary(df, context)
     return {

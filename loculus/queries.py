@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import classify, coloc, compartment, features, geometry, joins, prefilter, region, shapes, summary, views
+from .operators import classify, coloc, compartment, features, geometry, interpolation, joins, prefilter, region, shapes, summary, views
 from .sources import bundle as bundles
 from .sources import results, store
 from .sources.fixture import CTES, fixture
@@ -294,6 +294,28 @@ def repaired_shapes(spark, sf):
     return rounded(s.select("cell", "kind", "area", "perimeter"))
 
 
+#: Even-odd area of outlines that cross themselves: between the heights of corners and crossings all edges are straight, so the
+#: widths at the middle of each such strip do.
+CROSSING = """o AS (SELECT cell, i, x, y FROM (SELECT cell, x, y, row_number() OVER (PARTITION BY cell ORDER BY tx_id) AS i FROM tx) WHERE i <= 12),
+sg AS (SELECT cell, i, CASE WHEN y < y2 THEN x ELSE x2 END AS xa, least(y, y2) AS ya, CASE WHEN y < y2 THEN x2 ELSE x END AS xb, greatest(y, y2) AS yb FROM (
+  SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM o WINDOW w AS (PARTITION BY cell ORDER BY i)) WHERE y <> y2),
+den AS (SELECT a.cell, a.ya, a.yb - a.ya AS dy, (a.xb - a.xa) * (b.yb - b.ya) - (a.yb - a.ya) * (b.xb - b.xa) AS d, (b.xa - a.xa) * (b.yb - b.ya) - (b.ya - a.ya) * (b.xb - b.xa) AS tn, (b.xa - a.xa) * (a.yb - a.ya) - (b.ya - a.ya) * (a.xb - a.xa) AS un
+  FROM sg a JOIN sg b ON a.cell = b.cell AND a.i < b.i),
+ys AS (SELECT cell, y FROM o UNION SELECT cell, ya + tn / d * dy FROM den WHERE d <> 0 AND tn / d BETWEEN 0 AND 1 AND un / d BETWEEN 0 AND 1),
+strip AS (SELECT * FROM (SELECT cell, y AS lo, lead(y) OVER (PARTITION BY cell ORDER BY y) AS hi FROM ys) WHERE hi > lo),
+hit AS (SELECT s.cell, lo, hi - lo AS h, row_number() OVER (PARTITION BY s.cell, lo ORDER BY xa + (xb - xa) * ((lo + hi) / 2 - ya) / (yb - ya)) AS k, xa + (xb - xa) * ((lo + hi) / 2 - ya) / (yb - ya) AS x
+  FROM strip s JOIN sg ON sg.cell = s.cell AND ya < (lo + hi) / 2 AND yb > (lo + hi) / 2)"""
+
+
+@query(with_(f"SELECT cell, {r('sum(h * CASE WHEN k % 2 = 0 THEN x ELSE -x END)', 'area')} FROM hit GROUP BY cell", CROSSING))
+def crossing_outlines(spark, sf):
+    """The first twelve points of each cell, joined in their order, cross each other: what they enclose, all parts and holes."""
+    tx = fixture(spark, sf).transcripts
+    first = tx.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("tx_id"))).where("i <= 12")
+    parts = shapes.valid_outlines(geometry.closed_outlines(first.select("cell", F.lit("cell").alias("kind"), "i", "x", "y")))
+    return rounded(parts.groupBy("cell").agg(F.sum("area").alias("area")))
+
+
 @query(with_("SELECT cell, gene, count(*) AS n FROM p WHERE inn GROUP BY cell, gene", *PTS))
 def nuclear_gene_counts(spark, sf):
     marked = _placed(spark, sf).withColumn("inNucleus", F.col("in_nucleus").cast("int"))
@@ -554,6 +576,20 @@ def gene_modules(spark, sf):
     return coloc.modules(coloc.edges(coloc.proximal_pairs(fixture(spark, sf).transcripts), 0.3), 3, 2)
 
 
+#: Four different edges of a cell on four genes always hang together.
+FOUR = """ed AS (SELECT cell, g1, g2, g1 || '--' || g2 AS e FROM pp WHERE pvalue < 0.1 AND g1 < g2),
+q4 AS (SELECT a.cell, [a.e, b.e, c.e, d.e] AS edges, list_sort(list_distinct([a.g1, a.g2, b.g1, b.g2, c.g1, c.g2, d.g1, d.g2])) AS genes
+  FROM ed a JOIN ed b ON b.cell = a.cell AND (a.g1, a.g2) < (b.g1, b.g2) JOIN ed c ON c.cell = a.cell AND (b.g1, b.g2) < (c.g1, c.g2) JOIN ed d ON d.cell = a.cell AND (c.g1, c.g2) < (d.g1, d.g2)
+  WHERE len(list_distinct([a.g1, a.g2, b.g1, b.g2, c.g1, c.g2])) <= 4)"""
+
+
+@query(with_("SELECT array_to_string(genes, ',') AS genes, array_to_string(edges, ',') AS edges, count(*) AS support FROM q4 WHERE len(genes) = 4 GROUP BY ALL HAVING count(*) >= 2", CLOSE, PP, FOUR))
+def frequent_subgraphs(spark, sf):
+    """Connected graphs of four genes and four edges that two cells or more have."""
+    g = coloc.subgraphs(coloc.edges(coloc.proximal_pairs(fixture(spark, sf).transcripts), 0.1), 4, 4, 2)
+    return g.select(F.array_join("genes", ",").alias("genes"), F.array_join("edges", ",").alias("edges"), "support")
+
+
 # --- regions ----------------------------------------------------------------------------------------------------------------
 
 LIM = "lim AS (SELECT cell, rn / (SELECT median(rn) FROM er) * 2.5 AS t1, rn / (SELECT median(rn) FROM er) * 2.5 AS t2, rc / (SELECT median(rc) FROM er) * 4.0 AS t3 FROM er)"
@@ -585,6 +621,20 @@ def region_background(spark, sf):
     return rounded(region.background(s, t))
 
 
+#: The fixture's nuclei are convex and lie well within their cells, so their bands have closed forms: a convex outline moved
+#: inwards by t loses P t less t^2 times the tangents of half its turns (0.4 and 3/7, four each), outwards it gains P t + pi t^2.
+EXACT = """ex AS (SELECT c.cell, c.area AS area, n.area - n.perimeter * t1 + t1 * t1 * 4 * (0.4 + 3.0 / 7) AS area_nuclear,
+n.perimeter * t1 - t1 * t1 * 4 * (0.4 + 3.0 / 7) + n.perimeter * t2 + 3.141592653589793 * t2 * t2 AS area_perinuclear, c.perimeter * t3 - 4 * t3 * t3 AS area_peripheral
+FROM shp c JOIN shp n ON n.cell = c.cell AND n.kind = 'nucleus' JOIN lim ON lim.cell = c.cell WHERE c.kind = 'cell')"""
+
+
+@query(with_(f"SELECT cell, {', '.join(r(c, c) for c in ('area', 'area_nuclear', 'area_perinuclear', 'area_peripheral'))} FROM ex", *GEO, ER, LIM, EXACT))
+def region_areas(spark, sf):
+    """Exact areas of the bands of each cell."""
+    _, s, t = _regions(spark, sf)
+    return rounded(region.exact_areas(s, t).select("cell", "area", "area_nuclear", "area_perinuclear", "area_peripheral"))
+
+
 WANTED = [("Brand#11", "Brand#12"), ("Brand#11", "Brand#13"), ("Brand#21", "Brand#22"), ("Brand#33", "Brand#33")]
 BYC = f"byc AS (SELECT a.cell, least(a.gene, b.gene) AS g1, greatest(a.gene, b.gene) AS g2, count(*) AS n, {', '.join(f'sum((a.{k} + b.{k}) / 2) AS {k}' for k in region.REGIONS)} FROM lab a JOIN lab b ON a.cell = b.cell AND a.tx_id < b.tx_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16 WHERE (least(a.gene, b.gene), greatest(a.gene, b.gene)) IN ({', '.join(str(w) for w in WANTED)}) GROUP BY ALL)"
 TOT = "(nuclear + perinuclear + cytosolic + peripheral)"
@@ -710,6 +760,15 @@ def quantile_normalized(spark, sf):
     return rounded(compartment.quantile_normalize(fixture(spark, sf).transcripts.select("cell", "tx_id", "y"), ["y"]))
 
 
+@query()
+def linear_interpolation(spark, sf):
+    """Heights of a sample of each batch's points, linear between them for all points of the batch."""
+    b = fixture(spark, sf)
+    t = bundles.attach(b.transcripts, b.cells, "batch", "batch0")
+    s = t.join(compartment.sample_points(t, 0.05).select("cell", "tx_id"), ["cell", "tx_id"])
+    return rounded(interpolation.linear(s.withColumn("h", F.col("z") + F.col("x") * F.col("y")), t, ["h"], ["batch"], ["cell", "tx_id"]))
+
+
 @query()
 def sampled_points(spark, sf):
     return compartment.sample_points(fixture(spark, sf).transcripts, 0.05).select("cell", "tx_id")

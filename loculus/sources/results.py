@@ -13,7 +13,7 @@ from ..operators.region import REGIONS
 from .bundle import read_table, require
 
 #: Columns of numbers in tables of pairs and of their regions, by the names that a run writes.
-PAIR_NUMBERS = ("cpb_pvalue", "cpb_pvalue_raw", "expected_coloc", "distance_threshold", "pp_alpha", "cpb_alpha", "n_cells_pp_significant")
+PAIR_NUMBERS = ("cpb_pvalue", "cpb_pvalue_raw", "expected_coloc", "distance_threshold", "pp_alpha", "cpb_alpha", "n_cells_pp_significant", "n_cells")
 REGION_NUMBERS = ("n_proximal_pairs", "dominant_enrichment_score", "second_enrichment_score", *[f"{k}_enrichment" for k in REGIONS])
 REGION_NAMES = ("dominant_region", "second_region")
 
@@ -56,10 +56,11 @@ def run_folders(spark: SparkSession, folder: str, pairs: str = "pairs.parquet")
 
 
 def read_run(spark: SparkSession, folder: str, dataset: str | None = None, group: str = "global", pairs: str = "pairs.parquet", regions: str = "regions.parquet", **more: str | None) -> DataFrame:
-    """The pairs of one run with dataset, group and result_dir, their regions joined by the pair, and further constant columns.
+    """The pairs of one run with dataset, group and result_dir, their regions, and further constant columns.
 
+    Regions are joined by the pair and by every key column that both tables have, so a run over groups gets each group's own.
     Numbers are cast, since CSV holds texts. Region columns of the table of pairs give way to those of the table of regions.
-    Of several rows of regions for a pair the least counts.
+    Of several rows of regions for a key the least counts. A column named group of the run's own tables stays as it is.
     """
     p = numeric(require(read_table(spark, f"{folder}/{pairs}"), ("gene_1", "gene_2")), PAIR_NUMBERS)
     p = summary.with_pair(p.withColumns({c: F.col(c).cast("string") for c in ("gene_1", "gene_2")}))
@@ -67,9 +68,18 @@ def read_run(spark: SparkSession, folder: str, dataset: str | None = None, group
         r = read_table(spark, f"{folder}/{regions}").withColumnsRenamed({"g1": "gene_1", "g2": "gene_2"})
         r = numeric(summary.with_pair(require(r, ("gene_1", "gene_2"))), REGION_NUMBERS)
         kept = [c for c in (*REGION_NUMBERS, *REGION_NAMES) if c in r.columns]
-        one = r.groupBy("pair").agg(F.min(F.struct(*kept)).alias("_r")).select("pair", "_r.*") if kept else r.select("pair").distinct()
-        p = p.drop(*kept).join(one, "pair", "left")
+        p = p.drop(*kept)
+        values = {*PAIR_NUMBERS, *REGION_NUMBERS, *REGION_NAMES, "n_cells", "gene_1", "gene_2", "dataset", "result_dir"}
+        keys = [c for c in p.columns if c in r.columns and c not in values]
+        one = r.groupBy(*keys).agg(F.min(F.struct(*kept)).alias("_r")).select(*[F.col(c).alias(f"_{c}") for c in keys], "_r.*") if kept else None
+        if one is not None:  # null keys meet each other
+            same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+            p = p.join(one, same, "left").drop(*[f"_{c}" for c in keys])
+    if "n_cells" not in p.columns and "n_cells_pp_significant" in p.columns:
+        p = p.withColumn("n_cells", F.col("n_cells_pp_significant"))
     names = {"dataset": dataset or folder.rstrip("/").rsplit("/", 1)[-1], "group": group, "result_dir": folder}
+    if "group" in p.columns:
+        del names["group"]
     extra = {k: v for k, v in more.items() if k not in names}
     return p.drop(*names, *extra).select(*[F.lit(v).alias(k) for k, v in names.items()], "*", *[F.lit(v).alias(k) for k, v in extra.items()])
 
