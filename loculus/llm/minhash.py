@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, by_group, grams, mix, signed, to_bytes, trimmed, written
+from .common import ASCII_LOWER, WordHashes, by_group, grams, mix, release, signed, to_bytes, trimmed, written
 from .graph import components
 
 
@@ -184,11 +184,13 @@ def _links(texts: DataFrame, shingle: int, percent: int, block_bytes: int) -> Da
     return by_group(sets, ["family", "a", "b"], links_of, "u long, v long")
 
 
-def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 8, bands: int | None = None, block_bytes: int = 8_000_000) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 8, bands: int | None = None, block_bytes: int = 8_000_000, temps: list | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id it reaches through links), kept.
 
-    A link is 100 * intersection >= percent * union of the sets of ``shingle``-word shingles.
+    A link is 100 * intersection >= percent * union of the sets of ``shingle``-word shingles. Tables written on the way are added
+    to ``temps``; they can be released when the result has been written.
     """
+    temps = [] if temps is None else temps
     if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError("near_components: doc_id has to be a whole number; number the rows first")
     bands = bands or bands_for(percent, rows)
@@ -208,6 +210,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull())
     alone = placed.select("node", F.col("node").alias("component"), F.array(F.struct("family", F.col("block").alias("a"), F.col("block").alias("b"))).alias("slots"))
     links = written(_links(texts.join(alone, "node"), shingle, percent, block_bytes))
+    temps += [sig, named, placed, links]
     true = components(links)
     # then pairs of blocks: one text of each component; then all of the families that still have several
     several = placed.where("blocks > 1")
@@ -222,12 +225,14 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
             at = at.join(first.select("node"), "node", "left_semi")
         slots = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")), pair)
         more = written(_links(texts.join(written(at.select("node", "component", slots.alias("slots"))), "node"), shingle, percent, block_bytes))
+        temps.append(more)
         links = links.union(more)
         true = components(links)
     true = true.withColumnRenamed("id", "node")
     # 4. back to the texts
     ids = nodes.join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.min("node").alias("v"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
     same_ids = written(ids.select(F.explode("all").alias("u"), "v").where("u <> v"))
+    temps.append(same_ids)
     if same_ids.take(1):  # different texts under one id join their nodes
         true = components(true.select(F.col("node").alias("u"), F.col("component").alias("v")).union(same_ids)).withColumnRenamed("id", "node")
     final = named.join(true, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
@@ -238,7 +243,9 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 
 def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     """One row, all columns, of each near-duplicate component; rows with a null doc_id stay."""
-    kept = written(near_components(docs, **kw).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    temps: list[DataFrame] = []
+    kept = written(near_components(docs, temps=temps, **kw).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    release(*temps)
     # the kept ids are nearly as many as the documents, so they are never to be broadcast
     out = docs.alias("d").join(kept.alias("k").hint("merge"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
     if kept.where("_rows > 1").take(1):  # rows of one doc_id are one document: that of the least text
