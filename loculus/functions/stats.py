@@ -165,25 +165,50 @@ def stable_seed(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def mean_pair_distance(xy: np.ndarray, centre: np.ndarray, pairs: int, rng: np.random.Generator) -> float:
-    """Mean distance of random pairs of different points."""
-    a, b = _pairs(len(xy), pairs, rng)
-    return float(np.sqrt(((xy[a] - xy[b]) ** 2).sum(axis=1)).mean())
+def pair_distances(u: np.ndarray, v: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(((u - v) ** 2).sum(axis=-1))
 
 
-def mean_pair_angle(xy: np.ndarray, centre: np.ndarray, pairs: int, rng: np.random.Generator) -> float:
-    """Mean angle at the centre between random pairs of different points."""
-    a, b = _pairs(len(xy), pairs, rng)
-    u, v = xy[a] - centre, xy[b] - centre
-    n = np.sqrt((u**2).sum(axis=1) * (v**2).sum(axis=1))
-    return float(np.arccos(np.clip((u * v).sum(axis=1) / np.where(n == 0, 1, n), -1, 1)).mean())
+def pair_angles(u: np.ndarray, v: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Angles at the centre."""
+    u, v = u - centre, v - centre
+    n = np.sqrt((u**2).sum(axis=-1) * (v**2).sum(axis=-1))
+    return np.arccos(np.clip((u * v).sum(axis=-1) / np.where(n == 0, 1, n), -1, 1))
 
 
-def _pairs(n: int, pairs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(n: int, pairs: tuple[int, ...] | int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of different numbers below n."""
     a = rng.integers(0, n, pairs)
     return a, (a + rng.integers(1, n, pairs)) % n
 
 
+def observed_pairs(k: int, pairs: int, seed: tuple[int, ...]) -> np.ndarray:
+    """(pairs, 2) random pairs of a gene's k points, by their numbers."""
+    return np.stack(_pairs(k, pairs, np.random.default_rng([*seed, 1])), axis=1)
+
+
+def null_pairs(n: int, k: int, iterations: int, pairs: int, seed: tuple[int, ...]) -> np.ndarray:
+    """(iterations, pairs, 2) points of n: random pairs out of a random set of k points without repeats, each time anew.
+
+    No more of a set is drawn than its pairs need, so the work does not depend on n or k: pairs are drawn among k labels, and
+    each different label gets a point that no other one has.
+    """
+    rng = np.random.default_rng([*seed, 0])
+    a, b = _pairs(k, (iterations, pairs), rng)
+    labels = np.stack([a, b], axis=2).reshape(iterations, 2 * pairs)
+    points = rng.integers(0, n, labels.shape)
+    for s in range(1, 2 * pairs):
+        points[:, s] = rng.integers(0, n, iterations)
+        same = labels[:, :s] == labels[:, s : s + 1]
+        old = same.any(axis=1)
+        points[old, s] = points[old, same[old].argmax(axis=1)]
+        again = np.flatnonzero(~old & (points[:, :s] == points[:, s : s + 1]).any(axis=1))
+        while len(again):
+            points[again, s] = rng.integers(0, n, len(again))
+            again = again[(points[again, :s] == points[again, s : s + 1]).any(axis=1)]
+    return points.reshape(iterations, pairs, 2)
+
+
 def median_score_variance(m: int, n: int) -> float | None:
     """Variance of (E - median) / (E - 1) for the median of m ranks drawn from 1..n, E = (n + 1) / 2; exact."""
     if n < 2 or m < 1 or m > n:

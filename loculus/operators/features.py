@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import planar, stats
+from ..sources import store
 from . import geometry, joins
 
 KEYS = ["cell", "gene"]
-PERMUTATION_CAP = 1_000_000  # points of one cell that a permutation task may hold
+WHOLE_CELL = 1_000_000  # points of a cell that a permutation task looks up by itself; points of larger ones are joined
 
 
 def placed(tx: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -135,40 +136,95 @@ def central(p: DataFrame) -> DataFrame:
     return _rank_score(p, dx * dx + dy * dy, "central")
 
 
-def _permutation(tx: DataFrame, shapes: DataFrame, name: str, measure: Callable, iterations: int, pairs: int, seed: int) -> DataFrame:
+def _permutation(tx: DataFrame, shapes: DataFrame, name: str, measure: str, iterations: int, pairs: int, seed: int, whole: int) -> DataFrame:
     """Score from a null of label permutations within a cell; genes of one spot are left out first.
 
-    A cell is one task's unit, since a permutation draws from all its points; PERMUTATION_CAP guards its memory with an error.
+    A null value needs a few pairs of a random set of the cell's points, so it is drawn as numbers of points (by tx_id) from the
+    cell, the size of the set and the seed alone. Cells of at most ``whole`` points look them up in their task. In larger ones
+    points are numbered over tasks and joined by their number; the values are the same.
     """
     m = shapes.where("kind = 'cell'").select("cell", "mx", "my")
-    multi = tx.withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS))).where("_n >= 2").drop("_n")
-    rows = multi.select("cell", "gene", "tx_id", "x", "y").join(m, "cell")
+    genes = tx.groupBy(*KEYS).agg(F.count("*").alias("k")).where("k >= 2")
+    sizes = genes.groupBy("cell").agg(F.sum("k").alias("n")).join(m, "cell")
+    rows = tx.select("cell", "gene", "tx_id", "x", "y").join(genes.select(*KEYS), KEYS, "left_semi").join(sizes, "cell")
+    schema = f"cell string, gene string, num_gene_spots long, {name} double, variance double"
+    of = stats.pair_distances if measure == "distance" else stats.pair_angles
+    half, variance = iterations / 2, (iterations + 2) / (3 * iterations)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > PERMUTATION_CAP:
-            raise ValueError(f"cell {g['cell'].iloc[0]} has {len(g)} points; sample points first or raise PERMUTATION_CAP")
         g = g.sort_values("tx_id")
-        xy, centre = g[["x", "y"]].to_numpy(), g[["mx", "my"]].iloc[0].to_numpy()
-        rng = np.random.default_rng([seed, stats.stable_seed(g["cell"].iloc[0])])
+        cell, xy, centre = g["cell"].iloc[0], g[["x", "y"]].to_numpy(), g[["mx", "my"]].iloc[0].to_numpy()
+        key = (seed, stats.stable_seed(cell))
         nulls: dict[int, np.ndarray] = {}
         out = []
         for gene, at in sorted(g.groupby("gene").indices.items()):
             k = len(at)
             if k not in nulls:
-                nulls[k] = np.array([measure(xy[rng.choice(len(xy), k, replace=False)], centre, pairs, rng) for _ in range(iterations)])
-            below = int((nulls[k] < measure(xy[at], centre, pairs, rng)).sum())
-            out.append((g["cell"].iloc[0], gene, k, (iterations / 2 - below) / (iterations / 2), (iterations + 2) / (3 * iterations)))
+                p = stats.null_pairs(len(xy), k, iterations, pairs, (*key, k))
+                nulls[k] = of(xy[p[..., 0]], xy[p[..., 1]], centre).mean(axis=1)
+            p = xy[at][stats.observed_pairs(k, pairs, (*key, stats.stable_seed(gene)))]
+            below = int((nulls[k] < of(p[:, 0], p[:, 1], centre).mean()).sum())
+            out.append((cell, gene, k, (half - below) / half, variance))
         return pd.DataFrame(out, columns=["cell", "gene", "num_gene_spots", name, "variance"])
 
-    return rows.groupBy("cell").applyInPandas(run, f"cell string, gene string, num_gene_spots long, {name} double, variance double")
+    small = rows.where(F.col("n") <= whole).select("cell", "gene", "tx_id", "x", "y", "mx", "my").groupBy("cell").applyInPandas(run, schema)
+    large = sizes.where(F.col("n") > whole)
+    return small.unionByName(_by_number(rows.where(F.col("n") > whole), large, genes, name, of, iterations, pairs, seed))
 
 
-def punctate(tx: DataFrame, shapes: DataFrame, iterations: int = 200, pairs: int = 4, seed: int = 1) -> DataFrame:
-    return _permutation(tx, shapes, "punctate", stats.mean_pair_distance, iterations, pairs, seed)
+def _by_number(rows: DataFrame, sizes: DataFrame, genes: DataFrame, name: str, of: Callable, iterations: int, pairs: int, seed: int) -> DataFrame:
+    """The scores of cells whose points are joined by their numbers; sizes: cell, n, mx, my."""
+    numbered = store.stored(_numbered(_numbered(rows.select("cell", "gene", "tx_id", "x", "y"), ["cell"], "i"), KEYS, "j"))
+    wanted = genes.join(sizes, "cell")
+
+    def nulls(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                p = stats.null_pairs(r.n, r.k, iterations, pairs, (seed, stats.stable_seed(r.cell), r.k)).reshape(-1, 2)
+                yield pd.DataFrame({"cell": r.cell, "k": r.k, "draw": np.arange(len(p)) // pairs, "a": p[:, 0], "b": p[:, 1], "mx": r.mx, "my": r.my})
+
+    def observed(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                p = stats.observed_pairs(r.k, pairs, (seed, stats.stable_seed(r.cell), stats.stable_seed(r.gene)))
+                yield pd.DataFrame({"cell": r.cell, "gene": r.gene, "k": r.k, "a": p[:, 0], "b": p[:, 1], "mx": r.mx, "my": r.my})
+
+    def measured(p: DataFrame, keys: list[str], number: str) -> DataFrame:
+        for end in ("a", "b"):
+            at = numbered.select(*keys, F.col(number).alias(end), F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y"))
+            p = p.join(at, [*keys, end])
+
+        def run(batches):
+            for d in batches:
+                far = of(d[["ax", "ay"]].to_numpy(), d[["bx", "by"]].to_numpy(), d[["mx", "my"]].to_numpy())
+                yield d[kept].assign(d=far)
+
+        kept = [c for c in p.columns if c not in ("a", "b", "mx", "my", "ax", "ay", "bx", "by")]
+        return p.mapInPandas(run, ", ".join(f"`{c}` {p.schema[c].dataType.simpleString()}" for c in kept) + ", d double")
+
+    draws = wanted.select("cell", "k", "n", "mx", "my").distinct().mapInPandas(nulls, "cell string, k long, draw long, a long, b long, mx double, my double")
+    null = measured(draws, ["cell"], "i").groupBy("cell", "k", "draw").agg(F.avg("d").alias("null"))
+    seen = measured(wanted.select("cell", "gene", "k", "mx", "my").mapInPandas(observed, "cell string, gene string, k long, a long, b long, mx double, my double"), KEYS, "j").groupBy(*KEYS, "k").agg(F.avg("d").alias("seen"))
+    g = seen.join(null, ["cell", "k"]).groupBy(*KEYS, "k").agg(F.count_if(F.col("null") < F.col("seen")).alias("below"))
+    half = F.lit(iterations / 2)
+    return g.select(*KEYS, F.col("k").alias("num_gene_spots"), ((half - F.col("below")) / half).alias(name), F.lit((iterations + 2) / (3 * iterations)).alias("variance"))
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the number of each row within its keys by tx_id, from 0. Rows are sorted by range, so a key may span many tasks."""
+    sorted_rows = store.stored(rows.repartitionByRange(*keys, "tx_id").withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = sorted_rows.groupBy(*keys, "_p").agg(F.count("*").alias("_c")).select(*keys, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("tx_id")) - 1
+    return sorted_rows.withColumn("_r", inside).join(start, [*keys, "_p"]).withColumn(name, F.col("_s") + F.col("_r")).drop("_p", "_r", "_s")
+
+
+def punctate(tx: DataFrame, shapes: DataFrame, iterations: int = 200, pairs: int = 4, seed: int = 1, whole: int = WHOLE_CELL) -> DataFrame:
+    return _permutation(tx, shapes, "punctate", "distance", iterations, pairs, seed, whole)
 
 
-def radial(tx: DataFrame, shapes: DataFrame, iterations: int = 200, pairs: int = 4, seed: int = 1) -> DataFrame:
-    return _permutation(tx, shapes, "radial", stats.mean_pair_angle, iterations, pairs, seed)
+def radial(tx: DataFrame, shapes: DataFrame, iterations: int = 200, pairs: int = 4, seed: int = 1, whole: int = WHOLE_CELL) -> DataFrame:
+    return _permutation(tx, shapes, "radial", "angle", iterations, pairs, seed, whole)
 
 
 def median_variance(counts: DataFrame) -> DataFrame:

@@ -110,3 +110,37 @@ def test_points_against_outlines(spark):
 def test_outlines_may_be_missing(spark):
     df = spark.createDataFrame([(1.0, 1.0, None), (None, 1.0, [0.0, 0.0, 1.0, 0.0])], "x double, y double, f array<double>")
     assert [r.t for r in df.select(planar.against(F.col("f"), F.col("x"), F.col("y")).alias("t")).collect()] == [None, None]
+
+
+def test_null_pairs():
+    from loculus.functions import stats
+
+    p = stats.null_pairs(7, 5, 20_000, 2, (1, 2, 3))
+    assert p.shape == (20_000, 2, 2) and (p >= 0).all() and (p < 7).all() and (p[..., 0] != p[..., 1]).all()
+    # two pairs of a set of five: how often they share points follows from five labels, whatever the seven points
+    shared = np.array([len({*x.ravel()}) for x in p])
+    rng = np.random.default_rng(5)
+    want = []
+    for _ in range(20_000):
+        some = rng.permutation(7)[:5]
+        a, b = rng.choice(some, 2, replace=False), rng.choice(some, 2, replace=False)
+        want.append(len({*a, *b}))
+    for k in (2, 3, 4):
+        assert abs((shared == k).mean() - (np.array(want) == k).mean()) < 0.02
+    assert np.bincount(p.ravel(), minlength=7).std() < 400  # no point is preferred
+    assert (stats.null_pairs(2, 2, 50, 4, (0,)).sum(axis=2) == 1).all()
+
+
+def test_permutation_scores_of_large_cells(spark):
+    """Cells over the size that one task looks up give the same scores through joins."""
+    from loculus.operators import features, geometry
+
+    rng = np.random.default_rng(3)
+    tx = [(f"c{c}", f"g{int(g)}", i + 1000 * c, float(x), float(y)) for c, n in enumerate((90, 40, 3)) for i, (g, x, y) in enumerate(zip(rng.integers(0, 6, n) if n > 3 else [0, 1, 1], *rng.uniform(0, 20, (2, n)), strict=True))]
+    df = spark.createDataFrame(tx, "cell string, gene string, tx_id long, x double, y double")
+    corners = [(f"c{c}", "cell", i, x, y) for c in range(3) for i, (x, y) in enumerate([(0.0, 0.0), (20.0, 0.0), (20.0, 21.0), (0.0, 20.0)])]
+    s = geometry.shape_table(geometry.closed_rings(spark.createDataFrame(corners, "cell string, kind string, i int, x double, y double")))
+    for score, name in ((features.punctate, "punctate"), (features.radial, "radial")):
+        said = lambda d: {(r.cell, r.gene, r.num_gene_spots): (round(r[name], 9), round(r.variance, 9)) for r in d.collect()}  # noqa: E731, B023
+        one, joined = said(score(df, s, 40, 3, 7)), said(score(df, s, 40, 3, 7, whole=39))
+        assert one == joined and ("c2", "g1", 2) in one and ("c2", "g0", 1) not in one and len({v for v, _ in one.values()}) > 4
