@@ -223,12 +223,37 @@ def neighbour_frequency(e: DataFrame, cells: DataFrame, dist: float, min_neighbo
     return out.select(*PAIR, "cell", F.coalesce("edge", F.lit(0)).alias("edge"), "p_global", F.when(F.col("n") < min_neighbours, F.col("p_global")).otherwise(F.coalesce("k", F.lit(0)) / F.col("n")).alias("freq"))
 
 
+def neighbour_counts(e: DataFrame, cells: DataFrame, dist: float, min_neighbours: int = 1) -> DataFrame:
+    """(g1, g2, p_global, edge, freq, c): how many cells have (not) the edge and such a share of neighbours with it.
+
+    The counts of ``neighbour_frequency`` without its table of cells x pairs: only cells that have the edge, or a neighbour with
+    it, are looked at. The others of a pair have no edge and the share 0, or the global one where neighbours are too few, so
+    their numbers are those of all cells by that test less what was counted.
+    """
+    e = store.stored(e.select("cell", *PAIR).distinct())
+    nb = store.stored(joins.neighbour_cells(cells, dist))
+    n = store.stored(cells.select("cell").distinct().join(nb.groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").fillna(0, ["n"]))
+    few = F.col("n") < min_neighbours
+    total, n_few = n.agg(F.count("*"), F.count_if(few)).first()
+    glob = e.groupBy(*PAIR).agg((F.count("*") / F.lit(total)).alias("p_global"))
+    hits = nb.join(e.withColumnRenamed("cell", "neighbour"), "neighbour").groupBy("cell", *PAIR).agg(F.count("*").alias("k"))
+    seen = hits.join(e.withColumn("edge", F.lit(1)), ["cell", *PAIR], "full").join(n, "cell")
+    seen = seen.select(*PAIR, F.coalesce("edge", F.lit(0)).alias("edge"), few.alias("few"), F.when(~few, F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 12)).alias("freq"))
+    seen = store.stored(seen.groupBy(*PAIR, "edge", "few", "freq").agg(F.count("*").alias("c")))
+    left = seen.groupBy(*PAIR).agg(F.sum(F.when(F.col("few"), F.col("c")).otherwise(0)).alias("f"), F.sum(F.when(F.col("few"), 0).otherwise(F.col("c"))).alias("m"))
+    rest = left.select(*PAIR, F.lit(0).alias("edge"), F.explode(F.array(F.struct(F.lit(True).alias("few"), F.lit(None).cast("double").alias("freq"), (F.lit(n_few) - F.col("f")).alias("c")), F.struct(F.lit(False).alias("few"), F.lit(0.0).alias("freq"), (F.lit(total - n_few) - F.col("m")).alias("c")))).alias("r"))
+    both = seen.select(*PAIR, "edge", "few", "freq", "c").unionByName(rest.select(*PAIR, "edge", "r.few", "r.freq", "r.c").where("c > 0"))
+    both = both.join(glob, PAIR)
+    return both.groupBy(*PAIR, "p_global", "edge", F.when(F.col("few"), F.round("p_global", 12)).otherwise(F.col("freq")).alias("freq")).agg(F.sum("c").alias("c"))
+
+
 def spatial_modulation(freq: DataFrame) -> DataFrame:
     """Per pair: log-likelihood ratio of edges given the neighbours' share against a constant chance, and the fitted (w, p1).
 
-    Cells of equal (edge, freq) are counted first, so a task's group has distinct values, not cells.
+    Takes ``neighbour_counts``, or the rows of ``neighbour_frequency``, which are counted first; so a task's group has distinct
+    values, not cells.
     """
-    g = freq.groupBy(*PAIR, "p_global", "edge", F.round("freq", 12).alias("freq")).agg(F.count("*").alias("c"))
+    g = freq if "c" in freq.columns else freq.groupBy(*PAIR, "p_global", "edge", F.round("freq", 12).alias("freq")).agg(F.count("*").alias("c"))
 
     def fit(d: pd.DataFrame) -> pd.DataFrame:
         edge, f, c = d["edge"].to_numpy(), d["freq"].to_numpy(), d["c"].to_numpy(float)

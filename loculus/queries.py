@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import classify, coloc, compartment, features, geometry, interpolation, joins, prefilter, region, shapes, summary, views
+from .operators import classify, coloc, compartment, features, geometry, interpolation, joins, plugin, prefilter, region, shapes, summary, views
 from .sources import bundle as bundles
 from .sources import results, store
 from .sources.fixture import CTES, fixture
@@ -439,6 +439,17 @@ def gene_celltype_scores(spark, sf):
     return features.gene_group_scores(v.join(b.cells.select("cell", "celltype"), "cell"), "peripheral", "celltype", 2)
 
 
+PLUGGED = ["cell_inner_proximity", "nucleus_inner_proximity", "nucleus_outer_proximity", "nucleus_inner_distance", "nucleus_outer_offset", "nucleus_enrichment"]
+
+
+@query(f"SELECT cell, gene, {', '.join(PLUGGED)}, point_moment, point_dispersion_norm FROM ({ORACLES['proximity_asymmetry']}) JOIN ({ORACLES['shape_distance_enrichment']}) USING (cell, gene) JOIN ({ORACLES['dispersion']}) USING (cell, gene)")
+def features_by_name(spark, sf):
+    """Features of three operators from the registry, in one grouping of the points."""
+    b, s = _shapes(spark, sf)
+    d = plugin.compute(b.transcripts, s, [*PLUGGED, "point_moment", "point_dispersion_norm"])
+    return rounded(d.select("cell", "gene", *PLUGGED)).join(d.select("cell", "gene", (F.round("point_moment", 4) + 0.0).alias("point_moment"), (F.round("point_dispersion_norm", 5) + 0.0).alias("point_dispersion_norm")), ["cell", "gene"])
+
+
 @query(with_("SELECT gene, n, (round(s, 6) + 0.0) AS score FROM (SELECT gene, count(*) AS n, (median(x) - (max(x) + min(x)) / 2) / nullif((max(x) - min(x)) / 2, 0) AS s FROM tx GROUP BY gene)"))
 def read_position_score(spark, sf):
     return rounded(features.read_position_score(fixture(spark, sf).transcripts, "gene", "x"))
@@ -447,6 +458,17 @@ def read_position_score(spark, sf):
 # --- distance joins and colocalization -----------------------------------------------------------------------------------
 
 CLOSE = "pairs AS (SELECT a.cell, least(a.gene, b.gene) AS g1, greatest(a.gene, b.gene) AS g2 FROM tx a JOIN tx b ON a.cell = b.cell AND a.tx_id < b.tx_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16)"
+MARKER = "Brand#11"
+
+
+@query(with_(f"""SELECT cell, tx_id, rank, neighbour, {r('d2', 'd2')} FROM (SELECT a.cell, a.tx_id, b.tx_id AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
+  row_number() OVER (PARTITION BY a.cell, a.tx_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.tx_id)::INT AS rank FROM tx a JOIN tx b ON a.cell = b.cell AND b.gene = '{MARKER}') WHERE rank <= 2"""))
+def nearest_marker_points(spark, sf):
+    """For every point the two nearest points of a marker gene in its cell."""
+    t = fixture(spark, sf).transcripts
+    return rounded(joins.nearest(t, t.where(F.col("gene") == MARKER), 2, ["cell"]))
+
+
 CLOSE3 = CLOSE.replace("<= 16", "+ (a.z - b.z) * (a.z - b.z) <= 16")
 TAIL = "list_sum(list_transform(range(obs, trials + 1), lambda k: exp(lgamma(trials + 1) - lgamma(k + 1) - lgamma(trials - k + 1) + k * ln(p0) + (trials - k) * ln(1 - p0))))"
 PP = f"""obs AS (SELECT cell, g1, g2, count(*) AS obs FROM pairs GROUP BY ALL), cnt AS (SELECT cell, gene, count(*) AS n FROM tx GROUP BY ALL), tot AS (SELECT cell, sum(n) AS t FROM cnt GROUP BY cell HAVING sum(n) > 20),
@@ -565,10 +587,17 @@ def neighbour_edge_frequency(spark, sf):
     return rounded(coloc.neighbour_frequency(e, fixture(spark, sf).cells, 15.0))
 
 
+@query(f"SELECT g1, g2, p_global, edge, freq, count(*) AS c FROM ({ORACLES['neighbour_edge_frequency']}) GROUP BY ALL")
+def neighbour_edge_counts(spark, sf):
+    """The same, counted without a row for each cell and pair."""
+    _, e, _ = _edges(spark, sf)
+    return rounded(coloc.neighbour_counts(e, fixture(spark, sf).cells, 15.0))
+
+
 @query()
 def spatial_modulation(spark, sf):
     _, e, _ = _edges(spark, sf)
-    return coloc.spatial_modulation(coloc.neighbour_frequency(e, fixture(spark, sf).cells, 15.0))
+    return coloc.spatial_modulation(coloc.neighbour_counts(e, fixture(spark, sf).cells, 15.0))
 
 
 @query(with_("SELECT [a.g1, a.g2, b.g2] AS genes, count(DISTINCT a.cell) AS support FROM e a JOIN e b ON b.cell = a.cell AND b.g1 = a.g2 AND b.g1 < b.g2 JOIN e c ON c.cell = a.cell AND c.g1 = a.g1 AND c.g2 = b.g2 WHERE a.g1 < a.g2 GROUP BY ALL HAVING count(DISTINCT a.cell) >= 2", CLOSE, PP, "e AS (SELECT cell, g1, g2 FROM pp WHERE pvalue < 0.3)"))
