@@ -152,6 +152,54 @@ SELECT doc_id, mark, item_id, first(s ORDER BY shared / total DESC, s)::BIGINT A
   max(shared / total) AS similarity FROM sc JOIN dl USING (row) JOIN il USING (item) GROUP BY doc_id, mark, item_id"""
 
 
+def op11() -> str:
+    """All rows against all anchors."""
+    return """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM r a JOIN r b ON a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same AND other <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, row_number() OVER w::INT AS rank, n.other AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY n.s DESC, n.other) QUALIFY row_number() OVER w <= 10"""
+
+
+def op13() -> str:
+    """The cheapest edits row by row: for each state the least of cost and audit in one string, then the edits played again."""
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+src AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+cd AS (SELECT src.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS code FROM src, tab),
+dm AS (SELECT c, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM cd, LATERAL (SELECT unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END))) WHERE code <> 0),
+nm AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, role[1] AS first, regexp_extract(text, '([^ 	-]){blank}*$', 1) AS tail FROM dm),
+ft AS MATERIALIZED (SELECT *, CASE WHEN tail = '' THEN 0 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 1 WHEN tail NOT IN ('.', '!', '?') THEN 2 ELSE -1 END AS f FROM nm),
+conv AS MATERIALIZED (SELECT c, any_value(conv_id) AS conv_id, (SELECT count(*) FROM ft WHERE ft.c = src.c) AS n FROM src GROUP BY c),
+ins(st, j, mid) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)),
+nx(st, st2, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+op(mid, letter, first, st2, price) AS (SELECT st, 'D', NULL::VARCHAR, st, 2 FROM nx UNION ALL SELECT st, 'R', NULL::VARCHAR, st2, 1 FROM nx UNION ALL VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0)),
+dp AS (
+  SELECT c, 0::BIGINT AS i, 0 AS st, '000000000' AS key FROM conv
+  UNION ALL
+  SELECT dp.c, dp.i + 1, op.st2, min(lpad((left(key, 9)::INT + 5 * j + price + CASE WHEN letter <> 'D' AND f = 2 THEN 5 ELSE 0 END)::VARCHAR, 9, '0') || substr(key, 10) || repeat('I', j) || letter)
+  FROM dp JOIN ft ON ft.c = dp.c AND ft.i = dp.i + 1 JOIN ins ON ins.st = dp.st JOIN op ON op.mid = ins.mid AND (op.first IS NULL OR op.first = ft.first) AND (letter = 'D' OR f NOT IN (0, 1))
+  GROUP BY dp.c, dp.i, op.st2),
+best AS MATERIALIZED (SELECT c, min(lpad((left(key, 9)::INT + 5 * t.j)::VARCHAR, 9, '0') || substr(key, 10) || repeat('I', t.j)) AS key FROM dp JOIN conv USING (c) JOIN (VALUES (0, 0), (3, 0), (2, 1), (1, 2)) t(st, j) ON t.st = dp.st WHERE dp.i = n GROUP BY c),
+play AS (
+  SELECT c, 0 AS p, 0::BIGINT AS i, 0 AS st, ''::VARCHAR AS said, FALSE AS begun FROM best
+  UNION ALL
+  SELECT c, p + 1, CASE WHEN l = 'I' THEN i ELSE i + 1 END, CASE WHEN l = 'D' THEN st WHEN l = 'K' THEN CASE first WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE made END,
+    CASE WHEN l = 'D' THEN said ELSE said || CASE WHEN begun THEN chr(10) ELSE '' END || CASE WHEN l = 'K' THEN role ELSE maker END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END END, begun OR l <> 'D'
+  FROM (SELECT play.*, substr(key, 10 + p, 1) AS l, nx.st2 AS made, nx.role AS maker, ft.role, ft.text, ft.first FROM play JOIN best USING (c) JOIN nx ON nx.st = play.st LEFT JOIN ft ON ft.c = play.c AND ft.i = play.i + 1 WHERE p < len(key) - 9)),
+done AS (SELECT c, said FROM play JOIN best USING (c) WHERE p = len(key) - 9),
+st AS (SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE f = 0) AS blank, count(*) FILTER (WHERE f = 1) AS duplicate, count(*) FILTER (WHERE f = 2) AS truncated FROM ft GROUP BY c),
+il AS (SELECT a.c, count(*) AS illegal FROM ft a JOIN ft b ON b.c = a.c AND b.i = a.i + 1 WHERE a.first || b.first NOT IN ('su', 'ua', 'au') GROUP BY a.c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  left(key, 9)::BIGINT AS cost, substr(key, 10) AS audit, sha256(said) AS repaired_sha256
+FROM conv JOIN best USING (c) JOIN done USING (c) LEFT JOIN st USING (c) LEFT JOIN il USING (c)"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_warc_derivatives": op1(),
@@ -161,4 +209,6 @@ def oracles() -> dict[str, str]:
         "op5_superkmer_substrings": op5(),
         "op6_snapshot_collapse": op6(),
         "op7_simhash_decontamination": op7(),
+        "op11_distance_key_negatives": op11(),
+        "op13_conversation_repair": op13(),
     }
