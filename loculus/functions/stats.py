@@ -104,43 +104,120 @@ def conditional_tail(gamma: int, lam: int, alpha: int, m: int, n1: int, n2: int,
     return float(min(1.0, np.convolve(of_high, of_low)[max(lam, 0) :].sum()))
 
 
-def poisson_binomial_head(p: np.ndarray, states: int) -> np.ndarray:
-    """P(X = 0), ..., P(X = states - 1) for the sum of independent trials; memory is bounded by the states."""
-    pmf = np.zeros(states)
-    if states:
-        pmf[0] = 1.0
-        for q in p:
-            pmf[1:] = pmf[1:] * (1 - q) + pmf[:-1] * q
-            pmf[0] *= 1 - q
-    return pmf
+#: Trials whose product is worked out term by term before products are joined by transforms; states kept beside the mean.
+LEAF, DEVIATIONS = 64, 14
 
 
-def poisson_binomial_states(k: int, n: int, variance: float) -> int:
-    """States 0, 1, ... that a tail from k is summed over: twelve deviations and some more."""
-    return int(min(n + 1, k + 64 + math.ceil(12 * math.sqrt(max(variance, 0.0)))))
+def tilted(p: np.ndarray, tilt: float) -> tuple[np.ndarray, float]:
+    """Chances p e^t / (1 - p + p e^t), and the sum of the logarithms of what they were divided by."""
+    p = np.asarray(p, float)
+    with np.errstate(divide="ignore"):
+        up, down = np.log(p) + tilt, np.log1p(-p)
+    log_sum = np.logaddexp(up, down)
+    return np.exp(up - log_sum), float(log_sum.sum())
 
 
-def upper_tail(pmf: np.ndarray, k: int, mean: float, n: int) -> float:
-    """P(X >= k) from the first states of a Poisson-binomial distribution of n trials.
+def trial_sum(q: np.ndarray) -> tuple[int, np.ndarray]:
+    """(first state, chances of it and the next ones) of the sum of independent trials: a product tree of (1 - q + q x).
 
-    Above the mean the chances from k on are summed, so nothing cancels however small they are; what lies beyond the last state,
-    if that is not n, is bounded by a geometric series, for their ratios fall. Below the mean the tail is no small number and 1 less the head.
+    States DEVIATIONS from the mean and farther are left out; their chances are below any double's precision beside the others'.
+    Products are joined by fast transforms, whose error is small beside the largest chance, so only states that are not rare
+    should be looked at; ``tilted`` makes any state such.
     """
-    if k <= 0:
-        return 1.0
-    if k >= len(pmf):
+    q = np.asarray(q, float)
+    n = len(q)
+    if not n:
+        return 0, np.ones(1)
+    blocks = -(-n // LEAF)
+    padded = np.zeros(blocks * LEAF)
+    padded[:n] = q
+    trials = padded.reshape(blocks, LEAF)
+    level = np.zeros((blocks, LEAF + 1))
+    level[:, 0] = 1.0
+    for k in range(LEAF):
+        t = trials[:, k : k + 1]
+        level[:, 1 : k + 2] = level[:, 1 : k + 2] * (1 - t) + level[:, : k + 1] * t
+        level[:, 0] *= 1 - t[:, 0]
+    while len(level) > 1:
+        if len(level) % 2:
+            one = np.zeros((1, level.shape[1]))
+            one[0, 0] = 1.0
+            level = np.vstack([level, one])
+        size = 2 * level.shape[1] - 1
+        wide = 1 << (size - 1).bit_length()
+        f = np.fft.rfft(level, wide, axis=1)
+        level = np.maximum(np.fft.irfft(f[0::2] * f[1::2], wide, axis=1)[:, :size], 0.0)
+    return trimmed_states(0, level[0][: n + 1], float(q.sum()), float((q * (1 - q)).sum()))
+
+
+def trimmed_states(first: int, pmf: np.ndarray, mean: float, variance: float) -> tuple[int, np.ndarray]:
+    reach = DEVIATIONS * math.sqrt(max(variance, 0.0)) + 32
+    lo, hi = max(0, math.floor(mean - reach) - first), max(1, math.ceil(mean + reach) - first + 1)
+    return first + lo, pmf[lo:hi]
+
+
+def joined_states(parts: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """The sum of independent numbers that are given by their states, smaller ones first."""
+    parts = sorted(parts, key=lambda x: len(x[1]))
+    first, pmf = parts[0]
+    for f, other in parts[1:]:
+        size = len(pmf) + len(other) - 1
+        wide = 1 << (size - 1).bit_length()
+        joined = np.fft.irfft(np.fft.rfft(pmf, wide) * np.fft.rfft(other, wide), wide)[:size] if min(len(pmf), len(other)) > 64 else np.convolve(pmf, other)
+        first, pmf = first + f, np.maximum(joined, 0.0)
+    return first, pmf
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p) - np.log1p(-p)
+
+
+def tilt_for(k: int, odds: np.ndarray, count: np.ndarray) -> float:
+    """The tilt, 0 at least, under which trials of these log-odds (so many each) have the mean k; it need not be exact."""
+    use = np.isfinite(odds)
+    odds, count, k = odds[use], count[use], k - float(count[odds == np.inf].sum())
+    n = float(count.sum())
+    if not len(odds) or k <= 0:
+        return 0.0
+    goal = min(k, n - 0.5)
+    mean = lambda t: float((count / (1 + np.exp(-np.clip(odds + t, -700, 700)))).sum())
+    if mean(0.0) >= goal:
+        return 0.0
+    lo, hi = 0.0, 1.0
+    while mean(hi) < goal and hi < 1400:
+        hi *= 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if mean(mid) < goal else (lo, mid)
+    return (lo + hi) / 2
+
+
+def tilted_tail(k: int, first: int, pmf: np.ndarray, tilt: float, log_sum: float) -> float:
+    """P(X >= k) from the states of the tilted sum."""
+    j = np.arange(first, first + len(pmf))
+    use = j >= k
+    if not use.any():
         return 0.0
-    if k <= mean:
-        return min(1.0, max(0.0, 1 - float(pmf[:k].sum())))
-    last, before = pmf[-1], pmf[-2] if len(pmf) > 1 else 0.0
-    ratio = last / before if before > 0 and len(pmf) <= n else 0.0
-    return min(1.0, float(pmf[k:][::-1].sum()) + (last * ratio / (1 - ratio) if ratio < 1 else 0.0))
+    inner = float((pmf[use] * np.exp(-tilt * (j[use] - k)))[::-1].sum())
+    return min(1.0, math.exp(log_sum - tilt * k + math.log(inner))) if inner > 0 else 0.0
 
 
 def poisson_binomial_tail(p: np.ndarray, k: int) -> float:
-    """P(X >= k) for the sum of independent trials."""
+    """P(X >= k) for the sum of independent trials, with a small relative error however small it is.
+
+    The trials are tilted until k is their mean, the states around it come from a product tree, and the tilt is taken back.
+    """
     p = np.asarray(p, float)
-    return upper_tail(poisson_binomial_head(p, poisson_binomial_states(k, len(p), float((p * (1 - p)).sum()))), k, float(p.sum()), len(p)) if k <= len(p) else 0.0
+    if k <= 0:
+        return 1.0
+    if k > np.count_nonzero(p):
+        return 0.0
+    if k == len(p):
+        return float(np.exp(np.log(p).sum()))
+    t = tilt_for(k, log_odds(p), np.ones(len(p)))
+    q, log_sum = tilted(p, t)
+    return tilted_tail(k, *trial_sum(q), t, log_sum)
 
 
 @pandas_udf(DoubleType())

@@ -106,9 +106,9 @@ def conditional_chances(e: DataFrame, counts: DataFrame, min_transcript: int = 0
 def conditional_p_values(e: DataFrame, counts: DataFrame, min_transcript: int = 0, eps: float = 1e-64, group: str | None = None, chunk: int = 20_000, observed_only: bool = True) -> DataFrame:
     """Per pair: obs, expected, pvalue = P(X >= obs) for the sum of the cells' chances.
 
-    Chances are cut into chunks by cell; each gives the first states of its distribution, as many as the tail is summed over,
-    and those of one pair are convolved. So no task holds all cells of a pair, and the p-value is as accurate with one chunk
-    as with many.
+    Chances are cut into chunks by cell, so no task holds all cells of a pair. A pair's tilt comes from counts of its log-odds;
+    each chunk gives the states of its tilted sum, and those of one pair are joined. See ``stats.poisson_binomial_tail``: the
+    p-value is as accurate with many chunks as with one, however small it is, and the work is in proportion to the cells.
     """
     gk = [group] if group else []
     keys = gk + PAIR
@@ -116,36 +116,58 @@ def conditional_p_values(e: DataFrame, counts: DataFrame, min_transcript: int =
     c = conditional_chances(e, counts, min_transcript, eps, group, observed_only)
     cells = counts.select("cell").distinct().count()
     salts = max(1, -(-cells // chunk))
-    p = F.col("p")
-    parts = c.withColumn("_s", F.pmod(F.xxhash64("cell"), F.lit(salts))).groupBy(*keys, "_s").agg(F.sum("p").alias("e"), F.sum(p * (1 - p)).alias("v"), F.sort_array(F.collect_list("p")).alias("p"))
+    parts = c.withColumn("_s", F.pmod(F.xxhash64("cell"), F.lit(salts))).groupBy(*keys, "_s").agg(F.sum("p").alias("e"), F.sort_array(F.collect_list("p")).alias("p"))
     parts = store.stored(parts)
-    total = parts.groupBy(*keys).agg(F.sum("e").alias("expected"), F.sum("v").alias("v"), F.sum(F.size("p")).alias("cells")).join(obs, keys, "left").fillna(0, ["obs"])
     kinds = ", ".join(f"`{k}` string" for k in keys)
 
-    def heads(batches):
+    def odds(batches):
         for b in batches:
-            states = [stats.poisson_binomial_states(int(k), int(n), float(v)) for k, n, v in zip(b["obs"], b["cells"], b["v"], strict=True)]
-            b["head"] = [stats.poisson_binomial_head(np.asarray(x), min(s, len(x) + 1)) if k > 0 else np.ones(1) for x, s, k in zip(b["p"], states, b["obs"], strict=True)]
-            b["states"] = states
-            yield b[[*keys, "obs", "expected", "cells", "states", "head"]]
+            rows = [_counted_odds(stats.log_odds(np.asarray(p))) for p in b["p"]]
+            yield b[keys].assign(e=b["e"], cells=[len(p) for p in b["p"]], odds=[o for o, _ in rows], many=[m for _, m in rows])
 
-    h = parts.drop("v", "e").join(total, keys).mapInPandas(heads, f"{kinds}, obs long, expected double, cells long, states int, head array<double>")
-    h = h.groupBy(*keys).agg(F.max("obs").alias("obs"), F.max("expected").alias("expected"), F.max("cells").alias("cells"), F.max("states").alias("states"), F.collect_list("head").alias("heads"))
+    known = parts.mapInPandas(odds, f"{kinds}, e double, cells long, odds array<double>, many array<double>")
+    known = known.groupBy(*keys).agg(F.sum("e").alias("expected"), F.sum("cells").alias("cells"), F.flatten(F.collect_list("odds")).alias("odds"), F.flatten(F.collect_list("many")).alias("many"))
+    known = known.join(obs, keys, "left").fillna(0, ["obs"])
+
+    def tilts(batches):
+        for b in batches:
+            found = [stats.tilt_for(int(k), np.asarray(o, float), np.asarray(m, float)) for k, o, m in zip(b["obs"], b["odds"], b["many"], strict=True)]
+            yield b[[*keys, "obs", "expected"]].assign(tilt=pd.Series(found, dtype=float, index=b.index))
+
+    total = known.mapInPandas(tilts, f"{kinds}, obs long, expected double, tilt double")
+
+    def sums(batches):
+        for b in batches:
+            out = []
+            for p, t in zip(b["p"], b["tilt"], strict=True):
+                q, logs = stats.tilted(np.asarray(p), t)
+                out.append((*stats.trial_sum(q), logs))
+            yield b[[*keys, "obs", "expected", "tilt"]].assign(first=[f for f, _, _ in out], pmf=[x for _, x, _ in out], logs=[v for _, _, v in out])
+
+    h = parts.drop("e", "_s").join(total, keys).mapInPandas(sums, f"{kinds}, obs long, expected double, tilt double, first long, pmf array<double>, logs double")
+    h = h.groupBy(*keys).agg(*[F.max(x).alias(x) for x in ("obs", "expected", "tilt")], F.sort_array(F.collect_list(F.struct("first", "logs", "pmf"))).alias("parts"))
 
     def joined(batches):
         for b in batches:
             out = []
-            for k, mean, n, states, parts_ in zip(b["obs"], b["expected"], b["cells"], b["states"], b["heads"], strict=True):
-                pmf = np.ones(1)
-                for x in parts_:
-                    pmf = np.convolve(pmf, x)[: int(states)]
-                out.append(stats.upper_tail(pmf, int(k), float(mean), int(n)))
-            b["pvalue"] = out
-            yield b[[*keys, "obs", "expected", "pvalue"]]
+            for k, t, some in zip(b["obs"], b["tilt"], b["parts"], strict=True):
+                first, pmf = stats.joined_states([(int(x["first"]), np.asarray(x["pmf"], float)) for x in some])
+                out.append(1.0 if k <= 0 else stats.tilted_tail(int(k), first, pmf, float(t), float(sum(x["logs"] for x in some))))
+            yield b[[*keys, "obs", "expected"]].assign(pvalue=pd.Series(out, dtype=float, index=b.index))
 
     return h.mapInPandas(joined, f"{kinds}, obs long, expected double, pvalue double")
 
 
+def _counted_odds(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of log-odds by eighths; the tilt that they give is off by far less than a deviation."""
+    finite = np.isfinite(v)
+    step, at = np.unique(np.floor(v[finite] * 8), return_inverse=True)
+    count = np.bincount(at.ravel(), minlength=len(step)).astype(float)
+    mean = np.bincount(at.ravel(), v[finite], minlength=len(step)) / np.maximum(count, 1)
+    ends = [x for x in (-np.inf, np.inf) if (v == x).any()]
+    return np.concatenate([mean, ends]), np.concatenate([count, [float((v == x).sum()) for x in ends]])
+
+
 def significant(cpb: DataFrame, alpha: float) -> DataFrame:
     """Pairs of two different genes below alpha."""
     return cpb.where((F.col("pvalue") < alpha) & (F.col("g1") < F.col("g2")))

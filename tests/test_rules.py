@@ -144,3 +144,33 @@ def test_permutation_scores_of_large_cells(spark):
         said = lambda d: {(r.cell, r.gene, r.num_gene_spots): (round(r[name], 9), round(r.variance, 9)) for r in d.collect()}  # noqa: E731, B023
         one, joined = said(score(df, s, 40, 3, 7)), said(score(df, s, 40, 3, 7, whole=39))
         assert one == joined and ("c2", "g1", 2) in one and ("c2", "g0", 1) not in one and len({v for v, _ in one.values()}) > 4
+
+
+@pytest.mark.parametrize("n", [5, 63, 64, 65, 130])
+def test_tilted_products_down_to_the_rarest_tails(n):
+    rng = np.random.default_rng(n)
+    ps = rng.uniform(0, 0.05, n)
+    ps[:2] = [0.0, 0.9]
+    for k in sorted({0, 1, 2, n // 4, n // 2, n - 2, n - 1, n}):
+        want = exact_tail(ps.tolist(), k)
+        assert stats.poisson_binomial_tail(ps, k) == pytest.approx(want, rel=1e-9, abs=0), k
+    assert exact_tail(ps.tolist(), n // 2) < (1e-30 if n > 60 else 1)
+
+
+def test_tail_of_a_million_cells():
+    ps = np.random.default_rng(1).uniform(0, 0.02, 1_000_000)
+    mean, deviation = ps.sum(), math.sqrt((ps * (1 - ps)).sum())
+    for z in (-2, 0, 3):
+        normal = 0.5 * math.erfc(z / math.sqrt(2))
+        assert stats.poisson_binomial_tail(ps, math.ceil(mean + z * deviation)) == pytest.approx(normal, rel=0.05)
+    whole = stats.poisson_binomial_tail(ps, math.ceil(mean + 12 * deviation))
+    assert 1e-40 < whole < 1e-25
+    odds = stats.log_odds(ps)
+    k = math.ceil(mean + 12 * deviation)
+    tilt = stats.tilt_for(k, *coloc._counted_odds(odds))
+    parts, logs = [], 0.0
+    for some in np.array_split(ps, 37):  # by chunks, with the tilt of counted log-odds
+        q, v = stats.tilted(some, tilt)
+        parts.append(stats.trial_sum(q))
+        logs += v
+    assert stats.tilted_tail(k, *stats.joined_states(parts), tilt, logs) == pytest.approx(whole, rel=1e-9)
