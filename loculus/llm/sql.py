@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.entities import html5
 
-from . import quality, queries, warc
+from . import quality, queries, urlfilter, warc
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,11 +83,18 @@ def op3() -> str:
     rules = sorted(queries.RULES, key=lambda r: -len(r.name))
     rule = " ".join(f"WHEN {fits(r)} THEN {_q(r.name)}" for r in rules)
     verdict = " ".join(f"WHEN rule = {_q(r.name)} THEN {_q(r.verdict)}" for r in rules)
-    pattern = " ".join(f"WHEN regexp_full_match(s, {_q(_glob(g))}) THEN {_q(g)}" for g in queries.BLOCKED)
+    pattern = " ".join(f"WHEN regexp_full_match(s, {_q(_glob(g.lower()))}) THEN {_q(g)}" for g in queries.BLOCKED)
+    low = lambda x: LOWER.format(x)
+    free = lambda t: f"contains({_q(urlfilter.UNRESERVED)}, chr(('0x' || {t}[2:3])::INT))"
+    undone = lambda c: low(rf"array_to_string(list_transform(regexp_extract_all({c}, '(?s)%[0-9A-Fa-f]{{2}}|[^%]+|%'), lambda t: CASE WHEN regexp_full_match(t, '%[0-9A-Fa-f]{{2}}') THEN CASE WHEN {free('t')} THEN chr(('0x' || t[2:3])::INT) ELSE t END ELSE t END), '')")
+    port = " ".join(f"WHEN {_q(k)} THEN regexp_replace(h, '(?s):({v})?$', '')" for k, v in urlfilter.PORTS.items())
+    segments = "list_reduce(string_split(p, '/'), lambda acc, x: CASE WHEN x IN ('', '.') THEN acc WHEN x = '..' THEN acc[1:len(acc) - 1] ELSE list_append(acc, x) END, []::VARCHAR[])"
     host = LOWER.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
     return rf"""
-WITH u AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || host || path END AS s, CASE {rule} END AS rule FROM u),
+WITH u AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {low("coalesce(regexp_extract(url, '(?s)^(.*?)://', 1), '')")} AS scheme FROM pages),
+e AS (SELECT *, regexp_replace({undone("host")}, '(?s)^.*@', '') AS h, {undone("path")} AS p FROM u),
+n AS (SELECT *, regexp_replace(CASE scheme {port} ELSE regexp_replace(h, '(?s):$', '') END, '(?s)\.$', '') AS hc, CASE WHEN contains(p, '//') OR contains(p, '/.') THEN {segments} END AS kept FROM e),
+r AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || hc || CASE WHEN kept IS NOT NULL THEN '/' || array_to_string(kept, '/') || CASE WHEN len(kept) > 0 AND regexp_matches(p, '(?s)(/|/\.|/\.\.)$') THEN '/' ELSE '' END WHEN p = '' THEN '/' ELSE p END END AS s, CASE {rule} END AS rule FROM n),
 p AS (SELECT *, CASE {pattern} END AS pattern FROM r)
 SELECT page_id, host, path, rule, CASE {verdict} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM p"""
 
@@ -173,7 +180,8 @@ src AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, t
 cd AS (SELECT src.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS code FROM src, tab),
 dm AS (SELECT c, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM cd, LATERAL (SELECT unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END))) WHERE code <> 0),
-nm AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, role[1] AS first, regexp_extract(text, '([^ 	-]){blank}*$', 1) AS tail FROM dm),
+nm AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, role[1] AS first, regexp_extract(text, '([^ 	-
+]){blank}*$', 1) AS tail FROM dm),
 ft AS MATERIALIZED (SELECT *, CASE WHEN tail = '' THEN 0 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 1 WHEN tail NOT IN ('.', '!', '?') THEN 2 ELSE -1 END AS f FROM nm),
 conv AS MATERIALIZED (SELECT c, any_value(conv_id) AS conv_id, (SELECT count(*) FROM ft WHERE ft.c = src.c) AS n FROM src GROUP BY c),
 ins(st, j, mid) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)),

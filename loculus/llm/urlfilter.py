@@ -8,14 +8,19 @@ with one mask a byte for the positions that take it and one for the positions th
 are stepped together, a row of words each, so a step over a column of bytes is a handful of array operations.
 
 Globs are matched against ``.host`` + path as a whole: ``*`` stands for any run without a slash, ``**`` for any run,
-``?`` for one byte other than a slash. A rule (host, path) is the glob ``*.host`` + path + ``**``.
+``?`` for one byte other than a slash. A rule (host, path) is the glob ``*.host`` + path + ``**`` over the url as it is
+written. Blocked globs see the canonical url, see ``canonical``, so no spelling of a place gets past them; they do not tell
+A-Z from a-z.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, matches no glob and gets the default
-verdict; bytes above 127 are ordinary; urls are never cut.
+verdict; bytes above 127 are ordinary; urls are never cut. Repeated rows, ids and nulls in the id come out as they came in, one
+row each. Of rules that are equally long the first one listed decides, of globs the first that matches. An empty table gives no
+rows. Other columns of the table are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,24 +132,75 @@ def split_url(url: str | None) -> tuple[str, str]:
     rest = rest[:end]
     cut = rest.find("/")
     host, path = (rest, "") if cut < 0 else (rest[:cut], rest[cut:])
-    return host.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).decode("utf-8", "surrogatepass"), path
+    return _lower(host), path
+
+
+#: Characters that mean the same with and without percent-encoding (RFC 3986), and the ports that a scheme implies: fixed values.
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+PORTS = {"http": "80", "https": "443"}
+_ESCAPE = re.compile("%[0-9A-Fa-f]{2}")
+
+
+def _lower(text: str) -> str:
+    return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).decode("utf-8", "surrogatepass")
+
+
+def _unescaped(text: str) -> str:
+    """Escapes of unreserved characters undone, in one pass; the others stay."""
+
+    def plain(m: re.Match) -> str:
+        c = chr(int(m.group()[1:], 16))
+        return c if c in UNRESERVED else m.group()
+
+    return _ESCAPE.sub(plain, text) if "%" in text else text
+
+
+def canonical(url: str | None, host: str, path: str) -> str:
+    """One spelling of a place, for globs: ``.host`` + path of a url, in lower case (A-Z); empty if host and path are.
+
+    Escapes of unreserved characters are undone. The host loses user names, the port that its scheme implies, an empty port and
+    a last dot. Of the path doubled slashes become one and dot segments are resolved; an empty path is ``/``.
+    """
+    if not host and not path:
+        return ""
+    host, path = _lower(_unescaped(host)), _lower(_unescaped(path))
+    host = host.rpartition("@")[2]
+    name, colon, port = host.rpartition(":")
+    if colon and port in ("", PORTS.get(_lower((url or "").partition("://")[0]))):
+        host = name
+    host = host.removesuffix(".")
+    if "//" in path or "/." in path:
+        kept: list[str] = []
+        for part in path.split("/"):
+            if part == "..":
+                del kept[-1:]
+            elif part not in ("", "."):
+                kept.append(part)
+        ends = "/" if kept and path.endswith(("/", "/.", "/..")) else ""
+        path = "/" + "/".join(kept) + ends
+    return f".{host}{path or '/'}"
 
 
 def judge(pages: DataFrame, rules: list[Rule], blocked: list[str], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """Per row: key, host, path, rule, verdict, pattern.
 
-    The longest fitting rule decides; without one, a matching glob of ``blocked`` blocks (``pattern`` names the first);
-    else the default verdict holds.
+    The longest fitting rule decides; without one, a glob of ``blocked`` that matches the canonical url blocks (``pattern``
+    names the first); else the default verdict holds. Host and path are those of the url as written.
     """
     ranked = sorted(rules, key=lambda r: -len(r.name))
-    globs = [r.glob for r in ranked] + list(blocked)
+    globs = [r.glob for r in ranked] + [_lower(g) for g in blocked]
 
     def make():
         automaton = GlobAutomaton(globs)
 
         def rows(urls):
             parts = [split_url(u) for u in urls]
-            hit = automaton.match([f".{h}{p}".encode("utf-8", "surrogatepass") if h or p else b"" for h, p in parts])
+            written = [f".{h}{p}" if h or p else "" for h, p in parts]
+            hit = automaton.match([w.encode("utf-8", "surrogatepass") for w in written])
+            forms = [canonical(u, h, p) for u, (h, p) in zip(urls, parts, strict=True)]
+            other = [i for i, (f, w) in enumerate(zip(forms, written, strict=True)) if f != w]
+            again = automaton.match([forms[i].encode("utf-8", "surrogatepass") for i in other])
+            hit[other, len(ranked) :] = again[:, len(ranked) :]
             for (h, p), rh, gh in zip(parts, hit[:, : len(ranked)], hit[:, len(ranked) :], strict=True):
                 r = ranked[int(rh.argmax())] if rh.any() else None
                 g = blocked[int(gh.argmax())] if gh.any() else None

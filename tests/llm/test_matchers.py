@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pandas as pd
 import pytest
 
 from loculus.llm import bpe, pii, toxicity, urlfilter
@@ -132,6 +133,35 @@ def test_url_rules(spark):
     assert urlfilter.judge(df.limit(0), rules, []).count() == 0
 
 
+def test_canonical_urls_before_globs(spark):
+    """Spellings of one place get the same verdict; host and path come out as written."""
+    spelled = ["http://x.org/login", "http://x.org/%6Cogin", "http://x.org/Login", "http://x.org//login", "http://x.org/x/../login", "https://x.org:443/login", "http://u:p@x.org/./login", "http://x.org./%4c%6fgin"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(spelled)], "page_id long, url string")
+    got = urlfilter.judge(df, [], ["*.x.org/login"]).orderBy("page_id").collect()
+    assert [(r.verdict, r.pattern) for r in got] == [("block", "*.x.org/login")] * len(spelled)
+    assert (got[1].path, got[5].host, got[2].path) == ("/%6Cogin", "x.org:443", "/Login")
+    same = {"http://h/%2Flogin": ".h/%2flogin", "http://h/%%36c": ".h/%6c", "http://h": ".h/", "http://h/..": ".h/", "http://h/a/..": ".h/", "http://h/a/b/..": ".h/a/", "http://h:80a/": ".h:80a/", "https://h:80/": ".h:80/", "ftp://h:/b//": ".h/b/", "http://h/.well": ".h/.well", "x": ""}
+    assert {u: urlfilter.canonical(u, *urlfilter.split_url(u)) for u in same} == same
+
+
+def test_canonical_urls_against_sql(spark):
+    import duckdb
+
+    from loculus.llm import queries, sql
+
+    rnd = random.Random(4)
+    parts = ["/", "/", "//", "/.", "/..", "login", "Ads", "%6C", "%2f", "%", "ogin", "a", "é", "?q", "#f", "://", ".", "@", ":80", ":443", ":", "cart", "\n"]
+    urls = [rnd.choice(["http://", "HTTPS://", "ftp://", "", "://"]) + rnd.choice(["x.com", "Ads.net", "www.example.com", "example.net.", "u@x.org:443", "x.org:80", "%61ds.org", ""]) + "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(1500)]
+    rows = [(i, u) for i, u in enumerate([*urls, None, ""])]
+    pages = pd.DataFrame(rows, columns=["page_id", "url"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT page_id, host, path, rule, verdict, pattern FROM ({sql.op3()})").fetchall()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.pattern) for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES, queries.BLOCKED).collect()}
+    assert {i: (rows[i][1], got[i], want[i]) for i in got if got[i] != want[i]} == {} and len(got) == len(want) == len(rows)
+    assert len({v[4] for v in got.values()}) > 3
+
+
 def lev(a, b):
     p = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
