@@ -222,3 +222,13 @@ def compartments(tx: DataFrame, fraction: float = 0.01, radius: float = 40.0, gr
 def group_status(points: DataFrame, group: str = "batch") -> DataFrame:
     """(group, status, n_points, n_cells, n_subdomains) of a point table."""
     return points.groupBy(group).agg(F.first("status").alias("status"), F.count("*").alias("n_points"), F.count_distinct("cell").alias("n_cells"), F.count_distinct("subdomain").alias("n_subdomains"))
+
+
+def group_report(points: DataFrame, group: str = "batch") -> DataFrame:
+    """(group, status, n_points, n_cells, n_subdomains, sizes): ``group_status`` with the number of points by subdomain, as a map
+    from its number; points without one count nowhere."""
+    by = points.where(F.col("subdomain").isNotNull()).groupBy(group, "subdomain").agg(F.count("*").alias("n"))
+    sizes = by.groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("subdomain").cast("string"), "n")))).alias("sizes"))  # a row a node
+    empty = F.map_from_entries(F.array().cast("array<struct<k:string,v:bigint>>"))
+    status, sizes = group_status(points, group), sizes.withColumnRenamed(group, "_g")
+    return status.join(sizes, status[group].eqNullSafe(sizes["_g"]), "left").drop("_g").withColumn("sizes", F.coalesce("sizes", empty))

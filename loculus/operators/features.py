@@ -228,15 +228,14 @@ def radial(tx: DataFrame, shapes: DataFrame, iterations: int = 200, pairs: int =
 
 
 def median_variance(counts: DataFrame) -> DataFrame:
-    """Exact variance of the rank score under the null for the distinct (num_gene_spots m, num_spots n), joined back."""
-    known = counts.select(F.col("num_gene_spots").alias("m"), F.col("num_spots").alias("n")).distinct()
+    """Exact variance of the rank score under the null, from num_gene_spots m and num_spots n.
 
-    def run(batches):
-        for b in batches:
-            yield b.assign(variance=[stats.median_score_variance(int(m), int(n)) for m, n in zip(b["m"], b["n"], strict=True)])
-
-    v = known.mapInPandas(run, "m long, n long, variance double")
-    return counts.join(v, (counts["num_gene_spots"] == v["m"]) & (counts["num_spots"] == v["n"]), "left").drop("m", "n")
+    The middle ranks of m numbers drawn from 1..n have known moments; the median's variance follows from them. Null where there
+    is one point or none, or m is no number of points out of n.
+    """
+    m, n = F.col("num_gene_spots"), F.col("num_spots")
+    of_median = (n + 1) * (n - m).cast("double") / (4 * (m + 2)) * F.when(m % 2 == 1, 1.0).otherwise(m / (m + 1))
+    return counts.withColumn("variance", F.when((n >= 2) & (m >= 1) & (m <= n), of_median / F.pow((n + 1) / 2 - 1, 2)))
 
 
 def median_p_values(scores: DataFrame) -> DataFrame:

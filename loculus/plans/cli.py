@@ -1,4 +1,4 @@
-"""Commands: features, patterns, run, compartments, coloc, regions, summary, views. ``python -m loculus.plans.cli <command> --help``."""
+"""Commands: features, patterns, run, compartments, coloc, regions, summary, views, report. ``python -m loculus.plans.cli <command> --help``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import compartment
 from ..sources import results
 from ..sources.bundle import read_bundle, read_table, save_table
 from . import pipelines
@@ -53,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--radius", type=float, default=40.0)
     c.add_argument("--n-clusters", type=int)
     c.add_argument("--same-cell-neighborhood", action="store_true")
+    c.add_argument("--reports", help="a folder for batches (JSON, a folder a group) and a catalog")
     k = sub.add_parser("coloc", help="colocalized gene pairs")
     k.add_argument("bundle")
     k.add_argument("out")
@@ -66,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--precision-mode", choices=("high", "low"), default="high")
     k.add_argument("--region-threshold-mode", choices=("cell_scaled", "fixed"), default="cell_scaled")
     k.add_argument("--save-by-cell", action="store_true")
+    k.add_argument("--save-matrices", action="store_true", help="also counts by cell and gene, pairs by cell, and all pairs with their p-values; as sparse tables")
     _prefilter_flags(k)
     g = sub.add_parser("regions", help="regions of given pairs (table with gene_1, gene_2)")
     for a in ("bundle", "pairs", "out"):
@@ -88,8 +91,15 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("views", help="tables behind the pictures of a table of pairs")
     v.add_argument("table")
     v.add_argument("out")
+    v.add_argument("--bundle", help="with --pair: the points that the run was made of")
+    v.add_argument("--pair", nargs=2, metavar="GENE", help="example cells, links and points of these two genes too")
+    v.add_argument("--distance", type=float, default=4.0)
     v.add_argument("--viz-top-genes", type=int, default=80)
     v.add_argument("--viz-top-edges", type=int, default=80)
+    e = sub.add_parser("report", help="what a bundle holds before and after the prefilter")
+    e.add_argument("bundle")
+    e.add_argument("out")
+    _prefilter_flags(e)
     return top
 
 
@@ -116,16 +126,32 @@ def main(argv: list[str] | None = None) -> None:
         paths = {"features": save_table(table, f"{a.out}/features"), "patterns": save_table(found, f"{a.out}/patterns")}
         results.save_catalog(spark, paths, f"{a.out}/catalog.json")
     elif a.command == "views":
-        paths = {name: save_table(df, f"{a.out}/{name}") for name, df in pipelines.view_tables(read_table(spark, a.table), a.viz_top_genes, a.viz_top_edges).items()}
+        folder = results.exists(spark, f"{a.table}/pairs.parquet")
+        tables = pipelines.view_tables(read_table(spark, f"{a.table}/pairs.parquet" if folder else a.table), a.viz_top_genes, a.viz_top_edges)
+        if a.pair:
+            if not a.bundle:
+                raise SystemExit("--pair needs --bundle")
+            known = read_table(spark, f"{a.table}/by_cell.parquet") if folder and results.exists(spark, f"{a.table}/by_cell.parquet") else None
+            tables |= pipelines.pair_views(read_bundle(spark, a.bundle), *a.pair, a.distance, known)
+        paths = {name: save_table(df, f"{a.out}/{name}") for name, df in tables.items()}
         results.save_catalog(spark, paths, f"{a.out}/catalog.json")
     elif a.command == "patterns":
         save_table(pipelines.patterns(read_table(spark, a.features), a.model, a.fallback_model, a.foci_fallback_threshold), a.out)
     elif a.command == "compartments":
         only = a.only_groups.split(",") if a.only_groups else None
-        save_table(pipelines.compartments(read_bundle(spark, a.bundle), a.frac, a.radius, a.group_col, only, a.same_cell_neighborhood, a.n_clusters), a.out)
+        at = save_table(pipelines.compartments(read_bundle(spark, a.bundle), a.frac, a.radius, a.group_col, only, a.same_cell_neighborhood, a.n_clusters), a.out)
+        if a.reports:
+            found = compartment.group_report(read_table(spark, at), a.group_col)
+            found.write.mode("overwrite").partitionBy(a.group_col).json(f"{a.reports}/batches")
+            results.save_catalog(spark, {"points": at}, f"{a.reports}/catalog.json")
+    elif a.command == "report":
+        for name, df in pipelines.report(read_bundle(spark, a.bundle), pre or pipelines.Prefilter()).items():
+            save_table(df, f"{a.out}/{name}")
     elif a.command == "coloc":
         r = pipelines.colocalization(read_bundle(spark, a.bundle), a.distance, a.pp_alpha, a.cpb_alpha, a.min_genecount, a.use_2d, a.groupby, pre, a.max_cells, a.sample_cells, a.sample_cell_frac, a.sample_stratify_by, a.sample_random_state, a.precision_mode, a.region_threshold_mode == "cell_scaled")
-        tables = {"pairs": r.pairs, "prefilter": r.prefilter, "sample": r.sample, "regions": r.regions, "by_cell": r.by_cell if a.save_by_cell else None}
+        tables = {"pairs": r.pairs, "prefilter": r.prefilter, "sample": r.sample, "regions": r.regions, "by_cell": r.by_cell if a.save_by_cell or a.save_matrices else None}
+        if a.save_matrices:
+            tables |= {"gene_counts": r.counts, "all_pairs": r.all_pairs}
         for name, df in tables.items():
             if df is not None:
                 save_table(df, f"{a.out}/{name}")

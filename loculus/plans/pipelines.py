@@ -52,6 +52,8 @@ class Colocalization:
     prefilter: DataFrame | None
     sample: DataFrame | None
     regions: DataFrame | None
+    counts: DataFrame | None = None
+    all_pairs: DataFrame | None = None
 
 
 def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb_alpha: float = 1e-4, min_genecount: int = 20, use_2d: bool = False, group: str | None = None, pre: Prefilter | None = Prefilter(), max_cells: int | None = None,
@@ -69,12 +71,13 @@ def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb
     e = coloc.edges(pp, pp_alpha)
     counts = store.stored(coloc.gene_counts(tx, ([group] if group else []) + ["cell"]))
     cpb = coloc.conditional_p_values(e, counts, 0, 1e-64 if precision == "high" else 1e-16, group)
-    sig = store.stored(coloc.significant(prefilter.clean_p(cpb), cpb_alpha))
+    cpb = store.stored(prefilter.clean_p(cpb))
+    sig = coloc.significant(cpb, cpb_alpha)
     out = sig.select(*([group] if group else []), F.col("g1").alias("gene_1"), F.col("g2").alias("gene_2"), F.col("pvalue").alias("cpb_pvalue"), F.col("pvalue_raw").alias("cpb_pvalue_raw"), F.col("expected").alias("expected_coloc"), F.lit(distance).alias("distance_threshold"), F.lit(pp_alpha).alias("pp_alpha"), F.lit(cpb_alpha).alias("cpb_alpha"), F.col("obs").alias("n_cells_pp_significant"), F.col("obs").alias("n_cells"))
     regions = None
     if with_regions:
         regions = pair_regions(b, sig.select(*([group] if group else []), "g1", "g2"), distance, dims, scaled, group)
-    return Colocalization(out, pp, report, sample, regions)
+    return Colocalization(out, pp, report, sample, regions, counts, cpb)
 
 
 def pair_regions(b: Bundle, pairs: DataFrame, distance: float = 4.0, dims: tuple[str, ...] = ("x", "y"), scaled: bool = True, group: str | None = None) -> DataFrame:
@@ -110,6 +113,31 @@ def view_tables(pairs: DataFrame, genes: int = 80, edges: int = 80) -> dict[str,
     return {"heatmap": views.heatmap(cpb, genes), "network": views.largest_component(net), "degrees": views.degrees(net), "components": views.components(net)}
 
 
+def pair_views(b: Bundle, gene_1: str, gene_2: str, distance: float = 4.0, by_cell: DataFrame | None = None, cells: int = 6) -> dict[str, DataFrame]:
+    """Tables behind the pictures of one pair: cells to look at, and in these the links and all points of the two genes.
+
+    ``by_cell`` is a run's own table of pairs by cell; without it, it is worked out for the two genes' cells.
+    """
+    tx = bundles.preprocess(b.transcripts)
+    if by_cell is None:
+        both = tx.where(F.col("gene") == gene_1).select("cell").distinct().join(tx.where(F.col("gene") == gene_2).select("cell").distinct(), "cell")
+        by_cell = coloc.proximal_pairs(tx.join(both, "cell", "left_semi"), distance)
+    chosen = store.stored(views.example_cells(by_cell, tx, gene_1, gene_2, distance, cells))
+    seen = tx.where(F.col("gene").isin(gene_1, gene_2)).join(F.broadcast(chosen.select("cell")), "cell", "left_semi")  # a few cells
+    return {"example_cells": chosen, "links": views.links(seen, gene_1, gene_2, distance), "points": seen}
+
+
+def report(b: Bundle, pre: Prefilter = Prefilter()) -> dict[str, DataFrame]:
+    """What a bundle holds before and after the prefilter: counts by stage, outlines, distributions, the filter of ratios."""
+    raw = b.with_transcripts(bundles.preprocess(b.transcripts))
+    left, funnel = prefilter.prefilter(raw, pre.min_transcripts, pre.min_cells, pre.q_low, pre.q_high)
+    both = lambda of: of(raw, "raw").unionByName(of(left, "final"))
+    return {
+        "funnel": funnel, "boundaries": both(lambda x, stage: prefilter.boundary_counts(x.vertices, stage)),
+        "distributions": both(prefilter.distributions), "nc_ratio": prefilter.nc_ratio_report(raw.vertices, pre.q_low, pre.q_high),
+    }
+
+
 def compartments(b: Bundle, fraction: float = 0.01, radius: float = 40.0, group: str = "batch", only: list[str] | None = None, same_cell: bool = False, clusters: int | None = None) -> DataFrame:
     tx = bundles.attach(bundles.preprocess(b.transcripts), b.cells, group, "batch0")
     if only is not None:

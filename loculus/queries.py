@@ -123,7 +123,7 @@ def boundary_rings(spark, sf):
     return rings.select("cell", "kind", F.size("ring").cast("long").alias("n_vertices"), F.array_min(F.transform("ring", lambda p: p["x"])).alias("minx"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("maxy"))
 
 
-@query()
+@query(with_("SELECT cell, kind, 'POLYGON ((' || string_agg(x::VARCHAR || ' ' || y::VARCHAR, ', ' ORDER BY i) || '))' AS wkt FROM (SELECT cell, kind, i, x::DOUBLE AS x, y::DOUBLE AS y FROM vert UNION ALL SELECT cell, kind, 99, x::DOUBLE, y::DOUBLE FROM vert WHERE i = 0) GROUP BY cell, kind"))
 def boundary_wkt(spark, sf):
     return bundles.wkt(geometry.closed_rings(fixture(spark, sf).vertices))
 
@@ -182,6 +182,41 @@ def prefilter_stats(spark, sf):
     return prefilter.prefilter(fixture(spark, sf), 20, 5)[1]
 
 
+FILTERED = ("a AS (SELECT * FROM tx WHERE (SELECT count(*) FROM kept) < 10 OR cell IN (SELECT cell FROM kept))", "b AS (SELECT * FROM a SEMI JOIN (SELECT cell, gene FROM a GROUP BY ALL HAVING count(*) >= 20) AS k USING (cell, gene))",
+    "c AS (SELECT * FROM b SEMI JOIN (SELECT gene FROM b GROUP BY gene HAVING count(DISTINCT cell) >= 5) AS k USING (gene))")
+
+
+def _measures(stage: str, table: str) -> str:
+    return f"""SELECT '{stage}' AS stage, 'transcripts_per_pair' AS measure, count(*)::DOUBLE AS v FROM {table} GROUP BY cell, gene UNION ALL SELECT '{stage}', 'transcripts_per_cell', count(*) FROM {table} GROUP BY cell
+UNION ALL SELECT '{stage}', 'genes_per_cell', count(DISTINCT gene) FROM {table} GROUP BY cell UNION ALL SELECT '{stage}', 'cells_per_gene', count(DISTINCT cell) FROM {table} GROUP BY gene
+UNION ALL SELECT '{stage}', 'nc_ratio', q FROM ratio{'' if table == 'tx' else f' WHERE cell IN (SELECT cell FROM {table})'}"""
+
+
+@query(with_(f"SELECT stage, measure, count(*) AS n, {r('avg(v)', 'mean')}, {r('stddev(v)', 'sd')}, {r('min(v)', 'min')}, {r('max(v)', 'max')}, " + ", ".join(r(f"quantile_cont(v, {x})", f'"q_{x}"') for x in prefilter.QUANTILES) + " FROM ms GROUP BY stage, measure", *GEO, RATIO, KEPT, *FILTERED, f"ms AS ({_measures('raw', 'tx')} UNION ALL {_measures('final', 'c')})"))
+def prefilter_distributions(spark, sf):
+    """Distributions before and after the prefilter."""
+    b = fixture(spark, sf)
+    d = prefilter.distributions(b, "raw").unionByName(prefilter.distributions(prefilter.prefilter(b, 20, 5)[0], "final"))
+    return d.select(*[(F.round(f"`{c}`", DIGITS) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
+
+
+@query(with_(" UNION ALL ".join(f"SELECT '{stage}' AS stage, count(DISTINCT cell) FILTER (WHERE kind = 'cell') AS n_cell_boundary, count(DISTINCT cell) FILTER (WHERE kind = 'nucleus') AS n_nuclear_boundary, count(DISTINCT cell) FILTER (WHERE kind = 'nucleus' AND cell::INT % 5 <> 0) AS n_both FROM vb {cut}" for stage, cut in (("raw", ""), ("final", "WHERE cell IN (SELECT cell FROM tx GROUP BY cell HAVING count(*) > 600)"))), "vb AS (SELECT * FROM vert WHERE kind = 'nucleus' OR cell::INT % 5 <> 0)"))
+def boundary_counts(spark, sf):
+    """Of all cells and of those with more than 600 points, every fifth without an outline of its own."""
+    b = fixture(spark, sf)
+    v = b.vertices.where("kind = 'nucleus' OR cast(cell as int) % 5 <> 0")
+    some = prefilter.cells_above(b.transcripts, 600).select("cell").distinct()
+    return prefilter.boundary_counts(v, "raw").unionByName(prefilter.boundary_counts(v.join(some, "cell", "left_semi"), "final"))
+
+
+AFTER = "af AS (SELECT q FROM ratio WHERE (SELECT count(*) FROM kept) < 10 OR cell IN (SELECT cell FROM kept))"
+
+
+@query(with_(f"SELECT CASE WHEN (SELECT count(*) FROM kept) >= 10 THEN 'filtered' ELSE 'skipped' END AS status, b.n AS n_before, a.n AS n_after, b.n - a.n AS n_removed, {r('b.lo', 'low_value')}, {r('b.hi', 'high_value')}, {r('b.mean', 'mean_before')}, {r('a.mean', 'mean_after')}, {r('b.med', 'median_before')}, {r('a.med', 'median_after')}, a.mean BETWEEN 0.4 AND 0.6 AS mean_in_target FROM (SELECT count(*) AS n, avg(q) AS mean, median(q) AS med, quantile_cont(q, 0.025) AS lo, quantile_cont(q, 0.975) AS hi FROM ratio) b, (SELECT count(*) AS n, avg(q) AS mean, median(q) AS med FROM af) a", *GEO, RATIO, KEPT, AFTER))
+def nc_ratio_report(spark, sf):
+    return rounded(prefilter.nc_ratio_report(fixture(spark, sf).vertices))
+
+
 @query(with_("SELECT cell, gene, tx_id FROM (SELECT tx.*, row_number() OVER (PARTITION BY cell, gene ORDER BY tx_id) AS q FROM tx SEMI JOIN (SELECT cell, gene FROM (SELECT cell, gene, row_number() OVER (PARTITION BY cell ORDER BY count(*) DESC, gene) AS k FROM tx GROUP BY cell, gene) WHERE k <= 5) AS t USING (cell, gene)) WHERE q <= 10"))
 def top_genes_per_cell(spark, sf):
     return prefilter.top_genes(fixture(spark, sf).transcripts, 5, 10).select("cell", "gene", "tx_id")
@@ -219,12 +254,16 @@ def random_cells(spark, sf):
     return prefilter.random_cells(fixture(spark, sf).transcripts, 5).select("cell").distinct()
 
 
-@query(with_("SELECT * FROM (SELECT 'gene' AS what, gene AS name, count(*) AS n FROM tx GROUP BY gene) UNION ALL (SELECT 'cell', cell, count(*) FROM tx GROUP BY cell)"))
+@query(with_("SELECT * FROM (SELECT 'gene' AS what, gene AS name, count(*) AS n FROM tx GROUP BY gene) UNION ALL (SELECT 'cell', cell, count(*) FROM tx GROUP BY cell) UNION ALL (SELECT 'place', cell || ':' || tx_id::VARCHAR, 1 FROM tx) UNION ALL (SELECT 'own', cell || ':' || gene, count(*) FROM tx GROUP BY cell, gene)"))
 def randomized_labels(spark, sf):
-    """Permuted labels keep the numbers of points of each gene and of each cell, which is what the SQL checks."""
-    t = bundles.shuffled_genes(fixture(spark, sf).transcripts)
-    count = lambda c: t.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(c).alias("what"), "name", "n")
-    return count("gene").unionByName(count("cell"))
+    """Labels permuted over all points keep the numbers of points of each gene and cell and every place once; permuted within
+    cells they keep each cell's own numbers by gene. That is what the SQL checks."""
+    tx = fixture(spark, sf).transcripts
+    t = store.stored(bundles.shuffled_genes(tx))
+    count = lambda what, df, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    own = bundles.shuffled_genes(tx, within="cell")
+    pair = lambda a, b: F.concat_ws(":", F.col(a), F.col(b).cast("string"))
+    return count("gene", t, F.col("gene")).unionByName(count("cell", t, F.col("cell"))).unionByName(count("place", t, pair("cell", "tx_id"))).unionByName(count("own", own, pair("cell", "gene")))
 
 
 @query(with_(f"SELECT cell, {r('pv', 'p')} , {r('least(1.0, greatest(0.0, coalesce(pv, 1.0)))', 'p_clean')} FROM (SELECT cell, CASE WHEN cell::INT % 5 = 0 THEN NULL ELSE cell::INT / 50.0 - 0.1 END AS pv FROM cells)"))
@@ -287,10 +326,17 @@ def shape_opening(spark, sf):
     return o.groupBy("cell").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
-@query(with_(f"SELECT cell, kind, {r('area', 'area')}, {r('perimeter', 'perimeter')} FROM shp", *GEO))
+#: With two corners swapped a rectangle of half sides a and b is two equal triangles that meet in its centre.
+BOWTIE = "bow AS (SELECT cell, kind, a * b AS area, 2 * a + 2 * sqrt(a * a + b * b) AS perimeter FROM (SELECT cell, kind, (maxx - minx) / 2 AS a, (maxy - miny) / 2 AS b FROM shp WHERE kind = 'cell' AND cell::INT % 2 = 1) UNION ALL SELECT cell, kind, area, perimeter FROM shp WHERE kind <> 'cell' OR cell::INT % 2 = 0)"
+
+
+@query(with_(f"SELECT cell, kind, {r('area', 'area')}, {r('perimeter', 'perimeter')} FROM bow", *GEO, BOWTIE))
 def repaired_shapes(spark, sf):
-    """Outlines that cross nothing come through the repair as they are."""
-    s = geometry.shape_table(shapes.closed_simple_rings(fixture(spark, sf).vertices))
+    """Every second cell's outline crosses itself and becomes its largest loop; the others come through as they are."""
+    v = fixture(spark, sf).vertices
+    crossed = (F.col("kind") == "cell") & (F.col("cell").cast("int") % 2 == 1)
+    v = v.withColumn("i", F.when(crossed & F.col("i").isin(2, 3), 5 - F.col("i")).otherwise(F.col("i")))
+    s = geometry.shape_table(shapes.closed_simple_rings(v))
     return rounded(s.select("cell", "kind", "area", "perimeter"))
 
 
@@ -367,7 +413,14 @@ def ripley_extremes(spark, sf):
     return rounded(features.ripley(b.transcripts, s).select("cell", "gene", "l_max", "l_half_radius"))
 
 
-@query()
+#: Gradients of the rolling mean of five (one-sided at its ends, 0 if it has one value) and the rank correlation with the radius.
+SLOPES = """sm AS (SELECT * FROM (SELECT cell, gene, i, avg(h) OVER (PARTITION BY cell, gene ORDER BY i ROWS 4 PRECEDING) AS s FROM h) WHERE i >= 4),
+sl AS (SELECT cell, gene, CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b - s WHEN b IS NULL THEN s - a ELSE (b - a) / 2 END AS g FROM (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b FROM sm WINDOW w AS (PARTITION BY cell, gene ORDER BY i))),
+gr AS (SELECT cell, gene, max(g) AS up, min(g) AS down FROM sl GROUP BY ALL),
+mn AS (SELECT cell, gene, corr(i, k) AS rho FROM (SELECT cell, gene, i, rank() OVER (PARTITION BY cell, gene ORDER BY h) + (count(*) OVER (PARTITION BY cell, gene, h) - 1) / 2.0 AS k FROM h) GROUP BY ALL)"""
+
+
+@query(with_(f"SELECT e.cell, e.gene, l_max, {r('coalesce(up, 0.0)', 'l_max_gradient')}, {r('coalesce(down, 0.0)', 'l_min_gradient')}, {r('rho', 'l_monotony')}, l_half_radius FROM ({ORACLES['ripley_extremes']}) e LEFT JOIN gr ON gr.cell = e.cell AND gr.gene = e.gene LEFT JOIN mn ON mn.cell = e.cell AND mn.gene = e.gene", *GEO, RIPLEY, SLOPES))
 def ripley(spark, sf):
     b, s = _shapes(spark, sf)
     return rounded(features.ripley(b.transcripts, s))
@@ -422,21 +475,34 @@ def baseline_score(spark, sf):
     return features.score("baseline", *_placed_inputs(spark, sf))
 
 
-@query()
+@query(f"SELECT cell, gene, * EXCLUDE (cell, gene, n_spots, point_moment) FROM ({ORACLES['proximity_asymmetry']}) JOIN ({ORACLES['ripley']}) USING (cell, gene) JOIN ({ORACLES['dispersion']}) USING (cell, gene)")
 def pattern_features(spark, sf):
-    return features.pattern_features(*_placed_inputs(spark, sf))
+    """The features that the pattern classes rest on."""
+    f = features.pattern_features(*_placed_inputs(spark, sf))
+    five = ["point_dispersion_norm", "nucleus_dispersion_norm"]
+    return rounded(f.withColumns({c: F.round(c, 5) for c in five}))
 
 
-@query()
+#: The score of each (cell, gene) and its variance: the middle ranks of m out of n numbers have known moments, so their mean has
+#: the variance (n + 1)(n - m) / (4 (m + 2)) for odd m and m (n + 1)(n - m) / (4 (m + 1)(m + 2)) for even m.
+SCORED = """sc0 AS (SELECT cell, gene, count(*) AS m, max(n) AS n, ((max(n) + 1) / 2.0 - median(q)) / nullif((max(n) + 1) / 2.0 - 1, 0) AS s FROM (SELECT cell, gene, row_number() OVER (PARTITION BY cell ORDER BY dc, tx_id) AS q, count(*) OVER (PARTITION BY cell) AS n FROM p) GROUP BY cell, gene),
+sc AS (SELECT *, CASE WHEN n > 1 THEN (n + 1)::DOUBLE * (n - m) / 4 / (m + 2) * CASE WHEN m % 2 = 1 THEN 1 ELSE m / (m + 1) END / pow((n + 1) / 2.0 - 1, 2) END AS var FROM sc0)"""
+#: P(|Z| > z) from the series of the error function that has no alternating terms.
+NORMAL = "greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_reduce(range(1, 200), lambda acc, k: [acc[1] * z * z / (2 * k + 1), acc[2] + acc[1] * z * z / (2 * k + 1)], [abs(z) / sqrt(2.0), abs(z) / sqrt(2.0)])[2])"
+
+
+@query(with_(f"SELECT cell, gene, m AS num_gene_spots, n AS num_spots, {r('s', 'peripheral')}, {r('var', 'variance')} FROM sc", *PTS, SCORED))
 def score_variance(spark, sf):
-    return features.median_variance(features.peripheral(_placed(spark, sf)).select("cell", "gene", "num_gene_spots", "num_spots", "peripheral"))
+    return rounded(features.median_variance(features.peripheral(_placed(spark, sf)).select("cell", "gene", "num_gene_spots", "num_spots", "peripheral")))
 
 
-@query()
+@query(with_(f"SELECT gene, celltype, num_cells, {r('spots', 'mean_gene_spots')}, {r('med', 'median_score')}, {r('z', 'z')}, {r('p', 'p')}, {r('least(1.0, min(p * t / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'p_adjusted')} FROM bh", *PTS, SCORED,
+    "gt AS (SELECT gene, celltype, count(DISTINCT cell) AS num_cells, avg(m) AS spots, median(s) AS med, sum(s) / sqrt(sum(var)) AS z FROM sc JOIN cells USING (cell) WHERE s IS NOT NULL AND var IS NOT NULL GROUP BY gene, celltype HAVING count(DISTINCT cell) >= 2)",
+    f"gp AS (SELECT *, {NORMAL} AS p FROM gt)", "bh AS (SELECT *, row_number() OVER (ORDER BY p, gene, celltype) AS k, count(*) OVER () AS t FROM gp)"))
 def gene_celltype_scores(spark, sf):
     b, s = _shapes(spark, sf)
     v = features.median_variance(features.peripheral(features.placed(b.transcripts, s)).select("cell", "gene", "num_gene_spots", "num_spots", "peripheral"))
-    return features.gene_group_scores(v.join(b.cells.select("cell", "celltype"), "cell"), "peripheral", "celltype", 2)
+    return rounded(features.gene_group_scores(v.join(b.cells.select("cell", "celltype"), "cell"), "peripheral", "celltype", 2))
 
 
 PLUGGED = ["cell_inner_proximity", "nucleus_inner_proximity", "nucleus_outer_proximity", "nucleus_inner_distance", "nucleus_outer_offset", "nucleus_enrichment"]
@@ -542,7 +608,11 @@ def cpb_p_values(spark, sf):
     return rounded(coloc.conditional_p_values(e, c))
 
 
-@query()
+#: The tail itself, not one less the rest, so small ones keep their digits: the last state takes in all that reach obs.
+TAILS = "list_reduce(ps, lambda s, p: list_transform(range(1, len(s) + 1), lambda k: CASE WHEN k < len(s) THEN s[k] * (1 - p) ELSE s[k] END + CASE WHEN k > 1 THEN s[k - 1] * p ELSE 0e0 END), list_transform(range(0, obs + 1), lambda i: CASE WHEN i = 0 THEN 1e0 ELSE 0e0 END))[obs + 1]"
+
+
+@query(with_(f"SELECT g1, g2, obs, {r('expected', 'expected')}, {r('v', 'pvalue')}, {r('-log10(v)', 'neglog10_pvalue')} FROM (SELECT *, {TAILS} AS v FROM cpb WHERE obs > 0 AND g1 < g2) WHERE v < 0.05", CLOSE, PP, EDGE, CPB))
 def significant_pairs(spark, sf):
     _, e, c = _edges(spark, sf)
     return rounded(coloc.all_pairs(coloc.significant(coloc.conditional_p_values(e, c), 0.05)))
@@ -568,7 +638,17 @@ def differential_counts(spark, sf):
     return coloc.differential(e, c, fixture(spark, sf).cells, "1").select("g1", "g2", "n2", "lam", "alpha", "gamma", "n1", "m", "total")
 
 
-@query()
+def _hyper(k: str, total: str, good: str, drawn: str) -> str:
+    """P(X >= k) of good ones among drawn."""
+    return f"least(1.0, list_sum(list_transform(range(greatest({k}, 0, {drawn} + {good} - {total}), least({good}, {drawn}) + 1), lambda x: exp({_lchoose(good, 'x')} + {_lchoose(f'({total} - {good})', f'({drawn} - x)')} - {_lchoose(total, drawn)}))))"
+
+
+#: Given alpha: x of the type among those that express the gene most, y among the others, x + y at least lam.
+_COND = f"""(SELECT least(1.0, sum(exp({_lchoose('gamma', 'x')} + {_lchoose('(n1 - gamma)', '(alpha - x)')} - {_lchoose('n1', 'alpha')} + {_lchoose('(m - gamma)', 'y')} + {_lchoose('(total - m - n1 + gamma)', '(n2 - alpha - y)')} - {_lchoose('(total - n1)', '(n2 - alpha)')})))
+  FROM (SELECT unnest(range(greatest(0, alpha - (n1 - gamma)), least(alpha, gamma) + 1)) AS x), (SELECT unnest(range(greatest(0, n2 - alpha - (total - m - n1 + gamma)), least(n2 - alpha, m - gamma) + 1)) AS y) WHERE x + y >= lam)"""
+
+
+@query(f"SELECT * REPLACE ({r('uncond', 'uncond')}), {r('marker', 'marker')}, {r(f'CASE WHEN uncond > 1e-3 THEN uncond ELSE {_COND} END', 'cond')} FROM (SELECT *, {_hyper('lam', 'total', 'n2', 'm')} AS uncond, {_hyper('gamma', 'total', 'n1', 'm')} AS marker_ FROM ({ORACLES['differential_counts']}))".replace("(round(marker, 6)", "(round(marker_, 6)").replace("SELECT * REPLACE", "SELECT * EXCLUDE (marker_) REPLACE"))
 def differential_p_values(spark, sf):
     _, e, c = _edges(spark, sf)
     return rounded(coloc.differential(e, c, fixture(spark, sf).cells, "1"))
@@ -750,12 +830,13 @@ def quantile_normalized_by_batch(spark, sf):
     return rounded(compartment.quantile_normalize(t, ["y"], group="batch"))
 
 
-@query(with_("SELECT batch, 'done' AS status, count(*) AS n_points, count(DISTINCT cell) AS n_cells FROM tx JOIN cells USING (cell) GROUP BY batch"))
+@query(with_("SELECT batch, 'done' AS status, count(*) AS n_points, count(DISTINCT cell) AS n_cells, count(*) AS n_assigned, true AS searched FROM tx JOIN cells USING (cell) GROUP BY batch"))
 def compartment_status(spark, sf):
-    """Every batch is fitted by itself, with the search for the number of nodes."""
+    """Every batch is fitted by itself, with the search for the number of nodes, and its report says where all points are."""
     b = fixture(spark, sf)
     t = bundles.attach(b.transcripts, b.cells, "batch", "batch0")
-    return compartment.group_status(compartment.compartments(t, 0.05, 10.0, "batch", True, 4), "batch").drop("n_subdomains")
+    report = compartment.group_report(compartment.compartments(t, 0.05, 10.0, "batch", True), "batch")
+    return report.select("batch", "status", "n_points", "n_cells", F.aggregate(F.map_values("sizes"), F.lit(0).cast("long"), lambda a, v: a + v).alias("n_assigned"), F.col("n_subdomains").between(2, 12).alias("searched"))
 
 
 FLUX = "fx AS (SELECT cell, tx_id, gene, (coalesce(l, 0) - coalesce(f, 0)) / sd AS value FROM (SELECT cell, tx_id, gene, n / total AS l FROM lt) FULL JOIN (SELECT s.cell, s.tx_id, fr.gene, f FROM smp s JOIN fr USING (cell)) USING (cell, tx_id, gene) JOIN sd USING (gene) WHERE sd > 1e-12)"
@@ -862,16 +943,30 @@ def _grouped_run(spark, sf) -> DataFrame:
     return summary.with_pair(pipelines.annotated_pairs(r, "celltype"))
 
 
-@query()
+#: The same in SQL: pairs in three dimensions, chances by cell type, regions of each type's own pairs, sizes and points.
+GROUPED = (
+    CLOSE3, PP, EDGE, "ec AS (SELECT e.*, celltype FROM e JOIN cells USING (cell))", "cn AS (SELECT cnt.*, celltype FROM cnt JOIN cells USING (cell))",
+    "deg AS (SELECT celltype, gene, count(*) AS d FROM (SELECT celltype, g1 AS gene FROM ec UNION ALL SELECT celltype, g2 FROM ec WHERE g1 <> g2) GROUP BY ALL)",
+    "gs AS (SELECT celltype, gene, coalesce(d, 0) AS d, sum(coalesce(d, 0)) OVER (PARTITION BY celltype ORDER BY gene ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suf FROM (SELECT DISTINCT celltype, gene FROM cn) LEFT JOIN deg USING (celltype, gene))",
+    "pr AS (SELECT celltype, cell, gene, d, suf FROM cn JOIN gs USING (celltype, gene))", "den AS (SELECT cell, sum((d * suf)::DOUBLE) + 1e-64 AS den, any_value(ne) AS ne FROM pr LEFT JOIN (SELECT cell, count(*) AS ne FROM ec GROUP BY cell) USING (cell) GROUP BY cell)",
+    "ob AS (SELECT celltype, g1, g2, count(*) AS obs FROM ec WHERE g1 < g2 GROUP BY ALL)",
+    "cpb AS (SELECT ob.celltype, ob.g1, ob.g2, ob.obs, list(1 - pow(1 - (a.d * b.d)::DOUBLE / den, coalesce(ne, 0))) AS ps FROM ob JOIN pr a ON a.celltype = ob.celltype AND a.gene = ob.g1 JOIN pr b ON b.cell = a.cell AND b.gene = ob.g2 JOIN den ON den.cell = a.cell GROUP BY ALL)",
+    f"sig AS (SELECT celltype, g1, g2, obs, least(1.0, greatest(0.0, v)) AS p FROM (SELECT *, {TAILS} AS v FROM cpb) WHERE v < 0.05)",
+    *PTS, ER, "eg AS (SELECT er.*, celltype FROM er JOIN cells USING (cell) WHERE cell IN (SELECT cell FROM tx) AND rc IS NOT NULL AND rn IS NOT NULL)",
+    "lim AS (SELECT cell, rn / mn * 2.5 AS t1, rn / mn * 2.5 AS t2, rc / mc * 4.0 AS t3 FROM eg JOIN (SELECT celltype, median(rc) AS mc, median(rn) AS mn FROM eg GROUP BY celltype) USING (celltype))",
+    LAB, "lz AS (SELECT lab.*, tx.z, celltype FROM lab JOIN tx USING (cell, tx_id) JOIN cells USING (cell))", RASTER, BG,
+    f"byc AS (SELECT s.celltype, a.cell, s.g1, s.g2, count(*) AS n, {', '.join(f'sum((a.{k} + b.{k}) / 2) AS {k}' for k in region.REGIONS)} FROM lz a JOIN lz b ON a.cell = b.cell AND a.tx_id < b.tx_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 16 JOIN sig s ON s.celltype = a.celltype AND s.g1 = least(a.gene, b.gene) AND s.g2 = greatest(a.gene, b.gene) GROUP BY ALL)",
+    ENR.replace("SELECT g1, g2", "SELECT celltype, g1, g2"),
+    f"dom AS (SELECT *, list_reverse_sort([{', '.join(f'{{v: {k}_enrichment, i: {-i}, r: {chr(39)}{k}{chr(39)}}}' for i, k in enumerate(region.REGIONS))}])[1] AS top FROM enr)",
+    "co AS (SELECT sig.celltype AS grp, sig.g1 AS gene_1, sig.g2 AS gene_2, sig.g1 || '--' || sig.g2 AS pair, p AS cpb_pvalue, obs AS n_cells, coalesce(n_proximal_pairs, 0) AS n_proximal_pairs, coalesce(top.r, 'none') AS dominant_region, coalesce(top.v, 0.0) AS dominant_enrichment_score FROM sig LEFT JOIN dom ON dom.celltype = sig.celltype AND dom.g1 = sig.g1 AND dom.g2 = sig.g2)",
+)
+
+
+@query(with_(f"SELECT grp AS celltype, dominant_region, n_pairs, {r('n_pairs / sum(n_pairs) OVER (PARTITION BY grp)', 'fraction')} FROM (SELECT grp, dominant_region, count(*) AS n_pairs FROM co GROUP BY ALL)", *GROUPED))
 def grouped_run_regions(spark, sf):
     return rounded(summary.region_distribution(_grouped_run(spark, sf), "celltype"))
 
 
-@query()
-def grouped_run_summary(spark, sf):
-    return rounded(summary.pair_context_summary(_grouped_run(spark, sf), "celltype"))
-
-
 @query(with_("SELECT pair, " + ", ".join(f"max((grp = '{c}')::INT) AS \"{c}\"" for c in CONTEXTS) + " FROM co GROUP BY pair", *CO))
 def presence_matrix(spark, sf):
     return summary.presence_matrix(_coloc(spark, sf), "grp", CONTEXTS)
@@ -928,6 +1023,11 @@ def pair_context_summary(spark, sf):
     return rounded(summary.pair_context_summary(_coloc(spark, sf), "grp"))
 
 
+@query(with_(f"SELECT * REPLACE ({', '.join(r(c, c) for c in ROUNDED)}) FROM su", *GROUPED, _region_sql("pair"), PCS))
+def grouped_run_summary(spark, sf):
+    return rounded(summary.pair_context_summary(_grouped_run(spark, sf), "celltype"))
+
+
 @query(with_(" UNION ALL ".join(f"SELECT '{k}' AS class, pair FROM su WHERE {c}" for k, c in (("specific", "is_specific"), ("shared", "n_contexts >= 2"), ("ubiquitous", "is_ubiquitous"), ("region_consistent", "n_contexts >= 2 AND region_consistency >= 0.8"), ("region_shifted", "is_region_shifted"))), *CO, _region_sql("pair"), PCS))
 def pair_classes(spark, sf):
     return summary.classes(summary.pair_context_summary(_coloc(spark, sf), "grp"))
@@ -1020,7 +1120,12 @@ def cells_by_pp(spark, sf):
     return _pp(views.cells_by_pp(coloc.proximal_pairs(fixture(spark, sf).transcripts), G1, G2)).select("cell", "obs", "pvalue")
 
 
-@query()
+BALANCED = f"(SELECT lk.cell, count(*) AS links, least(count(DISTINCT i) / any_value(n1), count(DISTINCT j) / any_value(n2)) AS balance, count(*) / sqrt(any_value(n1) * any_value(n2)) AS density FROM lk JOIN (SELECT cell, count(*) FILTER (WHERE gene = '{G1}') AS n1, count(*) FILTER (WHERE gene = '{G2}') AS n2 FROM tx GROUP BY cell) USING (cell) GROUP BY lk.cell)"
+WAYS = f"""wy AS (SELECT cell, 'pp' AS chosen_by, 0 AS w, row_number() OVER (ORDER BY pvalue, cell) AS place FROM pp WHERE g1 = '{G1}' AND g2 = '{G2}' UNION ALL SELECT cell, 'balance', 1, row_number() OVER (ORDER BY balance DESC, density DESC, cell) FROM {BALANCED}
+UNION ALL SELECT cell, 'expression', 2, row_number() OVER (ORDER BY n DESC, cell) FROM (SELECT cell, count(*) AS n FROM tx WHERE gene IN ('{G1}', '{G2}') GROUP BY cell))"""
+
+
+@query(with_("SELECT cell, chosen_by, place::INT AS place FROM wy WHERE place <= 6 AND w = (SELECT min(w) FROM wy)", LINKS, CLOSE, PP, WAYS))
 def example_cells(spark, sf):
     tx = fixture(spark, sf).transcripts
     return views.example_cells(coloc.proximal_pairs(tx), tx, G1, G2, 4.0)
