@@ -132,7 +132,8 @@ def shuffled_genes(df: DataFrame, seed: int = 1, within: str | None = None, part
         skip = Window.partitionBy(*(key or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         n = n.withColumn("_skip", F.coalesce(F.sum("_c").over(skip), F.lit(0))).drop("_c")  # one row a range
         place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_h", *ident))
-        return r.join(F.broadcast(n), [*key, "_part"]).withColumn("_k", F.col("_skip") + place).drop("_h", "_part", "_skip")
+        # over the whole table there are as many rows as ranges, within a column as many for each of its values
+        return r.join(n if key else F.broadcast(n), [*key, "_part"]).withColumn("_k", F.col("_skip") + place).drop("_h", "_part", "_skip")
 
     places = ranked(df.drop("gene"), 2 * seed)
     lent = ranked(df.select(*dict.fromkeys([*key, *ident, "gene"])), 2 * seed + 1).select(*key, "_k", "gene")

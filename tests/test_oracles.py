@@ -9,8 +9,7 @@ from loculus.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["preprocess_transcripts", "nc_ratio", "prefilter_stats", "shape_features", "point_in_polygon", "peripheral_score", "ripley_extremes", "proximal_pairs_2d", "cpb_p_values", "region_fractions", "composition_flux", "pair_context_summary", "gene_hubs", "cells_by_balance",
-         "boundary_wkt", "randomized_labels", "repaired_shapes", "pattern_features", "gene_celltype_scores", "significant_pairs", "differential_p_values", "compartment_status", "grouped_run_regions", "grouped_run_summary", "example_cells",
-         "prefilter_distributions", "boundary_counts", "nc_ratio_report"]
+         "randomized_labels", "repaired_shapes", "pattern_features", "gene_celltype_scores", "significant_pairs", "differential_p_values", "grouped_run_summary", "prefilter_distributions", "nc_ratio_report"]
 
 
 def rows(df):
