@@ -19,6 +19,13 @@ def _bin(c: str, r: float | str) -> Column:
     return F.floor(F.col(c) / (F.col(r) if isinstance(r, str) else F.lit(float(r))))
 
 
+def _known(points: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """Points with a finite place; no other is near anything."""
+    for d in dims:
+        points = points.where(F.abs(F.col(d)) < float("inf"))
+    return points
+
+
 def _sum_of_squares(dims: tuple[str, ...], a: str, b: str) -> Column:
     out = None
     for d in dims:
@@ -34,7 +41,7 @@ def distance_pairs(points: DataFrame, radius: float | str, keys: list[str], dims
     """
     own = isinstance(radius, str)
     cols = list(dict.fromkeys([ident, *dims, *(carry or []), *([radius] if own else [])]))
-    p = points.select(*keys, F.struct(*cols).alias("p"), *[_bin(d, radius).alias(f"_b{i}") for i, d in enumerate(dims)])
+    p = _known(points, dims).select(*keys, F.struct(*cols).alias("p"), *[_bin(d, radius).alias(f"_b{i}") for i, d in enumerate(dims)])
     bins = [f"_b{i}" for i in range(len(dims))]
     half = [o for o in product((0, 1, -1), repeat=len(dims)) if not any(o) or next(x for x in reversed(o) if x) > 0]
     moves = F.array(*[F.struct(*[F.lit(x).alias(f"o{i}") for i, x in enumerate(o)], F.lit(any(o)).alias("other")) for o in half])
@@ -50,7 +57,7 @@ def distance_pairs(points: DataFrame, radius: float | str, keys: list[str], dims
 def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """All (left, right) of equal keys within the radius; columns as structs a and b. The smaller side should be the left."""
     def of(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name), *[_bin(d, radius).alias(f"_b{i}") for i, d in enumerate(dims)])
+        return _known(df, dims).select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name), *[_bin(d, radius).alias(f"_b{i}") for i, d in enumerate(dims)])
 
     bins = [f"_b{i}" for i in range(len(dims))]
     moves = F.array(*[F.struct(*[F.lit(x).alias(f"o{i}") for i, x in enumerate(o)]) for o in product((-1, 0, 1), repeat=len(dims))])
