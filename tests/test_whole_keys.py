@@ -42,3 +42,9 @@ def test_flux_is_sent_nowhere(spark):
     tx = spark.createDataFrame(points(), POINTS)
     above = compartment.local_flux(tx, tx, 3.0, ["cell"])._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above and "Exchange" not in above
+
+
+def test_composition_is_sent_on_by_cell_once(spark):
+    """One shuffle, of points; none of the rows of the result."""
+    tx = spark.createDataFrame(points(), POINTS)
+    assert exchanges(compartment.local_composition(tx, tx, 3.0, ["cell"])) == 1
