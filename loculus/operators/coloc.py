@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..sources import store
-from . import joins
+from . import joins, whole
 
 PAIR = ["g1", "g2"]
 
@@ -25,33 +25,53 @@ def gene_counts(tx: DataFrame, keys: list[str]) -> DataFrame:
     return tx.groupBy(*keys, "gene").agg(F.count("*").alias("n"))
 
 
-def pair_counts(tx: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
+def pair_counts(tx: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...] = ("x", "y"), limit: int = whole.LIMIT) -> DataFrame:
     """(keys, g1, g2, obs) with g1 <= g2: unordered close pairs of points."""
+    return met_pairs(tx, radius, keys, dims, limit).select(*keys, *PAIR, "obs")
+
+
+def met_pairs(tx: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...] = ("x", "y"), limit: int = whole.LIMIT) -> DataFrame:
+    """(keys, g1, g2, obs, n1, n2, total, close): close pairs of points, points of both genes, all points and close pairs of the key.
+
+    Keys of at most ``limit`` points are worked on in a task each, so their pairs are sent nowhere.
+    """
+    small, large = whole.parted(tx, keys, limit)
+    out = whole.gene_pairs(small, keys, radius, dims)
+    return out if large is None else out.unionByName(_spread_pairs(large, radius, keys, dims))
+
+
+def _spread_pairs(tx: DataFrame, radius: float, keys: list[str], dims: tuple[str, ...]) -> DataFrame:
     p = joins.distance_pairs(tx, radius, keys, dims, carry=["gene"])
-    return p.groupBy(*keys, F.least("a.gene", "b.gene").alias("g1"), F.greatest("a.gene", "b.gene").alias("g2")).agg(F.count("*").alias("obs"))
+    obs = p.groupBy(*keys, F.least("a.gene", "b.gene").alias("g1"), F.greatest("a.gene", "b.gene").alias("g2")).agg(F.count("*").alias("obs"))
+    counts = gene_counts(tx, keys)
+    n = lambda g, name: counts.select(*keys, F.col("gene").alias(g), F.col("n").alias(name))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).join(obs.groupBy(*keys).agg(F.sum("obs").alias("close")), keys)
+    return obs.join(total, keys).join(n("g1", "n1"), [*keys, "g1"], "left").join(n("g2", "n2"), [*keys, "g2"], "left").select(*keys, *PAIR, "obs", "n1", "n2", "total", "close")
 
 
-def proximal_pairs(tx: DataFrame, radius: float = 4.0, min_genecount: int = 20, group: str | None = None, dims: tuple[str, ...] = ("x", "y"), p_values: bool = True) -> DataFrame:
+def proximal_pairs(tx: DataFrame, radius: float = 4.0, min_genecount: int = 20, group: str | None = None, dims: tuple[str, ...] = ("x", "y"), p_values: bool = True, limit: int = whole.LIMIT) -> DataFrame:
     """(cell, g1, g2, obs, trials, p0[, pvalue]) of pairs that meet, in cells of more than min_genecount points.
 
     p0 is the share of close pairs among all, 1 where there are none; trials are the product of the counts, the square on the
     diagonal. A group column becomes part of every key: all groups are one job.
     """
     keys = ([group] if group else []) + ["cell"]
-    counts = gene_counts(tx, keys)
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).where(F.col("total") > min_genecount)
-    obs = pair_counts(tx, radius, keys, dims)
-    close = obs.groupBy(*keys).agg(F.sum("obs").alias("close"))
-    n = lambda g, name: counts.select(*keys, F.col("gene").alias(g), F.col("n").alias(name))
-    out = obs.join(total.join(close, keys), keys).join(n("g1", "n1"), [*keys, "g1"]).join(n("g2", "n2"), [*keys, "g2"])
-    out = out.select(*keys, *PAIR, "obs", (F.col("n1") * F.col("n2")).alias("trials"), (2 * F.col("close") / (F.col("total") * (F.col("total") - 1))).alias("p0"))
+    met = met_pairs(tx, radius, keys, dims, limit).where((F.col("total") > min_genecount) & F.col("g1").isNotNull() & F.col("g2").isNotNull())
+    out = met.select(*keys, *PAIR, "obs", (F.col("n1") * F.col("n2")).alias("trials"), (2 * F.col("close") / (F.col("total") * (F.col("total") - 1))).alias("p0"))
     return out.withColumn("pvalue", stats.binomial_tail_udf("obs", "trials", "p0")) if p_values else out
 
 
-def proximal_pairs_by_slice(tx: DataFrame, radius: float = 4.0, min_genecount: int = 20, p_values: bool = True) -> DataFrame:
+def proximal_pairs_by_slice(tx: DataFrame, radius: float = 4.0, min_genecount: int = 20, p_values: bool = True, limit: int = whole.LIMIT) -> DataFrame:
     """As proximal_pairs with distances within z slices: counts and trials are summed, p0 is weighted by the numbers of pairs."""
-    s = proximal_pairs(tx, radius, min_genecount, group="z", p_values=False)
-    counts = gene_counts(tx, ["z", "cell"])
+    small, large = whole.parted(tx.select("cell", "z", "tx_id", "gene", "x", "y"), ["cell"], limit)
+    out = whole.sliced_pairs(small, radius, min_genecount)
+    out = out if large is None else out.unionByName(_spread_slices(large, radius, min_genecount))
+    return out.withColumn("pvalue", stats.binomial_tail_udf("obs", "trials", "p0")) if p_values else out
+
+
+def _spread_slices(tx: DataFrame, radius: float, min_genecount: int) -> DataFrame:
+    s = store.stored(proximal_pairs(tx, radius, min_genecount, group="z", p_values=False))
+    counts = store.stored(gene_counts(tx, ["z", "cell"]))
     size = counts.groupBy("z", "cell").agg(F.sum("n").alias("total")).where(F.col("total") > min_genecount)
     close = s.groupBy("z", "cell").agg(F.sum("obs").alias("close"))
     w = size.join(close, ["z", "cell"], "left").withColumn("pairs", F.col("total") * (F.col("total") - 1) / 2)
@@ -59,8 +79,7 @@ def proximal_pairs_by_slice(tx: DataFrame, radius: float = 4.0, min_genecount: i
     n = lambda g, name: counts.join(size.select("z", "cell"), ["z", "cell"], "left_semi").select("z", "cell", F.col("gene").alias(g), F.col("n").alias(name))
     met = s.select("cell", *PAIR).distinct()
     trials = met.join(n("g1", "n1"), ["cell", "g1"]).join(n("g2", "n2"), ["cell", "g2", "z"]).groupBy("cell", *PAIR).agg(F.sum(F.col("n1") * F.col("n2")).alias("trials"))
-    out = s.groupBy("cell", *PAIR).agg(F.sum("obs").alias("obs")).join(trials, ["cell", *PAIR]).join(p0, "cell").select("cell", *PAIR, "obs", "trials", "p0")
-    return out.withColumn("pvalue", stats.binomial_tail_udf("obs", "trials", "p0")) if p_values else out
+    return s.groupBy("cell", *PAIR).agg(F.sum("obs").alias("obs")).join(trials, ["cell", *PAIR]).join(p0, "cell").select("cell", *PAIR, "obs", "trials", "p0")
 
 
 def edges(pp: DataFrame, alpha: float) -> DataFrame:

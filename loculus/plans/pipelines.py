@@ -76,7 +76,7 @@ def colocalization(b: Bundle, distance: float = 4.0, pp_alpha: float = 1e-3, cpb
     out = sig.select(*([group] if group else []), F.col("g1").alias("gene_1"), F.col("g2").alias("gene_2"), F.col("pvalue").alias("cpb_pvalue"), F.col("pvalue_raw").alias("cpb_pvalue_raw"), F.col("expected").alias("expected_coloc"), F.lit(distance).alias("distance_threshold"), F.lit(pp_alpha).alias("pp_alpha"), F.lit(cpb_alpha).alias("cpb_alpha"), F.col("obs").alias("n_cells_pp_significant"), F.col("obs").alias("n_cells"))
     regions = None
     if with_regions:
-        regions = pair_regions(b, sig.select(*([group] if group else []), "g1", "g2"), distance, dims, scaled, group)
+        regions = pair_regions(b.with_transcripts(tx), store.stored(sig.select(*([group] if group else []), "g1", "g2")), distance, dims, scaled, group)
     return Colocalization(out, pp, report, sample, regions, counts, cpb)
 
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from loculus.operators import compartment
+from pyspark.sql import functions as F
+
+from loculus.operators import coloc, compartment, features, interpolation, joins, region
 
 POINTS = "cell string, gene string, tx_id long, x double, y double, z double"
 
@@ -48,3 +50,56 @@ def test_composition_is_sent_on_by_cell_once(spark):
     """One shuffle, of points; none of the rows of the result."""
     tx = spark.createDataFrame(points(), POINTS)
     assert exchanges(compartment.local_composition(tx, tx, 3.0, ["cell"])) == 1
+
+
+@pytest.mark.parametrize("dims", [("x", "y"), ("x", "y", "z")])
+def test_pairs_of_whole_cells(spark, dims):
+    tx = spark.createDataFrame(points(), POINTS)
+    want = rows(coloc.proximal_pairs(tx, 2.0, 20, None, dims, limit=0))
+    assert len(want) > 50 and rows(coloc.proximal_pairs(tx, 2.0, 20, None, dims)) == want == rows(coloc.proximal_pairs(tx, 2.0, 20, None, dims, limit=92))
+    assert exchanges(coloc.proximal_pairs(tx, 2.0, 20, None, dims)) == 1  # points by cell; pairs are not sent on
+
+
+def test_regions_of_whole_cells(spark):
+    tx = spark.createDataFrame(points(), POINTS)
+    tx = tx.withColumns({k: ((F.col("tx_id") * (i + 3)) % 2).cast("double") for i, k in enumerate(region.REGIONS)})
+    wanted = spark.createDataFrame([("g0", "g1"), ("g2", "g2")], "g1 string, g2 string")
+    want = rows(region.pair_regions(tx, 2.0, wanted, limit=0))
+    assert want and rows(region.pair_regions(tx, 2.0, wanted)) == want
+
+
+def test_slices_of_whole_cells(spark):
+    tx = spark.createDataFrame(points(), POINTS)
+    of = lambda limit: coloc.proximal_pairs_by_slice(tx, 2.0, 20, limit=limit)
+    assert len(rows(of(0))) > 50 and rows(of(1000)) == rows(of(0)) == rows(of(92))
+    assert exchanges(of(1000)) == 1
+
+
+def test_ripley_of_whole_cells(spark):
+    tx = spark.createDataFrame(points(), POINTS)
+    s = spark.createDataFrame([(f"c{i}", "cell", 100.0 + i, 7 + 3 * i) for i in range(4)], "cell string, kind string, area double, span long")
+    of = lambda limit: sorted((r.cell, r.gene, r.n, r.area, r.span, sorted(r.hist.items()), r.quarter) for r in features.ripley_counts(tx, s, limit).collect())
+    assert len(of(0)) == 20 and of(1000) == of(0) == of(92)
+
+
+def test_nearest_of_whole_cells(spark):
+    tx = spark.createDataFrame([p for p in points() if p[2] < 10_000 or p[0] == "alone"], POINTS)
+    of = lambda limit: joins.nearest(tx, tx.where("gene = 'g1'"), 3, ["cell"], limit=limit)
+    assert len(rows(of(0))) > 900 and rows(of(1000)) == rows(of(0))
+    assert exchanges(of(1000)) == 1
+
+
+def test_both_ranks_in_one_pass(spark):
+    p = spark.createDataFrame(points()[:300], POINTS).withColumns({"dc": F.col("x") * F.col("y"), "c_mx": F.lit(5.5), "c_my": F.lit(4.0)})
+    keys = ["cell", "gene"]
+    want = features.peripheral(p).select(*keys, "peripheral").join(features.central(p).select(*keys, "central"), keys)
+    assert rows(features.ranks(p)) == rows(want) and exchanges(features.ranks(p)) == 1
+
+
+def test_groups_of_one_tile_are_sent_once(spark):
+    """Groups with few samples need no rounds; the values are those of the rounds, and groups without samples have the mean."""
+    tx = spark.createDataFrame([p for p in points() if p[0] != "alone"], POINTS)
+    s = tx.where("tx_id % 3 = 0").withColumn("h", F.col("x") * F.col("y"))
+    of = lambda tile: interpolation.linear(s, tx, ["h"], ["cell"], ["tx_id"], tile=tile)
+    assert rows(of(2000)) == rows(of(5)) and len(rows(of(2000))) == 364
+    assert exchanges(of(2000)) == 1
