@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import store
+from . import whole
 
 
 def _bin(c: str, r: float | str) -> Column:
@@ -73,14 +74,27 @@ def neighbour_cells(cells: DataFrame, dist: float) -> DataFrame:
     return radius_join(one, one, dist, ["_k"]).where("a.id <> b.id").select(F.col("a.id").alias("cell"), F.col("b.id").alias("neighbour"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str], ident: str = "tx_id", other: str = "tx_id", fill: int = 4) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str], ident: str = "tx_id", other: str = "tx_id", fill: int = 4, limit: int = whole.LIMIT) -> DataFrame:
     """(keys, ident, rank, neighbour, d2): the k nearest points of the right of each point of the left, by (x, y), ties to the
     lesser ``other``; all of them where a key has fewer.
 
-    Grid cells hold about ``fill`` * k points of the right. A round joins a point with the cells up to a reach around its own; it
-    is done if the k-th distance is less than what lies beyond them can have, and else goes on with twice the reach, so only
-    points in thin regions look far. Of points of the right at one place only the first k can count, so only they are joined.
+    Keys of at most ``limit`` points are worked on in a task each. In larger ones grid cells hold about ``fill`` * k points of the
+    right. A round joins a point with the cells up to a reach around its own; it is done if the k-th distance is less than what lies
+    beyond them can have, and else goes on with twice the reach, so only points in thin regions look far. Of points of the right at
+    one place only the first k can count, so only they are joined.
     """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    a = left.select(*keys, F.col(ident).alias("_id"), none(right, other).alias("_other"), "x", "y", F.lit(False).alias("_right"))
+    b = right.select(*keys, none(left, ident).alias("_id"), F.col(other).alias("_other"), "x", "y", F.lit(True).alias("_right"))
+    small, large = whole.parted(a.unionByName(b).where("x IS NOT NULL AND y IS NOT NULL"), keys, limit)
+    out = whole.nearest(small, k, keys, "_id").withColumnRenamed("_id", ident)
+    if large is None:
+        return out
+    sides = large.where("NOT _right").withColumnRenamed("_id", ident), large.where("_right").drop("_id").withColumnRenamed("_other", other)
+    return out.unionByName(_spread_nearest(*sides, k, keys, ident, other, fill))
+
+
+def _spread_nearest(left: DataFrame, right: DataFrame, k: int, keys: list[str], ident: str, other: str, fill: int) -> DataFrame:
     place = ["x", "y"]
     w = Window.partitionBy(*keys, *place).orderBy(other)
     r = right.select(*keys, F.col(other).alias("_o"), *place).where("x IS NOT NULL AND y IS NOT NULL").withColumnRenamed("_o", other)
