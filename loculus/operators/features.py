@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import planar, stats
 from ..sources import store
-from . import geometry, joins
+from . import geometry, joins, whole
 
 KEYS = ["cell", "gene"]
 WHOLE_CELL = 1_000_000  # points of a cell that a permutation task looks up by itself; points of larger ones are joined
@@ -85,12 +86,65 @@ def dispersion(tx: DataFrame, shapes: DataFrame, step: int = 1) -> DataFrame:
     )
 
 
-def ripley_counts(tx: DataFrame, shapes: DataFrame) -> DataFrame:
+def ripley_counts(tx: DataFrame, shapes: DataFrame, limit: int = whole.LIMIT) -> DataFrame:
     """(cell, gene, n, area, span, hist): numbers of ordered pairs closer than each radius 1..span/2, and than span/4.
 
-    Pairs of one (cell, gene) within half the cell's own span come from the grid join, and only counts by radius are kept.
+    Pairs of one (cell, gene) within half the cell's own span count, and only their numbers by radius are kept. Cells of at most
+    ``limit`` points are worked on in a task each; pairs of larger ones come from the grid join.
     """
     s = shapes.where("kind = 'cell'").select("cell", "area", "span")
+    small, large = whole.parted(whole.stored(tx), ["cell"], limit)
+    rows = small.select(*KEYS, "tx_id", "x", "y").repartition("cell").join(s, "cell")
+    schema = f"cell string, gene string, n long, area double, span {s.schema['span'].dataType.simpleString()}, hist map<int,long>, quarter long"
+    out = whole.mapped(rows, ["cell"], _ripley_rows, schema, ["gene"], sent=True)
+    return out if large is None else out.unionByName(_spread_ripley(large, s))
+
+
+def _ripley_rows(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+    """One row a cell and gene: its pairs by radius."""
+    gene, values = whole.codes(t.column("gene"))
+    x, y, span = whole.numbers(t, "x", "y", "span")
+    ids = whole.codes(t.column("tx_id"))[0]
+    n = t.num_rows
+    new = np.zeros(n, bool)
+    new[cuts[:-1]] = True
+    new[1:] |= gene[1:] != gene[:-1]
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, n))
+    of = np.repeat(np.arange(len(starts)), size)
+    end = (starts + size)[of]
+    k = np.floor(span[starts] / 2).astype(np.int64)  # radii are linspace(1, span / 2, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = np.where(k > 1, (span[starts] / 2 - 1) / (k - 1), 1.0)
+    reach = np.maximum(1.0, span[starts] / 2)
+    wide = int(max(1, (np.floor((reach - 1) / step) + 2).max())) if len(starts) else 1
+    quarter, bins = np.zeros(len(starts), np.int64), []
+    with_others = (end - np.arange(n) - 1) * (np.isfinite(x) & np.isfinite(y) & (ids >= 0) & (gene >= 0))
+    ends = np.cumsum(with_others)
+    lo = 0
+    while lo < n:  # as many points at a time as have about a million partners
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
+        many = with_others[lo:hi]
+        a = np.repeat(np.arange(lo, hi), many)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+        dx, dy, g = x[a] - x[b], y[a] - y[b], of[a]
+        d2 = dx * dx + dy * dy
+        near = (d2 <= reach[g] * reach[g]) & (ids[a] != ids[b])
+        g, d = g[near], np.sqrt(d2[near])
+        i = np.where(d < 1, 0, np.maximum(0, np.floor((d - 1) / step[g]).astype(np.int64) + 1))
+        bins.append(np.unique(g * wide + i, return_counts=True))
+        quarter += np.bincount(g[d < span[starts][g] / 4], minlength=len(quarter))
+        lo = hi
+    code, inverse = np.unique(np.concatenate([c for c, _ in bins]), return_inverse=True)
+    count = np.bincount(inverse, np.concatenate([c for _, c in bins]), minlength=len(code)).astype(np.int64)
+    at, i = np.divmod(code, wide)
+    offsets = np.searchsorted(at, np.arange(len(starts) + 1))
+    none = np.diff(offsets) == 0
+    maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(none, False)), pa.array(i, pa.int32()), pa.array(count))
+    return pa.table([*whole.taken(t, ["cell"], starts), whole.texts(values, gene[starts]), pa.array(size), *whole.taken(t, ["area", "span"], starts), maps, pa.array(quarter, mask=none)], names=["cell", "gene", "n", "area", "span", "hist", "quarter"])
+
+
+def _spread_ripley(tx: DataFrame, s: DataFrame) -> DataFrame:
     n = tx.groupBy(*KEYS).agg(F.count("*").alias("n")).join(s, "cell")
     spans = tx.join(s, "cell")
     spans = spans.withColumn("reach", F.greatest(F.lit(1.0), F.col("span") / 2))
@@ -101,7 +155,7 @@ def ripley_counts(tx: DataFrame, shapes: DataFrame) -> DataFrame:
     first = F.greatest(F.lit(0), F.floor((d - 1) / step).cast("int") + 1)  # index of the first radius above d
     bins = pairs.select(*KEYS, F.when(d < F.col("a.span") / 4, 1).otherwise(0).alias("q"), F.when(d < 1, 0).otherwise(first).alias("i"), k.alias("k"))
     bins = bins.groupBy(*KEYS, "i").agg(F.count("*").alias("c"), F.sum("q").alias("q")).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("hist"), F.sum("q").alias("quarter"))
-    return n.join(bins, KEYS, "left")
+    return n.join(bins, KEYS, "left").select(*KEYS, "n", "area", "span", "hist", "quarter")
 
 
 def ripley(tx: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -127,6 +181,17 @@ def _rank_score(tx: DataFrame, dist: Column, name: str) -> DataFrame:
     return g.withColumn(name, F.when(F.col("num_spots") > 1, (e - F.col("median_rank")) / (e - 1)))
 
 
+def ranks(p: DataFrame) -> DataFrame:
+    """(cell, gene, peripheral, central): both rank scores from one pass over the points."""
+    w = Window.partitionBy("cell")
+    dx, dy = F.col("x") - F.col("c_mx"), F.col("y") - F.col("c_my")
+    r = p.select(*KEYS, "tx_id", "dc", (dx * dx + dy * dy).alias("_d"))
+    r = r.select(*KEYS, F.row_number().over(w.orderBy("dc", "tx_id")).alias("_p"), F.row_number().over(w.orderBy("_d", "tx_id")).alias("_c"), F.count("*").over(w).alias("n"))
+    g = r.groupBy(*KEYS).agg(F.max("n").alias("n"), F.percentile("_p", F.lit(0.5)).alias("_p"), F.percentile("_c", F.lit(0.5)).alias("_c"))
+    e = (F.col("n") + 1) / 2
+    return g.select(*KEYS, *[F.when(F.col("n") > 1, (e - F.col(c)) / (e - 1)).alias(name) for c, name in (("_p", "peripheral"), ("_c", "central"))])
+
+
 def peripheral(p: DataFrame) -> DataFrame:
     return _rank_score(p, F.col("dc"), "peripheral")
 
@@ -297,6 +362,7 @@ PATTERN_FEATURES = (
 
 def pattern_features(tx: DataFrame, shapes: DataFrame) -> DataFrame:
     """The 13 features of the pattern classes, one row a (cell, gene)."""
+    tx = whole.stored(tx)  # three passes
     out = point_features(placed(tx, shapes)).drop("n_spots")
     for part in (dispersion(tx, shapes).drop("point_moment"), ripley(tx, shapes)):
         out = out.join(part, KEYS, "full")
