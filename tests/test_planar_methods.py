@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loculus.functions import bands, delaunay, rings
@@ -181,3 +182,29 @@ def test_frequent_subgraphs(spark, n, m):
     assert all(len(r.genes) == n for r in got)
     with pytest.raises(ValueError, match="no connected graph"):
         coloc.subgraphs(spark.createDataFrame(rows, "cell string, g1 string, g2 string"), n, n - 2)
+
+
+LINES = np.array([(float(q), float(y)) for q in range(1, 21) for y in np.random.default_rng(q).uniform(0, 20, 60)])
+
+
+def test_a_point_meets_few_triangles_when_it_comes_in(monkeypatch):
+    calls, test = [], delaunay.in_circle
+    monkeypatch.setattr(delaunay, "in_circle", lambda *p: calls.append(1) or test(*p))
+    delaunay.Triangulation(LINES)
+    assert len(calls) < 20 * len(LINES)
+
+
+def test_rounds_take_on_few_samples_and_change_no_value(spark):
+    n = len(LINES)
+    fixed = {"x0": 1.0, "x1": 20.0, "y0": 0.0, "y1": 20.0, "k": 1, "wx": 19.0, "wy": 20.0, "m_v": 0.5}
+    rows = [{"g": "a", "ti": 0, "tj": 0, "part": 0, "kind": 0, "id": None, "x": x, "y": y, "v": x * y, "own": True, **fixed} for x, y in LINES.tolist()]
+    kinds = pa.schema([("g", pa.string()), ("id", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("v", pa.float64()), ("done", pa.bool_())])
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.int64() if c == "id" else pa.infer_type([v])) for c, v in rows[0].items()]))
+    left = {(r["x"], r["y"]) for b in interpolation._tiles(["v"], ["g"], ["id"], interpolation.HALO, False, kinds)([batch]) for r in b.to_pylist() if r["done"] is None}
+    assert {tuple(p) for p in rings.hull(LINES).tolist()} <= left and len(left) < n / 4
+    at = RNG.uniform(0, 21, (400, 2))
+    s = spark.createDataFrame([("a", x, y, x * y) for x, y in LINES.tolist()], "g string, x double, y double, v double")
+    p = spark.createDataFrame([("a", i, x, y) for i, (x, y) in enumerate(at.tolist())], "g string, tx_id long, x double, y double")
+    by = lambda nearest, tile: {r.tx_id: r.v for r in interpolation.linear(s, p, ["v"], ["g"], ["tx_id"], nearest, tile).collect()}
+    for nearest in (False, True):
+        assert by(nearest, 100) == pytest.approx(by(nearest, 10**6))
