@@ -329,7 +329,7 @@ def modules(e: DataFrame, size: int = 3, support: int = 5) -> DataFrame:
 
     Grown a gene at a time from frequent smaller sets (a set can't be frequent if a part isn't), in name order.
     """
-    pairs = e.where("g1 < g2").select("cell", *PAIR)
+    pairs = store.stored(e.where("g1 < g2").select("cell", *PAIR))  # read at every step
     frequent = pairs.groupBy(*PAIR).agg(F.count_distinct("cell").alias("s")).where(F.col("s") >= support).drop("s")
     pairs = pairs.join(frequent, PAIR, "left_semi")
     sets = pairs.select("cell", F.array("g1", "g2").alias("genes"))

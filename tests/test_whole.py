@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import SF, rows
 
+from loculus.operators import coloc
 from loculus.queries import ORACLES, QUERIES
 from loculus.sources.fixture import fixture
 
@@ -33,3 +35,12 @@ def test_every_gene_pair_has_regions(spark, name):
     got = equal_to_sql(spark, name)
     genes = sorted(r[0] for r in fixture(spark, SF).transcripts.select("gene").distinct().collect())
     assert set(zip(got.g1, got.g2, strict=True)) == {(a, b) for a in genes for b in genes if a <= b}
+
+
+def test_edges_are_worked_out_once_for_modules(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda g: seen.add(1) or g, "string").asNondeterministic()
+    rows = [(f"c{k}", a, b) for k in range(3) for a, b in ("ab", "ac", "bc", "bd")]
+    e = spark.createDataFrame(rows, "cell string, g1 string, g2 string").withColumn("g2", count("g2"))
+    assert [(r.genes, r.support) for r in coloc.modules(e, 3, 3).collect()] == [(["a", "b", "c"], 3)]
+    assert seen.value == len(rows)
