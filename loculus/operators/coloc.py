@@ -15,6 +15,8 @@ from ..sources import store
 from . import joins, whole
 
 PAIR = ["g1", "g2"]
+#: Tasks that fit pairs.
+FITS = 64
 
 
 def pair_key(a, b):
@@ -321,6 +323,7 @@ def spatial_modulation(freq: DataFrame) -> DataFrame:
                 step /= 2
         return pd.DataFrame({"g1": [d["g1"].iloc[0]], "g2": [d["g2"].iloc[0]], "llr": [best[0] - h0], "w_h1": [best[1]], "p_h1": [best[2]], "p_global": [p0]})
 
+    g = g.repartition(FITS, *PAIR)  # few rows a pair, but each fit takes long, so tasks don't follow bytes
     return g.groupBy(*PAIR).applyInPandas(fit, "g1 string, g2 string, llr double, w_h1 double, p_h1 double, p_global double")
 
 

@@ -44,3 +44,10 @@ def test_edges_are_worked_out_once_for_modules(spark):
     e = spark.createDataFrame(rows, "cell string, g1 string, g2 string").withColumn("g2", count("g2"))
     assert [(r.genes, r.support) for r in coloc.modules(e, 3, 3).collect()] == [(["a", "b", "c"], 3)]
     assert seen.value == len(rows)
+
+
+def test_pairs_are_fitted_in_many_tasks(spark):
+    rows = [(f"g{k}", "h", 0.5, edge, f, 4) for k in range(20) for edge in (0, 1) for f in (0.0, 0.5)]
+    freq = spark.createDataFrame(rows, "g1 string, g2 string, p_global double, edge int, freq double, c long")
+    got = coloc.spatial_modulation(freq).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.g1 for r in got}) == len(got) == 20 and len({r.task for r in got}) > 1
