@@ -363,13 +363,17 @@ def subgraphs(e: DataFrame, n_vertices: int, n_edges: int, support: int = 5) ->
         return df.join(ok, code, "left_semi")
 
     pairs = store.stored(frequent(pairs, "edge"))
-    at_gene = pairs.select("cell", F.explode(F.array("edge.g1", "edge.g2")).alias("gene"), "edge")
+    end = lambda a, b: F.struct(F.col(f"edge.{a}").alias("gene"), F.col(f"edge.{b}").alias("other"))
+    at_gene = pairs.select("cell", F.explode(F.array(end("g1", "g2"), end("g2", "g1"))).alias("end"), "edge").select("cell", "end.gene", "end.other", "edge")
     found = pairs.select("cell", F.array("edge").alias("code"), F.array("edge.g1", "edge.g2").alias("genes"))
     for k in range(2, n_edges + 1):
         grown = found.select("cell", "code", "genes", F.explode("genes").alias("gene")).join(at_gene, ["cell", "gene"]).where(~F.array_contains("code", F.col("edge")))
-        genes = F.array_sort(F.array_union("genes", F.array("edge.g1", "edge.g2")))
-        grown = grown.select("cell", F.array_sort(F.array_append("code", F.col("edge"))).alias("code"), genes.alias("genes"))
-        grown = grown.where((F.size("genes") <= n_vertices) & (F.size("genes") + n_edges - k >= n_vertices)).distinct()
+        # an edge between two genes that are there comes from both: one is enough; arrays are built for what goes on only
+        within = F.array_contains("genes", F.col("other"))
+        size = F.size("genes") + F.when(within, 0).otherwise(1)
+        grown = grown.where((~within | (F.col("gene") < F.col("other"))) & (size <= n_vertices) & (size + n_edges - k >= n_vertices))
+        genes = F.array_sort(F.array_union("genes", F.array("other")))
+        grown = grown.select("cell", F.array_sort(F.array_append("code", F.col("edge"))).alias("code"), genes.alias("genes")).distinct()
         last, found = found, store.stored(frequent(grown, "code"))
         if k > 2:
             store.released(last)

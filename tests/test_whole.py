@@ -51,3 +51,7 @@ def test_pairs_are_fitted_in_many_tasks(spark):
     freq = spark.createDataFrame(rows, "g1 string, g2 string, p_global double, edge int, freq double, c long")
     got = coloc.spatial_modulation(freq).withColumn("task", F.spark_partition_id()).collect()
     assert len({r.g1 for r in got}) == len(got) == 20 and len({r.task for r in got}) > 1
+
+
+def test_frequent_subgraphs_equal_sql(spark):
+    equal_to_sql(spark, "frequent_subgraphs")
