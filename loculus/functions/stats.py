@@ -27,11 +27,12 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    """Continued fraction of the incomplete beta function (modified Lentz). A row is left out once it has converged, so its value does
+    not depend on the others."""
     tiny = 1e-300
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
+    h, out, left = d.copy(), np.empty_like(x), np.arange(len(x))
     for m in range(1, 2000):
         for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + t * d
@@ -39,9 +40,14 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + t / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
+        more = np.abs(d * c - 1) >= 1e-15
+        if not more.all():
+            out[left[~more]] = h[~more]
+            left, a, b, x, c, d, h = (v[more] for v in (left, a, b, x, c, d, h))
+            if not len(left):
+                break
+    out[left] = h
+    return out
 
 
 def binomial_tail(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -54,8 +60,9 @@ def binomial_tail(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
         a, b, x = k[todo], n[todo] - k[todo] + 1, p[todo]
         front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x))
         low = x < (a + 1) / (a + b + 2)
-        value = np.where(low, front * _beta_fraction(a, b, np.where(low, x, 0.5)) / a, 1 - front * _beta_fraction(b, a, np.where(low, 0.5, 1 - x)) / b)
-        out[todo] = np.clip(value, 0, 1)
+        first, second, at = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+        value = front * _beta_fraction(first, second, at) / first
+        out[todo] = np.clip(np.where(low, value, 1 - value), 0, 1)
     return out
 
 
