@@ -21,14 +21,16 @@ KEYS = ["cell", "gene"]
 WHOLE_CELL = 1_000_000  # points of a cell that a permutation task looks up by itself; points of larger ones are joined
 
 
-def placed(tx: DataFrame, shapes: DataFrame) -> DataFrame:
+def placed(tx: DataFrame, shapes: DataFrame, limits: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Transcripts with their cell's and nucleus' measures, distances and tests (null where the outline is missing).
 
-    Each outline is tested once for a point, whole Arrow batches at a time.
+    Each outline is tested once for a point, whole Arrow batches at a time. What is known of a cell, and ``limits`` (keys, t1, t2,
+    t3) if there are any, is put in one row first, so points are joined once.
     """
     c = shapes.where("kind = 'cell'").select("cell", *[F.col(x).alias(f"c_{x}") for x in ("flat", "gx", "gy", "mx", "my", "radius", "span", "area", "eq_radius")])
     n = shapes.where("kind = 'nucleus'").select("cell", *[F.col(x).alias(f"n_{x}") for x in ("flat", "gx", "gy", "eq_radius")])
-    p = tx.join(c, "cell").join(n, "cell", "left")
+    cells = c.join(n, "cell", "left")
+    p = tx.join(cells if limits is None else cells.join(limits, "cell"), keys or ["cell"])
     p = p.withColumns({"_c": planar.against("c_flat", "x", "y"), "_n": planar.against("n_flat", "x", "y")}).drop("c_flat", "n_flat")
     inside, edge = (lambda k: F.col(k)["inside"]), (lambda k: F.col(k)["edge"])
     return p.withColumns({

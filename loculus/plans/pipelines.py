@@ -88,7 +88,7 @@ def pair_regions(b: Bundle, pairs: DataFrame, distance: float = 4.0, dims: tuple
         tx, keys = bundles.attach(tx, b.cells, group).where(F.col(group).isNotNull()), [group]
         sized = s.join(tx.select(group, "cell").distinct(), "cell")
     t = region.thresholds(sized, scaled, group)
-    labelled = region.labels(features.placed(tx, s).join(t, [*keys, "cell"]))
+    labelled = region.labels(features.placed(tx, s, t, [*keys, "cell"]))
     return region.enrichment(region.pair_regions(labelled, distance, pairs, dims, keys), region.background(s, t, group=group), group)
 
 

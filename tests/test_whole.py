@@ -37,6 +37,18 @@ def test_every_gene_pair_has_regions(spark, name):
     assert set(zip(got.g1, got.g2, strict=True)) == {(a, b) for a in genes for b in genes if a <= b}
 
 
+def test_regions_of_points_without_a_gene(spark, tmp_path):
+    """Such a point counts as its neighbour's gene does, as in the SQL."""
+    con = duckdb.connect()
+    for t in ("supplier", "nation", "lineitem"):
+        con.sql(f"COPY (SELECT * FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN p_partkey % 7 > 0 THEN p_brand END AS p_brand) FROM '{SF}/part.parquet') TO '{tmp_path}/part.parquet'")
+    for t in ("supplier", "nation", "part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = QUERIES["region_fractions_all"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(ORACLES["region_fractions_all"]).df()) and got.g1.isna().any()
+
+
 def test_edges_are_worked_out_once_for_modules(spark):
     seen = spark.sparkContext.accumulator(0)
     count = F.udf(lambda g: seen.add(1) or g, "string").asNondeterministic()

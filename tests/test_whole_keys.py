@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from loculus.operators import coloc, compartment, features, interpolation, joins, region
+from loculus.operators import coloc, compartment, features, geometry, interpolation, joins, region
 
 POINTS = "cell string, gene string, tx_id long, x double, y double, z double"
 
@@ -68,6 +68,35 @@ def test_regions_of_whole_cells(spark):
     assert want and rows(region.pair_regions(tx, 2.0, wanted)) == want
 
 
+def test_regions_of_all_pairs(spark):
+    """Without a list of pairs points are sent once, and a point without a gene counts as in SQL, in large cells too."""
+    tx = spark.createDataFrame([*points(), ("c1", None, 30_000, 5.0, 5.0, 0.0)], POINTS)
+    tx = tx.withColumns({k: ((F.col("tx_id") * (i + 3)) % 2).cast("double") for i, k in enumerate(region.REGIONS)})
+    want = rows(region.pair_regions(tx, 2.0, None, limit=0))
+    met = coloc.pair_counts(tx, 2.0, ["cell"], limit=0)
+    assert {r[:4] for r in want} == {tuple(r) for r in met.collect()} and len(want) > 50
+    assert rows(region.pair_regions(tx, 2.0, None)) == want and exchanges(region.pair_regions(tx, 2.0, None)) == 1
+
+
+def test_points_are_not_sent_by_gene(spark, monkeypatch):
+    """With few genes that would give a few tasks all points."""
+    seen = []
+    monkeypatch.setattr(region.whole, "parted", lambda p, keys, limit: seen.append(p) or (p, None))
+    tx = spark.createDataFrame(points(), POINTS).withColumns({k: F.lit(0.0) for k in region.REGIONS})
+    region.pair_regions(tx, 2.0, spark.createDataFrame([("g0", "g1")], "g1 string, g2 string"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_points_are_joined_with_their_cell_once(spark):
+    tx = spark.createDataFrame([p for p in points() if p[0] != "alone"], POINTS).withColumn("kind", F.when(F.col("tx_id") % 2 == 0, "even").otherwise("odd"))
+    square = [(f"c{i}", k, j, 6.0 + a * w, 6.0 + b * w) for i in range(3) for k, w in (("cell", 7.0 + i), ("nucleus", 2.0)) for j, (a, b) in enumerate([(-1, -1), (1, -1), (1, 1), (-1, 1)]) if i or k == "cell"]
+    s = geometry.shape_table(geometry.closed_rings(spark.createDataFrame(square, "cell string, kind string, i int, x double, y double")))
+    t = spark.createDataFrame([(g, f"c{i}", 1.0 + i, 2.0) for i in range(4) for g in ("even", "odd") if (i, g) != (1, "odd")], "kind string, cell string, t1 double, t2 double")
+    got = features.placed(tx, s, t, ["kind", "cell"])
+    want = features.placed(tx, s).join(t, ["kind", "cell"])
+    assert repr(rows(got.select(sorted(got.columns)))) == repr(rows(want.select(sorted(want.columns)))) and got.count() > 150
+
 def test_slices_of_whole_cells(spark):
     tx = spark.createDataFrame(points(), POINTS)
     of = lambda limit: coloc.proximal_pairs_by_slice(tx, 2.0, 20, limit=limit)
