@@ -28,16 +28,19 @@ def stored(points: DataFrame) -> DataFrame:
     return points if hasattr(points, "_stored_path") else store.stored(points)
 
 
-def parted(points: DataFrame, keys: list[str], limit: int = LIMIT) -> tuple[DataFrame, DataFrame | None]:
+def parted(points: DataFrame, keys: list[str], limit: int = LIMIT, write: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Points of keys of at most ``limit`` of them, and the others (None if there are none). Null keys take no part.
 
-    The points are written once, for they are read twice. Keys above the limit are fewer than one in ``limit`` points.
+    The points are written once, for they are read twice. Keys above the limit are fewer than one in ``limit`` points. Without
+    ``write`` the keys alone are read for the count, and points are written only if a key is above the limit; so points that lie by
+    key already are not sent again.
     """
-    points = stored(points).dropna(subset=keys)
-    large = points.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*keys)
-    if not large.take(1):
+    points = (stored(points) if write else points).dropna(subset=keys)
+    above = lambda p: p.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*keys)
+    if not above(points).take(1):
         return points, None
-    large = F.broadcast(store.stored(large))
+    points = points if write else stored(points)
+    large = F.broadcast(store.stored(above(points)))
     return points.join(large, keys, "left_anti"), points.join(large, keys, "left_semi")
 
 

@@ -9,7 +9,8 @@ from test_oracles import SF, rows
 
 from loculus.operators import coloc
 from loculus.queries import ORACLES, QUERIES
-from loculus.sources.fixture import fixture
+from loculus.sources import store
+from loculus.sources.fixture import TX, fixture
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -30,6 +31,21 @@ def test_every_point_is_judged(spark, name):
     assert set(zip(got.cell, got.tx_id, strict=True)) == set(zip(points.cell, points.tx_id, strict=True))
 
 
+def test_points_go_by_cell_once(spark):
+    """From the tables to the result there is one shuffle, nothing is written between, and no price is sent beside its place."""
+    before = set(store._STORED)
+    plan = QUERIES["local_composition_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert set(store._STORED) == before and "lineitem.parquet" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "2000" not in plan.split("Exchange hashpartitioning")[1]
+
+
+def test_points_are_numbered_by_cell(spark):
+    """As by supplier, which is the order of the SQL."""
+    got = fixture(spark, SF).transcripts
+    want = spark.sql(TX).selectExpr("tx_id", "cell", "gene", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y", "z")
+    assert got.schema == want.schema and got.exceptAll(want).count() == 0 == want.exceptAll(got).count() and got.count() > 5000
+
+
 @pytest.mark.parametrize("name", ["region_enrichment_all", "region_fractions_all"])
 def test_every_gene_pair_has_regions(spark, name):
     got = equal_to_sql(spark, name)
