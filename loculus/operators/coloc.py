@@ -15,8 +15,9 @@ from ..sources import store
 from . import joins, whole
 
 PAIR = ["g1", "g2"]
-#: Tasks that fit pairs.
+#: Tasks that fit pairs; sets of genes that every task may hold.
 FITS = 64
+HELD = 100_000
 
 
 def pair_key(a, b):
@@ -279,7 +280,7 @@ def neighbour_counts(e: DataFrame, cells: DataFrame, dist: float, min_neighbours
     few = F.col("n") < min_neighbours
     total, n_few = n.agg(F.count("*"), F.count_if(few)).first()
     glob = e.groupBy(*PAIR).agg((F.count("*") / F.lit(total)).alias("p_global"))
-    hits = nb.join(e.withColumnRenamed("cell", "neighbour"), "neighbour").groupBy("cell", *PAIR).agg(F.count("*").alias("k"))
+    hits = nb.join(e.withColumnRenamed("cell", "neighbour").hint("merge"), "neighbour").groupBy("cell", *PAIR).agg(F.count("*").alias("k"))
     seen = hits.join(e.withColumn("edge", F.lit(1)), ["cell", *PAIR], "full").join(n, "cell")
     seen = seen.select(*PAIR, F.coalesce("edge", F.lit(0)).alias("edge"), few.alias("few"), F.when(~few, F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 12)).alias("freq"))
     seen = store.stored(seen.groupBy(*PAIR, "edge", "few", "freq").agg(F.count("*").alias("c")))
@@ -327,23 +328,39 @@ def spatial_modulation(freq: DataFrame) -> DataFrame:
     return g.groupBy(*PAIR).applyInPandas(fit, "g1 string, g2 string, llr double, w_h1 double, p_h1 double, p_global double")
 
 
+def _among(df: DataFrame, good: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose values are among the good ones, which are counted: every task gets them only if they are few."""
+    few = good.limit(HELD + 1).count() <= HELD
+    return df.join(F.broadcast(good) if few else good.hint("merge"), on, "left_semi")
+
+
 def modules(e: DataFrame, size: int = 3, support: int = 5) -> DataFrame:
     """(genes, support): sets of genes that are all joined with one another in at least ``support`` cells.
 
-    Grown a gene at a time from frequent smaller sets (a set can't be frequent if a part isn't), in name order.
+    Grown a gene at a time from frequent smaller sets (a set can't be frequent if a part isn't), in name order. A set carries the
+    later genes that are joined with all of its own, so each step is one join by cell and gene. A written table's file is far smaller
+    than its rows, so its size must not decide that it is sent to every task: such joins go by key.
     """
-    pairs = store.stored(e.where("g1 < g2").select("cell", *PAIR))  # read at every step
-    frequent = pairs.groupBy(*PAIR).agg(F.count_distinct("cell").alias("s")).where(F.col("s") >= support).drop("s")
-    pairs = pairs.join(frequent, PAIR, "left_semi")
-    sets = pairs.select("cell", F.array("g1", "g2").alias("genes"))
-    for k in range(3, size + 1):
-        grown = sets.withColumn("g1", F.element_at("genes", -1)).join(pairs, ["cell", "g1"]).select("cell", "genes", F.col("g2").alias("new"))
-        for i in range(k - 2):  # the new gene must be joined with every other
-            grown = grown.withColumn("g1", F.col("genes")[i]).join(pairs.withColumnRenamed("g2", "new"), ["cell", "g1", "new"], "left_semi")
-        sets = grown.select("cell", F.concat("genes", F.array("new")).alias("genes")).distinct()
-        ok = sets.groupBy("genes").agg(F.count("*").alias("s")).where(F.col("s") >= support).drop("s")
-        sets = sets.join(ok, "genes", "left_semi")
-    return sets.groupBy("genes").agg(F.count_distinct("cell").alias("support")).where(F.col("support") >= support)
+    pairs = e.where("g1 < g2 AND cell IS NOT NULL").groupBy("cell", "g1").agg(F.collect_set("g2").alias("later"))
+    pairs = store.stored(pairs)  # read at every step
+    pairs = pairs.select("cell", "g1", F.explode("later").alias("g2"))
+    frequent = pairs.groupBy(*PAIR).agg(F.count("*").alias("s")).where(F.col("s") >= support).drop("s")
+    pairs = _among(pairs, store.stored(frequent), PAIR)
+    if size <= 2:
+        return pairs.groupBy(F.array(*PAIR).alias("genes")).agg(F.count("*").alias("support"))
+    beside = pairs.groupBy("cell", "g1").agg(F.collect_set("g2").alias("later"))
+    sets = beside.select("cell", F.array("g1").alias("genes"), "later")
+    for k in range(2, size):
+        grown = sets.where(F.size("later") > size - k).withColumn("g1", F.explode("later"))
+        grown = grown.join(beside.withColumnRenamed("later", "_l").hint("merge"), ["cell", "g1"])
+        sets = grown.select("cell", F.array_append("genes", F.col("g1")).alias("genes"), F.array_intersect("later", "_l").alias("later"))
+        sets = sets.where(F.size("later") >= size - k)  # others can't get all their genes any more
+        if k > 2:
+            sets = store.stored(sets)
+            ok = sets.groupBy("genes").agg(F.count("*").alias("s")).where(F.col("s") >= support).drop("s")
+            sets = _among(sets, store.stored(ok), ["genes"])
+    last = sets.select("genes", F.explode("later").alias("new"))
+    return last.groupBy(F.array_append("genes", F.col("new")).alias("genes")).agg(F.count("*").alias("support")).where(F.col("support") >= support)
 
 
 def subgraphs(e: DataFrame, n_vertices: int, n_edges: int, support: int = 5) -> DataFrame:
@@ -367,7 +384,7 @@ def subgraphs(e: DataFrame, n_vertices: int, n_edges: int, support: int = 5) ->
     at_gene = pairs.select("cell", F.explode(F.array(end("g1", "g2"), end("g2", "g1"))).alias("end"), "edge").select("cell", "end.gene", "end.other", "edge")
     found = pairs.select("cell", F.array("edge").alias("code"), F.array("edge.g1", "edge.g2").alias("genes"))
     for k in range(2, n_edges + 1):
-        grown = found.select("cell", "code", "genes", F.explode("genes").alias("gene")).join(at_gene, ["cell", "gene"]).where(~F.array_contains("code", F.col("edge")))
+        grown = found.select("cell", "code", "genes", F.explode("genes").alias("gene")).join(at_gene.hint("merge"), ["cell", "gene"]).where(~F.array_contains("code", F.col("edge")))
         # an edge between two genes that are there comes from both: one is enough; arrays are built for what goes on only
         within = F.array_contains("genes", F.col("other"))
         size = F.size("genes") + F.when(within, 0).otherwise(1)

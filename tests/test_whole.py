@@ -1,5 +1,6 @@
 """Queries over all points and all gene pairs, against their DuckDB SQL on the smallest tables."""
 
+import itertools
 import os
 
 import duckdb
@@ -74,6 +75,18 @@ def test_edges_are_worked_out_once_for_modules(spark):
     assert seen.value == len(rows)
 
 
+def test_edges_of_modules_are_sent_nowhere_whole(spark):
+    """A file of edges is far smaller than its rows: at 60 x sf0.1 5 MB are 860 MB in the driver."""
+    edges = [(f"c{k}", *p) for k in range(40) for p in itertools.combinations("abcdef"[: 3 + k % 4], 2)]
+    e = spark.createDataFrame([*edges, *edges[:9], (None, "a", "b")], "cell string, g1 string, g2 string")
+    for size in (2, 3, 4, 5):
+        out = coloc.modules(e, size, 15)
+        want = {s: n for s in itertools.combinations("abcdef", size) if (n := sum(set(s) <= set("abcdef"[: 3 + k % 4]) for k in range(40))) >= 15}
+        assert {tuple(r.genes): r.support for r in out.collect()} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [cell" not in plan and ("SortMergeJoin [cell" in plan or size != 3)
+
+
 def test_pairs_are_fitted_in_many_tasks(spark):
     rows = [(f"g{k}", "h", 0.5, edge, f, 4) for k in range(20) for edge in (0, 1) for f in (0.0, 0.5)]
     freq = spark.createDataFrame(rows, "g1 string, g2 string, p_global double, edge int, freq double, c long")
