@@ -9,6 +9,7 @@ import pytest
 
 from loculus.functions import bands, delaunay, rings
 from loculus.operators import coloc, geometry, interpolation, region, shapes
+from loculus.sources import store
 
 RNG = np.random.default_rng(7)
 CLOUDS = {
@@ -41,6 +42,21 @@ def test_no_triangle():
         assert delaunay.Triangulation(np.array(p, float).reshape(-1, 2)).arrays()[0].shape == (0, 3)
 
 
+def test_rounds_write_places_of_open_points_only(spark, monkeypatch):
+    """Points that are done leave their place behind."""
+    tables, stored = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df: tables.append(stored(df)) or tables[-1])
+    at = np.random.default_rng(8).uniform(0, 10, (900, 2)).tolist()
+    s = spark.createDataFrame([("a", x, y, x + 2 * y) for x, y in at[:300]], "g string, x double, y double, v double")
+    p = spark.createDataFrame([("a", i, x, y) for i, (x, y) in enumerate(at[300:])], "g string, tx_id long, x double, y double")
+    inside = [r.v - r.x - 2 * r.y for r in interpolation.linear(s, p, ["v"], ["g"], ["tx_id"], False, 25).join(p, ["g", "tx_id"]).collect()]
+    assert len(inside) == 600 and sum(abs(d) < 1e-9 for d in inside) > 500
+    rounds = [t for t in tables if "done" in t.columns]
+    assert len(rounds) > 1 and sum(t.where("done").count() for t in rounds) == 600
+    for t in rounds:
+        assert t.where("done AND (x IS NOT NULL OR y IS NOT NULL)").count() == 0 == t.where("NOT done AND x IS NULL").count()
+
+
 @pytest.mark.parametrize("nearest,tile", [(False, 25), (True, 25), (False, 2000)])
 def test_linear_interpolation(spark, nearest, tile):
     place = RNG.uniform(0, 10, (300, 2))

@@ -1,7 +1,9 @@
 """Queries over all points and all gene pairs, against their DuckDB SQL on the smallest tables."""
 
+import glob
 import itertools
 import os
+import time
 
 import duckdb
 import pytest
@@ -66,6 +68,19 @@ def test_regions_of_points_without_a_gene(spark, tmp_path):
     assert rows(got) == rows(con.sql(ORACLES["region_fractions_all"]).df()) and got.g1.isna().any()
 
 
+def test_a_stored_table_leaves_no_shuffle(spark):
+    """Its shuffle's files stayed until the driver collected garbage, so all of a query's shuffles lay on disk at once."""
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    t = store.stored(spark.range(100_000).repartition(7, "id"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and t.count() == 100_000
+    assert spark.conf.get(store.CLEANUP) == "false"
+
+
 def test_edges_are_worked_out_once_for_modules(spark):
     seen = spark.sparkContext.accumulator(0)
     count = F.udf(lambda g: seen.add(1) or g, "string").asNondeterministic()
